@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media
+from . import bpe, media, mixing, rules
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> D
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix of all sources takes each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("n"))
+    mixed = mixing.mix(docs, size=F.col("n"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the weakly supervised rules for every text."""
+    ruled = rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
+    return ruled.select("doc_id", *rules.BASE, "base_failed", "kept", "p_good")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text kept as 8-bit samples, read back, sniffed; the declared type is deliberately text/plain, which sniffing corrects."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), media.store_samples(media.padded(F.col("text"))).alias("medium"), F.lit("text/plain").alias("declared"))
@@ -38,5 +51,5 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_media": op8_media}
+QUERIES = {"op1_bpe": op1_bpe, "op5_mixing": op5_mixing, "op7_rules": op7_rules, "op8_media": op8_media}
 ORACLE_SQL: dict[str, str] = {}
