@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, rules
-from .common import table
+from . import bpe, cnn, media, mixing, rules
+from .common import remainder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -51,5 +51,15 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_mixing": op5_mixing, "op7_rules": op7_rules, "op8_media": op8_media}
+def op10_quality(spark: SparkSession, sf_dir: str, rows: int = 1500) -> DataFrame:
+    """Quality of every text by a network fitted on at most `rows` labelled documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    seen = cnn.sample(docs, labels, "doc_id", "quality", rows=rows)
+    model = cnn.train([t for t, _ in seen], [y for _, y in seen])
+    scored = cnn.classify(docs, model, drop=("text",))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op5_mixing": op5_mixing, "op7_rules": op7_rules, "op8_media": op8_media, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
