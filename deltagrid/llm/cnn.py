@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import replaced, schema_with, slices
 
@@ -152,14 +151,6 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48
     return p
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str = "text", rows: int = 1500, longest: int = 100_000) -> list[tuple[str, int]]:
-    """Texts and labels to fit on: at most `rows` labelled rows, those whose keyed hash is least, and of them those with a text of at most `longest` characters."""
-    order = F.xxhash64(F.lit(17), F.col(key))
-    picked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).alias("_label")).orderBy(order, key).limit(rows)
-    found = docs.select(key, F.col(text).alias("_text")).where(F.length("_text") <= longest).join(F.broadcast(picked), key)  # at most `rows` rows
-    return [(t, y) for _, y, t in sorted(found.select(key, "_label", "_text").limit(2 * rows).collect())]
-
-
 def classify(df: DataFrame, model: dict, text: str = "text", out: str = "score", drop: tuple[str, ...] = ()) -> DataFrame:
     """df with the model's probability of class 1."""
 

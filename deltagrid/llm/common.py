@@ -78,6 +78,9 @@ def schema_with(df: DataFrame, new: str, drop: tuple[str, ...] = ()) -> str:
     return ", ".join([*kept, *(part.strip() for part in new.split(";"))])
 
 
-def labelled_sample(df: DataFrame, key: str, rows: int, seed: int = 7) -> DataFrame:
-    """At most so many rows, the same each time: those whose keyed hash is least. For fitting only."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(rows)
+def labelled_texts(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str = "text", rows: int = 1500, longest: int = 100_000) -> list[tuple[str, int]]:
+    """Texts and labels to fit on: at most `rows` labelled rows, those whose keyed hash is least, and of them those with a text of at most `longest` characters."""
+    order = F.xxhash64(F.lit(17), F.col(key))
+    picked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, F.col(label).alias("_label")).orderBy(order, key).limit(rows)
+    found = docs.select(key, F.col(text).alias("_text")).where(F.length("_text") <= longest).join(F.broadcast(picked), key)  # at most `rows` rows
+    return [(t, y) for _, y, t in sorted(found.select(key, "_label", "_text").limit(2 * rows).collect())]

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cnn, media, mixing, rules
-from .common import remainder, table
+from . import bpe, cnn, media, mixing, rules, toxicity
+from .common import labelled_texts, remainder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -27,6 +27,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str, rows: int = 4000) -> DataFrame:
+    """Toxicity of every text, disguised words restored, by a model fitted on at most `rows` labelled documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 3) != 1)
+    seen = labelled_texts(docs, labels, "doc_id", "toxic", rows=rows)
+    model = toxicity.train(toxicity.language_model(docs), [t for t, _ in seen], [y for _, y in seen])
+    scored = toxicity.classify(docs, model, drop=("text",))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the weakly supervised rules for every text."""
     ruled = rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), drop=("text",))
@@ -55,11 +65,11 @@ def op10_quality(spark: SparkSession, sf_dir: str, rows: int = 1500) -> DataFram
     """Quality of every text by a network fitted on at most `rows` labelled documents outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
-    seen = cnn.sample(docs, labels, "doc_id", "quality", rows=rows)
+    seen = labelled_texts(docs, labels, "doc_id", "quality", rows=rows)
     model = cnn.train([t for t, _ in seen], [y for _, y in seen])
     scored = cnn.classify(docs, model, drop=("text",))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_mixing": op5_mixing, "op7_rules": op7_rules, "op8_media": op8_media, "op10_quality": op10_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op8_media": op8_media, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
