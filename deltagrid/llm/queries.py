@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cnn, media, mixing, rules, toxicity
+from . import bpe, cnn, langid, media, mixing, rules, toxicity
 from .common import labelled_texts, remainder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> D
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str, rows: int = 800) -> DataFrame:
+    """Language of every text by a random field fitted on at most `rows` labelled documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    labels = docs.select("doc_id", "lang").where(remainder("doc_id", 4) != 2)
+    seen = labelled_texts(docs.select("doc_id", "text"), labels, "doc_id", "lang", rows=rows)
+    model = langid.train([t for t, _ in seen], [g for _, g in seen])
+    found = langid.predict(docs.select("doc_id", "text"), model, drop=("text",))
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix of all sources takes each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("n"))
@@ -71,5 +81,5 @@ def op10_quality(spark: SparkSession, sf_dir: str, rows: int = 1500) -> DataFram
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op8_media": op8_media, "op10_quality": op10_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op4_langid": op4_langid, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op8_media": op8_media, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
