@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cnn, jaccard, langid, media, mixing, rules, toxicity
+from . import bpe, cnn, jaccard, langid, media, mixing, pii, rules, toxicity
 from .common import labelled_texts, remainder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> D
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data under pseudonyms."""
+    return pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_pii", "pii_kinds")
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document: five-word shingles, similarity of 0.75 or more."""
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "class_id")
@@ -86,5 +91,5 @@ def op10_quality(spark: SparkSession, sf_dir: str, rows: int = 1500) -> DataFram
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_jaccard": op3_jaccard, "op4_langid": op4_langid, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op8_media": op8_media, "op10_quality": op10_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_langid": op4_langid, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op8_media": op8_media, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
