@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cnn, jaccard, langid, media, mixing, pii, rules, toxicity
+from . import bpe, bwt, cnn, jaccard, langid, media, mixing, pii, rules, toxicity
 from .common import labelled_texts, remainder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,6 +81,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the bytes of repeated 200-byte strings."""
+    return bwt.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str, rows: int = 1500) -> DataFrame:
     """Quality of every text by a network fitted on at most `rows` labelled documents outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,5 +96,5 @@ def op10_quality(spark: SparkSession, sf_dir: str, rows: int = 1500) -> DataFram
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_langid": op4_langid, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op8_media": op8_media, "op10_quality": op10_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_langid": op4_langid, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op8_media": op8_media, "op9_suffixes": op9_suffixes, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
