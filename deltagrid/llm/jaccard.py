@@ -14,8 +14,8 @@
 5. Pairs within the bound are decided by intersecting the sorted arrays. Components follow by label propagation with
    pointer jumping over tables in the shared folder.
 
-Nulls, empty texts and texts without words have an empty set, size 0 and are their own component. Rows with one id count
-as one document (their links are joined); a null id has component null unless an equal text has an id. Repeated rows
+Nulls, empty texts and texts without words have an empty set, size 0 and are their own component. Rows with one id but different texts count
+as one document, linked by one of them (the greatest set in byte order); a null id has component null unless an equal text has an id. Repeated rows
 keep their number. Texts of any length are read whole. An empty table gives an empty table. Only id and text are read.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices
 
-WORDS, KEYS, ROUNDS, VOTES, BLOCK = 5, 20, 3, 5, 8192
+WORDS, KEYS, ROUNDS, VOTES, BLOCK = 5, 20, 2, 5, 8192
 PAIR_BYTES = 16 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -133,8 +133,10 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    # every set that is needed is looked up once, whichever end it stands at
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(sets, "id")
+    both = ends.groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("members"))).alias("x"), F.max(F.when(F.col("id") == F.col("b"), F.col("members"))).alias("y"))
+    return both.where("x IS NOT NULL AND y IS NOT NULL").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _matrix(bits: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
@@ -234,7 +236,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     keyed = cut(classes.select("id", F.explode("keys").alias("k")), "keys")
     shared = keyed.join(keyed.groupBy("k").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a <> _b").select("k"), "k", "left_semi")
     keyed = cut(shared, "shared-keys")
-    sets = cut(set_table(docs, key, text, keyed.select("id").distinct()).dropDuplicates(["id", "members"]), "sets")
+    sets = cut(set_table(docs, key, text, keyed.select("id").distinct()), "sets")
     comps, edges = keyed.select("id").distinct().withColumn("comp", F.col("id")), []
     for k in range(ROUNDS):
         order = F.struct(F.xxhash64(F.lit(k), "id") if k else F.lit(0), "id", "comp")
