@@ -1,5 +1,12 @@
 """Registered queries of the geospatial operators and the SQL they are checked against."""
 
+from importlib import import_module
+
+FLAGSHIP = "slice_fixes_by_cell"
+MODULES = ("cells",)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "op1_bpe"
+for _name in MODULES:
+    _m = import_module(f".{_name}", __name__)
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
