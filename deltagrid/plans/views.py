@@ -12,9 +12,9 @@ D = "CAST({} AS DOUBLE)".format
 VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
     "g_fix": ("events", {"event_id": "event_id", "user_id": "user_id", "ts": "ts", "lat": f"46 + {D('(user_id*37) % 100')}/100 + {D('(event_id*101) % 1000')}/100000", "lon": f"-122 + {D('(user_id*53) % 100')}/100 + {D('(event_id*211) % 1000')}/100000", "accuracy": "value", "event_type": "event_type"}, "user_id IS NOT NULL"),
     "g_globe": ("lineitem", {"id": "l_orderkey * 8 + l_linenumber", "orderkey": "l_orderkey", "lat": f"-89.5 + {D('(l_orderkey*7919 + l_partkey*31) % 17900')}/100", "lon": f"-180 + {D('(l_partkey*6007 + l_orderkey*17) % 36000')}/100", "class": "CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 3 ELSE 5 END + CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END", "cov": "CAST(l_quantity AS BIGINT) * 5", "mag": "(l_partkey * 13) % 255 + 1", "uses": "(l_suppkey * 7) % 64", "seq": "l_orderkey * 1000 + l_partkey"}, "l_orderkey IS NOT NULL"),
-    "g_place": ("customer", {"id": "c_custkey", "kind": "64 + (c_nationkey % 6)", "rank": "CAST(c_acctbal AS BIGINT) + 1000", "name": "concat(c_name, ' ', c_mktsegment)", "reference": "c_mktsegment", "lat": f"46 + {D('(c_custkey*7) % 2000')}/1000", "lon": f"-123 + {D('(c_custkey*11) % 2000')}/1000"}, "c_custkey IS NOT NULL"),
+    "g_place": ("customer", {"id": "c_custkey", "kind": "64 + (c_nationkey % 6)", "rank": "CAST(floor(c_acctbal) AS BIGINT) + 1000", "name": "concat(c_name, ' ', c_mktsegment)", "reference": "c_mktsegment", "lat": f"46 + {D('(c_custkey*7) % 2000')}/1000", "lon": f"-123 + {D('(c_custkey*11) % 2000')}/1000"}, "c_custkey IS NOT NULL"),
     "g_addr": ("orders", {"id": "o_orderkey", "number": "(o_orderkey * 7) % 9000 + 1", "street": "concat(CASE o_orderkey % 5 WHEN 0 THEN 'North ' WHEN 1 THEN 'S ' WHEN 2 THEN 'Southwest ' ELSE '' END, CASE o_custkey % 7 WHEN 0 THEN 'red widget' WHEN 1 THEN 'North Bend' WHEN 2 THEN 'Talon' WHEN 3 THEN '9th' WHEN 4 THEN 'blue   hill' WHEN 5 THEN 'O''Brien' ELSE 'Main' END, CASE o_orderkey % 6 WHEN 0 THEN ' Street' WHEN 1 THEN ' Ave' WHEN 2 THEN ' Trail' WHEN 3 THEN ' Way' WHEN 4 THEN ' Ln.' ELSE '' END)", "zip": "98000 + o_custkey % 100", "lat": f"46 + {D('(o_orderkey*3) % 1000')}/1000", "lon": f"-122 + {D('(o_custkey*5) % 1000')}/1000"}, "o_orderkey IS NOT NULL"),
-    "g_way": ("orders", {"way": "o_orderkey", "class": "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1 WHEN '2' THEN 3 WHEN '3' THEN 5 WHEN '4' THEN 7 ELSE 9 END", "uses": "CASE WHEN o_orderkey % 11 = 0 THEN 131 WHEN o_orderkey % 5 = 0 THEN 55 ELSE 19 END", "speed_kmh": "(CAST(o_totalprice AS BIGINT) % 4) * 30", "oneway": "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN -1 ELSE 0 END", "layer": "o_orderkey % 3 - 1", "grade": "(o_custkey % 5) + (o_custkey % 4) * 16", "name": "concat('Way ', CAST(o_custkey % 40 AS STRING))"}, "o_orderkey IS NOT NULL"),
+    "g_way": ("orders", {"way": "o_orderkey", "class": "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1 WHEN '2' THEN 3 WHEN '3' THEN 5 WHEN '4' THEN 7 ELSE 9 END", "uses": "CASE WHEN o_orderkey % 11 = 0 THEN 131 WHEN o_orderkey % 5 = 0 THEN 55 ELSE 19 END", "speed_kmh": "(CAST(floor(o_totalprice) AS BIGINT) % 4) * 30", "oneway": "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN -1 ELSE 0 END", "layer": "o_orderkey % 3 - 1", "grade": "(o_custkey % 5) + (o_custkey % 4) * 16", "name": "concat('Way ', CAST(o_custkey % 40 AS STRING))"}, "o_orderkey IS NOT NULL"),
     "g_box": ("nation", {"id": "n_nationkey", "lat0": f"46 + {D('n_nationkey*3 % 17')}/10", "lon0": f"-122.9 + {D('n_nationkey*7 % 19')}/10", "lat1": f"46.05 + {D('n_nationkey*3 % 17')}/10 + {D('n_nationkey')}/100", "lon1": f"-122.85 + {D('n_nationkey*7 % 19')}/10 + {D('n_nationkey')}/80"}, "n_nationkey IS NOT NULL"),
 }
 
