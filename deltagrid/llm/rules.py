@@ -83,9 +83,9 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*kept, *(v.cast("bigint").alias(k) for k, v in counts.items()))
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[str, list[float]]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int = len(RULES)) -> tuple[float, list[dict[str, list[float]]]]:
     """The share of good texts and, for each rule, P(vote) for good and bad texts (votes -1, 0, 1), by expectation-maximisation with Dirichlet priors that say which class is which."""
-    rules, total = len(patterns[0][0]) if patterns else 0, sum(n for _, n in patterns)
+    rules, total = len(patterns[0][0]) if patterns else rules, sum(n for _, n in patterns)
     first = {"good": [0.02, 0.18, 0.80], "bad": [0.40, 0.25, 0.35]}
     share, table = 0.85, [{k: list(v) for k, v in first.items()} for _ in range(rules)]
     for _ in range(ROUNDS if total else 0):
