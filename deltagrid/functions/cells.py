@@ -41,8 +41,8 @@ def faces() -> list[tuple]:
     for d, (a, q, r, b) in enumerate(DIAMONDS):
         for upper, apex in ((0, a), (1, b)):
             corners = np.array([VERTICES[apex], VERTICES[q], VERTICES[r]])
-            c = corners.sum(0)
-            out.append((tuple((c / np.linalg.norm(c)).tolist()), tuple(np.linalg.inv(corners.T).ravel().tolist()), d, upper))
+            c = corners.sum(0) / 3  # all of one length, so they are compared as they are, and faces that meet at a pole tie
+            out.append((tuple(c.tolist()), tuple(np.linalg.inv(corners.T).ravel().tolist()), d, upper))
     return out
 
 

@@ -27,15 +27,20 @@ def sessions(fixes: DataFrame, track: str, ts: str, gap: str) -> DataFrame:
     return g.select(track, F.col("_w.start").alias("begun"), "fixes")
 
 
+def _timed(fixes: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need a timestamp with a zone."""
+    return fixes.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def windows(fixes: DataFrame, ts: str, late: str, size: str, slide: str | None = None) -> DataFrame:
     """Streaming: fixes and tracks by time window, events up to `late` behind."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    return fixes.withWatermark(ts, late).groupBy(w.alias("_w"), "event_type").agg(F.count("*").alias("n"), F.avg("accuracy").alias("accuracy")).select(F.col("_w.start").alias("begun"), "event_type", "n", "accuracy")
+    return _timed(fixes, ts).withWatermark(ts, late).groupBy(w.alias("_w"), "event_type").agg(F.count("*").alias("n"), F.avg("accuracy").alias("accuracy")).select(F.col("_w.start").alias("begun"), "event_type", "n", "accuracy")
 
 
 def deduplicated(fixes: DataFrame, key: str, ts: str, late: str) -> DataFrame:
     """Streaming: each key once within the watermark."""
-    return fixes.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    return _timed(fixes, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
 def stream_chunks(fixes: DataFrame, track: str, size: int = 64) -> DataFrame:
