@@ -185,3 +185,48 @@ def line_min_depth(cls: Column, mag: Column) -> Column:
 
 def class_floor(cls: Column) -> Column:
     return lookup(cls, {k: v[5] for k, v in LINES.items() if v[5] is not None})
+
+
+# Point kinds (64 + place in the list) and the tags that make them; the first four overrule, the rest apply in this order.
+POINTS = {
+    64: {"place": "city"}, 65: {"place": "town"}, 66: {"place": "village"}, 67: {"place": "hamlet"}, 68: {"natural": "peak"}, 69: {"natural": "volcano"},
+    77: {"highway": "motorway_junction"}, 78: {"place": "island"}, 79: {"place": "islet"}, 80: {"natural": "bay"}, 81: {"natural": "strait"}, 82: {"place": "sea ocean"}, 83: {"natural": "cape peninsula"}, 84: {"place": "suburb quarter neighbourhood"}, 85: {"place": "locality"},
+    86: {"amenity": "drinking_water", "man_made": "drinking_fountain"}, 87: {"amenity": "toilets"}, 88: {"amenity": "shelter"}, 89: {"amenity": "ranger_station"}, 90: {"man_made": "fire_lookout"}, 91: {"natural": "hot_spring", "leisure": "hot_spring"}, 92: {"natural": "cave_entrance"}, 93: {"barrier": "gate lift_gate"}, 94: {"ford": "yes stepping_stones"},
+    70: {"natural": "saddle", "mountain_pass": "yes"}, 71: {"tourism": "viewpoint"}, 72: {"highway": "trailhead"}, 73: {"waterway": "waterfall", "natural": "waterfall"}, 74: {"natural": "spring"}, 75: {"tourism": "camp_site"}, 76: {"tourism": "alpine_hut wilderness_hut"},
+}
+# Businesses (95 is the first), and amenities that are none.
+BUSINESSES = {
+    95: {"amenity": "cafe"}, 96: {"amenity": "restaurant"}, 97: {"amenity": "fast_food food_court ice_cream"}, 98: {"amenity": "bar pub biergarten nightclub"}, 99: {"amenity": "fuel charging_station"}, 100: {"shop": "supermarket convenience greengrocer bakery butcher deli grocery health_food"},
+    102: {"tourism": "hotel motel hostel guest_house apartment chalet"}, 103: {"amenity": "bank atm bureau_de_change"}, 104: {"amenity": "pharmacy", "shop": "chemist"}, 105: {"amenity": "hospital clinic doctors dentist veterinary"}, 106: {"amenity": "post_office"}, 107: {"amenity": "library"}, 108: {"amenity": "school college university kindergarten"}, 109: {"amenity": "place_of_worship"},
+}
+NO_BUSINESS = "parking parking_space parking_entrance bicycle_parking bench waste_basket waste_disposal recycling vending_machine post_box telephone loading_dock motorcycle_parking grave_yard fountain clock hunting_stand bbq drinking_water toilets shelter ranger_station"
+
+
+def _matches(tags: Column, keys: dict[str, str]) -> Column:
+    hit = F.lit(False)
+    for k, names in keys.items():
+        hit = hit | F.coalesce(tag(tags, k).isin(*names.split()), F.lit(False))
+    return hit
+
+
+def business(tags: Column) -> Column:
+    """The lowest kind of business that a feature's tags make it, else the general one, else null."""
+    t = lambda k: F.coalesce(tag(tags, k), F.lit(""))
+    shop = F.when((t("shop") != "") & ~_matches(tags, {"shop": BUSINESSES[100]["shop"] + " chemist"}), 101)
+    seen = F.when(t("tourism").isin("museum", "attraction", "zoo", "aquarium", "theme_park", "gallery"), 110)
+    found = F.least(*(F.when(_matches(tags, m), k) for k, m in BUSINESSES.items()), F.when(t("healthcare") != "", 105))
+    other = ((t("amenity") != "") & ~t("amenity").isin(*NO_BUSINESS.split())) | (t("office") != "") | (t("craft") != "") | t("leisure").isin("fitness_centre", "sports_centre", "bowling_alley", "golf_course", "marina")
+    return F.coalesce(F.least(found, shop, seen), F.when(other, 111))
+
+
+def point_kind(tags: Column) -> Column:
+    """(kind, rank) of a node: settlements and summits first, then the others in order; a tower only where it is for looking out."""
+    from .text import elevation_m, population
+
+    tower = F.when((tag(tags, "man_made") == "tower") & tag(tags, "tower:type").isin("observation", "fire_lookout"), 90)
+    kind = F.coalesce(*(F.when(_matches(tags, m), k) for k, m in POINTS.items()), tower)
+    people, ele = population(tag(tags, "population")), F.greatest(elevation_m(tag(tags, "ele")), F.lit(0.0))
+    height = lambda times: F.coalesce(F.floor(ele * times), F.lit(0))
+    rank = F.when(kind == 64, F.coalesce(people, F.lit(100_000))).when(kind == 65, F.coalesce(people, F.lit(10_000))).when(kind == 66, F.coalesce(people, F.lit(1_000))).when(kind == 67, F.coalesce(people, F.lit(100)))
+    rank = rank.when(kind.isin(68, 69), height(25)).when(kind == 70, height(2)).when(kind == 73, 50).when(kind == 82, 10_000_000).when(kind.isin(80, 81), 100_000).when(kind == 78, 50_000).when(kind == 84, F.coalesce(people, F.lit(5_000))).when(kind == 90, F.greatest(height(1), F.lit(20))).otherwise(10)
+    return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), rank).alias("rank"))
