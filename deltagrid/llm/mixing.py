@@ -6,7 +6,7 @@ The level at which this ends is found in closed form: with sources in order of c
 full and the rest share what remains.
 
 A source whose target is e times its size gives every row floor(e) times, and rows of a seeded order once more until
-the rest of the target is met. That order is cut into BUCKETS per source, so that a source with a third of all rows
+the rest of the target is met. That order is cut into 1,024 buckets per source, so that a source with a third of all rows
 spreads over as many tasks; only the bucket in which the rest ends looks at single rows.
 
 Null and empty texts have size 0 and are taken floor(e) times or once more like others (0 words either way). A null
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .rules import BLANK
 
 WEIGHTS = (5.0, 2.0, 1.0)
-BUCKETS = 1024
 OUT = ("size", "source_size", "target", "copies")
 
 
@@ -48,8 +47,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: floa
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: Column | None = None, weights: tuple[float, ...] = WEIGHTS, epochs: float = 3.0, seed: int = 11) -> DataFrame:
     """df with size, source_size, target (its source's) and copies (how often the mix takes the row). size: of a row, by default the words of its text."""
     size = words(F.col("text")) if size is None else size
-    order = F.xxhash64(F.lit(seed), F.col(key))
-    rows = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in OUT), size.alias("size")).withColumn("_order", order).withColumn("_bucket", F.pmod(F.shiftright("_order", 20), F.lit(BUCKETS)).cast("int")).withColumn("_source", F.col(source))
+    # 60 bits of a digest that any engine has; their first ten are the bucket, so buckets follow the order
+    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
+    rows = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in OUT), size.alias("size")).withColumn("_order", order).withColumn("_bucket", F.shiftright("_order", 50).cast("int")).withColumn("_source", F.col(source))
     cells = rows.groupBy(F.col("_source").alias("source"), F.col("_bucket").alias("bucket")).agg(F.sum("size").alias("cell_size"))
     plan = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, epochs)
     plan = plan.withColumn("_e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))

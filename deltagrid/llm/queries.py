@@ -97,4 +97,13 @@ def op10_quality(spark: SparkSession, sf_dir: str, rows: int = 1500) -> DataFram
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_langid": op4_langid, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op8_media": op8_media, "op9_suffixes": op9_suffixes, "op10_quality": op10_quality}
-ORACLE_SQL: dict[str, str] = {}
+#: The others need models, tokenizers, iterated joins over all texts or formats that SQL has not; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5(concat('11|', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 15) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS z FROM d GROUP BY source), w AS (SELECT *, ([5e0, 2e0, 1e0])[CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS wt, 3e0 * z AS cap FROM s),
+l AS (SELECT *, (sum(z) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(wt) OVER () - coalesce(sum(wt) OVER f, 0)) AS lv FROM w WINDOW f AS (ORDER BY cap / wt, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT source, z, least(cap, wt * (SELECT lv FROM l WHERE cap > lv * wt ORDER BY cap / wt, source ASC NULLS LAST LIMIT 1)) AS target FROM l),
+e AS (SELECT *, CASE WHEN z > 0 THEN least(floor(target / z), 3) ELSE 0 END AS whole FROM v),
+r AS (SELECT d.*, z, target, whole, target - whole * z AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, z AS source_size, target, CAST(size * copies AS BIGINT) AS taken, copies FROM (SELECT *, CAST(whole + CASE WHEN begun + size / 2e0 < rest THEN 1 ELSE 0 END AS INT) AS copies FROM r)""",
+}
