@@ -18,7 +18,7 @@ from deltagrid.llm.queries import VOCABULARY
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep."""
-    return rules.apply_rules(docs).where("kept").select(*docs.columns)
+    return rules.apply_rules(docs, rescan=True).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,11 +110,12 @@ def posterior(votes: tuple[int, ...], share: float, table: list[dict[str, list[f
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, logit))))
 
 
-def apply_rules(df: DataFrame, text: str = "text", threshold: float = 0.5, drop: tuple[str, ...] = ()) -> DataFrame:
-    """df with the statistics, each rule's vote, p_good, base_failed and kept; `drop` goes before the statistics are written to the shared folder."""
+def apply_rules(df: DataFrame, text: str = "text", threshold: float = 0.5, drop: tuple[str, ...] = (), rescan: bool = False) -> DataFrame:
+    """df with the statistics, each rule's vote, p_good, base_failed and kept. The statistics, without the columns in `drop`, are written to the shared folder, so that texts are read once; with rescan they are worked out again instead, which spares the disk a copy of texts that stay."""
     votes = [f"vote_{r}" for r in RULES]
     ruled = statistics(df, text).drop(*drop)
-    ruled = cut(ruled.withColumns({v: rule().cast("int") for v, rule in zip(votes, RULES.values(), strict=True)}), "rules")
+    ruled = ruled.withColumns({v: rule().cast("int") for v, rule in zip(votes, RULES.values(), strict=True)})
+    ruled = ruled if rescan else cut(ruled, "rules")
     share, table = fit(sorted((tuple(r[:-1]), r[-1]) for r in ruled.groupBy(*votes).count().collect()))
     logit = F.lit(math.log(share / (1 - share)))
     for v, t in zip(votes, table, strict=True):
