@@ -115,7 +115,14 @@ def apply_rules(df: DataFrame, text: str = "text", threshold: float = 0.5, drop:
     votes = [f"vote_{r}" for r in RULES]
     ruled = statistics(df, text).drop(*drop)
     ruled = ruled.withColumns({v: rule().cast("int") for v, rule in zip(votes, RULES.values(), strict=True)})
-    ruled = ruled if rescan else cut(ruled, "rules")
+    if rescan:
+        # as the output of a generator, so that a filter on the verdict is not pushed down with the statistics written out in it many times
+        found = [*BASE, *MORE, *votes]
+        (once,) = fresh(ruled, "_once")
+        kept = [F.col(f"`{c}`") for c in ruled.columns if c not in found]
+        ruled = ruled.select(*kept, F.explode(F.array(F.struct(*found))).alias(once)).select(*kept, *(F.col(f"{once}.{c}").alias(c) for c in found))
+    else:
+        ruled = cut(ruled, "rules")
     share, table = fit(sorted((tuple(r[:-1]), r[-1]) for r in ruled.groupBy(*votes).count().collect()))
     logit = F.lit(math.log(share / (1 - share)))
     for v, t in zip(votes, table, strict=True):
