@@ -34,7 +34,7 @@ def rings(fragments: DataFrame) -> DataFrame:
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         found = assemble([list(x) for x in g.sort_values("idx")["refs"]])
-        return pd.DataFrame({"rel": [int(g["rel"].iloc[0])] * len(found), "ring": list(range(len(found))), "refs": [[int(x) for x in r] for r in found]}).astype({"rel": "int64", "ring": "int32"})
+        return pd.DataFrame({"rel": [int(g["rel"].iloc[0])] * len(found), "ring": list(range(len(found))), "refs": pd.Series([[int(x) for x in r] for r in found], dtype=object)}).astype({"rel": "int64", "ring": "int32"})
 
     return fragments.groupBy("rel").applyInPandas(one, "rel bigint, ring int, refs array<bigint>")
 
