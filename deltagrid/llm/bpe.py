@@ -32,6 +32,8 @@ SHORT = 128
 MEMO = 400_000
 #: Matches handled at once, which bounds the memory for a very long text.
 WORDS_AT_ONCE = 500_000
+#: Characters from which a text is scanned piece by piece.
+LONG = 1 << 20
 NONE = 1 << 60
 
 
@@ -58,6 +60,10 @@ class Codec(dict):
             self.pairs[of[a], of[b]] = (rank, of[a + b])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t.encode() for t, i in self.added.items()}
+        most = max(self.token) + 1
+        self.sizes = np.array([len(self.token.get(i, b"")) for i in range(most)])
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.bytes_of = np.frombuffer(b"".join(self.token.get(i, b"") for i in range(most)), np.uint8)
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         space = r"\p{White_Space}"
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|{space}+(?![^{space}])|{space}+")
@@ -115,34 +121,68 @@ class Codec(dict):
                     heapq.heappush(queue, (p[0], a, p[1]))
         return [i for i in ids if i >= 0]
 
-    def numbers(self, text: str) -> Iterator[int]:
-        """Numbers of the words of a text; an added token is -1 - its id."""
+    def words_of(self, text: str) -> Iterator[str]:
+        """The words of a text, added tokens among them."""
         pattern = self.latin_words if text.isascii() or max(text) <= "\xff" else self.words
         for piece in self.split_added.split(text) if self.split_added else [text]:
             if piece in self.added:
-                yield -1 - self.added[piece]
+                yield piece
             else:
-                yield from map(self.__getitem__, pattern.findall(piece) if len(piece) < 1 << 20 else (m[0] for m in pattern.finditer(piece)))
+                yield from (m[0] for m in pattern.finditer(piece))
+
+    def numbers(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """Blocks of word numbers (an added token is -1 - its id), each with (text, words) counts flattened; a very long text takes several."""
+        block, counts = [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if len(text) > LONG or any(t in text for t in self.added):
+                words = self.words_of(text)
+                while part := list(islice(words, WORDS_AT_ONCE)):
+                    yield np.fromiter((-1 - self.added[w] if w in self.added else self[w] for w in part), np.int64, len(part)), [(i, len(part))]
+                continue
+            found = (self.latin_words if text.isascii() or max(text) <= "\xff" else self.words).findall(text)
+            block += found
+            counts.append((i, len(found)))
+            if len(block) >= WORDS_AT_ONCE // 4:
+                yield np.fromiter(map(self.__getitem__, block), np.int64, len(block)), counts
+                block, counts = [], []
+        if block:
+            yield np.fromiter(map(self.__getitem__, block), np.int64, len(block)), counts
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offsets between them."""
-        out, offsets = [], [0]
-        for text in texts:
-            n, words = 0, iter(self.numbers(text) if text else ())
-            while len(block := np.fromiter(islice(words, WORDS_AT_ONCE), np.int64)):
-                starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.int32)  # views: gone before the memo grows
-                plain = np.maximum(block, 0)
-                lengths = np.where(block < 0, 1, starts[plain + 1] - starts[plain]) if len(starts) > 1 else np.ones(len(block), np.int64)
-                ends = np.cumsum(lengths)
-                at = np.arange(ends[-1]) + np.repeat(starts[plain] - ends + lengths, lengths)
-                ids = flat[np.minimum(at, len(flat) - 1)] if len(flat) else np.zeros(ends[-1], np.int32)
-                if (block < 0).any():
-                    ids[ends[block < 0] - 1] = -1 - block[block < 0]
-                out.append(ids)
-                n += len(ids)
-                del starts, flat
-            offsets.append(offsets[-1] + n)
-        return np.concatenate(out) if out else np.empty(0, np.int32), np.asarray(offsets, np.int32)
+        parts: list[tuple[int, np.ndarray]] = []
+        for block, counts in self.numbers(texts):
+            starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.int32)  # views: gone before the memo grows
+            plain = np.maximum(block, 0)
+            lengths = np.where(block < 0, 1, starts[plain + 1] - starts[plain]) if len(starts) > 1 else np.ones(len(block), np.int64)
+            ends = np.cumsum(lengths)
+            at = np.arange(ends[-1]) + np.repeat(starts[plain] - ends + lengths, lengths)
+            ids = flat[np.minimum(at, len(flat) - 1)] if len(flat) else np.zeros(ends[-1], np.int32)
+            if (block < 0).any():
+                ids[ends[block < 0] - 1] = -1 - block[block < 0]
+            word = done = 0
+            for i, n in counts:
+                word += n
+                parts.append((i, ids[done : ends[word - 1]]))
+                done = ends[word - 1]
+            del starts, flat
+        parts.sort(key=lambda x: x[0])
+        sizes = np.zeros(len(texts) + 1, np.int64)
+        for i, x in parts:
+            sizes[i + 1] += len(x)
+        return np.concatenate([x for _, x in parts]) if parts else np.empty(0, np.int32), np.cumsum(sizes).astype(np.int32)
+
+    def decode_flat(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of id lists that stand one after the other."""
+        inside = (ids >= 0) & (ids < len(self.sizes))
+        safe = np.where(inside, ids, 0)
+        n = np.where(inside, self.sizes[safe], 0)
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) + np.repeat(self.places[safe] - ends + n, n)
+        data, bounds = self.bytes_of[at].tobytes(), np.concatenate([[0], ends])[offsets]
+        return [data[a:b].decode("utf8", "replace") for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def decode(self, ids: list[int] | None) -> str | None:
         return None if ids is None else b"".join([self.token.get(i, b"") for i in ids]).decode("utf8", "replace")
@@ -176,6 +216,9 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield replaced(part, {out: pa.array([c.decode(x) for x in part.column(ids).to_pylist()], pa.string())}, drop)
+                lists = part.column(ids)
+                offsets = np.asarray(lists.offsets)
+                texts = c.decode_flat(np.asarray(lists.values.slice(offsets[0], offsets[-1] - offsets[0]).fill_null(-1)), offsets - offsets[0])
+                yield replaced(part, {out: pa.array([None if null else t for t, null in zip(texts, lists.is_null().to_pylist(), strict=True)], pa.string())}, drop)
 
     return df.mapInArrow(run, schema_with(df, f"`{out}` string", drop))
