@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import replaced, schema_with, slices
 
 ORDER, LETTERS = 4, 28
+CONTEXTS = LETTERS ** (ORDER - 1)
 #: What a sign may stand for, besides itself.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou", "#": "h"}
 #: Costs (nats) of reading a sign as a letter, of dropping a gap, of shortening a run.
@@ -91,16 +92,21 @@ class Channel:
         p = (levels[0] + 1) / (levels[0].sum() + LETTERS)
         for level in levels[1:]:  # each order leans on the one below where it has seen little
             p = (level + 5 * p) / (level.sum(-1, keepdims=True) + 5)
-        self.cost = -np.log(p).reshape(-1).astype(np.float32)
+        self.cost = (-np.log(p)).reshape(-1).astype(np.float32).tolist()
 
     def restore(self, token: str) -> str:
         """The likeliest words behind a disguised token, with blanks between them."""
-        s, n = token[:LONGEST], min(len(token), LONGEST)
-        states = {0: {(0,) * (ORDER - 1): (0.0, "")}}
+        s, n = token, len(token)
+        # by position and last letters: the cost and the way back; a way all others have joined is written out
+        states, done = {0: {0: (0.0, None)}}, []
         for i in range(n):
             here = states.pop(i, {})
             if not here:
                 continue
+            if len(here) == 1 and not states:
+                ((key, (cost, way)),) = here.items()
+                done.append(spell(way))
+                here = {key: (cost, None)}
             c, j = s[i], i + 1
             while j < n and s[j] == c:
                 j += 1
@@ -110,26 +116,27 @@ class Channel:
                 edges = [(j, x * k, SIGN) for x in LOOKS[c] for k in (1, 2)[: j - i]] + [(j, " ", 2 * SIGN), (j, "", 3 * SIGN)]
             else:
                 edges = [(j, "", GAP), (j, " ", 2 * GAP)]
-            for key, (cost, out) in sorted(here.items(), key=lambda x: x[1])[:24]:
-                for to, letters, price in edges:
+            edges = [(states.setdefault(to, {}), letters, [code(x) for x in letters], price) for to, letters, price in edges]
+            for key, (cost, way) in sorted(here.items(), key=lambda x: (x[1][0], x[0]))[:24]:
+                for to, letters, codes, price in edges:
                     k, total = key, cost + price
-                    for x in letters:
-                        at = 0
-                        for y in (*k, code(x)):
-                            at = at * LETTERS + y
-                        total += float(self.cost[at])
-                        k = (*k[1:], code(x))
-                    old = states.setdefault(to, {}).get(k)
-                    if old is None or (total, out + letters) < old:
-                        states[to][k] = (total, out + letters)
-        last = states.get(n, {})
-        ends = []
-        for k, (cost, out) in last.items():
-            at = 0
-            for y in (*k, 0):
-                at = at * LETTERS + y
-            ends.append((cost + float(self.cost[at]), out))
-        return " ".join(min(ends)[1].split()) if ends else token
+                    for x in codes:
+                        k = k * LETTERS + x
+                        total += self.cost[k]
+                        k %= CONTEXTS
+                    old = to.get(k)
+                    if old is None or total < old[0]:
+                        to[k] = (total, (way, letters))
+        ends = [(cost + self.cost[k * LETTERS], k) for k, (cost, _) in states.get(n, {}).items()]
+        return " ".join(("".join(done) + spell(states[n][min(ends)[1]][1])).split()) if ends else token
+
+
+def spell(way: tuple | None) -> str:
+    out = []
+    while way:
+        way, letters = way
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def features(word: str) -> set[str]:

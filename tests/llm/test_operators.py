@@ -208,6 +208,14 @@ def test_toxicity_restores_disguises_and_scores(spark):
     assert toxicity.classify(docs(spark, ["x"]), toxicity.train(counts, ["a"], [1])).first()["score"] == 1.0
 
 
+def test_toxicity_reads_spaced_runs_whole():
+    channel = toxicity.Channel(toxicity.grams(["you are just such a complete idiot. " * 50]))
+    for n in (1, 30):
+        run = " ".join("youarejustsuchacomplete" * n + "idiot")
+        assert toxicity.restored(run, channel).replace(" ", "") == run.replace(" ", "")
+        assert "idiot" in toxicity.Reader(channel).text(run)
+
+
 # ---- 7
 
 
