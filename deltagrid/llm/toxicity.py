@@ -1,9 +1,10 @@
 """Toxicity through a noisy channel.
 
-A character language model (ORDER letters, counted over every document) says which letters are likely; tokens that look
-disguised - digits or signs among letters, letters drawn out, single letters with gaps - become lattices, in which a sign
-may stand for the letters it resembles, a run of a letter for one or two of it, a gap for nothing or a word's end. The
-Viterbi path through the lattice is the restored word. Restored and plain words, and the first letters of each, are the
+A character language model (ORDER letters, counted over every document) says which letters are likely; tokens that may
+be disguised - with a digit or sign that resembles a letter at any place, a letter twice or more in a row, a gap between
+letters, or single letters with gaps - become lattices, in which a sign may stand for the letters it resembles, a run of
+a letter for one or two of it, a gap for nothing or a word's end. The Viterbi path through the lattice, of any length and
+over all states, is the restored word. Restored and plain words, and the first letters of each, are the
 features of a logistic model fitted on a bounded sample of labelled rows (`rows`).
 
 Null and empty texts have no features and so the score of the intercept. Texts of any length are read whole; scores
@@ -33,11 +34,12 @@ LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
 #: Costs (nats) of reading a sign as a letter, of dropping a gap, of shortening a run.
 SIGN, GAP, RUN = 1.0, 0.5, 0.5
 SIGNS = re.escape("".join(LOOKS))
-DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}]+[^\W\d_]|[{SIGNS}][^\W\d_]+[{SIGNS}]|^[{SIGNS}]+[^\W\d_]{{2}}|([^\W\d_])\1\1")
+DISGUISED = re.compile(rf"[{SIGNS}]|([^\W\d_])\1|[^\W\d_][\W\d_]+[^\W\d_]")
 SPACED = re.compile(rf"(?<![\w{SIGNS}])[\w{SIGNS}](?:[ .\-_]{{1,2}}[\w{SIGNS}]){{3,}}(?![\w{SIGNS}])")
 PLAIN = re.compile(r"[^\W\d_]+")
-ENDS = ".,;:!?\"'()[]{}&%#$*|<>-_"
-PREFIXES, MEMO, LONGEST = (4, 5, 6, 7, 8), 500_000, 40
+OPENS, ENDS = "\"'([{<-_", ".,;:!?\"'()[]{}&%#$*|<>-_"
+MARKS = "".join(c for c in ENDS if c not in LOOKS)
+PREFIXES, MEMO = (4, 5, 6, 7, 8), 500_000
 
 _CODE = np.zeros(256, np.int64)
 _CODE[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -111,13 +113,13 @@ class Channel:
             while j < n and s[j] == c:
                 j += 1
             if c.isalpha():
-                edges = [(i + 1, c, 0.0)] if j - i < 3 else [(j, c, RUN), (j, c + c, RUN)]
+                edges = [(j, c, 0.0)] if j - i == 1 else [(j, c, RUN), (j, c + c, RUN if j - i > 2 else 0.0)]
             elif c in LOOKS:
                 edges = [(j, x * k, SIGN) for x in LOOKS[c] for k in (1, 2)[: j - i]] + [(j, " ", 2 * SIGN), (j, "", 3 * SIGN)]
             else:
                 edges = [(j, "", GAP), (j, " ", 2 * GAP)]
             edges = [(states.setdefault(to, {}), letters, [code(x) for x in letters], price) for to, letters, price in edges]
-            for key, (cost, way) in sorted(here.items(), key=lambda x: (x[1][0], x[0]))[:24]:
+            for key, (cost, way) in here.items():
                 for to, letters, codes, price in edges:
                     k, total = key, cost + price
                     for x in codes:
@@ -143,6 +145,12 @@ def features(word: str) -> set[str]:
     return {word} | {word[:n] for n in PREFIXES if len(word) > n}
 
 
+def cores(token: str) -> set[str]:
+    """What of a token to decode: it without the marks around it, and with those that may stand for letters."""
+    found = {token.rstrip(ENDS).lstrip(OPENS), token.strip(MARKS)}
+    return {c for c in found if DISGUISED.search(c)}
+
+
 class Reader:
     """The features of texts; what a token yields is remembered."""
 
@@ -153,8 +161,7 @@ class Reader:
         got = self.memo.get(token)
         if got is None:
             found = set().union(*map(features, PLAIN.findall(token)), set())
-            core = token.rstrip(ENDS).lstrip("\"'([{<-_")
-            if len(core) <= LONGEST and DISGUISED.search(core):
+            for core in cores(token):
                 found |= set().union(*map(features, self.channel.restore(core).split()), set())
             got = tuple(sorted(found)) if self.known is None else tuple(sorted({self.known[f] for f in found if f in self.known}))
             if len(self.memo) >= MEMO:
@@ -177,9 +184,17 @@ class Reader:
 
 
 def restored(text: str, channel: Channel) -> str:
-    """The text with its disguised tokens restored."""
+    """The text with its disguised tokens restored; tokens without a letter stay the numbers or marks they are."""
     low = SPACED.sub(lambda m: channel.restore(m[0]), text.lower())
-    return re.sub(r"\S+", lambda m: channel.restore(m[0]) if len(m[0]) <= LONGEST and DISGUISED.search(m[0].rstrip(ENDS)) else m[0], low)
+
+    def read(m: re.Match) -> str:
+        core = m[0].strip(MARKS)
+        if not PLAIN.search(core) or not cores(core):
+            return m[0]
+        at = m[0].index(core)
+        return m[0][:at] + channel.restore(core) + m[0][at + len(core) :]
+
+    return re.sub(r"\S+", read, low)
 
 
 def train(counts: np.ndarray, texts: list[str], labels: list[int], most: int = 600, rounds: int = 400, seed: int = 5) -> dict:

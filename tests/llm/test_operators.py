@@ -216,6 +216,32 @@ def test_toxicity_reads_spaced_runs_whole():
         assert "idiot" in toxicity.Reader(channel).text(run)
 
 
+@pytest.mark.parametrize("token, word", [("a55", "ass"), ("sh17", "shit"), ("idio7", "idiot"), ("worthle55", "worthless"), ("a$$", "ass"), ("a$$!", "ass"), ("fuuck", "fuck"), ("id.iot", "idiot"), ("idio" + "o" * 50 + "t", "idiot"), ("(1d10t)", "idiot")])
+def test_toxicity_reads_disguises_at_any_place(token, word):
+    channel = toxicity.Channel(toxicity.grams(["you worthless idiot, fuck this shit, you ass. " * 50]))
+    assert word in toxicity.Reader(channel).text(f"so {token} there")
+
+
+def test_toxicity_decodes_exactly():
+    channel = toxicity.Channel(toxicity.grams([prose(3, 300)]))
+
+    def paths(s):
+        if not s:
+            yield 0.0, ""
+            return
+        edges = [(s[0], 0.0)] if s[0].isalpha() else [(x, toxicity.SIGN) for x in toxicity.LOOKS[s[0]]] + [(" ", 2 * toxicity.SIGN), ("", 3 * toxicity.SIGN)]
+        for cost, rest in paths(s[1:]):
+            yield from ((price + cost, x + rest) for x, price in edges)
+
+    def whole(price, text):
+        codes = [0] * (toxicity.ORDER - 1) + [toxicity.code(c) for c in text] + [0]
+        return price + sum(channel.cost[int(np.ravel_multi_index(codes[i : i + toxicity.ORDER], (toxicity.LETTERS,) * toxicity.ORDER))] for i in range(len(codes) - toxicity.ORDER + 1))
+
+    for token in ("*1*|*1", "b*1*1*", "1*#*1*"):
+        best = min(paths(token), key=lambda p: whole(*p))[1]
+        assert channel.restore(token) == " ".join(best.split())
+
+
 # ---- 7
 
 
