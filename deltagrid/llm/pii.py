@@ -5,6 +5,9 @@ a date's day number as two numbers. ROUNDS rounds of a keyed Feistel network (SH
 half) permute these vectors within their format, so a value always gets the same pseudonym, in whatever document, two
 values never share one, and whoever has the key can invert it. Numbers count only if their format's own rule holds
 (check digits, ranges, calendar), and pseudonyms obey the same rule: check digits are computed anew, dates are dates (written with leading zeros).
+At each place a card or IBAN is the longest run of whole groups whose check digits are right; what is beside it is read for
+itself. Digits beside a pseudonym can, about once in ten for a card, make a longer number with right check digits, which
+back then reads instead.
 
 Kinds: email (top-level domain kept), card (first digit kept, Luhn), iban (country kept, mod 97), ssn, phone (country code
 kept), ipv4, date (of one 400-year cycle, 1800-2199), and secrets: access keys and values assigned to names such as
@@ -35,7 +38,8 @@ CARD = r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)"
 #: In order of precedence at one place.
 KINDS = {"email": EMAIL, "iban": IBAN, "key": KEY, "assigned": ASSIGNED, "ipv4": IPV4, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE}
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: At every place where one may begin: the longest text that has the form of a card or IBAN; and the least characters of one.
+FORMS = {"card": (rf"(?<![\d\-])(?=({CARD}))\d+", 13), "iban": (rf"(?=({IBAN}))\b[A-Z]{{2}}\d{{2}}", 12)}
 
 
 def feistel(values: Column, radix: Column, kind: str, key: str, back: bool = False) -> Column:
@@ -185,6 +189,32 @@ def _assigned(m: Column, key: str, back: bool) -> Column:
 RULES = {"email": _email, "iban": _iban, "key": _key, "assigned": _assigned, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
+def _holds(m: Column, kind: str) -> Column:
+    """Whether the check digits of a card or IBAN are right."""
+    s = F.regexp_replace(m, "[ \\-]", "")
+    if kind == "iban":
+        return _mod97(F.concat(F.substring(s, 5, 40), F.substr(s, F.lit(1), F.lit(4)))) == 1
+    return _luhn(F.substr(s, F.lit(1), F.length(s) - 1)) == F.substr(s, F.length(s), F.lit(1))
+
+
+def _readings(t: Column, kind: str) -> Column:
+    """A pattern of the cards or IBANs in a text: at each place the longest reading, ending with a group of characters, whose check digits are right."""
+    form, least = FORMS[kind]
+    inside = lambda m, i: F.substr(m, i, F.lit(1)).rlike("[0-9A-Z]")
+    ends = lambda m: F.reverse(F.filter(F.sequence(F.lit(least), F.length(m)), lambda i: inside(m, i) & ~inside(m, i + 1)))
+    prefixes = lambda m: F.transform(ends(m), lambda i: F.substr(m, F.lit(1), i))
+    right = lambda m: F.get(F.filter(prefixes(m), lambda s: (F.length(F.regexp_replace(s, "[ \\-]", "")) >= least) & _holds(s, kind)), F.lit(0))
+    found = F.filter(F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(form), F.lit(1))), right), lambda s: s.isNotNull())
+    longest = F.transform(F.sort_array(F.transform(F.array_distinct(found), lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
+    before, after = (r"(?<![\d\-])", r"(?!\d)") if kind == "card" else (r"\b", r"\b")
+    return F.when(F.size(longest) > 0, F.concat(F.lit(f"{before}(?:"), F.array_join(longest, "|"), F.lit(f"){after}"))).otherwise(F.lit("(?!)"))
+
+
+def any_of(t: Column) -> Column:
+    """The pattern of all values in a text."""
+    return F.concat_ws("|", *(F.concat(F.lit("(?:"), _readings(t, k) if k in FORMS else F.lit(p), F.lit(")")) for k, p in KINDS.items()))
+
+
 def kind_of(m: Column) -> Column:
     """The first kind whose pattern a match fits."""
     kind = F.lit(None).cast("string")
@@ -205,11 +235,11 @@ def protect(df: DataFrame, text: str = "text", key: str = "corpus-key", back: bo
     """df with text replaced, n_pii (values replaced) and pii_kinds (their kinds, in order). key: the secret; back: undo."""
     t = F.col(text)
     maybe = t.rlike("[@0-9=:]")
-    found = F.when(maybe, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(maybe, F.regexp_extract_all(t, F.col("_any"), F.lit(0))).otherwise(F.array().cast("array<string>"))
     new = F.transform(F.transform(found, lambda m: F.struct(m.alias("old"), kind_of(m).alias("kind"))), lambda x: F.struct(x["old"].alias("old"), x["kind"].alias("kind"), pseudonym(x["old"], x["kind"], key, back).alias("new")))
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("n_pii", "pii_kinds", text.lower())]
-    held = df.select(*kept, t.alias(text), new.alias("_pii"))
-    parts = F.split(F.col(text), ANY, -1)
+    held = df.select(*kept, t.alias(text), F.when(maybe, any_of(t)).alias("_any")).select(*kept, t, "_any", new.alias("_pii"))
+    parts = F.split(F.col(text), F.col("_any"), -1)
     joined = F.array_join(F.zip_with(parts, F.transform("_pii", lambda x: F.coalesce(x["new"], x["old"])), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     done = F.filter("_pii", lambda x: x["new"].isNotNull())
     out = held.select(*kept, F.when(F.size("_pii") > 0, joined).otherwise(F.col(text)).alias(text), F.greatest(F.size(done), F.lit(0)).cast("bigint").alias("n_pii"), F.transform(done, lambda x: x["kind"]).alias("pii_kinds"))

@@ -74,6 +74,17 @@ def test_pii_is_hidden_linked_and_reversible(spark):
     assert sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
 
 
+def test_pii_finds_cards_and_ibans_beside_other_groups(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    around = ["{} 737", "{} 12/27", "{} 12/27/2025 x", "no 12 {} x", "{} 555 123 4567", "{}", "{} 5500 0000 0000 0004"]
+    texts = [a.format(card) for a in around] + ["4111-1111-1111-1111-737", "4111111111111111 737"] + [f"{iban} EUR", f"{iban} BANK OF X", f"{iban} {card}", iban]
+    got = [(r["text"], r["pii_kinds"]) for r in pii.protect(docs(spark, texts)).orderBy("doc_id").collect()]
+    for text, (new, kinds) in zip(texts, got, strict=True):
+        assert kinds and card not in new and iban not in new and "4111-1111-1111-1111" not in new and "4111111111111111" not in new
+    assert got[0][0] == got[5][0] + " 737" and got[1][0] == got[5][0] + " 12/27" and got[9][0] == got[12][0] + " EUR"
+    assert got[2][1] == ["card", "date"] and got[4][1] == ["card", "phone"] and got[6][1] == ["card", "card"] and got[11][1] == ["iban", "card"]
+
+
 def test_feistel_is_a_permutation(spark):
     v = spark.range(189 * 7).select(F.array((F.col("id") / 7).cast("int"), (F.col("id") % 7).cast("int")).alias("v"))
     new = pii.feistel(F.col("v"), F.array(F.lit(189), F.lit(7)), "k", "key")
