@@ -207,3 +207,16 @@ def g24_profile(spark, sf):
 
     f = V.view(spark, sf, "g_fix").select("event_id", "lat", F.lead("lat").over(Window.partitionBy("user_id").orderBy("event_id")).alias("lat1")).where("lat1 IS NOT NULL AND event_id % 3 = 0")
     return f.withColumn("station", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("event_id", F.round(F.col("lat") + (F.col("lat1") - F.col("lat")) * F.col("station") / 4, 6).alias("lat"), "station")
+
+
+@query(f"SELECT node, count(*) AS n FROM (SELECT DISTINCT way, node FROM {REFS}) GROUP BY node HAVING count(*) = 1")
+def r3_r13_single_nodes_all(spark, sf):
+    return refs(spark, sf).select("way", "node").distinct().groupBy("node").agg(F.count("*").alias("n")).where("n = 1")
+
+
+@query(f"SELECT event_id, round(lat0 + (lat1-lat0)*k/4, 6) AS lat, CAST(k AS INT) AS station FROM (SELECT event_id, lat AS lat0, lead(lat) OVER (PARTITION BY user_id ORDER BY event_id) AS lat1 FROM {V.sql('g_fix')}), range(5) r(k) WHERE lat1 IS NOT NULL")
+def g24_profile_all(spark, sf):
+    from pyspark.sql import Window
+
+    f = V.view(spark, sf, "g_fix").select("event_id", "lat", F.lead("lat").over(Window.partitionBy("user_id").orderBy("event_id")).alias("lat1")).where("lat1 IS NOT NULL")
+    return f.withColumn("station", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("event_id", F.round(F.col("lat") + (F.col("lat1") - F.col("lat")) * F.col("station") / 4, 6).alias("lat"), "station")

@@ -303,6 +303,19 @@ def j16_t3_boxes_near(spark, sf):
     return S.boxes_near(S.boxes(V.view(spark, sf, "g_addr").where("zip % 2 = 0"), "zip"), "zip", 45.9, -122.1)
 
 
+_BOXES = f"(SELECT zip, min(lat) AS lat0, min(lon) AS lon0, max(lat) AS lat1, max(lon) AS lon1 FROM {V.sql('g_addr')} GROUP BY zip)"
+
+
+@query(f"SELECT * FROM {_BOXES}")
+def a22_boxes_all(spark, sf):
+    return S.boxes(V.view(spark, sf, "g_addr"), "zip")
+
+
+@query(f"""WITH d AS (SELECT zip, least(greatest(45.9, lat0), lat1) AS y, least(greatest(-122.1, lon0), lon1) AS x FROM {_BOXES}) SELECT zip, round(sqrt(pow((x+122.1)*cos(radians((45.9+y)/2)),2)+pow(y-45.9,2))*111320, 6) AS metres FROM d WHERE round(sqrt(pow((x+122.1)*cos(radians((45.9+y)/2)),2)+pow(y-45.9,2))*111320, 6) <= 40000 ORDER BY metres, zip LIMIT 16""")
+def j16_t3_boxes_near_all(spark, sf):
+    return S.boxes_near(S.boxes(V.view(spark, sf, "g_addr"), "zip"), "zip", 45.9, -122.1)
+
+
 @query(f"SELECT a.id AS a, b.id AS b FROM {V.sql('g_box')} a JOIN {V.sql('g_box')} b ON a.lat0 <= b.lat1 AND b.lat0 <= a.lat1 AND a.lon0 <= b.lon1 AND b.lon0 <= a.lon1")
 def j17_j18_overlapping(spark, sf):
     b = V.view(spark, sf, "g_box")
