@@ -85,3 +85,17 @@ def interpolated(df: DataFrame, part: str, order: str, value: str, share: Column
     """df with the value a share of the way to the next row; a side without a value gives the left one."""
     following = F.lead(value).over(Window.partitionBy(part).orderBy(order))
     return df.withColumn("between", F.when(F.col(value).isNotNull() & following.isNotNull(), F.col(value) + (following - F.col(value)) * share).otherwise(F.col(value)))
+
+
+def selection_edge(t: DataFrame, side: int = 128) -> DataFrame:
+    """(prefix, texel) of all texels on one side of `side` with a neighbour across an edge on the other. A texel without a row has cov 0."""
+    inside = t.where(F.col("cov") >= side).select("prefix", "texel")
+    pairs = inside.withColumn("other", F.explode(C.texel_neighbours(F.col("texel"))))
+    across = pairs.join(inside.withColumnRenamed("texel", "other"), ["prefix", "other"], "left_anti")
+    return across.select("prefix", F.explode(F.array("texel", "other")).alias("texel")).distinct()
+
+
+def outliers(df: DataFrame, cell: list[str], value: str, floor: float, most: int = 10) -> DataFrame:
+    """The cells with most values below a floor: how many (n) and the lowest; of equals the first cells."""
+    low = df.where((F.col(value) < floor) & ~F.isnan(value)).groupBy(*cell).agg(F.count("*").alias("n"), F.min(value).alias("lowest"))
+    return low.orderBy(F.desc("n"), *cell).limit(most)

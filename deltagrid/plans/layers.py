@@ -220,3 +220,15 @@ def g24_profile_all(spark, sf):
 
     f = V.view(spark, sf, "g_fix").select("event_id", "lat", F.lead("lat").over(Window.partitionBy("user_id").orderBy("event_id")).alias("lat1")).where("lat1 IS NOT NULL")
     return f.withColumn("station", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("event_id", F.round(F.col("lat") + (F.col("lat1") - F.col("lat")) * F.col("station") / 4, 6).alias("lat"), "station")
+
+
+@query(f"""WITH i AS (SELECT prefix, texel, texel >> 9 AS y, texel >> 1 & 255 AS x, texel & 1 AS h FROM {TEXELS} WHERE cov >= 50), n AS (SELECT prefix, texel, x + CASE WHEN h = 0 THEN -dx ELSE dx END AS x, y + CASE WHEN h = 0 THEN -dy ELSE dy END AS y, 1 - h AS h FROM i, (VALUES (0, 0), (1, 0), (0, 1)) d(dx, dy)), c AS (SELECT * FROM n WHERE x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255 AND NOT EXISTS (SELECT 1 FROM i WHERE i.prefix = n.prefix AND i.x = n.x AND i.y = n.y AND i.h = n.h))
+SELECT prefix, texel FROM c UNION SELECT prefix, y * 512 + x * 2 + h FROM c""")
+def f16_v7_edges_all(spark, sf):
+    return Y.selection_edge(texels(spark, sf), 50)
+
+
+@query(f"SELECT tile, CAST(px // 4 AS INT) AS px, CAST(py // 4 AS INT) AS py, count(*) AS n, min(v) AS lowest FROM {RASTER} WHERE v < 200 GROUP BY ALL ORDER BY n DESC, tile, px, py LIMIT 10")
+def f12_outliers(spark, sf):
+    r = raster(spark).select("tile", F.floor(F.col("px") / 4).cast("int").alias("px"), F.floor(F.col("py") / 4).cast("int").alias("py"), "v")
+    return Y.outliers(r, ["tile", "px", "py"], "v", 200.0)

@@ -3,6 +3,7 @@
 import pytest
 
 from deltagrid import plans
+from deltagrid.operators import layers
 
 DIR = "/root/testdata/sf0.001"
 
@@ -11,3 +12,16 @@ DIR = "/root/testdata/sf0.001"
 def test_no_key_is_left_out(spark, name, key, step):
     keys = {r[key] % step for r in plans.QUERIES[name + "_all"](spark, DIR).select(key).collect()}
     assert len(keys) == step
+
+
+def test_edges_of_both_halves_and_towards_all_neighbours(spark):
+    index = lambda x, y, h: y * 512 + x * 2 + h
+    t = spark.createDataFrame([(7, index(5, 5, 0), 200), (7, index(5, 5, 1), 127), (7, index(0, 0, 0), 128)], "prefix bigint, texel bigint, cov bigint")
+    got = {r["texel"] for r in layers.selection_edge(t).collect()}
+    assert got == {index(5, 5, 0), index(5, 5, 1), index(5, 4, 1), index(4, 5, 1), index(0, 0, 0), index(0, 0, 1)}
+
+
+def test_outliers_lie_below_the_floor(spark):
+    df = spark.createDataFrame([(c, -501.0 - k) for c in range(12) for k in range(c)] + [(99, -500.0), (98, None), (97, float("nan"))], "cell int, v double")
+    got = [tuple(r) for r in layers.outliers(df, ["cell"], "v", -500.0).collect()]
+    assert got == [(c, c, -500.0 - c) for c in range(11, 1, -1)]
