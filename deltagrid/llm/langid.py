@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from .common import replaced, schema_with, slices
 
 WORDS = re.compile(r"[^\W\d_]+")
-SPAN, BUCKETS, LONGEST, MEMO = 64, 1 << 16, 24, 500_000
+SPAN, BUCKETS, MEMO = 64, 1 << 16, 500_000
 UNKNOWN = "und"
 
 
 def features(word: str, lexicon: frozenset[str] | set[str]) -> list[int]:
-    """Hashed features of a word; of a very long one its first LONGEST letters and its end."""
-    w = f"^{word}$" if len(word) <= LONGEST else f"^{word[:LONGEST]}{word[-4:]}$"
+    """Hashed features of a word, whatever its length."""
+    w = f"^{word}$"
     found = {"p" + w[:n] for n in (2, 3, 4)} | {"s" + w[-n:] for n in (2, 3, 4)} | {"g" + w[i : i + 3] for i in range(len(w) - 2)}
     if word in lexicon:
         found.add("w" + word)

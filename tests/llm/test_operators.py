@@ -170,6 +170,11 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(got, marg / total, atol=1e-5)
 
 
+def test_langid_reads_long_words_whole():
+    a, b = "a" * 30, "b" * 30
+    assert set(langid.features("xyz", ())) - set(langid.features(a + b, ())) and langid.features(a + "xyz" + b, ()) != langid.features(a + b, ())
+
+
 # ---- 5
 
 
