@@ -36,8 +36,8 @@ def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(flat, np.uint8), np.concatenate([[0], np.cumsum(steps)])
 
 
-def repeats(b: np.ndarray) -> np.ndarray:
-    """1 on bytes of words that equal the word before."""
+def repeats(b: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """1 on bytes of words that equal the word before them in the same text."""
     inside = ~BLANK[b]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -48,7 +48,8 @@ def repeats(b: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(inside)
     place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     h = np.add.reduceat(OF_BYTE[b[at]] * MULTIPLY[place & 63], np.cumsum(lengths) - lengths)
-    same = np.concatenate([[False], (h[1:] == h[:-1]) & (lengths[1:] == lengths[:-1])])
+    text = np.searchsorted(first * STEP, start, side="right")
+    same = np.concatenate([[False], (h[1:] == h[:-1]) & (lengths[1:] == lengths[:-1]) & (text[1:] == text[:-1])])
     out[at[np.repeat(same, lengths)]] = 1
     return out
 
@@ -59,10 +60,12 @@ def tables(p: dict) -> dict:
     return p if w is None else p | {"pairs": [(w[j][:, None] + w[j + 1][None]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)]}
 
 
-def blocks(p: dict, b: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """The largest response of each filter in each step, and where."""
+def blocks(p: dict, b: np.ndarray, first: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """The largest response of each filter in each step, and where. Windows that start in a text's padding and reach into the next text respond like those of zero bytes, with 0."""
     n, span = len(b) // STEP, 32
-    r, tail = repeats(b), np.concatenate([b, np.zeros(WIDTH + 1, np.uint8)]).astype(np.intp)
+    final = np.zeros(n, bool)
+    final[first[1:] - 1] = True
+    r, tail = repeats(b, first), np.concatenate([b, np.zeros(WIDTH + 1, np.uint8)]).astype(np.intp)
     pairs = p.get("pairs")
     index = (tail[:-1] << 8) | tail[1:] if pairs else tail
     weights, hop = (pairs, 2) if pairs else (p["bytes"], 1)
@@ -78,6 +81,7 @@ def blocks(p: dict, b: np.ndarray, places: bool = False) -> tuple[np.ndarray, np
         if r[s:e].any():
             z += r[s:e, None] * p["repeat"]
         z = z.reshape(-1, STEP, FILTERS)
+        z[final[k : k + span], STEP - WIDTH + 1 :] = 0
         if places:
             where[k : k + span] = z.argmax(1) + np.arange(s, e, STEP)[:, None]
         half = STEP
@@ -107,8 +111,9 @@ def score(p: dict, texts: list[str | bytes | None]) -> np.ndarray:
     if "constant" in p:
         return np.full(len(texts), p["constant"])
     b, first = layout([t.encode("utf8", "replace") if isinstance(t, str) else t or b"" for t in texts])
-    x, _, _ = pooled(blocks(p, b)[0] + p["bias"], first)
-    return 1 / (1 + np.exp(-np.clip(x @ p["out"] + p["out_bias"], -30, 30)))
+    x, _, _ = pooled(blocks(p, b, first)[0] + p["bias"], first)
+    # one text after the other in double precision, so that a score does not depend on the texts beside it
+    return 1 / (1 + np.exp(-np.clip((x.astype(float) * p["out"]).sum(1) + p["out_bias"], -30, 30)))
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48, rate: float = 0.01, seed: int = 3) -> dict:
@@ -125,7 +130,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48
         for at in range(0, len(order), batch):
             ids = order[at : at + batch]
             b, first = layout([data[i] for i in ids])
-            best, where = blocks(p, b, places=True)
+            best, where = blocks(p, b, first, places=True)
             x, chunk, take = pooled(best + p["bias"], first)
             q = 1 / (1 + np.exp(-np.clip(x @ p["out"] + p["out_bias"], -30, 30)))
             dz = ((q - y[ids]) / len(ids)).astype(np.float32)
@@ -137,7 +142,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 48
             d *= chunk > 0
             g = {"out": x.T @ dz + 1e-4 * p["out"], "out_bias": dz.sum(keepdims=True), "bias": d.sum(0), "bytes": np.zeros_like(p["bytes"])}
             spot = np.take_along_axis(where, take, 0)
-            tail, r, f = np.concatenate([b, np.zeros(WIDTH, np.uint8)]), repeats(b), np.broadcast_to(np.arange(FILTERS), spot.shape)
+            tail, r, f = np.concatenate([b, np.zeros(WIDTH, np.uint8)]), repeats(b, first), np.broadcast_to(np.arange(FILTERS), spot.shape)
             for j in range(WIDTH):
                 np.add.at(g["bytes"][j], (tail[spot + j], f), d)
             g["bytes"][:, 0] = 0
