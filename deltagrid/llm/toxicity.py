@@ -46,18 +46,32 @@ _CODE[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _CODE[[*range(0xDF, 0xF7), *range(0xF8, 0x100)]] = 27
 
 
+#: Doubled letters, and whether two of them stand too near each other to be read one by one.
+DOUBLED, NEAR = re.compile(r"([^\W\d_])\1+"), re.compile(r"([^\W\d_])\1+[^\W\d_]{0,2}([^\W\d_])\2")
+
+
 def code(c: str) -> int:
+    """1 to 26 for a to z, 27 for any other letter, 0 for what bounds words."""
     n = ord(c)
     return int(_CODE[n]) if n < 256 else 27 * c.isalpha()
 
 
+def codes(text: str) -> np.ndarray:
+    """The code of every character."""
+    try:
+        return _CODE[np.frombuffer(text.encode("latin-1"), np.uint8)]
+    except UnicodeEncodeError:
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        kinds, which = np.unique(points, return_inverse=True)
+        return np.array([code(chr(k)) for k in kinds], np.int64)[which]
+
+
 def grams(texts: Iterator[str | None]) -> np.ndarray:
     """How often each run of ORDER letters occurs; anything else is a boundary."""
     total = np.zeros(LETTERS**ORDER, np.int64)
     for t in texts:
         if t:
-            c = _CODE[np.frombuffer(t.lower().encode("latin-1", "replace"), np.uint8)]
-            c = np.concatenate([np.zeros(ORDER - 1, np.int64), c, np.zeros(1, np.int64)])
+            c = np.concatenate([np.zeros(ORDER - 1, np.int64), codes(t.lower()), np.zeros(1, np.int64)])
             at = c[: len(c) - ORDER + 1].copy()
             for k in range(1, ORDER):
                 at = at * LETTERS + c[k : len(c) - ORDER + 1 + k]
@@ -96,8 +110,36 @@ class Channel:
             p = (level + 5 * p) / (level.sum(-1, keepdims=True) + 5)
         self.cost = (-np.log(p)).reshape(-1).astype(np.float32).tolist()
 
+    def doubled(self, token: str) -> str:
+        """`restore` for letters alone whose doubled ones have three others between them: after three letters all paths have joined, so each is decided for itself."""
+        out, at = [], 0
+        for m in DOUBLED.finditer(token):
+            i, j, c = m.start(), m.end(), m[1]
+            k = 0
+            for x in token[max(0, i - ORDER + 1) : i]:
+                k = k * LETTERS + code(x)
+            after = [code(x) for x in token[j : j + ORDER - 1]]
+            if len(after) < ORDER - 1:
+                after.append(0)
+            price, x = [RUN, RUN if j - i > 2 else 0.0], code(c)
+            for copies in (1, 2):
+                key = k
+                for y in [x] * copies + after:
+                    key = key * LETTERS + y
+                    price[copies - 1] += self.cost[key]
+                    key %= CONTEXTS
+            out.append(token[at:i] + (c if price[0] <= price[1] else c + c))
+            at = j
+        return "".join(out) + token[at:]
+
     def restore(self, token: str) -> str:
         """The likeliest words behind a disguised token, with blanks between them."""
+        if token.isalpha() and not NEAR.search(token):
+            return self.doubled(token)
+        return self.path(token)
+
+    def path(self, token: str) -> str:
+        """The Viterbi path through the token's lattice."""
         s, n = token, len(token)
         # by position and last letters: the cost and the way back; a way all others have joined is written out
         states, done = {0: {0: (0.0, None)}}, []
@@ -156,14 +198,19 @@ class Reader:
 
     def __init__(self, channel: Channel, known: dict[str, int] | None = None):
         self.channel, self.known, self.memo = channel, known, {}
+        #: No feature of a word is known unless its first letters begin a known one.
+        self.heads = None if known is None else {f[: PREFIXES[0]] for f in known}
 
     def of(self, token: str) -> tuple:
         got = self.memo.get(token)
         if got is None:
-            found = set().union(*map(features, PLAIN.findall(token)), set())
+            words = PLAIN.findall(token)
             for core in cores(token):
-                found |= set().union(*map(features, self.channel.restore(core).split()), set())
-            got = tuple(sorted(found)) if self.known is None else tuple(sorted({self.known[f] for f in found if f in self.known}))
+                words += self.channel.restore(core).split()
+            if self.heads is None:
+                got = tuple(sorted(set().union(*map(features, words), set())))
+            else:
+                got = tuple(sorted({self.known[f] for w in words if w[: PREFIXES[0]] in self.heads for f in features(w) if f in self.known}))
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[token] = got
