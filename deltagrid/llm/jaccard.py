@@ -1,22 +1,29 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap by a threshold, and the components they form.
 
-1. Every text becomes a sorted array of 64-bit shingle hashes. Texts with equal sets form a class; from here on only one
-   row of a class counts, so copies, however many, cost one row each.
-2. The KEYS least hashes of a set are its keys. Of the first KEYS hashes of two sets' union each lies in both sets with
-   probability J, independent of the data; if one does, it is a key of both. At J = 0.75 sets without a common key have
-   a probability of 0.25 ** 20 < 1e-12, like an equality of 64-bit hashes.
+1. Every text becomes a sorted array of 64-bit shingle hashes. Texts with equal sets (by a 128-bit digest) form a class,
+   named by 64 bits of it; from here on only one row of a class counts, so copies, however many, cost one row each.
+2. The least hashes of a set are its keys. Of the first K hashes of two sets' union each lies in both sets with
+   probability J, independent of the data; if one does, it is a key of both. K is such that sets at the threshold have no
+   common key with a probability below 1e-12, like an equality of 64-bit hashes: 20 keys at 75 %. With exact=True the keys
+   are the prefix of n - ceil(J * n) + 1 hashes instead, of which two linked sets always share one.
 3. Links that are easy to find come first, so that large families cost no pairs: in each round every class is held
-   against one leader, the class that leads most of its keys, and joined to it if the exact overlap says so.
-4. The classes of one key make a tile, in order of size. Within it a class meets only the band of sizes up to
-   1 / threshold times its own, and only classes of other components. Each carries a parity bitmap of its hashes;
-   the bits in which two bitmaps differ bound the overlap from above. Tiles over BLOCK rows are cut into blocks, and each
-   pair of blocks is a tile of its own, so a key of any frequency spreads over tasks.
+   against one leader, the class that leads most of its keys, and joined to it if the exact overlap says so. A key is led by
+   the class whose keys are the commonest, which in a family of edited copies is what they were copied from; in later
+   rounds by a random one. Keys of which one component is left drop out; rounds end when they find few links more.
+4. A tile holds the classes of one key and one band of sizes, and as guests those of the next band: linked sets differ in
+   size by 1 / threshold at most, which is a band's width. Each class carries a parity bitmap of its hashes; the bits in
+   which two bitmaps differ bound the overlap from above. Tiles over BLOCK rows or BLOCK_BYTES are cut into blocks, and each
+   pair of blocks is a tile of its own, so a key of any frequency spreads over tasks. Only tiles with several components
+   are looked at, and in them only pairs of different components.
 5. Pairs within the bound are decided by intersecting the sorted arrays. Components follow by label propagation with
    pointer jumping over tables in the shared folder.
 
-Nulls, empty texts and texts without words have an empty set, size 0 and are their own component. Rows with one id but different texts count
-as one document, linked by one of them (the greatest set in byte order); a null id has component null unless an equal text has an id. Repeated rows
-keep their number. Texts of any length are read whole. An empty table gives an empty table. Only id and text are read.
+Because pairs that are connected already are not looked at, the result has components, not the number of links.
+
+Nulls, empty texts and texts without words have an empty set, size 0 and are their own component. Rows are documents: rows
+with one id but different texts each link by their own text; a null id is no name, so a component is named by the least
+id that is not null (null if there is none). Repeated rows keep their number. Texts of any length are read whole. An empty
+table gives an empty table. Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,13 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, cut_by, forget, forget_buckets, fresh, others, row_key, slices
 
-WORDS, KEYS, ROUNDS, VOTES, BLOCK = 5, 20, 2, 5, 8192
+WORDS, ROUNDS, VOTES, BLOCK, BLOCK_BYTES = 5, 6, 5, 4096, 32 << 20
 PAIR_BYTES = 16 << 20
+#: Rows that a task looks at together, tiles being whole.
+HELD = 32_768
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -81,62 +91,101 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, digest, keys, bits) of every row."""
+def keys_of(s: np.ndarray, percent: int, exact: bool) -> np.ndarray:
+    """The hashes of a set by which it is looked up."""
+    n = len(s)
+    if exact:
+        return s[: n - -(-percent * n // 100) + 1]
+    return s[: 1 if percent >= 100 else math.ceil(12 / -math.log10(1 - percent / 100))]
+
+
+def digest_of(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def node_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def signatures(docs: DataFrame, key: str, text: str, percent: int, exact: bool, row: str | None) -> DataFrame:
+    """(id, row, n, digest, node, keys, bits) of every row; row: a column that goes along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
                 sets = [shingles(t) for t in part.column("t").to_pylist()]
+                digests = [digest_of(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
+                        part.column("row"),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                        pa.array([s[:KEYS].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        pa.array(digests, pa.binary()),
+                        pa.array([node_of(d) for d in digests], pa.int64()),
+                        pa.array([keys_of(s, percent, exact).view(np.int64) for s in sets], pa.list_(pa.int64())),
                         pa.array([bitmap(s) for s in sets], pa.binary()),
                     ],
-                    names=["id", "n", "digest", "keys", "bits"],
+                    names=["id", "row", "n", "digest", "node", "keys", "bits"],
                 )
 
-    return docs.select(_id(docs, key), F.col(text).alias("t")).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, n bigint, digest binary, keys array<bigint>, bits binary")
+    held = docs.select(_id(docs, key), (F.col(row) if row else F.lit(None).cast("binary")).alias("row"), F.col(text).alias("t"))
+    return held.mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, row binary, n bigint, digest binary, node bigint, keys array<bigint>, bits binary")
 
 
 def _id(docs: DataFrame, key: str) -> Column:
     return F.col(key).alias("id")
 
 
-def set_table(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
-    """(id, members) of the documents in ids."""
+def set_table(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(node, members) of the classes in wanted (node, class_id). Rows of one id are together here, so a task leaves out what it has had; what it lets through twice does no harm (`linked` then finds a pair twice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "t"):
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(t).tobytes() for t in part.column("t").to_pylist()], pa.binary())], names=["id", "members"])
-
-    found = docs.select(_id(docs, key), F.col(text).alias("t")).join(ids, "id", "left_semi")
-    return found.mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, members binary")
-
-
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact overlap is percent or more."""
+                nodes, members = [], []
+                for t in part.column("t").to_pylist():
+                    s = shingles(t)
+                    if (node := node_of(digest_of(s))) not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        members.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(members, pa.binary())], names=["node", "members"])
+
+    held = docs.select(_id(docs, key), F.col(text).alias("t"))
+    named = held.join(wanted.where("class_id IS NOT NULL").select(F.col("class_id").alias("id")).distinct(), "id", "left_semi").select("t").mapInArrow(run, "node bigint, members binary")
+    # texts without an id cannot be looked up by it
+    nameless = held.where("id IS NULL").select("t").mapInArrow(run, "node bigint, members binary").join(wanted.where("class_id IS NULL").select("node"), "node", "left_semi")
+    return named.union(nameless)
+
+
+def linked(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of stars (hub, spoke) whose exact overlap is percent or more. A hub's set goes once to each BLOCK of its spokes, however many it has."""
+    blocks = cut(stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "hubs")
+    dealt = stars.join(blocks, "hub").select("hub", "spoke", F.pmod(F.xxhash64("spoke"), F.col("blocks")).cast("int").alias("block"))
+    spokes = dealt.join(sets, F.col("spoke") == F.col("node")).select("hub", "block", "spoke", "members")
+    hubs = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sets, F.col("hub") == F.col("node")).select("hub", "block", F.lit(None).cast("bigint").alias("spoke"), "members")
+    rows = hubs.union(spokes).repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("spoke").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.empty(0, np.uint64)
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            good, spoke = [], batch.column("spoke")
+            for k, members in enumerate(batch.column("members")):
+                y = np.frombuffer(members.as_py(), np.uint64)
+                if not spoke[k].is_valid:
+                    x = y
+                    continue
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 n = int((both[1:] == both[:-1]).sum())
-                good.append(100 * n >= percent * (len(x) + len(y) - n) and n > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+                if 100 * n >= percent * (len(x) + len(y) - n) and n > 0:
+                    good.append(k)
+            found = batch.take(pa.array(good, pa.int64()))
+            a, b = found.column("hub"), found.column("spoke")
+            yield pa.RecordBatch.from_arrays([pc.min_element_wise(a, b), pc.max_element_wise(a, b)], names=["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    # every set that is needed is looked up once, whichever end it stands at
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(sets, "id")
-    both = ends.groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("members"))).alias("x"), F.max(F.when(F.col("id") == F.col("b"), F.col("members"))).alias("y"))
-    return both.where("x IS NOT NULL AND y IS NOT NULL").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def _matrix(bits: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
@@ -167,10 +216,10 @@ def _differ(i: np.ndarray, j: np.ndarray, lengths: np.ndarray, place: np.ndarray
     return out
 
 
-def tile_pairs(key: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, block: np.ndarray, mixed_tile: np.ndarray, bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (indices) of one tile, of different components, whose overlap may reach percent. key: the tile of each row; mixed_tile: its tile is of two blocks, so only rows of different blocks meet."""
+def tile_pairs(key: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, block: np.ndarray, mixed_tile: np.ndarray, guest: np.ndarray, bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (indices) of one tile, of different components, whose overlap may reach percent. key: the tile of each row; mixed_tile: its tile is of two blocks, so only rows of different blocks meet; guest: of the next band, whose own tile has the pairs of two such."""
     order = np.lexsort((ids, n, key))
-    k, c, s, b, two = key[order], comp[order], n[order], block[order], mixed_tile[order]
+    k, c, s, b, two, g = key[order], comp[order], n[order], block[order], mixed_tile[order], guest[order]
     lengths, place, rows = _matrix([bits[i] for i in order])
     last = np.append(np.flatnonzero(k[1:] != k[:-1]), len(k) - 1)
     end = last[np.searchsorted(last, np.arange(len(k)))]
@@ -181,7 +230,7 @@ def tile_pairs(key: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray
         live = live[100 * s[live] >= percent * s[live + d]]  # sizes only grow: beyond its band a row is done
         if not len(live):
             break
-        i = live[(c[live] != c[live + d]) & (~two[live] | (b[live] != b[live + d]))]
+        i = live[(c[live] != c[live + d]) & (~two[live] | (b[live] != b[live + d])) & ~(g[live] & g[live + d])]
         if len(i):
             j = i + d
             common = (s[i] + s[j] - _differ(i, j, lengths, place, rows)) // 2
@@ -191,70 +240,135 @@ def tile_pairs(key: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.empty(0, np.int64),) * 2
 
 
-def candidates(classes: DataFrame, keyed: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of classes in different components that share a key and whose bitmaps allow the overlap."""
-    kind = classes.schema["id"].dataType.simpleString()
-    rows = keyed.join(comps, "id")
-    mixed_keys = rows.groupBy("k").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_c")).where("_lo <> _hi").select("k", F.ceil(F.col("_c") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed_keys, "k").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "comp", "k", "block", F.least("block", "_o").alias("p"), F.greatest("block", "_o").alias("q"))
-    tiles = rows.join(classes.select("id", "n", "bits"), "id").withColumn("tile", F.xxhash64("k", "p", "q")).repartition("tile")
+def candidates(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of classes in different components that share a key and whose bitmaps allow the overlap. rows: (node, k, comp) of keys with several components."""
+    width = max(math.log(100 / percent), 0.01) * (1 + 1e-9)
+    rows = rows.select("node", "k", "comp").join(classes.select("node", "n"), "node").withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    rows = cut(rows, "banded-rows")
+    # aggregates are written before they are joined, so that a common key's rows can be dealt to several tasks
+    held = rows.withColumn("b", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("guest", F.col("b") != F.col("band"))
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_BYTES))
+    tiles = held.groupBy("k", "b").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("guest").alias("_g"), size.cast("int").alias("blocks")).where("_lo <> _hi AND NOT _g").select("k", "b", "blocks")
+    tiles = cut(tiles, "tiles")
+    held = held.join(tiles, ["k", "b"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = held.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "comp", "n", "guest", "k", "b", "block", F.least("block", "_o").alias("p"), F.greatest("block", "_o").alias("q"))
+    held = held.withColumn("tile", F.xxhash64("k", "b", "p", "q")).withColumn("two", F.col("p") != F.col("q")).select("node", "comp", "n", "guest", "block", "tile", "two", "k")
+    held = held.join(classes.select("node", "bits", "keys"), "node").repartition("tile").sortWithinPartitions("tile")
+
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = rows["node"].to_numpy()
+        i, j = tile_pairs(*(rows[c].to_numpy() for c in ("tile", "node", "comp", "n", "block", "two", "guest")), rows["bits"].to_pylist(), percent)
+        if len(i):
+            # a pair is given by the tile of its first common key alone
+            keys = rows["keys"].to_pylist()
+            first = np.array([next(x for x in keys[p] if x in own) for p, own in zip(i, (set(keys[q]) for q in j), strict=True)])
+            mine = first == rows["k"].to_numpy()[i]
+            i, j = i[mine], j[mine]
+        if len(i):
+            pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
+            for at in range(0, pairs.shape[1], 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[:, at : at + 50_000]], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if whole is None or not whole.num_rows:
-            return
-        ids = whole["id"].to_numpy()
-        p, q = whole["p"].to_numpy(), whole["q"].to_numpy()
-        i, j = tile_pairs(whole["tile"].to_numpy(), ids, whole["comp"].to_numpy(), whole["n"].to_numpy(), whole["block"].to_numpy(), p != q, whole["bits"].to_pylist(), percent)
-        found = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1) if len(i) else np.empty((2, 0), ids.dtype)
-        for at in range(0, found.shape[1], 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[:, at : at + 50_000]], names=["a", "b"])
-
-    return tiles.mapInArrow(run, f"a {kind}, b {kind}").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): for every node of edges (a, b) the least node that it reaches, by propagating least labels with pointer jumping until nothing changes."""
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            n += batch.num_rows
+            if n < HELD:
+                continue
+            whole = pa.Table.from_batches(waiting)
+            last = int(np.searchsorted(whole["tile"].to_numpy(), whole["tile"][-1].as_py()))  # the last tile may go on
+            if last:
+                yield from found(whole.slice(0, last))
+            waiting = pa.Table.from_batches(waiting).slice(last).combine_chunks().to_batches()
+            n = sum(b.num_rows for b in waiting)
+        if waiting:
+            yield from found(pa.Table.from_batches(waiting))
+
+    pairs = cut(held.mapInArrow(run, "a bigint, b bigint").distinct(), "pairs")  # blocks of one tile may repeat none, hashes of tiles may
+    forget(rows, tiles)
+    return pairs
+
+
+def components(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, least): for every node of edges (a, b) the least name that it reaches, by propagating least names with pointer jumping until nothing changes. names: (node, name), a struct that ends in the node."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    labels = cut(both.select(F.col("a").alias("node")).distinct().join(names, "node").select("node", F.col("name").alias("least")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("_near"))
-        new = labels.join(near, "id").select("id", F.col("comp").alias("_was"), F.least("comp", "_near").alias("_now"))
-        jump = labels.select(F.col("id").alias("_now"), F.col("comp").alias("_far"))
-        new = cut(new.join(jump, "_now", "left").select("id", "_was", F.least("_now", F.coalesce("_far", "_now")).alias("comp")), "labels")
-        labels = new.select("id", "comp")
-        if new.where("_was <> comp").isEmpty():
+        near = both.join(labels.select(F.col("node").alias("b"), "least"), "b").groupBy(F.col("a").alias("node")).agg(F.min("least").alias("_near"))
+        new = labels.join(near, "node").select("node", F.col("least").alias("_was"), F.least("least", "_near").alias("_now"))
+        jump = labels.select(F.col("node").alias("_to"), F.col("least").alias("_far"))
+        new = cut(new.join(jump, F.col("_now.node") == F.col("_to"), "left").select("node", "_was", F.least("_now", F.coalesce("_far", "_now")).alias("least")), "labels")
+        forget(labels)
+        labels = new.select("node", "least")
+        if new.where("_was.node <> least.node").isEmpty():
+            forget(both)
             return labels
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """(key, n_shingles, class_id, component_id) of every row."""
-    signed = cut(signatures(docs, key, text), "signatures")
-    of_class = cut(signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
-    classes = cut(signed.join(of_class, (F.col("id") == F.col("class_id")) & (signed["digest"] == of_class["digest"])).select("id", "n", "keys", "bits").dropDuplicates(["id", "n", "keys"]), "class-rows")
-    keyed = cut(classes.select("id", F.explode("keys").alias("k")), "keys")
-    shared = keyed.join(keyed.groupBy("k").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a <> _b").select("k"), "k", "left_semi")
-    keyed = cut(shared, "shared-keys")
-    sets = cut(set_table(docs, key, text, keyed.select("id").distinct()), "sets")
-    comps, edges = keyed.select("id").distinct().withColumn("comp", F.col("id")), []
+def _round(rows: DataFrame, sets: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Links of classes to leaders, and what is left of rows (node, k, weight, comp): keys with several components, each named by its least."""
+    order = F.xxhash64(F.lit(k), "node") if k else -F.col("weight")
+    several = (F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+    leader = cut(rows.groupBy("k").agg(F.min(F.struct(order, "node", "comp")).alias("_l"), *several).where("_lo <> _hi").select("k", F.col("_l.node").alias("lead"), F.col("_l.comp").alias("_lc")), "leaders")
+    votes = rows.join(leader, "k").where("comp <> _lc").groupBy("node", "comp", "lead", "_lc").count().where(F.col("count") >= VOTES)
+    best = votes.groupBy("node", "comp").agg(F.min(F.struct(-F.col("count"), "lead", "_lc")).alias("_v"))
+    best = best.select(F.col("_v.lead").alias("hub"), F.col("node").alias("spoke"), F.least("comp", "_v._lc").alias("_to"), F.greatest("comp", "_v._lc").alias("comp"))
+    best = cut(best, "best")
+    found = cut(linked(best.select("hub", "spoke"), sets, percent).distinct(), "links")
+    # a component takes the least component that one of its links leads to; the rest is left to components()
+    ends = best.select(F.least("hub", "spoke").alias("a"), F.greatest("hub", "spoke").alias("b"), "_to", "comp")
+    to = cut(found.join(ends, ["a", "b"]).groupBy("comp").agg(F.min("_to").alias("_to")), "moves")
+    held = cut(rows.join(to, "comp", "left").select("node", "k", "weight", F.coalesce("_to", "comp").alias("comp")), "held-keys")
+    mixed_keys = cut(held.groupBy("k").agg(*several).where("_lo <> _hi").select("k"), "mixed-keys")
+    left = cut(held.join(mixed_keys, "k", "left_semi"), "mixed-rows")
+    forget(leader, best, to, held, mixed_keys)
+    return left, found
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, exact: bool = False, row: str | None = None) -> DataFrame:
+    """(key, n_shingles, class_id, component_id) of every row. With row, a binary column that names rows, also (row, component): the latter tells components apart where ids do not, and is null for empty sets."""
+    signed = cut(signatures(docs, key, text, percent, exact, row), "signatures")
+    classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("class_id"), F.first(F.struct("node", "n", "keys", "bits")).alias("_s")).select("digest", "class_id", "_s.*")
+    classes = cut(classes, "classes")
+    rows = cut(signed.select("id", "row", "n", "digest"), "rows")
+    keyed = cut(classes.select("node", F.explode("keys").alias("k")), "keys")
+    often = cut(keyed.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "common-keys")
+    weight = F.sum("c").over(Window.partitionBy("node"))  # the rows of a class are its keys
+    shared = cut(keyed.join(often, "k").select("node", "k", weight.alias("weight")), "shared-keys")
+    forget(signed, keyed, often)
+    wanted = cut(shared.select("node").distinct(), "wanted")
+    sets = cut_by(set_table(docs, key, text, classes.select("node", "class_id").join(wanted, "node", "left_semi")), "node", "sets")
+    few, held, edges = wanted.count() / 100, shared.withColumn("comp", F.col("node")), []
     for k in range(ROUNDS):
-        order = F.struct(F.xxhash64(F.lit(k), "id") if k else F.lit(0), "id", "comp")
-        leader = keyed.join(comps, "id").groupBy("k").agg(F.min(order).alias("_l")).select("k", F.col("_l.id").alias("lead"), F.col("_l.comp").alias("_lc"))
-        votes = keyed.join(comps, "id").join(leader, "k").where("comp <> _lc").groupBy("id", "lead").count().where(F.col("count") >= VOTES)
-        best = votes.groupBy("id").agg(F.min(F.struct(-F.col("count"), "lead")).alias("_v")).select(F.least("id", "_v.lead").alias("a"), F.greatest("id", "_v.lead").alias("b"), F.col("id"))
-        found = cut(linked(best.select("a", "b").distinct(), sets, percent), "links")
+        held, found = _round(held, sets, percent, k)
         edges.append(found)
-        # a component takes the least component that one of its links leads to; the rest is left to components()
-        ends = found.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("_ca")), "a").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("_cb")), "b")
-        to = ends.select(F.greatest("_ca", "_cb").alias("comp"), F.least("_ca", "_cb").alias("_to")).groupBy("comp").agg(F.min("_to").alias("_to"))
-        comps = cut(comps.join(to, "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp")), "comps")
-    pairs = cut(candidates(classes, keyed, comps, percent), "pairs")
-    edges.append(linked(pairs, sets, percent))
+        if found.count() <= few:
+            break
+    forget(shared, wanted)
+    pairs = candidates(classes, held, percent)
+    edges.append(cut(linked(pairs.select(F.col("a").alias("hub"), F.col("b").alias("spoke")), sets, percent).distinct(), "links"))
     everything = edges[0]
     for e in edges[1:]:
         everything = everything.union(e)
-    found = components(everything)
-    label = of_class.join(found.select(F.col("id").alias("class_id"), "comp"), "class_id", "left").select("digest", "class_id", F.coalesce("comp", "class_id").alias("component_id"))
-    out = signed.select("id", "n", "digest").join(label, "digest", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
+    name = F.struct(F.col("class_id").isNull().alias("none"), "class_id", "node")
+    found = components(everything, classes.select("node", name.alias("name")))
+    forget(held, pairs, *edges)
+    forget_buckets(sets)
+    label = classes.select("digest", "class_id", "node").join(found.select("node", F.col("least.class_id").alias("_c"), F.col("least.node").alias("_n")), "node", "left")
+    label = label.select("digest", "class_id", F.when(F.col("_n").isNotNull(), F.col("_c")).otherwise(F.col("class_id")).alias("component_id"), F.coalesce("_n", "node").alias("component"), F.lit(True).alias("_in"))
+    out = rows.join(label, "digest", "left")
+    own = lambda c: F.when(F.col("_in"), F.col(c)).otherwise(F.col("id")).alias(c)
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own("class_id"), own("component_id"), *(["row", "component"] if row else []))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """docs with one row of each component: the one with the least id that is not null, of several such rows any fixed one. Rows without words stay, as they are linked with nothing."""
+    (name,) = fresh(docs, "_row")
+    keyed = docs.select("*", row_key(docs, text).alias(name))
+    words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    found = join(keyed.where(words), key, text, percent, row=name)
+    least = F.min(F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("id"), "row"))
+    stays = cut(found.groupBy("component").agg(least.alias("least")).select(F.col("least.row").alias(name)), "stays")
+    one = keyed.where(words).dropDuplicates([name]).join(stays, name, "left_semi")
+    return one.select(*others(one, name)).union(docs.where(~words))
