@@ -5,10 +5,12 @@ removed. Copies of a text are one class: if it has two members, its whole text g
 
 1. Candidates, without loss: a window of `length` bytes is named by the least hash of its SEED-byte pieces. Neighbouring
    windows of one name form a passage; equal windows have equal names. Names that occur once cannot hold a repeat.
-2. The passages of a name go to one task (those of a name with over HOT passages window by window, dealt by content).
-   A task handles whole names in chunks. The distinct passages of a chunk are dealt to SHARDS shards; the suffixes of a
-   shard are sorted once, which gives its BWT over symbols of UNIT bytes (each passage counts as UNIT strings, one for
-   each phase, so that all suffixes are there).
+2. The passages of a name go to one task, if the name has up to HOT of them (long ones counting by their length). Those of
+   commoner names are reduced first: equal passages to one with their number, then their windows, by content, to one with
+   its number; so a passage in any number of texts costs a task one row, and what has been found goes back to the places
+   by a join. A task handles whole names, or windows, in chunks. The distinct passages of a chunk are dealt to SHARDS
+   shards; the suffixes of a shard are sorted once, which gives its BWT over symbols of UNIT bytes (each passage counts as
+   UNIT strings, one for each phase, so that all suffixes are there).
 3. The shards' BWTs are merged by interleave refinement: a vector says which shard each row of the merged BWT comes from.
    One pass reads the BWTs in that order and deals the rows stably by symbol, which makes the order right by one more
    symbol; rows that no symbol has told apart yet form blocks, so the passes also yield the common prefixes. After
@@ -25,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, forget, slices
 
-SEED, UNIT, SHARDS, HOT = 64, 8, 2, 100_000
+SEED, UNIT, SHARDS, HOT = 64, 8, 2, 1000
 #: Suffixes in a chunk: symbol ranks then fit 16 bits. A larger group of passages is a chunk of its own, with 32 bits.
 CHUNK = 60_000
 _B = 0x9E3779B97F4A7C15
@@ -66,7 +68,7 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 
 
 def passages(b: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names, starts of the passages (each up to the next), and the names whose piece occurs twice in the text."""
+    """Names, starts of the passages (each up to the next), and names to be counted once more: those whose piece occurs twice in the text, and those of long passages, once for each usual length."""
     if len(b) < length:
         return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
     h = piece_hashes(b, SEED)
@@ -76,6 +78,9 @@ def passages(b: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     order = np.sort(h)
     twice = order[1:][order[1:] == order[:-1]]
     own = np.unique(names[np.isin(names, twice)]) if len(twice) else np.empty(0, np.uint64)
+    more = (np.diff(start, append=len(least)) - 1) // (length - SEED + 1)
+    if more.any():
+        own = np.concatenate([own, np.repeat(names, more)])
     return names.view(np.int64), start.astype(np.int32), own.view(np.int64)
 
 
@@ -218,6 +223,10 @@ def _kernel(length: int):
     return run
 
 
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def _named(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,50 +243,90 @@ def _named(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, digest, start, piece) of the passages in wanted (id, digest, cuts)."""
+    """(hot, key, digest, start, piece) of the passages in wanted (id, digest, cuts), each once: equal rows are together, so a task leaves out what it has had."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
+        seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "t", 1 << 20):
                 rows = []
                 for t, digest, cuts in zip(*(part.column(c).to_pylist() for c in ("t", "digest", "cuts")), strict=True):
+                    if digest in seen:
+                        continue
+                    seen.add(digest)
                     b = (t or "").encode("utf8", "replace")
-                    if hashlib.sha256(b).digest() != digest:
-                        continue  # another text with the same id
-                    for x in cuts:
-                        name, s, e = x["name"], x["start"], x["stop"]
-                        if not x["hot"]:
-                            rows.append((name, digest, s, b[s : e - 1 + length]))
-                        else:
-                            for k in range(s, e):
-                                piece = b[k : k + length]
-                                rows.append((xxhash.xxh3_64_intdigest(piece, name & 0xFFFFFFFF) - (1 << 63), digest, k, piece))
+                    rows += [(x["hot"], x["name"], digest, x["start"], b[x["start"] : x["stop"] - 1 + length]) for x in cuts]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["key", "digest", "start", "piece"])
+                    yield _batch(rows, (pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.binary()), ("hot", "key", "digest", "start", "piece"))
+
+    held = docs.withColumn("_s", _sha(F.col("t")))
+    found = held.join(wanted.withColumnRenamed("id", "_id"), (F.col("_s") == F.col("digest")) & F.col("id").eqNullSafe(F.col("_id")))
+    return found.select("t", "digest", "cuts").mapInArrow(run, "hot boolean, key bigint, digest binary, start int, piece binary")
+
+
+def _batch(rows: list[tuple], kinds: tuple, names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+
+
+def _hot_ranges(pieces: DataFrame, length: int) -> DataFrame:
+    """(digest, s, e) for passages (digest, start, piece) of common names: equal ones are one, and so are equal windows of those."""
+    pieces = pieces.withColumn("h", F.unhex(F.md5("piece")))
+    distinct = cut(pieces.groupBy("h").agg(F.count("*").alias("n"), F.first("piece").alias("piece")), "distinct")
 
-    return docs.join(wanted.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).select("t", "digest", "cuts").mapInArrow(run, "key bigint, digest binary, start int, piece binary")
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "piece", 1 << 15):
+                rows = []
+                for h, n, b in zip(*(part.column(c).to_pylist() for c in ("h", "n", "piece")), strict=True):
+                    for k in range(len(b) - length + 1):
+                        w = b[k : k + length]
+                        rows.append((h, k, n, hashlib.md5(w, usedforsecurity=False).digest(), w))
+                yield _batch(rows, (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), ("h", "k", "n", "w", "window"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, CHUNK // (length + UNIT))
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                found = repeated_windows(part.column("window").to_pylist(), part.column("n").to_numpy(), length)
+                yield pa.RecordBatch.from_arrays([part.column("w").filter(pa.array([len(f) > 0 for f in found]))], names=["w"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(h, int(s), int(e)) for h, ks in zip(*(batch.column(c).to_pylist() for c in ("h", "ks")), strict=True) for s, e in zip(*spans(np.array(sorted(ks)), length), strict=True)]
+            if rows:
+                yield _batch(rows, (pa.binary(), pa.int32(), pa.int32()), ("h", "s", "e"))
+
+    every = distinct.mapInArrow(windows, "h binary, k int, n bigint, w binary, window binary")
+    repeated = cut(every.groupBy("w").agg(F.sum("n").alias("n"), F.first("window").alias("window")).mapInArrow(decide, "w binary"), "repeated")
+    found = every.select("h", "k", "w").join(repeated, "w").groupBy("h").agg(F.collect_list("k").alias("ks")).mapInArrow(joined, "h binary, s int, e int")
+    return pieces.select("h", "digest", "start").join(found, "h").select("digest", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
 
 
 def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200) -> tuple[DataFrame, DataFrame]:
     """(rows, ranges). rows: (id, digest, n bytes, copies of the text) of every row; ranges: (digest, id of one row, ranges array<struct<s, e>>) of texts without copies that hold a repeat."""
     held = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     named = cut(_named(held, length), "passages")
-    classes = named.groupBy("digest").agg(F.min("id").alias("_one"), F.count("*").alias("copies"))
-    rows = named.select("id", "digest", "n").join(classes.select("digest", "copies"), "digest")
-    one = named.where("size(names) > 0").join(classes.select(F.col("digest").alias("_d"), "_one", "copies"), (F.col("digest") == F.col("_d")) & F.col("id").eqNullSafe(F.col("_one")))
-    one = cut(one.select("id", "digest", "n", "names", "starts", "own", "copies").dropDuplicates(["digest"]), "texts")
+    slim = cut(named.select("id", "digest", "n"), "rows")
+    one = named.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first(F.struct("n", "names", "starts", "own")).alias("_f")).select("digest", "id", "copies", "_f.*")
+    one = cut(one, "texts")
+    forget(named)
+    rows = slim.join(one.select("digest", "copies"), "digest")
+    one = one.where("size(names) > 0")
     shared = one.select(F.explode("names").alias("name")).union(one.select(F.explode("own"))).groupBy("name").count().where("count > 1")
-    shared = shared.select("name", (F.col("count") > HOT).alias("hot"))
-    places = one.select("id", "digest", "copies", F.explode(F.arrays_zip(F.col("names").alias("name"), F.col("starts").alias("start"), F.concat(F.slice("starts", F.lit(2), F.greatest(F.size("starts") - 1, F.lit(0))), F.array((F.col("n") - length + 1).cast("int"))).alias("stop"))).alias("c"))
-    places = places.select("id", "digest", "copies", "c.name", "c.start", "c.stop").join(shared, "name")
-    wanted = places.groupBy("id", "digest").agg(F.collect_list(F.struct("name", "start", "stop", "hot")).alias("cuts"))
-    pieces = _pieces(held, wanted, length).repartition("key").sortWithinPartitions("key")
-    found = pieces.mapInArrow(_kernel(length), "digest binary, s int, e int")
+    shared = cut(shared.select("name", (F.col("count") > HOT).alias("hot")), "shared")
+    places = one.select("id", "digest", F.explode(F.arrays_zip(F.col("names").alias("name"), F.col("starts").alias("start"), F.concat(F.slice("starts", F.lit(2), F.greatest(F.size("starts") - 1, F.lit(0))), F.array((F.col("n") - length + 1).cast("int"))).alias("stop"))).alias("c"))
+    places = places.select("id", "digest", "c.name", "c.start", "c.stop").join(shared, "name")
+    wanted = cut(places.groupBy("id", "digest").agg(F.collect_list(F.struct("name", "start", "stop", "hot")).alias("cuts")), "cuts")
+    pieces = cut(_pieces(held, wanted, length), "pieces")
+    forget(shared, wanted)
+    found = pieces.where("NOT hot").select("key", "digest", "start", "piece").repartition("key").sortWithinPartitions("key").mapInArrow(_kernel(length), "digest binary, s int, e int")
+    found = found.union(_hot_ranges(pieces.where("hot").select("digest", "start", "piece"), length))
     single = one.where("copies = 1").select(F.col("digest").alias("_d"), "id")
     ranges = found.groupBy("digest").agg(F.collect_list(F.struct("s", "e")).alias("ranges")).join(single, F.col("digest") == F.col("_d")).select("digest", "id", "ranges")
-    return rows, cut(ranges, "ranges")
+    ranges = cut(ranges, "ranges")
+    forget(pieces)
+    return rows, ranges
 
 
 def kept_text(b: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -303,15 +352,13 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
             for part in slices(batch, "t", 1 << 20):
                 out = []
                 for t, digest, found in zip(*(part.column(c).to_pylist() for c in ("t", "digest", "ranges")), strict=True):
-                    b = (t or "").encode("utf8", "replace")
-                    if hashlib.sha256(b).digest() == digest:
-                        left, gone, runs = kept_text(b, [(x["s"], x["e"]) for x in found])
-                        out.append((digest, gone, runs, hashlib.sha256(left).hexdigest(), left if keep_bytes else None))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["digest", "gone", "runs", "sha", "kept"])
-
-    held = docs.select(F.col(key).alias("_k"), F.col(text).alias("t"))
-    done = held.join(ranges, F.col("_k").eqNullSafe(F.col("id"))).select("t", "digest", "ranges").mapInArrow(run, "digest binary, gone bigint, runs bigint, sha string, kept binary").dropDuplicates(["digest"])
+                    left, gone, runs = kept_text((t or "").encode("utf8", "replace"), [(x["s"], x["e"]) for x in found])
+                    out.append((digest, gone, runs, hashlib.sha256(left).hexdigest(), left if keep_bytes else None))
+                yield _batch(out, (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()), ("digest", "gone", "runs", "sha", "kept"))
+
+    # texts with a range have no copies, so a digest is one row here
+    held = docs.select(F.col(text).alias("t"), _sha(F.col(text)).alias("_s"))
+    done = held.join(ranges.select("digest", "ranges"), F.col("_s") == F.col("digest")).select("t", "digest", "ranges").mapInArrow(run, "digest binary, gone bigint, runs bigint, sha string, kept binary")
     out = rows.join(done, "digest", "left")
     whole = (F.col("copies") > 1) & (F.col("n") >= length)
     cols = [F.col("id").alias(key), F.col("n").alias("n_bytes"), F.when(whole, F.col("n")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"), F.when(whole, 1).otherwise(F.coalesce("runs", F.lit(0))).cast("bigint").alias("n_spans"), F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("sha", F.lower(F.hex("digest")))).alias("kept_sha256")]
