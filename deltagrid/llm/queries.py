@@ -12,6 +12,11 @@ from .common import labelled_texts, remainder, table
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def secret(spark: SparkSession) -> str:
+    """The key of pseudonyms: spark.corpus.pseudonym.key; where it is unset a fixed one, good for made-up data only."""
+    return spark.conf.get("spark.corpus.pseudonym.key", None) or "made-up data only"
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Every text encoded and decoded again; digests of both."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -22,7 +27,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> D
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its personal data under pseudonyms."""
-    return pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_pii", "pii_kinds")
+    return pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text"), secret(spark)).select("doc_id", "text", "n_pii", "pii_kinds")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +104,17 @@ def op10_quality(spark: SparkSession, sf_dir: str, rows: int = 1500) -> DataFram
 QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_langid": op4_langid, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op8_media": op8_media, "op9_suffixes": op9_suffixes, "op10_quality": op10_quality}
 #: The others need models, tokenizers, iterated joins over all texts or formats that SQL has not; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
-    "op5_mixing": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5(concat('11|', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 15) AS h FROM documents),
+    "op5_mixing": r"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5(concat('11|', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 15) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS z FROM d GROUP BY source), w AS (SELECT *, ([5e0, 2e0, 1e0])[CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS wt, 3e0 * z AS cap FROM s),
 l AS (SELECT *, (sum(z) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(wt) OVER () - coalesce(sum(wt) OVER f, 0)) AS lv FROM w WINDOW f AS (ORDER BY cap / wt, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT source, z, least(cap, wt * (SELECT lv FROM l WHERE cap > lv * wt ORDER BY cap / wt, source ASC NULLS LAST LIMIT 1)) AS target FROM l),
 e AS (SELECT *, CASE WHEN z > 0 THEN least(floor(target / z), 3) ELSE 0 END AS whole FROM v),
-r AS (SELECT d.*, z, target, whole, target - whole * z AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, z AS source_size, target, CAST(size * copies AS BIGINT) AS taken, copies FROM (SELECT *, CAST(whole + CASE WHEN begun + size / 2e0 < rest THEN 1 ELSE 0 END AS INT) AS copies FROM r)""",
+r AS (SELECT d.*, z, target, whole, CASE WHEN whole < 3 THEN target - whole * z ELSE 0 END AS rest, coalesce(sum(size) OVER p, 0)::BIGINT AS begun, row_number() OVER (PARTITION BY d.source ORDER BY h, size) - 1 AS rank FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source WINDOW p AS (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, coalesce(max(CASE WHEN begun + size <= rest THEN rank + 1 END) OVER (PARTITION BY source), 0) AS ends FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, h) AS pos, rest - min(begun) OVER (PARTITION BY source) AS gap, min(rank) OVER (PARTITION BY source) AS head FROM b WHERE rest > 0 AND rank >= ends - 128 AND rank < ends + 128),
+g AS (SELECT DISTINCT source, 0::BIGINT AS pos, -1::BIGINT AS rank, gap, false AS took, 0::BIGINT AS size FROM n UNION ALL SELECT n.source, n.pos, n.rank, CASE WHEN n.size <= g.gap THEN g.gap - n.size ELSE g.gap END, n.size <= g.gap, n.size FROM g JOIN n ON n.source IS NOT DISTINCT FROM g.source AND n.pos = g.pos + 1),
+o AS (SELECT source, arg_max(gap, pos) AS gap, arg_max(rank, pos) FILTER (NOT took AND pos > 0) AS spare, arg_max(size, pos) FILTER (NOT took AND pos > 0) AS least FROM g GROUP BY source),
+t AS (SELECT source, rank FROM g WHERE took UNION ALL SELECT source, spare FROM o WHERE least - gap < gap),
+f AS (SELECT DISTINCT source, head FROM n)
+SELECT doc_id, size, z AS source_size, target, CAST(size * copies AS BIGINT) AS taken, copies FROM (SELECT r.*, CAST(whole + CASE WHEN r.rank < coalesce(f.head, 0) OR t.rank IS NOT NULL THEN 1 ELSE 0 END AS INT) AS copies FROM r LEFT JOIN f ON f.source IS NOT DISTINCT FROM r.source LEFT JOIN t ON t.source IS NOT DISTINCT FROM r.source AND t.rank = r.rank)""",
 }
