@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, others
+
 ROUNDS = 8
 #: Days of one Gregorian cycle, 1800-01-01 to 2199-12-31: 146,097 = 189 * 773.
 DAYS, MAJOR, MINOR, FIRST_DAY = 146_097, 189, 773, "1800-01-01"
@@ -231,16 +233,17 @@ def pseudonym(m: Column, kind: Column, key: str, back: bool = False) -> Column:
     return out
 
 
-def protect(df: DataFrame, text: str = "text", key: str = "corpus-key", back: bool = False) -> DataFrame:
+def protect(df: DataFrame, key: str, text: str = "text", back: bool = False) -> DataFrame:
     """df with text replaced, n_pii (values replaced) and pii_kinds (their kinds, in order). key: the secret; back: undo."""
-    t = F.col(text)
+    pattern, values = fresh(df, "_any", "_pii")
+    t, p, v = F.col(text), F.col(pattern), F.col(values)
     maybe = t.rlike("[@0-9=:]")
-    found = F.when(maybe, F.regexp_extract_all(t, F.col("_any"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(maybe, F.regexp_extract_all(t, p, F.lit(0))).otherwise(F.array().cast("array<string>"))
     new = F.transform(F.transform(found, lambda m: F.struct(m.alias("old"), kind_of(m).alias("kind"))), lambda x: F.struct(x["old"].alias("old"), x["kind"].alias("kind"), pseudonym(x["old"], x["kind"], key, back).alias("new")))
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("n_pii", "pii_kinds", text.lower())]
-    held = df.select(*kept, t.alias(text), F.when(maybe, any_of(t)).alias("_any")).select(*kept, t, "_any", new.alias("_pii"))
-    parts = F.split(F.col(text), F.col("_any"), -1)
-    joined = F.array_join(F.zip_with(parts, F.transform("_pii", lambda x: F.coalesce(x["new"], x["old"])), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    done = F.filter("_pii", lambda x: x["new"].isNotNull())
-    out = held.select(*kept, F.when(F.size("_pii") > 0, joined).otherwise(F.col(text)).alias(text), F.greatest(F.size(done), F.lit(0)).cast("bigint").alias("n_pii"), F.transform(done, lambda x: x["kind"]).alias("pii_kinds"))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in ("n_pii", "pii_kinds")), "n_pii", "pii_kinds")
+    kept = others(df, "n_pii", "pii_kinds")
+    held = df.select(*kept, F.when(maybe, any_of(t)).alias(pattern)).select(*kept, p, new.alias(values))
+    joined = F.array_join(F.zip_with(F.split(t, p, -1), F.transform(v, lambda x: F.coalesce(x["new"], x["old"])), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    done = F.filter(v, lambda x: x["new"].isNotNull())
+    out = F.when(F.size(v) > 0, joined).otherwise(t).alias(text)
+    cols = [out if c.lower() == text.lower() else F.col(f"`{c}`") for c in held.columns if c not in (pattern, values)]
+    return held.select(*cols, F.greatest(F.size(done), F.lit(0)).cast("bigint").alias("n_pii"), F.transform(done, lambda x: x["kind"]).alias("pii_kinds"))
