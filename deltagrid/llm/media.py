@@ -1,7 +1,9 @@
 """Media columns: signature sniffing, type correction and carving.
 
 An Aho-Corasick automaton finds every known magic number at any offset in one pass. Each hit is then held against its
-format's own structure (chunk sizes, header lengths, trailers); only a hit whose structure and length hold counts. The
+format's own structure (chunk sizes, header lengths, checksums, trailers); only a hit whose structure and length hold
+counts. Trailers are looked up once for all hits, chains of pages are followed once, compressed data are inflated piece by
+piece without keeping the output, so neither time nor memory grows with hits times length. The
 item at offset 0 gives the true type, which corrects the declared one; items that lie wholly inside, at other offsets,
 are embedded media and can be carved.
 
@@ -15,6 +17,8 @@ columns pass through, and a column with an output's name is replaced.
 from __future__ import annotations
 
 import struct
+import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import ahocorasick
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced, schema_with, slices
+from .common import fresh, others, replaced, schema_with, slices
 
 #: Magic numbers, the type they announce, and where they stand in an item.
 SIGNATURES = [
@@ -43,7 +47,30 @@ UNKNOWN = "application/octet-stream"
 ITEM = "array<struct<type:string,start:bigint,length:bigint>>"
 
 
-def _riff(b: bytes, at: int) -> tuple[str, int] | None:
+#: Bytes that are inflated at once.
+PIECE = 1 << 16
+
+
+class Data:
+    """Bytes, with what several validators ask of them kept."""
+
+    def __init__(self, b: bytes):
+        self.b, self._places, self.pages = b, {}, {}
+
+    def after(self, trailer: bytes, at: int) -> int:
+        """The first place of a trailer from `at` on, or -1."""
+        if (found := self._places.get(trailer)) is None:
+            found, p = [], self.b.find(trailer)
+            while p >= 0:
+                found.append(p)
+                p = self.b.find(trailer, p + 1)
+            self._places[trailer] = found
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else -1
+
+
+def _riff(d: Data, at: int) -> tuple[str, int] | None:
+    b = d.b
     if len(b) < at + 12:
         return None
     (size,), kind = struct.unpack_from("<I", b, at + 4), b[at + 8 : at + 12]
@@ -58,23 +85,25 @@ def _riff(b: bytes, at: int) -> tuple[str, int] | None:
     return (kind, end - at) if p in (end, end + 1) else None
 
 
-def _png(b: bytes, at: int) -> tuple[str, int] | None:
-    p, first = at + 8, True
+def _png(d: Data, at: int) -> tuple[str, int] | None:
+    b, p, first = d.b, at + 8, True
     while p + 12 <= len(b):
         n, name = struct.unpack_from(">I4s", b, p)
-        if first != (name == b"IHDR") or first and n != 13:
+        if first != (name == b"IHDR") or first and n != 13 or p + 12 + n > len(b):
+            return None
+        if zlib.crc32(memoryview(b)[p + 4 : p + 8 + n]) != int.from_bytes(b[p + 8 + n : p + 12 + n], "big"):
             return None
         first, p = False, p + 12 + n
         if name == b"IEND":
-            return ("image/png", p - at) if n == 0 and p <= len(b) else None
+            return ("image/png", p - at) if n == 0 else None
     return None
 
 
-def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
-    p = at + 2
+def _jpeg(d: Data, at: int) -> tuple[str, int] | None:
+    b, p = d.b, at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         if b[p + 1] == 0xDA:
-            end = b.find(b"\xff\xd9", p + 2)
+            end = d.after(b"\xff\xd9", p + 2)
             return ("image/jpeg", end + 2 - at) if end >= 0 else None
         if not 0xC0 <= b[p + 1] <= 0xFE:
             return None
@@ -82,7 +111,8 @@ def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> tuple[str, int] | None:
+def _gif(d: Data, at: int) -> tuple[str, int] | None:
+    b = d.b
     if len(b) < at + 14:
         return None
     flags = b[at + 10]
@@ -105,7 +135,8 @@ def _gif(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
+def _bmp(d: Data, at: int) -> tuple[str, int] | None:
+    b = d.b
     if len(b) < at + 26:
         return None
     size, spare, data, header = struct.unpack_from("<IIII", b, at + 2)
@@ -113,50 +144,121 @@ def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
     return ("image/bmp", size) if good else None
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end >= 0 and b[at + 5 : at + 6].isdigit() else None
+def _pdf(d: Data, at: int) -> tuple[str, int] | None:
+    end = d.after(b"%%EOF", at)
+    return ("application/pdf", end + 5 - at) if end >= 0 and d.b[at + 5 : at + 6].isdigit() else None
 
 
-def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(d: Data, at: int) -> tuple[str, int] | None:
+    b, end = d.b, d.after(b"PK\x05\x06", at)
     if end < 0 or len(b) < end + 22:
         return None
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
     return ("application/zip", end + 22 + note - at) if at + start + size == end and end + 22 + note <= len(b) else None
 
 
-def _flac(b: bytes, at: int) -> tuple[str, int] | None:
-    return ("audio/flac", len(b) - at) if len(b) >= at + 42 and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\x00\x00\x22" else None
+@lru_cache(2)
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    out, top, mask = [], 1 << bits - 1, (1 << bits) - 1
+    for i in range(256):
+        c = i << bits - 8
+        for _ in range(8):
+            c = (c << 1 ^ polynomial if c & top else c << 1) & mask
+        out.append(c)
+    return out
 
 
-def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
-    p = at
-    while len(b) >= p + 27 and b[p : p + 5] == b"OggS\x00":
-        n = b[p + 26]
-        end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if len(b) < p + 27 + n or end > len(b):
+def _flac_header(b: bytes, at: int) -> tuple[int, int] | None:
+    """Of a frame: its samples and the length of its header, if the header's checksum holds."""
+    if len(b) < at + 6 or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8 or b[at + 3] & 1:
+        return None
+    size, rate = b[at + 2] >> 4, b[at + 2] & 15
+    lead = b[at + 4]  # a number in the manner of UTF-8
+    p = at + 5 if lead < 0x80 else at + 4 + 8 - (lead ^ 0xFF).bit_length()
+    if size in (6, 7):
+        samples, p = int.from_bytes(b[p : p + size - 5], "big") + 1, p + size - 5
+    else:
+        samples = 192 if size == 1 else 576 << size - 2 if 2 <= size < 6 else 256 << size - 8 if size >= 8 else 0
+    p += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if not samples or rate == 15 or p >= len(b):
+        return None
+    c, table = 0, _crc_table(0x07, 8)
+    for x in b[at:p]:
+        c = table[c ^ x]
+    return (samples, p + 1 - at) if c == b[p] else None
+
+
+def _flac(d: Data, at: int) -> tuple[str, int] | None:
+    """Metadata blocks, then frames up to the number of samples that the first block states; a frame ends where its checksum comes out even and another one or the end follows."""
+    b, p, first = d.b, at + 4, True
+    total = 0
+    while True:
+        if len(b) < p + 4:
             return None
-        p = end
-    return ("audio/ogg", p - at) if p > at else None
+        head, n = b[p], int.from_bytes(b[p + 1 : p + 4], "big")
+        if first and (head & 0x7F or n != 34) or head & 0x7F == 127 or p + 4 + n > len(b):
+            return None
+        if first:
+            total = int.from_bytes(b[p + 17 : p + 22], "big") & (1 << 36) - 1
+        first, p = False, p + 4 + n
+        if head & 0x80:
+            break
+    table, done = _crc_table(0x8005, 16), 0
+    while not total or done < total:
+        header = _flac_header(b, p)
+        if header is None:
+            break
+        done += header[0]
+        c, q = 0, p
+        while q < len(b):
+            c = c << 8 & 0xFFFF ^ table[c >> 8 ^ b[q]]
+            q += 1
+            if c == 0 and q - p > header[1] + 2 and (total and done >= total or q == len(b) or _flac_header(b, q)):
+                break
+        else:
+            return None
+        p = q
+    return ("audio/flac", p - at) if done >= total else None
 
 
-def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
-    import zlib
+def _ogg(d: Data, at: int) -> tuple[str, int] | None:
+    b, p, way = d.b, at, []
+    while (end := d.pages.get(p)) is None:
+        if b[p : p + 5] != b"OggS\x00" or len(b) < p + 27:
+            end = p
+            break
+        n = b[p + 26]
+        way.append(p)
+        p += 27 + n + sum(b[p + 27 : p + 27 + n])
+        if p > len(b):
+            end = -1
+            break
+    for x in way:  # where the chain of pages from here ends; -1: within a page
+        d.pages[x] = end
+    return ("audio/ogg", end - at) if end > at else None
 
-    z = zlib.decompressobj(31)
+
+def _gzip(d: Data, at: int) -> tuple[str, int] | None:
+    view, z, p = memoryview(d.b), zlib.decompressobj(31), at
     try:
-        z.decompress(b[at:])
+        while not z.eof and p < len(view):
+            todo = bytes(view[p : p + PIECE])
+            p += len(todo)
+            while todo and not z.eof:
+                z.decompress(todo, PIECE)
+                todo = z.unconsumed_tail
     except zlib.error:
         return None
-    return ("application/gzip", len(b) - at - len(z.unused_data)) if z.eof else None
+    return ("application/gzip", p - len(z.unused_data) - at) if z.eof else None
 
 
-def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
-    p = at
+def _mp4(d: Data, at: int) -> tuple[str, int] | None:
+    b, p = d.b, at
+    if len(b) < at + 16 or not b[at + 8 : at + 12].isascii() or not b[at + 8 : at + 12].decode("latin-1").isprintable() or int.from_bytes(b[at : at + 4], "big") % 4:
+        return None
     while p + 8 <= len(b):
         n, name = struct.unpack_from(">I4s", b, p)
-        if n < 8 or p + n > len(b) or not name.isalnum():
+        if n < (16 if p == at else 8) or p + n > len(b) or not name.isalnum():
             break
         p += n
     return ("video/mp4", p - at) if p > at else None
@@ -176,10 +278,10 @@ def automaton() -> ahocorasick.Automaton:
 
 def items(data: bytes) -> tuple[list[tuple[str, int, int]], int]:
     """Valid items in order of start (type, start, length), and the number of signature hits."""
-    found, hits = [], 0
+    found, hits, d = [], 0, Data(data)
     for end, (kind, back) in automaton().iter(data.decode("latin-1")):
         hits += 1
-        if (at := end - back) >= 0 and (x := VALIDATORS[kind](data, at)):
+        if (at := end - back) >= 0 and (x := VALIDATORS[kind](d, at)):
             found.append((x[0], at, x[1]))
     return sorted(set(found), key=lambda x: (x[1], -x[2])), hits
 
@@ -209,12 +311,11 @@ def sniff(df: DataFrame, data: str, declared: str | None = None, drop: tuple[str
 
 def carve(df: DataFrame, data: str) -> DataFrame:
     """One row for each embedded item of a sniffed table: df's columns, item_type, item_start, item_bytes. Items at offset 0 are the medium itself."""
-    x = F.col("_item")
-    return (
-        df.withColumn("_item", F.explode(F.filter("media_items", lambda i: i["start"] > 0)))
-        .withColumns({"item_type": x["type"], "item_start": x["start"], "item_bytes": F.substring(F.col(data), (x["start"] + 1).cast("int"), x["length"].cast("int"))})
-        .drop("_item")
-    )
+    (one,) = fresh(df, "_item")
+    x = F.col(one)
+    kept = others(df, "item_type", "item_start", "item_bytes")
+    rows = df.select(*kept, F.explode(F.filter("media_items", lambda i: i["start"] > 0)).alias(one))
+    return rows.select(*kept, x["type"].alias("item_type"), x["start"].alias("item_start"), F.substring(F.col(data), (x["start"] + 1).cast("int"), x["length"].cast("int")).alias("item_bytes"))
 
 
 def _le32(n: Column) -> Column:
