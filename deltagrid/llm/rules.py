@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import SPACES, cut, fresh, others, row_key
 
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -52,25 +52,46 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_capitals", "n_distinct", "n_shouts", "n_letters", "n_bare", "n_stops")
 
 
+def _covered(ws: str, n: Column) -> Column:
+    """How many words lie in 3-word windows found twice or more, comparing windows as texts."""
+    triples = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", F.slice(ws, i + 1, F.lit(3))).alias("w"), i.alias("i")))
+    return F.aggregate(
+        F.array(F.sort_array(triples)),
+        F.lit(0),
+        lambda _, at: F.size(F.array_distinct(F.flatten(F.transform(F.filter(at, lambda x, k: F.coalesce(F.get(at, k - 1)["w"] == x["w"], F.lit(False)) | F.coalesce(F.get(at, k + 1)["w"] == x["w"], F.lit(False))), lambda x: F.sequence(x["i"], x["i"] + 2))))),
+    )
+
+
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """df with BASE and MORE (all long)."""
     t, ws, ls = fresh(df, "_t", "_words", "_lines")
     held = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn(t, held).withColumns({ws: F.array_remove(F.split(t, BLANK), ""), ls: F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    out = df.select("*", held.alias(t)).withColumns({ws: F.array_remove(F.split(t, BLANK), ""), ls: F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     less = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
     n = F.size(ws)
-    at, runs = fresh(out, "_at", "_runs")
-    triples = F.slice(F.arrays_zip(F.col(ws).alias("a"), F.slice(ws, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("b"), F.slice(ws, F.lit(3), F.greatest(n - 2, F.lit(0))).alias("c")), F.lit(1), F.greatest(n - 2, F.lit(0)))
-    out = out.withColumn(at, F.sort_array(F.transform(triples, lambda x, i: F.struct(F.concat_ws(" ", x["a"], x["b"], x["c"]).alias("w"), i.alias("i")))))
-    pairs = F.filter(F.arrays_zip(F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))).alias("p"), F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))).alias("q")), lambda x: x["p"]["w"] == x["q"]["w"])
-    out = out.withColumn(runs, F.transform(pairs, lambda x: F.array(x["p"]["i"], x["q"]["i"])))
-    covered = F.array_distinct(F.flatten(F.transform(F.flatten(runs), lambda i: F.array(i, i + 1, i + 2))))
+    # every 3-word window as one number: its hash above, its place in the lowest bits
+    windows, width, again, places = fresh(out, "_windows", "_width", "_again", "_places")
+    high = lambda x: F.call_function("shiftright", x, F.col(width))
+    word = lambda i: F.get(F.col(ws), i)
+    window = lambda i: F.call_function("shiftleft", F.xxhash64(word(i), word(i + 1), word(i + 2)), F.col(width)).bitwiseOR(i.cast("bigint"))
+    out = out.withColumn(width, F.length(F.bin(n)))
+    out = out.withColumn(windows, F.when(n > 2, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))).otherwise(F.array().cast("array<bigint>")))
+    of = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(width)) - 1).cast("int")
+    beside = lambda x, i, step: F.coalesce(high(x) == high(F.get(windows, i + step)), F.lit(False))
+    out = out.withColumn(again, F.filter(windows, lambda x, i: beside(x, i, -1) | beside(x, i, 1)))
+    out = out.withColumn(places, F.sort_array(F.transform(again, of)))
+    covered = F.aggregate(F.transform(places, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+    # windows of one hash that differ: rare, and then windows are compared as texts
+    differ = lambda p, q: (word(p) != word(q)) | (word(p + 1) != word(q + 1)) | (word(p + 2) != word(q + 2))
+    pairs = F.zip_with(again, F.slice(again, F.lit(2), F.greatest(F.size(again) - 1, F.lit(0))), lambda x, y: F.coalesce((high(x) == high(y)) & differ(of(x), of(y)), F.lit(False)))
+    clash = F.exists(pairs, lambda x: x)
+    covered = F.when(F.size(places) == 0, 0).when(clash, _covered(ws, n)).otherwise(covered)
     counts = {
         "n_words": n,
-        "word_chars": F.length(F.array_join(ws, "")),
+        "word_chars": F.length(F.translate(t, SPACES, "")),
         "n_symbols": less(SYMBOL),
         "n_dup_lines": F.size(ls) - F.size(F.array_distinct(ls)),
-        "n_repeat_words": F.size(covered),
+        "n_repeat_words": covered,
         "n_lines": F.size(ls),
         "n_capitals": less(r"\p{Lu}+"),
         "n_distinct": F.size(F.array_distinct(ws)),
@@ -79,8 +100,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "n_bare": less(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"),
         "n_stops": less(r"[.?!](?=[\x20\x09-\x0D]|$)"),
     }
-    kept = [c for c in df.columns if c not in counts]
-    return out.select(*kept, *(v.cast("bigint").alias(k) for k, v in counts.items()))
+    return out.select(*others(df, *counts), *(v.cast("bigint").alias(k) for k, v in counts.items()))
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int = len(RULES)) -> tuple[float, list[dict[str, list[float]]]]:
@@ -110,19 +130,9 @@ def posterior(votes: tuple[int, ...], share: float, table: list[dict[str, list[f
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, logit))))
 
 
-def apply_rules(df: DataFrame, text: str = "text", threshold: float = 0.5, drop: tuple[str, ...] = (), rescan: bool = False) -> DataFrame:
-    """df with the statistics, each rule's vote, p_good, base_failed and kept. The statistics, without the columns in `drop`, are written to the shared folder, so that texts are read once; with rescan they are worked out again instead, which spares the disk a copy of texts that stay."""
+def _verdict(ruled: DataFrame, threshold: float) -> DataFrame:
+    """ruled, which holds votes and statistics and is kept somewhere, with p_good, base_failed and kept."""
     votes = [f"vote_{r}" for r in RULES]
-    ruled = statistics(df, text).drop(*drop)
-    ruled = ruled.withColumns({v: rule().cast("int") for v, rule in zip(votes, RULES.values(), strict=True)})
-    if rescan:
-        # as the output of a generator, so that a filter on the verdict is not pushed down with the statistics written out in it many times
-        found = [*BASE, *MORE, *votes]
-        (once,) = fresh(ruled, "_once")
-        kept = [F.col(f"`{c}`") for c in ruled.columns if c not in found]
-        ruled = ruled.select(*kept, F.explode(F.array(F.struct(*found))).alias(once)).select(*kept, *(F.col(f"{once}.{c}").alias(c) for c in found))
-    else:
-        ruled = cut(ruled, "rules")
     share, table = fit(sorted((tuple(r[:-1]), r[-1]) for r in ruled.groupBy(*votes).count().collect()))
     logit = F.lit(math.log(share / (1 - share)))
     for v, t in zip(votes, table, strict=True):
@@ -131,3 +141,25 @@ def apply_rules(df: DataFrame, text: str = "text", threshold: float = 0.5, drop:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = ruled.withColumns({"p_good": 1 / (1 + F.exp(-logit)), "base_failed": failed})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+
+
+def _voted(df: DataFrame, text: str) -> DataFrame:
+    rules = {f"vote_{r}": rule for r, rule in RULES.items()}
+    ruled = statistics(df.select(*others(df, *rules, "p_good", "base_failed", "kept")), text)
+    return ruled.withColumns({v: rule().cast("int") for v, rule in rules.items()})
+
+
+def apply_rules(df: DataFrame, text: str = "text", threshold: float = 0.5, drop: tuple[str, ...] = ()) -> DataFrame:
+    """df with the statistics, each rule's vote, p_good, base_failed and kept. All but the columns in `drop` is written to the shared folder, so that texts are read once."""
+    ruled = _voted(df, text)
+    return _verdict(cut(ruled.select(*others(ruled, *drop)), "rules"), threshold)
+
+
+def kept_rows(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of df that the rules keep. Only votes and a name of each row are written to the shared folder; the rows are found by it."""
+    (name,) = fresh(df, "_row")
+    keyed = df.select("*", row_key(df, text).alias(name))
+    votes = _voted(keyed.select(name, F.col(text).alias("text")), "text").select(name, "n_words", "n_repeat_words", *(f"vote_{r}" for r in RULES))
+    kept = cut(_verdict(cut(votes, "votes"), threshold).where("kept").select(name).distinct(), "kept")
+    out = keyed.join(kept, name, "left_semi")
+    return out.select(*others(out, name))
