@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from deltagrid.llm import queries
+from deltagrid.llm import queries, rules
 
 DIR = "/root/testdata/sf0.001"
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,13 +28,23 @@ def test_each_stage_does_its_work(spark):
     assert coded.count() == mix.count() and coded.where("n_tokens <> size(ids)").count() == 0
 
 
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
 def test_stages_take_nulls_and_empty_tables(spark):
-    rows = [(1, None, None, None, None), (None, "x y " * 60 + "end.", "en", "a", 5), (None, "x y " * 60 + "end.", "en", "a", 5), (2, "", "en", None, 0)]
-    for d in (spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")):
+    text = "x y " * 60 + "end."
+    rows = [(1, None, None, None, None), (None, text, "en", "a", 5), (None, text, "en", "a", 5), (2, "", "en", None, 0), (3, "q r s t u", "en", "a", 1), (3, "v w x y z", "en", "a", 1), (3, "v w x y z", "en", "a", 1)]
+    for d in (spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SCHEMA)):
         for _, stage in corpus_pipeline.STAGES:
-            stage(spark, d, DIR).count()
-    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), DIR)
-    assert left.count() == 3
+            stage(spark, d.withColumn("_Row", F.lit(1)).withColumn("KEPT", F.lit(1)), DIR).count()
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), DIR).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, text), (1, ""), (2, ""), (3, "q r s t u"), (3, "v w x y z")]
+
+
+def test_quality_keeps_what_the_operator_keeps(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    want = {r["doc_id"] for r in rules.apply_rules(docs).where("kept").collect()}
+    assert {r["doc_id"] for r in corpus_pipeline.quality(spark, docs.union(docs.limit(0)), DIR).collect()} == want
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
