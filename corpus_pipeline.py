@@ -13,32 +13,31 @@ from pyspark.sql import functions as F
 
 from deltagrid.llm import bpe, jaccard, mixing, pii, rules
 from deltagrid.llm.common import cut, table
-from deltagrid.llm.queries import VOCABULARY
+from deltagrid.llm.queries import VOCABULARY, secret
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised rules keep."""
-    return rules.apply_rules(docs, rescan=True).where("kept").select(*docs.columns)
+    """Documents that the weakly supervised rules keep. Null and empty texts go, as they fail the base rules; equal texts stay or go together, repeated rows keep their number."""
+    return rules.kept_rows(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the least id. Of rows without an id one for each text stays."""
-    stays = jaccard.join(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    """One document of each component: the one with the least id, of equal ids a fixed one; documents without an id count after those with one. Documents without words are linked with nothing and stay."""
+    return jaccard.deduplicate(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data under pseudonyms of the same format."""
-    return pii.protect(docs).select(*docs.columns)
+    """Personal data under pseudonyms of the same format. Null and empty texts stay as they are; every row stays."""
+    return pii.protect(docs, secret(spark)).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, at most three times. A null source is one of its own; rows of one id are rows of their own."""
     return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text."""
+    """Token ids of every text; a null or empty one has none. An input column named ids or n_tokens is replaced."""
     coded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), VOCABULARY, drop=("text",))
     return coded.withColumn("n_tokens", F.size("ids").cast("bigint"))
 
