@@ -121,7 +121,7 @@ def magnitude(cls: Column, tags: Column) -> Column:
     """The class's own, a power line's by its highest voltage, a railway's by usage; lanes blended in for roads."""
     volts = F.array_max(F.transform(F.split(tag(tags, "voltage"), ";"), lambda x: F.trim(x).try_cast("double")))
     own = F.coalesce(
-        F.when(cls == 11, F.least(F.greatest((F.log10(F.greatest(volts, F.lit(400.0))) - 2.6) / 3.3, F.lit(0.0)), F.lit(1.0))),
+        F.when((cls == 11) & volts.isNotNull(), F.least(F.greatest((F.log10(F.greatest(volts, F.lit(400.0))) - 2.6) / 3.3, F.lit(0.0)), F.lit(1.0))),
         F.when((cls == 10) & tag(tags, "usage").isNotNull(), F.when(tag(tags, "usage") == "main", 1.0).when(tag(tags, "usage") == "branch", 0.6).when(tag(tags, "usage").isin("industrial", "military"), 0.4).otherwise(0.3)),
         lookup(cls, {k: v[3] for k, v in LINES.items()}),
     )
@@ -184,7 +184,8 @@ def line_min_depth(cls: Column, mag: Column) -> Column:
 
 
 def class_floor(cls: Column) -> Column:
-    return lookup(cls, {k: v[5] for k, v in LINES.items() if v[5] is not None})
+    """The coarsest depth at which a way stays in the route pyramid; 14 for those that route at the base only."""
+    return lookup(cls, {k: v[5] for k, v in LINES.items() if v[5] is not None}, F.lit(14))
 
 
 # Point kinds (64 + place in the list) and the tags that make them; the first four overrule, the rest apply in this order.

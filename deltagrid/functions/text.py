@@ -107,19 +107,30 @@ def fit(query: Column, text: Column) -> Column:
 
 
 def label(kind: Column, name: Column, reference: Column, exit_kind: int = 77) -> Column:
-    """An exit's number before its name; a point's name; else the name with its reference unless it holds it already."""
+    """An exit's number before its name; a point's name; else the name with its reference unless it holds it already, or the one of them there is."""
     held = (reference == "") | name.contains(reference)
-    return F.when(kind == exit_kind, F.trim(F.concat_ws(" ", reference, name))).when(kind >= 64, name).when(name == "", reference).when(held, name).otherwise(F.concat(name, F.lit(" ("), reference, F.lit(")")))
+    return F.when(kind == exit_kind, F.trim(F.concat_ws(" ", reference, name))).when((kind >= 64) & (name != ""), name).when(name == "", reference).when(held, name).otherwise(F.concat(name, F.lit(" ("), reference, F.lit(")")))
+
+
+def one_decimal(x: Column) -> Column:
+    """A number from 0 up with one decimal; the exact binary value decides, and of two equally near the even one is taken."""
+    f = F.floor(x * 10)
+    high = F.floor(x * (1 << 20)) / (1 << 20)
+    over = (20 * high - (2 * f + 1)) + 20 * (x - high)
+    tenths = f + F.when((over > 0) | ((over == 0) & (f % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def rounded_length(m: Column) -> Column:
-    """Metres in tens, from 200 in fifties, from 1 km with a decimal, from 10 km whole."""
-    return F.when(m < 200, F.concat((F.round(m / 10) * 10).cast("int").cast("string"), F.lit(" m"))).when(m < 1000, F.concat((F.round(m / 50) * 50).cast("int").cast("string"), F.lit(" m"))).when(m < 10000, F.concat(F.format_number(m / 1000, 1), F.lit(" km"))).otherwise(F.concat(F.round(m / 1000).cast("int").cast("string"), F.lit(" km")))
+    """Metres in tens, from 100 in fifties, from 1 km in kilometres with a decimal."""
+    metres = lambda step: F.concat((F.round(m / step) * step).cast("int").cast("string"), F.lit(" m"))
+    return F.when(m < 100, metres(10)).when(m < 1000, metres(50)).otherwise(F.concat(one_decimal(m / 1000), F.lit(" km")))
 
 
 def duration(seconds: Column) -> Column:
+    """Minutes; from an hour hours and minutes of two digits."""
     minutes = F.round(seconds / 60).cast("int")
-    return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min"))).otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit(" h "), (minutes % 60).cast("string"), F.lit(" min")))
+    return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min"))).otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit(" h "), F.lpad((minutes % 60).cast("string"), 2, "0"), F.lit(" min")))
 
 
 def short_hash(data: Column) -> Column:
@@ -128,6 +139,16 @@ def short_hash(data: Column) -> Column:
 
 
 def version(text: Column) -> Column:
-    """Three numbers that compare as a struct; missing ones are 0."""
-    parts = F.split(F.regexp_replace(text, "^v", ""), r"\.")
-    return F.struct(*(F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0)).alias(n) for i, n in enumerate(("major", "minor", "patch"))))
+    """Three numbers that compare as a struct, what follows a plus sign left out; null for any other form."""
+    core = F.substring_index(text, "+", 1)
+    parts = F.split(core, r"\.")
+    v = F.struct(*(F.get(parts, F.lit(i)).try_cast("bigint").alias(n) for i, n in enumerate(("major", "minor", "patch"))))
+    return F.when(core.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$") & v["major"].isNotNull() & v["minor"].isNotNull() & v["patch"].isNotNull(), v)
+
+
+def unix_ms(time: Column) -> Column:
+    return F.unix_millis(time)
+
+
+def from_unix_ms(ms: Column) -> Column:
+    return F.timestamp_millis(ms)

@@ -59,11 +59,28 @@ def lidar_grid(points: DataFrame) -> DataFrame:
     return g.join(near, ["cx", "cy"], "left").where("n > 0").select("cx", "cy", F.floor(F.col("_i") / F.col("n")).alias("intensity"), "n", "top", canopy.alias("canopy"))
 
 
+def at_ranks(df: DataFrame, value: str, ranks: list[Column], buckets: int = 4096) -> DataFrame:
+    """One row (v0, v1, ...): the values at ranks (from 0, of the number of rows n) in order of value. Values are counted in equal intervals first; only the intervals in which a rank falls are sorted."""
+    held = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    span = held.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    # span and ranks are one row each, the counts at most `buckets` rows
+    of = F.least(F.floor((F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * buckets), F.lit(buckets - 1)).cast("int")
+    dealt = held.join(F.broadcast(span)).select("v", of.alias("bucket"))
+    counts = dealt.groupBy("bucket").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("first", F.coalesce(F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    wanted = span.select(F.posexplode(F.array(*[r.cast("bigint") for r in ranks])).alias("i", "rank"))
+    spots = counts.join(F.broadcast(wanted), (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("c"))).select("bucket", "i", (F.col("rank") - F.col("first")).alias("at"))
+    placed = dealt.join(F.broadcast(spots.select("bucket").distinct()), "bucket").withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy("v")) - 1)
+    found = placed.join(F.broadcast(spots), ["bucket", "at"])
+    return found.agg(*[F.max(F.when(F.col("i") == k, F.col("v"))).alias(f"v{k}") for k in range(len(ranks))])
+
+
 def stretched(df: DataFrame, value: str) -> DataFrame:
-    """df with a byte 1-255 between the 1st and 99th percentile (the values at n div 100 and 99 n div 100 in order). The percentiles are two numbers from one aggregation."""
-    q = df.agg(F.expr(f"percentile_disc(0.01) WITHIN GROUP (ORDER BY {value})").alias("_lo"), F.expr(f"percentile_disc(0.99) WITHIN GROUP (ORDER BY {value})").alias("_hi"))
-    share = (F.col(value) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1))
-    return df.join(F.broadcast(q)).withColumn("byte", 1 + F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 254)).drop("_lo", "_hi")
+    """df with a byte 1-255 between the values at n div 100 and 99 n div 100, counted from 0 in order."""
+    n = F.col("n")
+    q = at_ranks(df, value, [F.floor(n / 100), F.floor(n * 99 / 100)])
+    share = (F.col(value) - F.col("v0")) / F.greatest(F.col("v1") - F.col("v0"), F.lit(1))
+    return df.join(F.broadcast(q)).withColumn("byte", 1 + F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 254)).drop("v0", "v1")
 
 
 def centre(df: DataFrame, key: str) -> DataFrame:
@@ -95,6 +112,14 @@ def selection_edge(t: DataFrame, side: int = 128) -> DataFrame:
     return across.select("prefix", F.explode(F.array("texel", "other")).alias("texel")).distinct()
 
 
+def class_edge(t: DataFrame) -> DataFrame:
+    """(prefix, texel) of texels with a class (not 0) beside one of another class across an edge, within the cell. A texel without a row has class 0."""
+    own = t.where("class <> 0").select("prefix", "texel", "class")
+    pairs = own.withColumn("other", F.explode(C.texel_neighbours(F.col("texel"))))
+    across = pairs.join(own.select("prefix", F.col("texel").alias("other"), F.col("class").alias("_c")), ["prefix", "other"], "left")
+    return across.where(F.coalesce(F.col("_c"), F.lit(0)) != F.col("class")).select("prefix", "texel").distinct()
+
+
 def outliers(df: DataFrame, cell: list[str], value: str, floor: float, most: int = 10) -> DataFrame:
     """The cells with most values below a floor: how many (n) and the lowest; of equals the first cells."""
     low = df.where((F.col(value) < floor) & ~F.isnan(value)).groupBy(*cell).agg(F.count("*").alias("n"), F.min(value).alias("lowest"))

@@ -77,7 +77,7 @@ def a10_lidar(spark, sf):
     return Y.lidar_grid(p).withColumn("canopy", F.col("canopy").cast("bigint"))
 
 
-@query("WITH q AS (SELECT quantile_disc(p_retailprice, 0.01) AS lo, quantile_disc(p_retailprice, 0.99) AS hi FROM part) SELECT p_partkey AS id, CAST(1 + floor(least(greatest((p_retailprice-lo)/greatest(hi-lo, 1), 0), 1)*254) AS BIGINT) AS byte FROM part, q")
+@query("WITH r AS (SELECT p_partkey, p_retailprice, row_number() OVER (ORDER BY p_retailprice) - 1 AS k, count(*) OVER () AS n FROM part), q AS (SELECT max(CASE WHEN k = n // 100 THEN p_retailprice END) AS lo, max(CASE WHEN k = 99 * n // 100 THEN p_retailprice END) AS hi FROM r) SELECT p_partkey AS id, CAST(1 + floor(least(greatest((p_retailprice-lo)/greatest(hi-lo, 1), 0), 1)*254) AS BIGINT) AS byte FROM part, q")
 def w9_stretched(spark, sf):
     return Y.stretched(spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), "p_retailprice"), "p_retailprice").select("id", F.col("byte").cast("bigint").alias("byte"))
 
@@ -142,34 +142,16 @@ def g7_fill(spark, sf):
     return P.fill(b.select("id", F.explode(edges).alias("e")).select("id", "e.*")).where("tx BETWEEN 0 AND 79 AND ty BETWEEN 0 AND 79")
 
 
-@query(f"SELECT px, py, sum(n) AS n FROM (SELECT (px // 4)::INT AS px, (py // 4)::INT AS py, count(v) AS n FROM {RASTER} GROUP BY ALL) GROUP BY ALL HAVING sum(n) < 48")
-def f12_gaps(spark, sf):
-    return raster(spark).groupBy(F.floor(F.col("px") / 4).cast("int").alias("px"), F.floor(F.col("py") / 4).cast("int").alias("py")).agg(F.count("v").alias("n")).where("n < 48")
-
-
 @query(f"SELECT tile, CAST(px // 2 AS INT) AS px, CAST(py // 2 AS INT) AS py, round(avg(v), 6) AS v FROM {RASTER} GROUP BY ALL")
 def a12_a13_box_filter(spark, sf):
     return raster(spark).groupBy("tile", F.floor(F.col("px") / 2).cast("int").alias("px"), F.floor(F.col("py") / 2).cast("int").alias("py")).agg(F.round(F.avg("v"), 6).alias("v"))
 
 
-@query("SELECT event_type, count(*) AS n, sum(length(props)) AS bytes FROM events GROUP BY event_type")
-def a24_a27_census(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.length("props")).alias("bytes"))
-
-
 @query(f"SELECT class, max(mag) AS top, min(mag) AS low FROM {TEXELS} WHERE cov > 20 GROUP BY class")
 def a26_ceiling(spark, sf):
     return texels(spark, sf).where("cov > 20").groupBy("class").agg(F.max("mag").alias("top"), F.min("mag").alias("low"))
 
 
-@query(f"SELECT e1.prefix, e1.texel FROM {TEXELS} e1 JOIN {TEXELS} e2 ON e1.prefix = e2.prefix AND e1.texel & 1 = 0 AND e2.texel = e1.texel + 1 AND (e1.cov >= 50) <> (e2.cov >= 50)")
-def f16_v7_edges(spark, sf):
-    t = texels(spark, sf)
-    on = t.select("prefix", F.col("texel").alias("other"), (F.col("cov") >= 50).alias("side"))
-    near = t.where(F.col("texel").bitwiseAND(1) == 0).withColumn("other", F.col("texel").bitwiseXOR(1))
-    return near.join(on, ["prefix", "other"]).where((F.col("cov") >= 50) != F.col("side")).select("prefix", "texel")
-
-
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 64 WHEN p_size % 4 = 1 THEN 68 WHEN p_size % 4 = 2 THEN 90 END AS kind, CASE WHEN p_size % 4 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 12345 ELSE 100000 END WHEN p_size % 4 = 1 THEN 109800 WHEN p_size % 4 = 2 THEN 1338 END AS rank FROM part WHERE p_size % 4 < 3")
 def p7_point_kind(spark, sf):
     keys = {"place": "CASE WHEN p_size % 4 = 0 THEN 'city' END", "natural": "CASE WHEN p_size % 4 = 1 THEN 'peak' END", "man_made": "CASE WHEN p_size % 4 = 2 THEN 'tower' END", "tower:type": "CASE WHEN p_size % 4 = 2 THEN 'fire_lookout' END", "population": "CASE WHEN p_partkey % 2 = 0 THEN '12,345' END", "ele": "CASE WHEN p_size % 4 = 1 THEN '4392' ELSE '4392 ft' END"}
@@ -186,11 +168,6 @@ def p6_business(spark, sf):
     return p.select("id", K.business(tags).alias("kind"))
 
 
-@query(f"SELECT node, count(*) AS n FROM (SELECT DISTINCT way, node FROM {REFS}) GROUP BY node HAVING count(*) = 1 AND node % 5 = 0")
-def r3_r13_single_nodes(spark, sf):
-    return refs(spark, sf).select("way", "node").distinct().groupBy("node").agg(F.count("*").alias("n")).where("n = 1 AND node % 5 = 0")
-
-
 @query("SELECT o_orderkey AS id, CAST(regexp_extract(t, '([NS])(\\d+)', 2) AS INT) * CASE regexp_extract(t, '([NS])(\\d+)', 1) WHEN 'S' THEN -1 ELSE 1 END AS lat, CAST(regexp_extract(t, '([WE])(\\d+)', 2) AS INT) * CASE regexp_extract(t, '([WE])(\\d+)', 1) WHEN 'W' THEN -1 ELSE 1 END AS lon FROM (SELECT o_orderkey, concat('Tile_', CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE 'S' END, lpad(CAST(o_orderkey % 80 AS VARCHAR), 2, '0'), '_', CASE WHEN o_orderkey % 3 = 0 THEN 'W' ELSE 'E' END, lpad(CAST(o_orderkey % 180 AS VARCHAR), 3, '0')) AS t FROM orders)")
 def s16_tile_names(spark, sf):
     from ..sources.names import square
@@ -201,21 +178,13 @@ def s16_tile_names(spark, sf):
     return o.select("id", lat.alias("lat"), lon.alias("lon"))
 
 
-@query(f"SELECT event_id, round(lat0 + (lat1-lat0)*k/4, 6) AS lat, CAST(k AS INT) AS station FROM (SELECT event_id, lat AS lat0, lead(lat) OVER (PARTITION BY user_id ORDER BY event_id) AS lat1 FROM {V.sql('g_fix')}), range(5) r(k) WHERE lat1 IS NOT NULL AND event_id % 3 = 0")
-def g24_profile(spark, sf):
-    from pyspark.sql import Window
-
-    f = V.view(spark, sf, "g_fix").select("event_id", "lat", F.lead("lat").over(Window.partitionBy("user_id").orderBy("event_id")).alias("lat1")).where("lat1 IS NOT NULL AND event_id % 3 = 0")
-    return f.withColumn("station", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("event_id", F.round(F.col("lat") + (F.col("lat1") - F.col("lat")) * F.col("station") / 4, 6).alias("lat"), "station")
-
-
 @query(f"SELECT node, count(*) AS n FROM (SELECT DISTINCT way, node FROM {REFS}) GROUP BY node HAVING count(*) = 1")
-def r3_r13_single_nodes_all(spark, sf):
+def r13_single_nodes(spark, sf):
     return refs(spark, sf).select("way", "node").distinct().groupBy("node").agg(F.count("*").alias("n")).where("n = 1")
 
 
 @query(f"SELECT event_id, round(lat0 + (lat1-lat0)*k/4, 6) AS lat, CAST(k AS INT) AS station FROM (SELECT event_id, lat AS lat0, lead(lat) OVER (PARTITION BY user_id ORDER BY event_id) AS lat1 FROM {V.sql('g_fix')}), range(5) r(k) WHERE lat1 IS NOT NULL")
-def g24_profile_all(spark, sf):
+def w7_stations(spark, sf):
     from pyspark.sql import Window
 
     f = V.view(spark, sf, "g_fix").select("event_id", "lat", F.lead("lat").over(Window.partitionBy("user_id").orderBy("event_id")).alias("lat1")).where("lat1 IS NOT NULL")
@@ -224,10 +193,16 @@ def g24_profile_all(spark, sf):
 
 @query(f"""WITH i AS (SELECT prefix, texel, texel >> 9 AS y, texel >> 1 & 255 AS x, texel & 1 AS h FROM {TEXELS} WHERE cov >= 50), n AS (SELECT prefix, texel, x + CASE WHEN h = 0 THEN -dx ELSE dx END AS x, y + CASE WHEN h = 0 THEN -dy ELSE dy END AS y, 1 - h AS h FROM i, (VALUES (0, 0), (1, 0), (0, 1)) d(dx, dy)), c AS (SELECT * FROM n WHERE x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255 AND NOT EXISTS (SELECT 1 FROM i WHERE i.prefix = n.prefix AND i.x = n.x AND i.y = n.y AND i.h = n.h))
 SELECT prefix, texel FROM c UNION SELECT prefix, y * 512 + x * 2 + h FROM c""")
-def f16_v7_edges_all(spark, sf):
+def f16_edges(spark, sf):
     return Y.selection_edge(texels(spark, sf), 50)
 
 
+@query(f"""WITH t AS (SELECT prefix, texel, class, texel >> 9 AS y, texel >> 1 & 255 AS x, texel & 1 AS h FROM {TEXELS} WHERE class <> 0), n AS (SELECT prefix, texel, class, x + CASE WHEN h = 0 THEN -dx ELSE dx END AS x, y + CASE WHEN h = 0 THEN -dy ELSE dy END AS y, 1 - h AS h FROM t, (VALUES (0, 0), (1, 0), (0, 1)) d(dx, dy))
+SELECT DISTINCT n.prefix, n.texel FROM n LEFT JOIN t ON t.prefix = n.prefix AND t.x = n.x AND t.y = n.y AND t.h = n.h WHERE n.x BETWEEN 0 AND 255 AND n.y BETWEEN 0 AND 255 AND coalesce(t.class, 0) <> n.class""")
+def v7_class_edges(spark, sf):
+    return Y.class_edge(texels(spark, sf))
+
+
 @query(f"SELECT tile, CAST(px // 4 AS INT) AS px, CAST(py // 4 AS INT) AS py, count(*) AS n, min(v) AS lowest FROM {RASTER} WHERE v < 200 GROUP BY ALL ORDER BY n DESC, tile, px, py LIMIT 10")
 def f12_outliers(spark, sf):
     r = raster(spark).select("tile", F.floor(F.col("px") / 4).cast("int").alias("px"), F.floor(F.col("py") / 4).cast("int").alias("py"), "v")

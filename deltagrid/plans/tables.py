@@ -290,29 +290,16 @@ def j14_nearest(spark, sf):
     return S.nearest(p, a, per_degree=30, same=F.col("p_zip") % 3 == F.col("id") % 3).select("id", "place", F.round("metres", 2).alias("metres"))
 
 
-_BOX = f"(SELECT zip, min(lat) AS lat0, min(lon) AS lon0, max(lat) AS lat1, max(lon) AS lon1 FROM {V.sql('g_addr')} WHERE zip % 2 = 0 GROUP BY zip)"
-
-
-@query(f"SELECT * FROM {_BOX}")
-def a22_boxes(spark, sf):
-    return S.boxes(V.view(spark, sf, "g_addr").where("zip % 2 = 0"), "zip")
-
-
-@query(f"""WITH d AS (SELECT zip, least(greatest(45.9, lat0), lat1) AS y, least(greatest(-122.1, lon0), lon1) AS x FROM {_BOX}) SELECT zip, round(sqrt(pow((x+122.1)*cos(radians((45.9+y)/2)),2)+pow(y-45.9,2))*111320, 6) AS metres FROM d WHERE round(sqrt(pow((x+122.1)*cos(radians((45.9+y)/2)),2)+pow(y-45.9,2))*111320, 6) <= 40000 ORDER BY metres, zip LIMIT 16""")
-def j16_t3_boxes_near(spark, sf):
-    return S.boxes_near(S.boxes(V.view(spark, sf, "g_addr").where("zip % 2 = 0"), "zip"), "zip", 45.9, -122.1)
-
-
 _BOXES = f"(SELECT zip, min(lat) AS lat0, min(lon) AS lon0, max(lat) AS lat1, max(lon) AS lon1 FROM {V.sql('g_addr')} GROUP BY zip)"
 
 
 @query(f"SELECT * FROM {_BOXES}")
-def a22_boxes_all(spark, sf):
+def a22_boxes(spark, sf):
     return S.boxes(V.view(spark, sf, "g_addr"), "zip")
 
 
 @query(f"""WITH d AS (SELECT zip, least(greatest(45.9, lat0), lat1) AS y, least(greatest(-122.1, lon0), lon1) AS x FROM {_BOXES}) SELECT zip, round(sqrt(pow((x+122.1)*cos(radians((45.9+y)/2)),2)+pow(y-45.9,2))*111320, 6) AS metres FROM d WHERE round(sqrt(pow((x+122.1)*cos(radians((45.9+y)/2)),2)+pow(y-45.9,2))*111320, 6) <= 40000 ORDER BY metres, zip LIMIT 16""")
-def j16_t3_boxes_near_all(spark, sf):
+def j16_t3_boxes_near(spark, sf):
     return S.boxes_near(S.boxes(V.view(spark, sf, "g_addr"), "zip"), "zip", 45.9, -122.1)
 
 
@@ -372,16 +359,17 @@ def k3_k4_changed(spark, sf):
 
 # ---- graph
 
-EDGES = "(SELECT p_partkey AS src, p_partkey + k AS dst, 1.0 + (p_partkey * k) % 7 AS cost FROM part, (SELECT unnest([1, 2, 5]) AS k) WHERE p_partkey + k <= (SELECT max(p_partkey) FROM part) AND p_partkey <= 150 AND p_partkey + k <= 150)"
-
-
-@query(f"""WITH RECURSIVE e AS {EDGES}, d AS (SELECT 1::BIGINT AS node, 0.0::DOUBLE AS cost, 0 AS hop UNION ALL SELECT dst, min(d.cost + e.cost)::DOUBLE, hop + 1 FROM d JOIN e ON d.node = e.src WHERE hop < 150 GROUP BY dst, hop) SELECT node, min(cost) AS cost FROM d GROUP BY node""")
 def r7_shortest(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey <= 150").select(F.col("p_partkey").alias("src"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))).alias("k"))
-    e = p.where("src + k <= 150").select("src", (F.col("src") + F.col("k")).alias("dst"), (1.0 + (F.col("src") * F.col("k")) % 7).alias("cost"))
+    """Least costs from part 1 over all parts; a recursive query is too slow for the whole table, so the tests hold it against brute force."""
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("src"))
+    e = p.withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(25), F.lit(200)))).select("src", (F.col("src") + F.col("k")).alias("dst"), (1.0 + (F.col("src") * F.col("k")) % 7).alias("cost"))
+    e = e.join(p.select(F.col("src").alias("dst")), "dst", "left_semi")
     return G.shortest(e, spark.createDataFrame([(1, 0.0)], "node bigint, cost double"))
 
 
+QUERIES["r7_shortest"] = r7_shortest
+
+
 @query(f"SELECT event_id, round(sqrt(pow((b-a)*10,2)+1), 6) AS len, round(6*exp(-3.5*abs((b-a)/100 + 0.05))/3.6, 6) AS foot FROM (SELECT event_id, accuracy AS a, lead(accuracy) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM {V.sql('g_fix')}) WHERE b IS NOT NULL")
 def r11_pace(spark, sf):
     w = Window.partitionBy("user_id").orderBy("event_id")
