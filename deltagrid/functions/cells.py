@@ -211,3 +211,99 @@ def cover(df: DataFrame, depth: int, lat0: str = "lat0", lon0: str = "lon0", lat
     out = out.withColumn("_i", F.explode(F.sequence(F.lit(0), n(lat0, lat1, "_ds")))).withColumn("_j", F.explode(F.sequence(F.lit(0), n(lon0, lon1, "_dl"))))
     out = out.withColumns({"_lat": F.least(F.col(lat0) + F.col("_i") * F.col("_ds"), F.col(lat1)), "_lon": F.least(F.col(lon0) + F.col("_j") * F.col("_dl"), F.col(lon1))})
     return encode(out, "_lat", "_lon").withColumn("prefix", prefix(depth)).select(*df.columns, "prefix").distinct()
+
+
+def from_grid(depth: int, diamond: Column, cu: Column, cv: Column) -> Column:
+    """The cell at a column and row of a diamond."""
+    return F.shiftleft(diamond.cast("bigint"), 2 * depth).bitwiseOR(morton(cu, cv))
+
+
+def texel_place(df: DataFrame, depth: int, cell: str = "prefix", texel: str = "texel", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """df with the place of a texel's centroid."""
+    gu, gv = grid(depth, F.col(cell))
+    tx, ty, half = texel_parts(F.col(texel))
+    off = F.when(half == 0, F.lit(1.0) / 3).otherwise(F.lit(2.0) / 3)
+    out = df.withColumns({"_d": cell_diamond(depth, F.col(cell)).cast("int"), "_tu": (gu * TEX + tx + off) / (TEX << depth), "_tv": (gv * TEX + ty + off) / (TEX << depth)})
+    return locate(out, "_d", "_tu", "_tv", lat, lon).drop("_d", "_tu", "_tv")
+
+
+def texels_around(t: Column) -> Column:
+    """Both halves of the 3 x 3 squares around a texel, without it, within the cell: 17 at most."""
+    tx, ty, _ = texel_parts(t)
+    near = F.array(*[F.struct((tx + dx).alias("x"), (ty + dy).alias("y"), F.lit(h).cast("bigint").alias("h")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) for h in (0, 1)])
+    inside = F.filter(near, lambda n: n["x"].between(0, TEX - 1) & n["y"].between(0, TEX - 1))
+    return F.filter(F.transform(inside, lambda n: texel_index(n["x"], n["y"], n["h"])), lambda j: j != t)
+
+
+def from_triangle_code(code: Column) -> Column:
+    """(diamond, u, v) in the triangle that a code names: 29 digits from the coarsest on; the half turns at each digit 3."""
+    half = F.shiftright(code, 58).bitwiseAND(1)
+    begin = F.struct(half.alias("h"), F.lit(0).cast("bigint").alias("u"), F.lit(0).cast("bigint").alias("v"))
+
+    def step(s: Column, k: Column) -> Column:
+        d = F.call_function("shiftright", code, (56 - 2 * k).cast("int")).bitwiseAND(3)
+        ub, vb = F.when(d == 1, 0).when(d == 2, 1).otherwise(s["h"]), F.when(d == 1, 1).when(d == 2, 0).otherwise(s["h"])
+        return F.struct(F.when(d == 3, 1 - s["h"]).otherwise(s["h"]).alias("h"), (2 * s["u"] + ub).alias("u"), (2 * s["v"] + vb).alias("v"))
+
+    last = lambda s: F.struct(F.shiftrightunsigned(code, 59).cast("int").alias("diamond"), (2 * s["u"] + s["h"]).alias("u"), (2 * s["v"] + s["h"]).alias("v"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(28)), begin, step, last)
+
+
+def disk_order(t: Column) -> Column:
+    """A texel's place in the order of the triangle hierarchy of its cell: the half of the whole cell, then for each of 8 levels which of four children, in the order of `texel_children`."""
+    tx, ty, half = texel_parts(t)
+    # from the texel up: the parent's half, and which child this is
+    begin = F.struct(tx.alias("x"), ty.alias("y"), half.alias("h"), F.lit(0).cast("bigint").alias("path"))
+
+    def step(s: Column, k: Column) -> Column:
+        x1, y1 = s["x"] % 2, s["y"] % 2
+        up = F.when((x1 == 1) & (y1 == 1), 1).when((x1 == 0) & (y1 == 0), 0).otherwise(s["h"])
+        child = F.when(up != s["h"], 3).when(x1 == y1, 0).when(y1 == 1, 1).otherwise(2)
+        return F.struct(F.shiftright(s["x"], 1).alias("x"), F.shiftright(s["y"], 1).alias("y"), up.cast("bigint").alias("h"), (s["path"] + F.call_function("shiftleft", child.cast("bigint"), (2 * k).cast("int"))).alias("path"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TEX_BITS - 1)), begin, step, lambda s: F.shiftleft(s["h"], 2 * TEX_BITS) + s["path"])
+
+
+def file_name(depth: Column, prefix: Column) -> Column:
+    """Two digits of the depth and sixteen of the cell, moved up to the finest depth, in lower-case hexadecimal."""
+    raw = F.call_function("shiftleft", prefix, (60 - 2 * depth).cast("int"))
+    return F.concat(F.lpad(depth.cast("string"), 2, "0"), F.lpad(F.lower(F.hex(raw)), 16, "0"))
+
+
+def from_file_name(name: Column) -> Column:
+    """(depth, prefix) of a file name, whatever follows its 18 characters; null for another form."""
+    depth, raw = F.substring(name, 1, 2).try_cast("int"), F.conv(F.substring(name, 3, 16), 16, -10).cast("bigint")
+    good = F.substring(name, 1, 18).rlike("^[0-9]{2}[0-9a-fA-F]{16}$") & (depth <= 30)
+    return F.when(good, F.struct(depth.alias("depth"), F.call_function("shiftrightunsigned", raw, (60 - 2 * depth).cast("int")).alias("prefix")))
+
+
+def base64url(data: Column) -> Column:
+    """Bytes spelled as a name: base 64 with - and _, without padding."""
+    return F.rtrim(F.translate(F.base64(data), "+/=", "-_ "))
+
+
+def _samples(regions: DataFrame, depth: int, n: int, margin: float) -> DataFrame:
+    """regions (prefix) with places of an (n + 1) x (n + 1) grid that reaches a share `margin` of the cell past its edges."""
+    gu, gv = grid(depth, F.col("prefix"))
+    at = lambda c: F.lit(-margin) + F.lit(1 + 2 * margin) * c / n
+    out = regions.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    out = out.withColumns({"_d": cell_diamond(depth, F.col("prefix")).cast("int"), "_su": (gu + at(F.col("_i"))) / (1 << depth), "_sv": (gv + at(F.col("_j"))) / (1 << depth)})
+    out = locate(out, "_d", "_su", "_sv", "_lat", "_lon").drop("_d", "_su", "_sv", "_i", "_j")
+    return out.withColumn("_lon", F.pmod(F.col("_lon") + 180, F.lit(360.0)) - 180)
+
+
+def degree_squares(regions: DataFrame, depth: int) -> DataFrame:
+    """(prefix, lat, lon): the one-degree squares (south-west corners) that regions touch, by samples two per cent past their edges."""
+    return _samples(regions, depth, 96, 0.02).select("prefix", F.floor(F.col("_lat") + 1e-9).cast("int").alias("lat"), F.floor(F.col("_lon") + 1e-9).cast("int").alias("lon")).distinct()
+
+
+def region_boxes(regions: DataFrame, depth: int) -> DataFrame:
+    """(prefix, part, lat0, lon0, lat1, lon1): boxes of regions, samples three per cent past the edges and 0.05 degrees more; the whole width at a pole, two boxes (a, b) across the date line."""
+    s = _samples(regions, depth, 48, 0.03)
+    lon = F.col("_lon")
+    g = s.groupBy("prefix").agg(F.min("_lat").alias("s"), F.max("_lat").alias("n"), F.max((F.abs("_lat") > 89.5).cast("int")).alias("pole"), F.min("_lon").alias("w"), F.max("_lon").alias("e"), F.min(F.when(lon > 0, lon)).alias("east"), F.max(F.when(lon < 0, lon)).alias("west"))
+    box = lambda part, w, e: F.struct(F.lit(part).alias("part"), w.alias("lon0"), e.alias("lon1"))
+    less, more = lambda c: F.greatest(F.col(c) - 0.05, F.lit(-180.0)), lambda c: F.least(F.col(c) + 0.05, F.lit(180.0))
+    boxes = F.when(F.col("pole") == 1, F.array(box("", F.lit(-180.0), F.lit(180.0)))).when(F.col("e") - F.col("w") > 180, F.array(box("a", less("east"), F.lit(180.0)), box("b", F.lit(-180.0), more("west")))).otherwise(F.array(box("", less("w"), more("e"))))
+    g = g.withColumn("b", F.explode(boxes))
+    return g.select("prefix", "b.part", F.greatest(F.col("s") - 0.05, F.lit(-90.0)).alias("lat0"), "b.lon0", F.least(F.col("n") + 0.05, F.lit(90.0)).alias("lat1"), "b.lon1")

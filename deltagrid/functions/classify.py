@@ -231,3 +231,102 @@ def point_kind(tags: Column) -> Column:
     rank = F.when(kind == 64, F.coalesce(people, F.lit(100_000))).when(kind == 65, F.coalesce(people, F.lit(10_000))).when(kind == 66, F.coalesce(people, F.lit(1_000))).when(kind == 67, F.coalesce(people, F.lit(100)))
     rank = rank.when(kind.isin(68, 69), height(25)).when(kind == 70, height(2)).when(kind == 73, 50).when(kind == 82, 10_000_000).when(kind.isin(80, 81), 100_000).when(kind == 78, 50_000).when(kind == 84, F.coalesce(people, F.lit(5_000))).when(kind == 90, F.greatest(height(1), F.lit(20))).otherwise(10)
     return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), rank).alias("rank"))
+
+
+# Kinds marked with or without a name, and their words.
+MARKED = {77: "Exit", 86: "Drinking water", 87: "Toilets", 88: "Shelter", 89: "Ranger station", 90: "Lookout", 91: "Hot spring", 92: "Cave", 93: "Gate", 94: "Ford"}
+# The kind that a closed outline names.
+OUTLINES = {78: {"place": "island"}, 79: {"place": "islet"}, 83: {"natural": "cape peninsula"}, 85: {"place": "locality"}}
+# Who is lettered first, lower first; by kind.
+TIERS = {0: (64, 65), 1: (68, 69), 2: (44, 78, 80, 81, 82), 3: (1, 2, 3), 4: (12,), 5: (66, 67, 84), 6: (4, 5, 8, 9, 13, 14, 15, 16, 17, 18, 20), 7: (6, 7, 10, 77), 8: (79, 83, 85, 19, 21)}
+# Kilometres an hour at most, and seconds a turn costs.
+MODES = {"car": (130.0, 4.0), "bike": (30.0, 2.0), "foot": (6.0, 0.0)}
+
+
+def outline_kind(tags: Column) -> Column:
+    """The kind of a closed outline: island, islet, cape or locality, else the business drawn there."""
+    return F.coalesce(*(F.when(_matches(tags, m), k) for k, m in OUTLINES.items()), business(tags))
+
+
+def marks_unnamed(kind: Column) -> Column:
+    return kind.isin(*MARKED)
+
+
+def _list(text: Column, keep_empty: bool) -> Column:
+    parts = F.transform(F.split(text, ";"), lambda x: F.trim(x))
+    return F.array_join(parts if keep_empty else F.filter(parts, lambda x: x != ""), ", ")
+
+
+def feature_names(tags: Column) -> Column:
+    """(name, reference); an unnamed ramp goes by where it leads."""
+    t = lambda k: F.coalesce(tag(tags, k), F.lit(""))
+    ramp = t("highway").endswith("_link") & (t("name") == "")
+    to = _list(t("destination"), False)
+    name = F.when(ramp & (to != ""), F.concat(F.lit("toward "), to)).otherwise(t("name"))
+    reference = F.when(ramp & (t("ref") == ""), _list(t("destination:ref"), True)).otherwise(t("ref"))
+    return F.struct(name.alias("name"), reference.alias("reference"))
+
+
+def business_names(tags: Column) -> Column:
+    """(name, reference): the brand stands for a missing name, and is the reference where the name does not hold it."""
+    t = lambda k: F.coalesce(tag(tags, k), F.lit(""))
+    name = F.when(t("name") == "", t("brand")).otherwise(t("name"))
+    return F.struct(name.alias("name"), F.when((t("name") == "") | t("name").contains(t("brand")), "").otherwise(t("brand")).alias("reference"))
+
+
+def point_label(kind: Column, name: Column, reference: Column) -> Column:
+    """(name, reference) of a marked point: named ones and numbered exits as they are, taps, gates and the like by their kind's word; null for the rest."""
+    named = (name != "") | ((kind == 77) & (reference != ""))
+    word = lookup(kind, {k: v for k, v in MARKED.items() if k != 77})
+    return F.when(named, F.struct(name.alias("name"), reference.alias("reference"))).when(word.isNotNull(), F.struct(F.lit("").alias("name"), word.alias("reference")))
+
+
+def furniture(tags: Column) -> Column:
+    """Sidewalks, crossings and islands drawn as footways of their own."""
+    return F.coalesce(tag(tags, "footway").isin("sidewalk", "crossing", "traffic_island", "access_aisle"), F.lit(False))
+
+
+def seaward(tags: Column) -> Column:
+    """A boundary's member that runs along the coast or at sea."""
+    return F.coalesce(tag(tags, "maritime") == "yes", F.lit(False)) | F.coalesce(tag(tags, "natural") == "coastline", F.lit(False))
+
+
+def closed(refs: Column) -> Column:
+    """Four references at least, the last one the first."""
+    return (F.size(refs) >= 4) & (F.get(refs, F.lit(0)) == F.try_element_at(refs, F.lit(-1)))
+
+
+def top_speed(mode: Column) -> Column:
+    """Metres a second at most."""
+    return lookup(mode, {k: v[0] / 3.6 for k, v in MODES.items()})
+
+
+def turn_seconds(mode: Column) -> Column:
+    return lookup(mode, {k: v[1] for k, v in MODES.items()})
+
+
+def keeps_one_ways(mode: Column) -> Column:
+    return mode != "foot"
+
+
+def against_one_way(du: Column, dv: Column, direction: Column) -> Column:
+    """Whether a step runs against a way's direction (radians)."""
+    return du * F.cos(direction) + dv * F.sin(direction) <= -0.05
+
+
+def tier(kind: Column) -> Column:
+    """Who is lettered first: lower first, null for power lines; businesses after everything else."""
+    out = F.when(kind == 11, None)
+    for t, kinds in TIERS.items():
+        out = out.when(kind.isin(*kinds), t)
+    return out.when(kind >= 95, 20).when(kind >= 64, 9).when(kind >= 32, 8).otherwise(7)
+
+
+def tier_limit(density: Column) -> Column:
+    """The deepest tier that a density (0 to 1) lets through."""
+    return F.round(F.least(F.greatest(density, F.lit(0.0)), F.lit(1.0)) * 9).cast("int")
+
+
+def rank_group(kind: Column) -> Column:
+    """Kinds lettered by rank among their own: places, summits, rivers, lakes."""
+    return F.when(kind.between(64, 67), 0).when(kind.isin(68, 69), 1).when(kind == 12, 2).when(kind == 44, 3)

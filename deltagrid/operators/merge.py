@@ -26,6 +26,12 @@ def values(new: DataFrame, old: DataFrame, column: str) -> DataFrame:
     return new.select(*KEY, F.col(column).alias("_n")).join(old.select(*KEY, F.col(column).alias("_o")), KEY, "full_outer").select(*KEY, F.coalesce("_n", "_o").alias(column))
 
 
+def names(new: DataFrame, old: DataFrame, take_new, column: str = "name") -> DataFrame:
+    """Names by texel: the new one where a predicate on it says so, else the old one; texels that get none drop out."""
+    both = new.select(*KEY, F.col(column).alias("_n")).join(old.select(*KEY, F.col(column).alias("_o")), KEY, "full_outer")
+    return both.select(*KEY, F.when(F.coalesce(take_new(F.col("_n")), F.lit(False)), F.col("_n")).otherwise(F.col("_o")).alias(column)).where(F.col(column).isNotNull())
+
+
 def highest(new: DataFrame, old: DataFrame, column: str = "cov") -> DataFrame:
     return new.select(*KEY, F.col(column)).unionByName(old.select(*KEY, F.col(column))).groupBy(*KEY).agg(F.max(column).alias(column))
 

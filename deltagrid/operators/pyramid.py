@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..functions import tone as L
 
 
 def with_parent(df: DataFrame) -> DataFrame:
@@ -61,3 +62,12 @@ def pyramid(df: DataFrame, step, to_depth: int, from_depth: int) -> DataFrame:
 
 def running_total(df: DataFrame, part: list[str], order: str, value: str) -> Column:
     return F.sum(value).over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def images(t: DataFrame, bands: list[str]) -> DataFrame:
+    """Imagery one depth coarser, in the tone of imagery: each band the mean of its lit children (not 0) as scene light. t: depth, prefix, texel, tone, bands."""
+    cell, up = C.texel_parent(F.col("prefix"), F.col("texel"))
+    mean = lambda b: F.avg(F.when(F.col(b) > 0, L.unroll(F.col("tone"), F.col(b))))
+    held = t.select((F.col("depth") - 1).alias("depth"), cell.alias("prefix"), up.alias("texel"), "tone", *bands)
+    g = held.groupBy("depth", "prefix", "texel").agg(*(mean(b).alias(b) for b in bands))
+    return g.select("depth", "prefix", "texel", *(F.when(F.col(b).isNull(), 0).otherwise(L.roll(F.lit(L.IMAGERY), F.col(b))).alias(b) for b in bands))

@@ -71,3 +71,24 @@ def test_upstream_refuses_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1)], "src bigint, dst bigint")
     with pytest.raises(ValueError):
         lines.upstream(edges, own, graph.cut, most=4).count()
+
+
+@pytest.mark.parametrize("m, expected", [(4.9, "0 m"), (95, "100 m"), (99, "100 m"), (124, "100 m"), (130, "150 m"), (999, "1000 m"), (1000, "1.0 km"), (1150, "1.1 km"), (1250, "1.2 km"), (1350, "1.4 km"), (1750, "1.8 km"), (12_340, "12.3 km"), (1_234_560, "1234.6 km")])
+def test_lengths(spark, m, expected):
+    assert one(spark, T.rounded_length(F.lit(float(m)))) == expected
+
+
+@pytest.mark.parametrize("s, expected", [(0, "0 min"), (89, "1 min"), (90, "2 min"), (3600, "1 h 00 min"), (3900, "1 h 05 min"), (90_000, "25 h 00 min")])
+def test_durations(spark, s, expected):
+    assert one(spark, T.duration(F.lit(float(s)))) == expected
+
+
+@pytest.mark.parametrize("text, expected", [("0.2.7", (0, 2, 7)), ("0.216.1+457980b", (0, 216, 1)), ("1.2", None), ("1.2.3.4", None), ("v1.2.3", None), ("", None), ("1.2.x", None)])
+def test_versions(spark, text, expected):
+    got = one(spark, T.version(F.lit(text)))
+    assert (got if got is None else tuple(got)) == expected
+
+
+@pytest.mark.parametrize("kind, name, reference, expected", [(68, "Baker", "8611", "Baker"), (68, "", "8611", "8611"), (77, "Seneca St", "165A", "165A Seneca St"), (77, "", "2", "2"), (3, "Oak", "SR 20", "Oak (SR 20)"), (3, "SR 20 North", "SR 20", "SR 20 North"), (3, "", "", "")])
+def test_labels(spark, kind, name, reference, expected):
+    assert one(spark, T.label(F.lit(kind), F.lit(name), F.lit(reference))) == expected
