@@ -1,8 +1,8 @@
 """Map extracts in the protocol-buffer format as a data source, and what is read from them.
 
-`read(spark, path)` registers the source, turns filter push-down for Python sources on and gives one row an element. The
-driver reads block headers only; a task reads a run of blocks. A filter on kind (pushed down, or the option `kinds`) skips
-the groups of other kinds before they are decoded.
+`read(spark, path)` registers the source and gives one row an element. The driver reads block headers only; a task reads a
+run of blocks. The option `kinds` skips the groups of other kinds before they are decoded. It is an option and no pushed
+filter, as scans of one file under different pushed filters can be taken for one another when a plan is reused.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import classify as K
 from .files import File, runs
@@ -156,14 +156,6 @@ class Reader(DataSourceReader):
     def __init__(self, path: str, kinds: frozenset[str]):
         self.path, self.kinds = path, kinds
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if wanted is not None and f.attribute == ("kind",):
-                self.kinds &= wanted
-            else:
-                yield f
-
     def partitions(self) -> list[Blocks]:
         with File(self.path) as f:
             places = headers(f)
@@ -190,7 +182,6 @@ class Extract(DataSource):
 
 
 def read(spark: SparkSession, path: str, kinds: str | None = None) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Extract)
     found = spark.read.format("map_extract")
     return (found.option("kinds", kinds) if kinds else found).load(path)

@@ -6,7 +6,6 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import EqualTo
 
 from deltagrid.sources import extract, raster, shapes
 
@@ -69,8 +68,6 @@ def test_map_extracts(spark, extract_file):
     assert rows["way", 100]["refs"] == [10, 11, 14] and [(m["kind"], m["id"], m["role"]) for m in rows["relation", 7]["members"]] == [("way", 102, "outer"), ("way", 103, "outer"), ("node", 20, "outer")]
     assert {r["kind"] for r in extract.read(spark, extract_file, "way").collect()} == {"way"}
     assert e.where("kind = 'way' AND id > 103").select("id").count() == 2
-    reader = extract.Reader(extract_file, frozenset(extract.KINDS))
-    assert not list(reader.pushFilters([EqualTo(("kind",), "way")])) and reader.kinds == {"way"}
 
 
 def test_what_is_read_from_extracts(spark, extract_file):
