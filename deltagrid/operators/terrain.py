@@ -19,6 +19,15 @@ def bilinear(points: DataFrame, raster: DataFrame) -> DataFrame:
     return j.groupBy("id", "tile").agg((F.sum(w * F.col("v")) / F.when(F.sum(w) > 0, F.sum(w))).alias("v"))
 
 
+def profile(pairs: DataFrame, raster: DataFrame, samples: int) -> DataFrame:
+    """(id, sample, v): heights at so many even places between two points of a tile (two at least). pairs: id, tile, x0, y0, x1, y1 in pixels."""
+    n = max(samples, 2)
+    s = pairs.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_t", F.col("_i") / (n - 1))
+    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("_t")
+    v = bilinear(s.select(F.struct("id", F.col("_i").alias("sample")).alias("id"), "tile", at("x0", "x1").alias("x"), at("y0", "y1").alias("y")), raster)
+    return v.select("id.id", "id.sample", "v")
+
+
 def first_with_data(samples: DataFrame, margin: float = 0.25) -> DataFrame:
     """(id, v): of a point's samples (id, priority, v, flat) the first; if that one lies on flattened water, the first later one that is lower by more than the margin, else the first."""
     held = samples.where(F.col("v").isNotNull())

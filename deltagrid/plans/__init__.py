@@ -3,7 +3,7 @@
 from importlib import import_module
 
 FLAGSHIP = "slice_fixes_by_cell"
-MODULES = ("cells", "rules", "tables", "layers", "kinds", "shapes", "joins")
+MODULES = ("cells", "rules", "tables", "layers", "kinds", "shapes", "joins", "routes", "stores")
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _name in MODULES:
