@@ -48,12 +48,14 @@ def found(matches: DataFrame, points: DataFrame, ranges: DataFrame) -> DataFrame
 
 
 def geocode(typed: DataFrame, streets: DataFrame, points: DataFrame, ranges: DataFrame, near_zips: DataFrame, limit: int = 8) -> DataFrame:
-    """(id, place, score, street, lat, lon): what typed texts (id, text) mean, best first. A typed ZIP rules; without one the ZIPs in near_zips (zip, seq) are tried. The limit is what a search shows."""
+    """(id, place, score, street, lat, lon): what typed texts (id, text) mean, best first. A typed ZIP rules; without one the first 16 ZIPs in near_zips (zip, seq) are tried. The limit is what a search shows."""
     from pyspark.sql import Window
 
     q = typed.withColumn("_a", T.typed_address(F.col("text"))).where("_a IS NOT NULL").select("id", "_a.number", F.col("_a.street").alias("text"), "_a.zip")
     known = q.where("zip IS NOT NULL").withColumn("seq", F.lit(0))
-    tried = q.where("zip IS NULL").drop("zip").crossJoin(F.broadcast(near_zips.limit(16)))
+    near = [(r["zip"], r["seq"]) for r in near_zips.select("zip", "seq").orderBy("seq", "zip").limit(16).collect()]
+    kinds = "array<struct<zip:" + near_zips.schema["zip"].dataType.simpleString() + ",seq:int>>"
+    tried = q.where("zip IS NULL").drop("zip").withColumn("_z", F.explode(F.array(*[F.struct(F.lit(z).alias("zip"), F.lit(n).alias("seq")) for z, n in near]).cast(kinds))).select("id", "number", "text", "_z.zip", "_z.seq")
     all_ = known.unionByName(tried).withColumn("_q", F.struct("id", "seq"))
     hits = found(matched(all_.select(F.col("_q").alias("id"), "number", "text", "zip"), streets), points, ranges)
     w = Window.partitionBy("id.id").orderBy("score", "id.seq", "street", "lat", "lon")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,16 +15,25 @@ RING = "array<struct<lat:double,lon:double>>"
 
 
 def assemble(parts: list[list[int]]) -> list[list[int]]:
-    """Closed rings of fragments joined end to end in either direction, the first unused one first; what does not close is dropped, and so are rings under four references."""
-    left, rings = [list(p) for p in parts if len(p) > 1], []
-    while left:
-        ring = left.pop(0)
+    """Closed rings of fragments joined end to end in either direction, the first unused one first; what does not close is dropped, and so are rings under four references. Fragments are found by their end nodes, so the work is in proportion to the references."""
+    parts, rings, used, ends = [list(p) for p in parts if len(p) > 1], [], set(), defaultdict(deque)
+    for i, p in enumerate(parts):
+        for node in {p[0], p[-1]}:
+            ends[node].append(i)
+    for i, p in enumerate(parts):
+        if i in used:
+            continue
+        used.add(i)
+        ring = p
         while ring[0] != ring[-1]:
-            hit = next((i for i, p in enumerate(left) if ring[-1] in (p[0], p[-1])), None)
-            if hit is None:
+            touching = ends[ring[-1]]
+            while touching and touching[0] in used:
+                touching.popleft()
+            if not touching:
                 break
-            p = left.pop(hit)
-            ring += p[1:] if p[0] == ring[-1] else p[-2::-1]
+            used.add(touching[0])
+            q = parts[touching.popleft()]
+            ring += q[1:] if q[0] == ring[-1] else q[-2::-1]
         if ring[0] == ring[-1] and len(ring) >= 4:
             rings.append(ring)
     return rings

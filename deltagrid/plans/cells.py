@@ -131,12 +131,12 @@ def c15_texel_parent(spark, sf):
     return t.select("prefix", "texel", cell.alias("parent"), up.alias("parent_texel"))
 
 
-@query(f"""WITH {GLOBE}, t AS (SELECT DISTINCT {V.texel_sql(10)} AS t FROM coded) SELECT count(*) * 4 AS children, count(*) * 4 AS returned FROM t""")
+@query(f"""WITH {GLOBE}, t AS (SELECT DISTINCT {V.texel_sql(10)} AS t FROM coded), x AS (SELECT q, c, (c>>1)&255 AS tx, c>>9 AS ty, c&1 AS h FROM range(4) a(q), range(131072) b(c)),
+u AS (SELECT q, c, ((((((q & 1) << 7) + (ty >> 1)) << 8) | (((q >> 1 & 1) << 7) + (tx >> 1))) << 1) | CASE WHEN tx%2=1 AND ty%2=1 THEN 1 WHEN tx%2=0 AND ty%2=0 THEN 0 ELSE h END AS up FROM x) SELECT t AS texel, q AS quarter, c AS child FROM t JOIN u ON up = t""")
 def c15_texel_children(spark, sf):
-    """Every child's parent is the texel it came from."""
+    """The four children of each texel, against all texels of four cells whose parent it is."""
     t = globe(spark, sf).select(C.texel(10).alias("texel")).distinct().withColumn("c", F.explode(C.texel_children(F.col("texel"))))
-    cell, up = C.texel_parent(F.col("c.quarter"), F.col("c.texel"))
-    return t.select((up == F.col("texel")).cast("bigint").alias("ok")).agg(F.count("*").alias("children"), F.sum("ok").alias("returned"))
+    return t.select("texel", F.col("c.quarter").cast("bigint").alias("quarter"), F.col("c.texel").alias("child"))
 
 
 @query(f"""WITH {GLOBE}, t AS (SELECT DISTINCT {V.texel_sql(10)} AS t FROM coded), x AS (SELECT t, (t>>1)&255 AS tx, t>>9 AS ty, t&1 AS h, CASE t&1 WHEN 0 THEN -1 ELSE 1 END AS s FROM t),

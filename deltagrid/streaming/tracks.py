@@ -43,15 +43,15 @@ def deduplicated(fixes: DataFrame, key: str, ts: str, late: str) -> DataFrame:
     return _timed(fixes, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def stream_chunks(fixes: DataFrame, track: str, size: int = 64) -> DataFrame:
-    """Streaming: (track, chunk, first, last, n) of each full chunk. State is one short list and a counter a track."""
+def stream_chunks(fixes: DataFrame, track: str, size: int = 64, order: str = "event_id") -> DataFrame:
+    """Streaming: (track, chunk, first, last, n) of each full chunk, by an integer that orders fixes. State is one short list and a counter a track."""
     key = fixes.schema[track].dataType.simpleString()
 
     def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         chunk, held = state.get if state.exists else (0, [])
         held, out = list(held), []
         for b in batches:
-            held += b.sort_values("event_id")["event_id"].tolist()
+            held += b[order].sort_values().tolist()
         while len(held) >= size:
             out.append((k[0], chunk, held[0], held[size - 1], size))
             chunk, held = chunk + 1, held[size:]
@@ -62,13 +62,19 @@ def stream_chunks(fixes: DataFrame, track: str, size: int = 64) -> DataFrame:
 
 
 def write_latest(fixes: DataFrame, path: str, track: str, order: list[str], checkpoint: str):
-    """Streaming: keeps a table of each track's last fix; every micro-batch reads the version before and writes a new one, so a batch that is run again gives the same."""
+    """Streaming: keeps a table of each track's last fix; every micro-batch reads the newest version before it and writes its own, so a batch that is run again gives the same. The version before stays for that; older ones are deleted."""
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        before = sorted(v for v in (int(n.removeprefix("version=")) for n in names if n.startswith("version=")) if v < epoch)
         new = latest(batch, track, order)
-        if epoch > 0:
-            new = latest(new.unionByName(spark.read.parquet(f"{path}/version={epoch - 1}")), track, order)
+        if before:
+            new = latest(new.unionByName(spark.read.parquet(f"{path}/version={before[-1]}")), track, order)
         new.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        for v in before[:-1]:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}"), True)
 
     return fixes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)

@@ -46,3 +46,10 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.table("asked").collect()) == ASKED
+
+
+def test_without_zips_near_nothing_is_found(spark, tables):
+    streets, points, ranges, near = tables
+    typed = spark.createDataFrame([(1, "647 Talon Trail"), (2, "647 Talon Trail 59912")], "id int, text string")
+    got = {r["id"] for r in address.geocode(typed, streets, points, ranges, near.limit(0)).collect()}
+    assert got == {2}
