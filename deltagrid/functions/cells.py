@@ -88,12 +88,13 @@ def encode(df: DataFrame, lat: str = "lat", lon: str = "lon", within: list[int]
 
 def locate(df: DataFrame, diamond: str, u: str, v: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """df with lat and lon of continuous diamond coordinates (0 to 1)."""
-    corners = F.array(*[F.array(*[F.lit(float(x)) for k in d for x in VERTICES[k]]) for d in DIAMONDS])
+    # a lambda over the axes is evaluated outside whole-stage code, which keeps a chain of grid functions below the JVM compiler's limit for one method
+    corners = F.array(*[F.array(*[F.struct(*[F.lit(float(VERTICES[k][a])).alias(n) for k, n in zip(d, "aqrb", strict=True)]) for a in range(3)]) for d in DIAMONDS])
     cu, cv = F.col(u), F.col(v)
     lower = cu + cv <= 1
-    out = df.withColumn("_c", F.get(corners, F.col(diamond).cast("int"))).withColumns({"_wa": F.when(lower, 1 - cu - cv).otherwise(0.0), "_wq": F.when(lower, cu).otherwise(1 - cv), "_wr": F.when(lower, cv).otherwise(1 - cu), "_wb": F.when(lower, 0.0).otherwise(cu + cv - 1)})
-    axis = lambda k: sum((F.get("_c", F.lit(3 * i + k)) * F.col(w) for i, w in enumerate(("_wq", "_wr", "_wb"), 1)), F.get("_c", F.lit(k)) * F.col("_wa"))
-    out = out.withColumns({"_px": axis(0), "_py": axis(1), "_pz": axis(2)})
+    out = df.withColumns({"_wa": F.when(lower, 1 - cu - cv).otherwise(0.0), "_wq": F.when(lower, cu).otherwise(1 - cv), "_wr": F.when(lower, cv).otherwise(1 - cu), "_wb": F.when(lower, 0.0).otherwise(cu + cv - 1)})
+    out = out.withColumn("_c", F.transform(F.get(corners, F.col(diamond).cast("int")), lambda c: c["a"] * F.col("_wa") + c["q"] * F.col("_wq") + c["r"] * F.col("_wr") + c["b"] * F.col("_wb")))
+    out = out.withColumns({"_px": F.get("_c", F.lit(0)), "_py": F.get("_c", F.lit(1)), "_pz": F.get("_c", F.lit(2))})
     norm = F.sqrt(F.col("_px") * F.col("_px") + F.col("_py") * F.col("_py") + F.col("_pz") * F.col("_pz"))
     return out.withColumns({lat: F.degrees(F.asin(F.col("_pz") / norm)), lon: F.degrees(F.atan2("_py", "_px"))}).drop("_c", "_wa", "_wq", "_wr", "_wb", "_px", "_py", "_pz")
 
