@@ -55,11 +55,11 @@ def cached_bytes(index: DataFrame, pinned: DataFrame) -> DataFrame:
     return j.agg(zero("bytes").alias("cached"), zero(F.when(F.col("_p"), F.col("bytes"))).alias("pinned"))
 
 
-def kind(data: Column, sections: Column) -> Column:
-    """A stored entry's kind: zstd, etag, its sections' names (sorted, each once, joined by +), vsf where it has none, raw where it is no document (sections null), unreadable without data."""
+def kind(data: Column, sections: Column, empty: str = "document") -> Column:
+    """A stored entry's kind: zstd, etag, its sections' names (sorted, each once, joined by +), the word for an empty document where it has none, raw where it is no document (sections null), unreadable without data."""
     names = F.array_join(F.array_sort(F.array_distinct(sections)), "+")
     tag = (F.length(data) < 80) & (F.length(data) > 0) & (F.substring(data, 1, 1) == F.lit(b'"')) & (F.substring(data, -1, 1) == F.lit(b'"'))
-    return F.when(data.isNull(), "unreadable").when(F.substring(data, 1, 4) == F.lit(b"\x28\xb5\x2f\xfd"), "zstd").when(tag, "etag").when(sections.isNull(), "raw").when(F.size(sections) == 0, "vsf").otherwise(names)
+    return F.when(data.isNull(), "unreadable").when(F.substring(data, 1, 4) == F.lit(b"\x28\xb5\x2f\xfd"), "zstd").when(tag, "etag").when(sections.isNull(), "raw").when(F.size(sections) == 0, empty).otherwise(names)
 
 
 def census(entries: DataFrame) -> DataFrame:

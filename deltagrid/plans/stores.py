@@ -87,7 +87,7 @@ def a27_cached_bytes(spark, sf):
     return S.cached_bytes(index(spark, sf), pinned)
 
 
-@query("""WITH e AS (SELECT o_orderkey % 7 AS k, length(o_orderpriority) AS n FROM orders) SELECT CASE k WHEN 0 THEN 'unreadable' WHEN 1 THEN 'zstd' WHEN 2 THEN 'etag' WHEN 3 THEN 'raw' WHEN 4 THEN 'vsf' WHEN 5 THEN 'dem+names' ELSE 'raw' END AS kind, count(*) AS n, coalesce(sum(CASE k WHEN 1 THEN n + 4 WHEN 2 THEN n + 2 WHEN 6 THEN n + 82 WHEN 0 THEN NULL ELSE n END), 0)::BIGINT AS bytes FROM e GROUP BY ALL""")
+@query("""WITH e AS (SELECT o_orderkey % 7 AS k, length(o_orderpriority) AS n FROM orders) SELECT CASE k WHEN 0 THEN 'unreadable' WHEN 1 THEN 'zstd' WHEN 2 THEN 'etag' WHEN 3 THEN 'raw' WHEN 4 THEN 'document' WHEN 5 THEN 'dem+names' ELSE 'raw' END AS kind, count(*) AS n, coalesce(sum(CASE k WHEN 1 THEN n + 4 WHEN 2 THEN n + 2 WHEN 6 THEN n + 82 WHEN 0 THEN NULL ELSE n END), 0)::BIGINT AS bytes FROM e GROUP BY ALL""")
 def a24_census(spark, sf):
     e = orders(spark, sf, "o_orderkey % 7 AS k", "o_orderpriority AS t")
     data = F.when(F.col("k") == 1, F.concat(F.lit(b"\x28\xb5\x2f\xfd"), F.encode("t", "UTF-8"))).when(F.col("k") == 2, F.encode(F.concat(F.lit('"'), "t", F.lit('"')), "UTF-8")).when(F.col("k") == 6, F.encode(F.concat(F.lit('"'), "t", F.repeat(F.lit("x"), 80), F.lit('"')), "UTF-8")).when(F.col("k") > 0, F.encode("t", "UTF-8"))
