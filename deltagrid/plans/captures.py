@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..operators import capture as A
+from ..streaming import tracks as T
 from . import views as V
 from .cells import GLOBE, globe
 from .tables import RASTER, raster
@@ -117,3 +118,17 @@ SELECT tile, px, py, round(1/sqrt(gx*gx + gy*gy + 1), 6) AS nz, round(greatest((
 def v6_shaded(spark, sf):
     s = A.shaded(raster(spark), 30.0, (0.48, -0.64, 0.6))
     return s.select("tile", "px", "py", F.round("nz", 6).alias("nz"), (F.round("light", 6) + 0.0).alias("light"))
+
+
+_RECORD = {"coord": "event_id * 7", "ms": "event_id * 1000", "height": "CASE WHEN event_id % 9 = 0 THEN -2147483648 ELSE event_id % 5000 - 100 END", "accuracy": "event_id % 3000", "vaccuracy": "CASE WHEN event_id % 4 = 0 THEN 65535 ELSE event_id % 700 END", "speed": "CASE WHEN event_id % 5 = 0 THEN 65535 ELSE event_id % 900 END", "bearing": "event_id % 36000"}
+
+
+@query(f"""WITH r AS (SELECT user_id, event_id % 5 AS chunk, row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY event_id) - 1 AS n, {', '.join(f'{e} AS {c}' for c, e in _RECORD.items())} FROM events WHERE user_id IS NOT NULL)
+SELECT user_id, chunk, CAST(n AS INT) AS n, coord, ms AS unix_ms, nullif(height, -2147483648) / 100e0 AS height_m, accuracy / 100e0 AS accuracy_m, nullif(vaccuracy, 65535) / 100e0 AS v_accuracy_m, nullif(speed, 65535) / 100e0 AS speed_ms, nullif(bearing, 65535) / 100e0 AS bearing_deg FROM r WHERE (user_id + chunk) % 11 <> 3""")
+def s22_recorded(spark, sf):
+    """Chunks of which every eleventh has lost the last entry of a column."""
+    e = spark.read.parquet(f"{sf}/events.parquet").where("user_id IS NOT NULL").selectExpr("user_id", "event_id % 5 AS chunk", "event_id", *(f"{x} AS {c}" for c, x in _RECORD.items()))
+    g = e.groupBy("user_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("event_id", *_RECORD))).alias("f"))
+    g = g.select("user_id", "chunk", *(F.col(f"f.{c}").alias(c) for c in _RECORD))
+    lost = F.when((F.col("user_id") + F.col("chunk")) % 11 == 3, F.slice("speed", 1, F.size("speed") - 1)).otherwise(F.col("speed"))
+    return T.recorded(g.withColumn("speed", lost), "user_id")

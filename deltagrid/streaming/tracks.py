@@ -78,3 +78,14 @@ def write_latest(fixes: DataFrame, path: str, track: str, order: list[str], chec
             files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}"), True)
 
     return fixes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+
+
+def recorded(chunks: DataFrame, track: str) -> DataFrame:
+    """(track, chunk, n, coord, unix_ms, height_m, accuracy_m, v_accuracy_m, speed_ms, bearing_deg) of recorded chunks, whose columns are arrays coord, ms, height, accuracy, vaccuracy, speed, bearing in hundredths. The least 32-bit number is no height, 65535 none of the last three. A chunk without a column, or with columns of unequal lengths, gives nothing."""
+    names = ["coord", "ms", "height", "accuracy", "vaccuracy", "speed", "bearing"]
+    whole = F.lit(True)
+    for c in names[1:]:
+        whole = whole & (F.size(c) == F.size("coord")) & F.col(c).isNotNull()
+    f = chunks.where(F.col("coord").isNotNull() & whole).select(track, "chunk", F.posexplode(F.arrays_zip(*names)).alias("n", "_f"))
+    known = lambda c, none: F.when(F.col(f"_f.{c}") != none, F.col(f"_f.{c}") / 100.0)
+    return f.select(track, "chunk", "n", "_f.coord", F.col("_f.ms").alias("unix_ms"), known("height", -(2**31)).alias("height_m"), (F.col("_f.accuracy") / 100.0).alias("accuracy_m"), *(known(c, 65535).alias(n) for c, n in (("vaccuracy", "v_accuracy_m"), ("speed", "speed_ms"), ("bearing", "bearing_deg"))))

@@ -94,3 +94,13 @@ def test_layer_tables_prune_by_depth_merge_into_versions_and_publish_changes(spa
     assert tables.read_layer(spark, root, "line").count() == 3
     tables.publish(tables.read_layer(spark, root, name), tables.read_layer(spark, root, "line"), ["depth", "prefix", "texel"], f"{root}/out")
     assert sorted((r["prefix"], r["texel"]) for r in spark.read.parquet(f"{root}/out").collect()) == [(1, 1), (2, 0)]
+
+
+def test_recorded_chunks_of_unequal_columns_give_nothing(spark):
+    from deltagrid.streaming import tracks
+
+    kinds = "track int, chunk int, coord array<bigint>, ms array<bigint>, height array<int>, accuracy array<int>, vaccuracy array<int>, speed array<int>, bearing array<int>"
+    full = ([5, 6], [1, 2], [-(2**31), 250], [100, 200], [65535, 50], [65535, 100], [65535, 9000])
+    rows = [(1, 0, *full), (1, 1, *full[:5], [1], full[6]), (1, 2, None, *full[1:]), (1, 3, *full[:6], None), (1, 4, *[[]] * 7)]
+    got = [tuple(r) for r in tracks.recorded(spark.createDataFrame(rows, kinds), "track").orderBy("n").collect()]
+    assert got == [(1, 0, 0, 5, 1, None, 1.0, None, None, None), (1, 0, 1, 6, 2, 2.5, 2.0, 0.5, 1.0, 90.0)]
