@@ -1,5 +1,6 @@
 """Expected values of single functions."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from deltagrid.functions import cells as C
 from deltagrid.functions import measure as M
 from deltagrid.functions import text as T
 from deltagrid.operators import graph, lines
+from deltagrid.plans import views
 
 
 def one(spark, col):
@@ -92,3 +94,11 @@ def test_versions(spark, text, expected):
 @pytest.mark.parametrize("kind, name, reference, expected", [(68, "Baker", "8611", "Baker"), (68, "", "8611", "8611"), (77, "Seneca St", "165A", "165A Seneca St"), (77, "", "2", "2"), (3, "Oak", "SR 20", "Oak (SR 20)"), (3, "SR 20 North", "SR 20", "SR 20 North"), (3, "", "", "")])
 def test_labels(spark, kind, name, reference, expected):
     assert one(spark, T.label(F.lit(kind), F.lit(name), F.lit(reference))) == expected
+
+
+def test_places_on_edges_fall_as_the_sql_says(spark):
+    """Places of sf0.1 x 60 where the last bit of a sine or of a sum decides on the cell."""
+    places = [(-52.12, -180.0), (-76.3, -36.0), (72.0, 90.0), (-67.84, -36.0), (-14.060000000000002, -118.5), (6.8700000000000045, 77.43), (-54.49, 86.57)]
+    expected = duckdb.sql(f"WITH {views.coded('(VALUES ' + ', '.join(f'({a!r}::DOUBLE, {o!r}::DOUBLE)' for a, o in places) + ') p(lat, lon)')} SELECT lat, lon, diamond, u, v FROM coded").fetchall()
+    got = C.encode(spark.createDataFrame(places, "lat double, lon double")).select("lat", "lon", "diamond", "u", "v").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
