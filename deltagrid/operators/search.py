@@ -25,15 +25,23 @@ def search(places: DataFrame, query: str, tier: Column, limit: int = 60) -> Data
     return g.withColumn("tier", tier).orderBy("fit", "tier", F.desc("rank"), "kind", "name", "reference").limit(limit).select("kind", "name", "reference", "fit", "tier", "rank", "_at.lat", "_at.lon")
 
 
-def nearest(points: DataFrame, places: DataFrame, reach_m: float = 2000.0, per_degree: int = 50, same: Column | None = None) -> DataFrame:
-    """(id, place, metres): each point's nearest place within reach, those for which `same` holds first; the lowest place of equals. Places are dealt to squares of 1 / per_degree degrees and each point looks into nine, so the join is on squares. A square's places are bounded by the map; a hot one splits as a skewed join."""
+def nearest(points: DataFrame, places: DataFrame, reach_m: float = 2000.0, per_degree: int = 50, alike: str | None = None, bring: tuple[str, ...] = ()) -> DataFrame:
+    """(id, place, metres, *bring): each point's nearest place within reach, those with the point's value of the column `alike` first; the lowest place of equals. bring: columns of the place found.
+
+    Points at one spot have one answer and of places at one spot only the lowest can be found, so both are joined once a spot (and value of `alike`). Spots of places are dealt to squares of 1 / per_degree degrees and those of points look into nine, so the join is on squares; nothing is broadcast, as an estimate of points does not count the nine.
+    """
     square = lambda c: F.floor(F.col(c) * per_degree).cast("int")
-    at = places.select(*(F.col(c).alias(f"p_{c}") for c in places.columns)).withColumns({"_a": square("p_lat"), "_o": square("p_lon")})
+    spot = ["lat", "lon", *([alike] if alike else [])]
+    at = places.groupBy(*spot).agg(F.min(F.struct(F.col("id").alias("p"), *bring)).alias("_p"))
+    at = at.select("_p", *(F.col(c).alias(f"p_{c}") for c in spot)).withColumns({"_a": square("p_lat"), "_o": square("p_lon")})
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    near = points.withColumn("_n", F.explode(steps)).withColumns({"_a": square("lat") + F.col("_n.i"), "_o": square("lon") + F.col("_n.j")}).drop("_n")
-    j = near.join(at, ["_a", "_o"]).withColumn("metres", M.flat_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).where(F.col("metres") < reach_m)
-    first = F.lit(0) if same is None else F.when(same, 0).otherwise(1)
-    return j.groupBy("id").agg(F.min(F.struct(first.alias("s"), F.round("metres", 6).alias("m"), F.col("p_id").alias("p"))).alias("_b")).select("id", F.col("_b.p").alias("place"), F.col("_b.m").alias("metres"))
+    near = points.select(*spot).distinct().withColumn("_n", F.explode(steps)).withColumns({"_a": square("lat") + F.col("_n.i"), "_o": square("lon") + F.col("_n.j")}).drop("_n")
+    j = near.hint("merge").join(at, ["_a", "_o"]).withColumn("metres", M.flat_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).where(F.col("metres") < reach_m)
+    other = F.lit(0) if alike is None else F.when(F.col(alike) == F.col(f"p_{alike}"), 0).otherwise(1)
+    best = j.groupBy(*spot).agg(F.min(F.struct(other.alias("s"), F.round("metres", 6).alias("m"), F.col("_p"))).alias("_b"))
+    keys = [F.col(f"x.{c}").eqNullSafe(F.col(f"b.{c}")) for c in spot]
+    found = points.select("id", *spot).alias("x").join(best.alias("b"), keys).groupBy("x.id").agg(F.min("b._b").alias("_b"))
+    return found.select("id", F.col("_b._p.p").alias("place"), F.col("_b.m").alias("metres"), *(F.col(f"_b._p.{c}").alias(c) for c in bring))
 
 
 def boxes(points: DataFrame, key: str) -> DataFrame:

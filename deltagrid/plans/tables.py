@@ -285,9 +285,9 @@ def x18_a19_t1_search(spark, sf):
 @query(f"""WITH p AS (SELECT c_custkey AS id, 46 + CAST(c_custkey*7 % 2000 AS DOUBLE)/2000 AS lat, -122 + CAST(c_custkey*11 % 2000 AS DOUBLE)/2000 AS lon FROM customer), j AS (SELECT p.id, a.id AS place, sqrt(pow((a.lon-p.lon)*cos(radians((p.lat+a.lat)/2)),2)+pow(a.lat-p.lat,2))*111320 AS m, CASE WHEN a.zip % 3 = p.id % 3 THEN 0 ELSE 1 END AS s FROM p JOIN {V.sql('g_addr')} a ON abs(a.lat-p.lat) < 0.02 AND abs(a.lon-p.lon) < 0.03)
 SELECT id, place, round(m, 2) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, round(m, 6), place) AS n FROM j WHERE m < 2000) WHERE n = 1""")
 def j14_nearest(spark, sf):
-    p = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS id", "46 + CAST(c_custkey*7 % 2000 AS DOUBLE)/2000 AS lat", "-122 + CAST(c_custkey*11 % 2000 AS DOUBLE)/2000 AS lon")
-    a = V.view(spark, sf, "g_addr").select("id", "lat", "lon", "zip")
-    return S.nearest(p, a, per_degree=30, same=F.col("p_zip") % 3 == F.col("id") % 3).select("id", "place", F.round("metres", 2).alias("metres"))
+    p = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS id", "46 + CAST(c_custkey*7 % 2000 AS DOUBLE)/2000 AS lat", "-122 + CAST(c_custkey*11 % 2000 AS DOUBLE)/2000 AS lon", "c_custkey % 3 AS part")
+    a = V.view(spark, sf, "g_addr").select("id", "lat", "lon", (F.col("zip") % 3).alias("part"))
+    return S.nearest(p, a, per_degree=30, alike="part").select("id", "place", F.round("metres", 2).alias("metres"))
 
 
 _BOXES = f"(SELECT zip, min(lat) AS lat0, min(lon) AS lon0, max(lat) AS lat1, max(lon) AS lon1 FROM {V.sql('g_addr')} GROUP BY zip)"
