@@ -115,8 +115,8 @@ b AS (SELECT id, arg_min(z, {{'m': round(m, 6), 'p': place}}) AS z FROM j WHERE
 def j15_zip_or_nearest(spark, sf):
     p = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 3 = 0 THEN 98000 + c_custkey % 100 END AS zip", "46 + CAST(c_custkey*7 % 2000 AS DOUBLE)/2000 AS lat", "-122 + CAST(c_custkey*11 % 2000 AS DOUBLE)/2000 AS lon")
     a = V.view(spark, sf, "g_addr").select("id", "lat", "lon", "zip")
-    near = S.nearest(p.where("zip IS NULL").drop("zip"), a, per_degree=30).join(a.select(F.col("id").alias("place"), F.col("zip").alias("z")), "place")
-    return p.join(near.select("id", "z"), "id", "left").select("id", F.coalesce("zip", "z").alias("zip")).where("zip IS NOT NULL")
+    near = S.nearest(p.where("zip IS NULL").drop("zip"), a, per_degree=30, bring=("zip",))
+    return p.join(near.select("id", F.col("zip").alias("z")), "id", "left").select("id", F.coalesce("zip", "z").alias("zip")).where("zip IS NOT NULL")
 
 
 @query(f"WITH {FIXES}, c AS (SELECT event_id, {V.prefix_sql(9)} AS p FROM coded) SELECT p AS prefix, count(*) AS fixes, count(DISTINCT event_id % 7) AS kinds FROM c GROUP BY p HAVING count(*) > 2")
