@@ -1,5 +1,7 @@
 """Expected values of single functions."""
 
+import heapq
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +104,21 @@ def test_places_on_edges_fall_as_the_sql_says(spark):
     expected = duckdb.sql(f"WITH {views.coded('(VALUES ' + ', '.join(f'({a!r}::DOUBLE, {o!r}::DOUBLE)' for a, o in places) + ') p(lat, lon)')} SELECT lat, lon, diamond, u, v FROM coded").fetchall()
     got = C.encode(spark.createDataFrame(places, "lat double, lon double")).select("lat", "lon", "diamond", "u", "v").collect()
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_least_costs_over_long_paths(spark):
+    """A path of 3,000 edges through 12 blocks, in fewer rounds than it has edges, with ways back and islands."""
+    n = spark.range(3000)
+    edges = n.selectExpr("id AS src", "id + 1 AS dst", "1D AS cost").unionByName(n.selectExpr("id AS src", "id - 700 AS dst", "2D AS cost")).unionByName(spark.range(9000, 9010).selectExpr("id AS src", "id + 1 AS dst", "1D AS cost"))
+    starts = spark.createDataFrame([(1500, 0.0), (1500, 5.0)], "node bigint, cost double")
+    got = {r["node"]: r["cost"] for r in graph.shortest(edges, starts, most=40, block_edges=500).collect()}
+    best, queue = {1500: 0.0}, [(0.0, 1500)]
+    while queue:
+        g, at = heapq.heappop(queue)
+        for to, c in ((at + 1, 1.0), (at - 700, 2.0)) if 0 <= at < 3000 else ():
+            if g + c < best.get(to, 1e9):
+                best[to] = g + c
+                heapq.heappush(queue, (g + c, to))
+    assert got == best
+    near = {r["node"]: r["cost"] for r in graph.shortest(edges, starts, most=40, target=F.col("node") == 2100, block_edges=500).collect()}
+    assert near[2100] == 600
