@@ -206,16 +206,16 @@ def texel_neighbours(t: Column) -> Column:
 
 
 def triangle_code() -> Column:
-    """Of (diamond, u, v): diamond, face, and 29 digits that name the sub-triangle at each level. A digit is the pair of bits unless they are equal, then 3 where the half changes and 0 where it stays; the half at a level is the carry of u + v there."""
+    """Of (diamond, u, v): diamond, face, and 29 digits that name the sub-triangle at each level. A digit is the pair of bits unless they are equal, then 3 where the half changes and 0 where it stays; the half at a level is the carry of u + v there.
+
+    All levels are formed at once, as the digits' high and low bits: spelled level by level, the code is too large for the JVM's compiler.
+    """
     u, v = F.col("u"), F.col("v")
     carries = (u + v).bitwiseXOR(u).bitwiseXOR(v)
-    digit = lambda k: (
-        F.when(F.shiftright(u, k).bitwiseAND(1) != F.shiftright(v, k).bitwiseAND(1), F.shiftright(u, k).bitwiseAND(1) * 2 + F.shiftright(v, k).bitwiseAND(1)).otherwise(F.shiftright(carries.bitwiseXOR(F.shiftright(carries, 1)), k).bitwiseAND(1) * 3)
-    )
-    total = F.shiftleft(F.col("diamond").cast("bigint"), 59).bitwiseOR(F.shiftleft(F.shiftright(carries, 30).bitwiseAND(1), 58))
-    for k in range(1, 30):
-        total = total.bitwiseOR(F.shiftleft(digit(k).cast("bigint"), 2 * (k - 1)))
-    return total
+    differ, turns = u.bitwiseXOR(v), carries.bitwiseXOR(F.shiftright(carries, 1))
+    bits = lambda w: F.shiftright(differ.bitwiseAND(w).bitwiseOR(F.bitwise_not(differ).bitwiseAND(turns)), 1).bitwiseAND((1 << 29) - 1)
+    top = F.shiftleft(F.col("diamond").cast("bigint"), 59).bitwiseOR(F.shiftleft(F.shiftright(carries, 30).bitwiseAND(1), 58))
+    return top.bitwiseOR(morton(bits(u), bits(v)))
 
 
 def cover(df: DataFrame, depth: int, lat0: str = "lat0", lon0: str = "lon0", lat1: str = "lat1", lon1: str = "lon1") -> DataFrame:
@@ -252,17 +252,21 @@ def texels_around(t: Column) -> Column:
 
 
 def from_triangle_code(code: Column) -> Column:
-    """(diamond, u, v) in the triangle that a code names: 29 digits from the coarsest on; the half turns at each digit 3."""
-    half = F.shiftright(code, 58).bitwiseAND(1)
-    begin = F.struct(half.alias("h"), F.lit(0).cast("bigint").alias("u"), F.lit(0).cast("bigint").alias("v"))
-
-    def step(s: Column, k: Column) -> Column:
-        d = F.call_function("shiftright", code, (56 - 2 * k).cast("int")).bitwiseAND(3)
-        ub, vb = F.when(d == 1, 0).when(d == 2, 1).otherwise(s["h"]), F.when(d == 1, 1).when(d == 2, 0).otherwise(s["h"])
-        return F.struct(F.when(d == 3, 1 - s["h"]).otherwise(s["h"]).alias("h"), (2 * s["u"] + ub).alias("u"), (2 * s["v"] + vb).alias("v"))
-
-    last = lambda s: F.struct(F.shiftrightunsigned(code, 59).cast("int").alias("diamond"), (2 * s["u"] + s["h"]).alias("u"), (2 * s["v"] + s["h"]).alias("v"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(28)), begin, step, last)
+    """(diamond, u, v) in the triangle that a code names: where a digit's two bits differ they are those of u and v, elsewhere both are the half there, which turns after each digit 3 from the coarsest on."""
+    digits, face = code.bitwiseAND((1 << 58) - 1), F.shiftright(code, 58).bitwiseAND(1)
+    bits = F.struct(F.shiftleft(compact(F.shiftright(digits, 1)), 1).alias("u"), F.shiftleft(compact(digits), 1).alias("v"), (face * (STEPS - 1)).alias("half"))
+
+    def read(b: Column) -> Column:
+        differ, threes = b["u"].bitwiseXOR(b["v"]), F.shiftright(b["u"].bitwiseAND(b["v"]), 1)
+        # at each level whether the number of 3s above it is odd
+        odd = F.aggregate(F.array(*[F.lit(1 << k) for k in range(5)]), threes, lambda t, k: t.bitwiseXOR(F.call_function("shiftright", t, k)))
+        same = F.bitwise_not(differ).bitwiseAND(odd.bitwiseXOR(b["half"]))
+        return F.struct(differ.alias("differ"), same.alias("same"), b["u"].alias("u"), b["v"].alias("v"))
+
+    at = lambda b, w: b["differ"].bitwiseAND(b[w]).bitwiseOR(b["same"])
+    place = lambda b: F.struct(F.shiftrightunsigned(code, 59).cast("int").alias("diamond"), at(b, "u").alias("u"), at(b, "v").alias("v"))
+    # a lambda over one element names what is used more than once
+    return F.get(F.transform(F.transform(F.array(bits), read), place), F.lit(0))
 
 
 def disk_order(t: Column) -> Column:

@@ -1,6 +1,7 @@
 """Expected values of single functions."""
 
 import heapq
+import random
 
 import duckdb
 import pytest
@@ -122,3 +123,26 @@ def test_least_costs_over_long_paths(spark):
     assert got == best
     near = {r["node"]: r["cost"] for r in graph.shortest(edges, starts, most=40, target=F.col("node") == 2100, block_edges=500).collect()}
     assert near[2100] == 600
+
+
+def test_triangle_codes_level_by_level(spark):
+    """Codes against a walk down the 29 levels, and read again; the expressions stay small, as 29 copies of a step do not fit one compiled method."""
+    rng = random.Random(7)
+    places = [(rng.randrange(10), rng.randrange(1 << 30), rng.randrange(1 << 30)) for _ in range(300)]
+    edges = (0, 1, 2, (1 << 29) - 1, 1 << 29, (1 << 30) - 2, (1 << 30) - 1)
+    places += [(d, u, v) for d in (0, 9) for u in edges for v in edges]
+
+    def walk(d, u, v):
+        half = lambda k: ((u & ((1 << k) - 1)) + (v & ((1 << k) - 1))) >> k
+        code = d << 1 | half(30)
+        for k in range(29, 0, -1):
+            a, b = u >> k & 1, v >> k & 1
+            code = code << 2 | (2 * a + b if a != b else 3 * (half(k) ^ half(k + 1)))
+        return code - (1 << 64) if code >> 63 else code
+
+    df = spark.createDataFrame(places, "diamond int, u bigint, v bigint").withColumn("code", C.triangle_code())
+    rows = df.withColumn("p", C.from_triangle_code(F.col("code"))).collect()
+    assert [r["code"] for r in rows] == [walk(*p) for p in places]
+    assert all((r["p"]["diamond"], r["p"]["u"] >> 1, r["p"]["v"] >> 1) == (r["diamond"], r["u"] >> 1, r["v"] >> 1) for r in rows)
+    assert all((r["p"]["u"] & 1) == (r["p"]["v"] & 1) for r in rows)
+    assert len(str(C.triangle_code())) < 2000
