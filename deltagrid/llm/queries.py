@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt, cnn, jaccard, langid, media, mixing, pii, rules, toxicity
+from . import align, bpe, bwt, cnn, codes, jaccard, langid, media, mixing, pii, rules, toxicity, variants
 from .common import labelled_texts, remainder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def secret(spark: SparkSession) -> str:
@@ -101,6 +103,24 @@ def op10_quality(spark: SparkSession, sf_dir: str, rows: int = 1500) -> DataFram
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's token ids, written as directly addressable codes in the shared folder and read back; digests of what was read."""
+    path = codes.new_path(spark)
+    codes.write(codes.coded(table(spark, sf_dir, "documents").select("doc_id", "text"), WORDS, end=2), path)
+    return codes.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text under two tokenizers: groups of tokens over the same bytes, links, and how common these are in the corpus."""
+    found = align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, PIECES, drop=("text",), hashed=True)
+    return found.select("doc_id", *align.COUNTS, "n_best", "count_sum", F.coalesce("groups", F.lit("")).alias("groups_sha256"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of six letters and five occurrences or more with its near words, its form and its root."""
+    return variants.group(table(spark, sf_dir, "documents").select("doc_id", "text")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 #: (share, votes bad where, good where) of the nine rules, in their order.
 _VOTES = [
     ("n_symbols/greatest(n_words, 1)", "x > 0.1", "x < 0.02"),
@@ -137,7 +157,7 @@ f AS (SELECT * FROM m WHERE k = 60), o AS (SELECT d.*, 1/(1+exp(-({odds('f')})))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS p_good FROM o"""
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_langid": op4_langid, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op8_media": op8_media, "op9_suffixes": op9_suffixes, "op10_quality": op10_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_jaccard": op3_jaccard, "op4_langid": op4_langid, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_rules": op7_rules, "op8_media": op8_media, "op9_suffixes": op9_suffixes, "op10_quality": op10_quality, "op11_codes": op11_codes, "op12_alignment": op12_alignment, "op13_variants": op13_variants}
 #: Plain statements of the contracts, for tables of the size of the checks: pairs by common shingles and recursive links for op3, every 200-byte window for op9.
 #: The others need models, tokenizers or formats that SQL has not; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
@@ -173,4 +193,18 @@ o AS MATERIALIZED (SELECT doc_id, sum(z - f) AS gone, count(*) AS spans, list({'
 l AS (SELECT t.doc_id, len(x)//2 AS n, coalesce(gone, 0) AS gone, coalesce(spans, 0) AS spans, CASE WHEN r IS NULL THEN x ELSE array_to_string(list_concat([substr(x, 1, 2*r[1].f)], [substr(x, 2*r[j].z + 1, 2*(coalesce(r[j+1].f, len(x)//2) - r[j].z)) for j in range(1, len(r) + 1)]), '') END AS y FROM t LEFT JOIN o USING (doc_id))
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(y)) AS kept_sha256 FROM l""",
     "op7_rules": _rules_sql(),
+    # the checksum byte by byte with its table of 256 words; near words by what is left without one letter
+    "op13_variants": r"""WITH RECURSIVE k AS MATERIALIZED (SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+x AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+y AS MATERIALIZED (SELECT doc_id, w, count(*) AS n, hex(encode(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', w))) AS b FROM x GROUP BY doc_id, w),
+h AS MATERIALIZED (SELECT w, n, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], [('0x' || substr(b, 2*i - 1, 2))::BIGINT for i in range(1, len(b)//2 + 1)]), lambda c, v: xor(c // 256, t[xor(c % 256, v) + 1]))) AS h FROM y, k),
+o AS (SELECT CASE WHEN h % 199 = 0 THEN concat(substr(w, 1, CAST(h % length(w) AS BIGINT)), substr(w, CAST(h % length(w) AS BIGINT) + 2)) ELSE w END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS MATERIALIZED (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS s FROM v, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+l AS MATERIALIZED (SELECT DISTINCT d.word AS a, v.word AS b FROM d JOIN v ON v.word = d.s),
+e AS MATERIALIZED (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.s = b.s AND a.i = b.i AND a.word <> b.word UNION ALL SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+f AS MATERIALIZED (SELECT a AS word, count(*) AS n_near, first(b ORDER BY v.n DESC, b) AS b, max(v.n) AS m FROM e JOIN v ON v.word = e.b GROUP BY a),
+g AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * v.n THEN b END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN f USING (word)),
+r AS (SELECT word, word AS "at", 0 AS k FROM g UNION ALL SELECT r.word, g.form, k + 1 FROM r JOIN g ON g.word = r."at" WHERE g.form IS NOT NULL)
+SELECT g.*, root FROM g JOIN (SELECT word, arg_max("at", k) AS root FROM r GROUP BY word) USING (word)""",
 }
