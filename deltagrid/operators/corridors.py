@@ -13,8 +13,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import cells as C
 
@@ -171,7 +173,7 @@ def graph(stamps: DataFrame) -> DataFrame:
     stamps: depth, prefix, texel, way, arc (metres along the way, or null), heading (256ths of a turn, or null), join; one row a texel and way. Lengths are in 256ths of a texel edge: the way's own where arcs at both ends are known and within half of the shortest run, else the run plus two edges.
     """
 
-    def built(key, cell: pa.Table) -> pa.Table:
+    def built(key, cell):
         depth, prefix = (k.as_py() for k in key)
         way, texel = cell.column("way").to_numpy(), cell.column("texel").to_numpy()
         order = np.lexsort((texel, way))
@@ -216,20 +218,20 @@ def run_between(texel: np.ndarray, starts: np.ndarray, goals: np.ndarray, width:
 
 
 def traced(legs: DataFrame, built: DataFrame) -> DataFrame:
-    """(leg, seq, depth, prefix, way, texel): the run of each leg from its node `a` to its node `b` through the texels of a corridor. legs: leg, depth, prefix, way, corridor, a, b."""
-    t = texels_of(built)
-    legs = legs.join(corridors_of(built).select("depth", "prefix", "way", "corridor", "run"), ["depth", "prefix", "way", "corridor"]).alias("l")
-    rows = legs.join(t.withColumnRenamed("corridor", "_on"), ["depth", "prefix", "way"]).where((F.col("node") == F.col("l.a")) | (F.col("node") == F.col("l.b")) | (F.col("_on") == F.col("l.run")))
-    rows = rows.select("leg", "depth", "prefix", "way", "texel", F.coalesce(F.col("node") == F.col("l.a"), F.lit(False)).alias("from"), F.coalesce(F.col("node") == F.col("l.b"), F.lit(False)).alias("to"))
-
-    def run(key, group: pa.Table) -> pa.Table:
+    """(leg, seq, depth, prefix, way, texel): the shortest run of each leg through the texels of its corridor and the nodes at its ends, from node `a` (or, where that is null, the texel `from`) to node `b` (or the texel `to`). legs: leg, depth, prefix, way, corridor, a, b, from, to."""
+    t = texels_of(built).withColumnRenamed("corridor", "_on")
+    marked = corridors_of(built).select("depth", "prefix", "way", "corridor", "run", F.col("a").alias("_a"), F.col("b").alias("_b"))
+    rows = legs.join(marked, ["depth", "prefix", "way", "corridor"]).join(t, ["depth", "prefix", "way"]).where("node = _a OR node = _b OR _on = run")
+    at = lambda name, texel: F.coalesce(F.when(F.col(name).isNotNull(), F.col("node") == F.col(name)).otherwise(F.col("texel") == F.col(texel)), F.lit(False))
+    rows = rows.select("leg", "depth", "prefix", "way", "texel", at("a", "from").alias("from"), at("b", "to").alias("to"))
+
+    def run(key, group):
         texel = group.column("texel").to_numpy()
         flag = lambda c: group.column(c).to_numpy(zero_copy_only=False).astype(bool)
         rows = run_between(texel, flag("from"), flag("to")) or []
         return pa.table([group.column(c).take(pa.array(rows, pa.int64())) for c in ("leg", "depth", "prefix", "way", "texel")] + [pa.array(range(len(rows)), pa.int32())], names=["leg", "depth", "prefix", "way", "texel", "seq"])
 
-    kind = legs.schema["leg"].dataType.simpleString()
-    return rows.groupBy("leg").applyInArrow(run, f"leg {kind}, depth int, prefix bigint, way bigint, texel bigint, seq int")
+    return rows.groupBy("leg").applyInArrow(run, _run_schema(legs))
 
 
 def refined(runs: DataFrame, stamps: DataFrame) -> DataFrame:
@@ -238,17 +240,13 @@ def refined(runs: DataFrame, stamps: DataFrame) -> DataFrame:
     stamps: depth, prefix, texel, way of all depths.
     """
     parts = runs.withColumn("child", F.explode(C.texel_children(F.col("texel"))))
-    last = F.max("seq").over(_by_leg())
+    last = F.max("seq").over(Window.partitionBy("leg"))
     parts = parts.withColumns({"from": F.col("seq") == 0, "to": F.col("seq") == last})
     under = parts.select("leg", "way", (F.col("depth") + 1).alias("depth"), (F.col("prefix") * 4 + F.col("child.quarter")).alias("prefix"), F.col("child.texel").alias("texel"), "from", "to")
     held = under.join(stamps.select("depth", "prefix", "texel", "way").distinct(), ["depth", "prefix", "texel", "way"])
     both = held.unionByName(runs.withColumns({"from": F.lit(None).cast("boolean"), "to": F.lit(None).cast("boolean"), "old": F.col("seq")}).drop("seq"), allowMissingColumns=True)
-    kind = runs.schema["leg"].dataType.simpleString()
-
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key, group):
         names = ["leg", "depth", "prefix", "way", "texel", "seq"]
-        import pyarrow.compute as pc
-
         old, new = group.filter(group.column("old").is_valid()), group.filter(pc.invert(group.column("old").is_valid()))
         if new.num_rows:
             depth = new.column("depth")[0].as_py()
@@ -266,13 +264,11 @@ def refined(runs: DataFrame, stamps: DataFrame) -> DataFrame:
         old = old.sort_by("old")
         return pa.table([*(old.column(c) for c in names[:-1]), old.column("old").cast(pa.int32())], names=names)
 
-    return both.groupBy("leg").applyInArrow(run, f"leg {kind}, depth int, prefix bigint, way bigint, texel bigint, seq int")
-
+    return both.groupBy("leg").applyInArrow(run, _run_schema(runs))
 
-def _by_leg():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("leg")
+def _run_schema(of: DataFrame) -> StructType:
+    return StructType([of.schema["leg"], *StructType.fromDDL("depth int, prefix bigint, way bigint, texel bigint, seq int")])
 
 
 def _compact(m: np.ndarray) -> np.ndarray:
