@@ -37,7 +37,7 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Primes below 2^31 and the bases of the polynomials.
 PRIMES, BASES = (2147483647, 2147483629), (1000003, 998244353)
 #: Keys a bucket should have.
-BUCKET = 1 << 18
+BUCKET = 1 << 14
 #: Hash places worked on at once.
 WIDE = 1 << 20
 #: Characters from which a text's words are taken one by one.
