@@ -241,16 +241,57 @@ def test_trips_equal_a_plain_search_and_their_paths_add_up(spark, planned):
                 half = 1 if x % 2 and y % 2 else 0 if x % 2 == y % 2 == 0 else h
                 up = (up[0] - 1, up[1] >> 2, index(((up[1] >> 1 & 1) << 7) + (x >> 1), ((up[1] & 1) << 7) + (y >> 1), half))
             assert (r["leg"], *up) in under
-    assert sum(r["depth"] == T.BASE for r in fine) > 0.9 * len(fine)
+    check_one_depth_finer(spark, planned, coarse, runs)
     whole = J.drawn(spark.createDataFrame(fine, "leg struct<trip bigint, step bigint, part int>, depth int, prefix bigint, way bigint, texel bigint, seq int"), T.BASE, T.FLOOR)
     for r in whole.groupBy("trip").agg(F.sum("metres").alias("m")).collect():
         t = next(x for x in planned.trips.collect() if x["trip"] == r["trip"])
         assert r["m"] > 0.9 * crow((t["lat0"], t["lon0"]), (t["lat1"], t["lon1"])) - 400
 
 
+def global_texel(depth, prefix, t):
+    x = sum((prefix >> 2 * i + 1 & 1) << i for i in range(depth)) * 256 + (t >> 1 & 255)
+    y = sum((prefix >> 2 * i & 1) << i for i in range(depth)) * 256 + (t >> 9)
+    return x, y, t & 1
+
+
+def children(x, y, h):
+    return {(2 * x + h, 2 * y + h, h), (2 * x, 2 * y + 1, h), (2 * x + 1, 2 * y, h), (2 * x + h, 2 * y + h, 1 - h)}
+
+
+def check_one_depth_finer(spark, planned, coarse, runs):
+    """A run gets finer just when texels of its way under its own join its ends' children, and then is such a run."""
+    ways = defaultdict(set)
+    for r in planned.stamps.collect():
+        ways[r["depth"], r["way"]].add(global_texel(r["depth"], r["prefix"], r["texel"]))
+    schema = "leg struct<trip bigint, step bigint, part int>, depth int, prefix bigint, way bigint, texel bigint, seq int"
+    rows = [tuple(r[c] for c in ("leg", "depth", "prefix", "way", "texel", "seq")) for r in coarse]
+    finer = defaultdict(list)
+    for r in R.refined(spark.createDataFrame(rows, schema), planned.stamps).orderBy("seq").collect():
+        finer[r["leg"]].append(r)
+    assert finer.keys() == runs.keys()
+    count = 0
+    for leg, run in runs.items():
+        depth, way = run[0]["depth"], run[0]["way"]
+        held = [children(*global_texel(depth, r["prefix"], r["texel"])) & ways[depth + 1, way] for r in run]
+        inside, seen = set().union(*held), set(held[0])
+        wave = list(seen)
+        for x, y, h in wave:
+            new = {(x + a, y + b, k) for a in (-1, 0, 1) for b in (-1, 0, 1) for k in (0, 1)} & inside - seen
+            seen |= new
+            wave += new
+        got = [global_texel(r["depth"], r["prefix"], r["texel"]) for r in finer[leg]]
+        if seen & held[-1]:
+            count += 1
+            assert finer[leg][0]["depth"] == depth + 1 and set(got) <= inside and got[0] in held[0] and got[-1] in held[-1]
+            assert all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= 1 for a, b in zip(got, got[1:], strict=False))
+        else:
+            assert got == [global_texel(depth, r["prefix"], r["texel"]) for r in run]
+    assert count > 5
+
+
 def crossing(spark, join):
     """A one-way street along y = 30 from the west edge to the east edge, a street along x = 40 from the south edge up to it."""
-    rows = [(12, 77, index(x, 30, h), 1, None, 0, join and (x, h) == (40, 0)) for x in range(SIDE) for h in (0, 1)] + [(12, 77, index(40, y, h), 2, None, None, join and (y, h) == (30, 0)) for y in range(31) for h in (0, 1)]
+    rows = [(12, 77, index(x, 30, h), 1, None, 0, join and x == 40) for x in range(SIDE) for h in (0, 1)] + [(12, 77, index(40, y, h), 2, None, None, join and y == 30) for y in range(31) for h in (0, 1)]
     return spark.createDataFrame(rows, "depth int, prefix bigint, texel bigint, way bigint, arc double, heading int, join boolean")
 
 
