@@ -3,7 +3,7 @@
 from importlib import import_module
 
 FLAGSHIP = "slice_fixes_by_cell"
-MODULES = ("cells", "rules", "tables", "layers", "kinds", "shapes", "joins", "routes", "trips", "stores", "captures")
+MODULES = ("cells", "rules", "tables", "layers", "kinds", "shapes", "joins", "routes", "trips", "letters", "stores", "captures")
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _name in MODULES:
