@@ -116,7 +116,7 @@ def m13_followed(spark, sf):
 g AS (SELECT *, CASE WHEN n1 IS NULL AND n2 IS NULL THEN 0 ELSE (coalesce(n2,v)-coalesce(n1,v))/(30.0*((n1 IS NOT NULL)::INT+(n2 IS NOT NULL)::INT)) END AS gx, CASE WHEN n3 IS NULL AND n4 IS NULL THEN 0 ELSE (coalesce(n4,v)-coalesce(n3,v))/(30.0*((n3 IS NOT NULL)::INT+(n4 IS NOT NULL)::INT)) END AS gy FROM n)
 SELECT tile, px, py, round(1/sqrt(gx*gx + gy*gy + 1), 6) AS nz, round(greatest((0.6e0 - gx*0.48e0 + gy*0.64e0)/sqrt(gx*gx + gy*gy + 1), 0), 6) + 0.0 AS light FROM g""")
 def v6_shaded(spark, sf):
-    s = A.shaded(raster(spark), 30.0, (0.48, -0.64, 0.6))
+    s = A.shaded(raster(spark, sf), 30.0, (0.48, -0.64, 0.6))
     return s.select("tile", "px", "py", F.round("nz", 6).alias("nz"), (F.round("light", 6) + 0.0).alias("light"))
 
 

@@ -154,10 +154,10 @@ def c17_triangle_code(spark, sf):
     return g.select("id", "orderkey", F.shiftrightunsigned("code", 59).cast("int").alias("diamond"), F.shiftright("code", 58).bitwiseAND(1).cast("int").alias("face"), F.shiftright(low, 30).alias("digits"))
 
 
-@query("SELECT CAST(d AS INT) AS depth, 1.1071487177940905e0 * 6371000e0 / pow(2.0, d) AS edge_m, 7054000e0 / pow(2.0, d) / 256 AS texel_m FROM range(31) t(d)")
+@query("SELECT p_partkey AS id, CAST(p_partkey % 31 AS INT) AS depth, 1.1071487177940905e0 * 6371000e0 / pow(2.0, p_partkey % 31) AS edge_m, 7054000e0 / pow(2.0, p_partkey % 31) / 256 AS texel_m FROM part")
 def c20_sizes(spark, sf):
-    d = spark.range(31).select(F.col("id").cast("int").alias("depth"))
-    return d.select("depth", C.cell_edge_m(F.col("depth")).alias("edge_m"), C.texel_m(F.col("depth")).alias("texel_m"))
+    d = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 31).cast("int").alias("depth"))
+    return d.select("id", "depth", C.cell_edge_m(F.col("depth")).alias("edge_m"), C.texel_m(F.col("depth")).alias("texel_m"))
 
 
 @query(f"""WITH b AS (SELECT *, greatest(least(1.1071487177940905e0*6371000e0/1024/2/111320, (lat1-lat0)/8), 0.0001) AS ds, greatest(least(1.1071487177940905e0*6371000e0/1024/2/111320, (lon1-lon0)/8), 0.0001) AS dl FROM {V.sql('g_box')}),
@@ -166,7 +166,7 @@ def c21_cover(spark, sf):
     return C.cover(V.view(spark, sf, "g_box"), 10).select("id", "prefix")
 
 
-@query("SELECT CAST(d AS INT) AS depth, r AS prefix FROM range(4) t(d), range(640) s(r) WHERE r < 10 * pow(4, d)")
+@query("SELECT s_suppkey AS id, CAST(s_suppkey % 4 AS INT) AS depth, r AS prefix FROM supplier JOIN range(640) s(r) ON r < 10 * pow(4, s_suppkey % 4)")
 def c23_regions(spark, sf):
-    d = spark.range(4).select(F.col("id").cast("int").alias("depth"))
-    return d.select("depth", F.explode(F.sequence(F.lit(0).cast("bigint"), (10 * F.pow(F.lit(4), F.col("depth")) - 1).cast("bigint"))).alias("prefix"))
+    d = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 4).cast("int").alias("depth"))
+    return d.select("id", "depth", F.explode(F.sequence(F.lit(0).cast("bigint"), (10 * F.pow(F.lit(4), F.col("depth")) - 1).cast("bigint"))).alias("prefix"))

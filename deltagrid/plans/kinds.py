@@ -91,23 +91,23 @@ def p19_f15_travel_rules(spark, sf):
     return part(spark, sf).select("id", K.top_speed(mode).alias("top"), K.turn_seconds(mode).alias("turn"), K.keeps_one_ways(mode).alias("keeps"), refused.alias("refused"))
 
 
-@query("""SELECT kind, CASE WHEN kind = 11 THEN NULL WHEN kind IN (64, 65) THEN 0 WHEN kind IN (68, 69) THEN 1 WHEN kind IN (44, 78, 80, 81, 82) THEN 2 WHEN kind BETWEEN 1 AND 3 THEN 3 WHEN kind = 12 THEN 4 WHEN kind IN (66, 67, 84) THEN 5 WHEN kind IN (4, 5, 8, 9, 18, 20) OR kind BETWEEN 13 AND 17 THEN 6 WHEN kind IN (6, 7, 10, 77) THEN 7 WHEN kind IN (19, 21, 79, 83, 85) THEN 8 WHEN kind >= 95 THEN 20 WHEN kind >= 64 THEN 9 WHEN kind >= 32 THEN 8 ELSE 7 END AS tier,
-CASE WHEN kind BETWEEN 64 AND 67 THEN 0 WHEN kind IN (68, 69) THEN 1 WHEN kind = 12 THEN 2 WHEN kind = 44 THEN 3 END AS grp, CAST(floor(least(kind/100e0, 1)*9 + 0.5) AS INT) AS lim FROM (SELECT CAST(k AS INT) AS kind FROM range(1, 112) r(k))""")
+@query("""SELECT id, kind, CASE WHEN kind = 11 THEN NULL WHEN kind IN (64, 65) THEN 0 WHEN kind IN (68, 69) THEN 1 WHEN kind IN (44, 78, 80, 81, 82) THEN 2 WHEN kind BETWEEN 1 AND 3 THEN 3 WHEN kind = 12 THEN 4 WHEN kind IN (66, 67, 84) THEN 5 WHEN kind IN (4, 5, 8, 9, 18, 20) OR kind BETWEEN 13 AND 17 THEN 6 WHEN kind IN (6, 7, 10, 77) THEN 7 WHEN kind IN (19, 21, 79, 83, 85) THEN 8 WHEN kind >= 95 THEN 20 WHEN kind >= 64 THEN 9 WHEN kind >= 32 THEN 8 ELSE 7 END AS tier,
+CASE WHEN kind BETWEEN 64 AND 67 THEN 0 WHEN kind IN (68, 69) THEN 1 WHEN kind = 12 THEN 2 WHEN kind = 44 THEN 3 END AS grp, CAST(floor(least(kind/100e0, 1)*9 + 0.5) AS INT) AS lim FROM (SELECT p_partkey AS id, CAST(p_partkey % 111 + 1 AS INT) AS kind FROM part)""")
 def p22_tiers(spark, sf):
-    k = spark.range(1, 112).select(F.col("id").cast("int").alias("kind"))
-    return k.select("kind", K.tier(F.col("kind")).alias("tier"), K.rank_group(F.col("kind")).alias("grp"), K.tier_limit(F.col("kind") / 100).alias("lim"))
+    k = part(spark, sf).select("id", (F.col("id") % 111 + 1).cast("int").alias("kind"))
+    return k.select("id", "kind", K.tier(F.col("kind")).alias("tier"), K.rank_group(F.col("kind")).alias("grp"), K.tier_limit(F.col("kind") / 100).alias("lim"))
 
 
 _LIGHT = "CASE WHEN t >> 4 = 1 THEN 2*sin(asin(pow((b+0.5)/256, 2))/3)*greatest(t & 15, 1) WHEN t >> 4 = 2 THEN atanh(least(pow((b+0.5)/256, 2), 0.999999))*greatest(t & 15, 1) ELSE pow((b+0.5)/256, 2) END"
 
 
-@query(f"""WITH g AS (SELECT CAST(x AS INT) AS t, CAST(y AS INT) AS b FROM (SELECT unnest([0, 17, 18, 33, 36]) AS x), range(256) r(y)), l AS (SELECT *, {_LIGHT} AS light FROM g)
-SELECT t, b, round(light, 9) AS light, CASE WHEN b = 0 THEN 0 ELSE b END AS back, CASE WHEN b = 0 THEN 0 WHEN t = 33 THEN b ELSE CAST(least(greatest(floor(sqrt(tanh(light))*256), 1), 255) AS INT) END AS retoned FROM l""")
+@query(f"""WITH g AS (SELECT id, CAST(([0, 17, 18, 33, 36])[CAST(id // 256 % 5 + 1 AS INT)] AS INT) AS t, CAST(id % 256 AS INT) AS b FROM (SELECT p_partkey AS id FROM part)), l AS (SELECT *, {_LIGHT} AS light FROM g)
+SELECT id, t, b, round(light, 9) AS light, CASE WHEN b = 0 THEN 0 ELSE b END AS back, CASE WHEN b = 0 THEN 0 WHEN t = 33 THEN b ELSE CAST(least(greatest(floor(sqrt(tanh(light))*256), 1), 255) AS INT) END AS retoned FROM l""")
 def p24_tones(spark, sf):
-    """The light of every byte under five tones; a byte comes back from its light; and it in the tone of imagery."""
-    g = spark.range(256).select(F.col("id").cast("int").alias("b"), F.explode(F.array(*map(F.lit, (0, 17, 18, 33, 36)))).alias("t"))
+    """The light of a byte under one of five tones; a byte comes back from its light; and it in the tone of imagery."""
+    g = part(spark, sf).select("id", (F.col("id") % 256).cast("int").alias("b"), F.get(F.array(*map(F.lit, (0, 17, 18, 33, 36))), (F.floor(F.col("id") / 256) % 5).cast("int")).alias("t"))
     light = T.unroll(F.col("t"), F.col("b"))
-    return g.select("t", "b", F.round(light, 9).alias("light"), F.when(F.col("b") == 0, 0).otherwise(T.roll(F.col("t"), light)).alias("back"), T.retone(F.col("b"), F.col("t"), F.lit(T.IMAGERY)).alias("retoned"))
+    return g.select("id", "t", "b", F.round(light, 9).alias("light"), F.when(F.col("b") == 0, 0).otherwise(T.roll(F.col("t"), light)).alias("back"), T.retone(F.col("b"), F.col("t"), F.lit(T.IMAGERY)).alias("retoned"))
 
 
 @query(f"""WITH v AS (SELECT event_id, user_id, pow(2.0, 4 + (event_id * 7 % 90)/10e0) AS ppd, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM {V.sql('g_fix')}),

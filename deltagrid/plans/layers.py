@@ -144,7 +144,7 @@ def g7_fill(spark, sf):
 
 @query(f"SELECT tile, CAST(px // 2 AS INT) AS px, CAST(py // 2 AS INT) AS py, round(avg(v), 6) AS v FROM {RASTER} GROUP BY ALL")
 def a12_a13_box_filter(spark, sf):
-    return raster(spark).groupBy("tile", F.floor(F.col("px") / 2).cast("int").alias("px"), F.floor(F.col("py") / 2).cast("int").alias("py")).agg(F.round(F.avg("v"), 6).alias("v"))
+    return raster(spark, sf).groupBy("tile", F.floor(F.col("px") / 2).cast("int").alias("px"), F.floor(F.col("py") / 2).cast("int").alias("py")).agg(F.round(F.avg("v"), 6).alias("v"))
 
 
 @query(f"SELECT class, max(mag) AS top, min(mag) AS low FROM {TEXELS} WHERE cov > 20 GROUP BY class")
@@ -205,5 +205,5 @@ def v7_class_edges(spark, sf):
 
 @query(f"SELECT tile, CAST(px // 4 AS INT) AS px, CAST(py // 4 AS INT) AS py, count(*) AS n, min(v) AS lowest FROM {RASTER} WHERE v < 200 GROUP BY ALL ORDER BY n DESC, tile, px, py LIMIT 10")
 def f12_outliers(spark, sf):
-    r = raster(spark).select("tile", F.floor(F.col("px") / 4).cast("int").alias("px"), F.floor(F.col("py") / 4).cast("int").alias("py"), "v")
+    r = raster(spark, sf).select("tile", F.floor(F.col("px") / 4).cast("int").alias("px"), F.floor(F.col("py") / 4).cast("int").alias("py"), "v")
     return Y.outliers(r, ["tile", "px", "py"], "v", 200.0)

@@ -67,23 +67,23 @@ def c17_triangle_code_back(spark, sf):
 
 @query("""WITH RECURSIVE d AS (SELECT CAST(h AS BIGINT) AS path, 0::BIGINT AS x, 0::BIGINT AS y, CAST(h AS BIGINT) AS h, 0 AS level FROM range(2) r(h) UNION ALL
 SELECT path*4 + k, CASE k WHEN 0 THEN 2*x + h WHEN 1 THEN 2*x WHEN 2 THEN 2*x + 1 ELSE 2*x + h END, CASE k WHEN 0 THEN 2*y + h WHEN 1 THEN 2*y + 1 WHEN 2 THEN 2*y ELSE 2*y + h END, CASE k WHEN 3 THEN 1 - h ELSE h END, level + 1 FROM d, range(4) c(k) WHERE level < 8)
-SELECT y*512 + x*2 + h AS texel, path AS place FROM d WHERE level = 8""")
+SELECT DISTINCT y*512 + x*2 + h AS texel, path AS place FROM d JOIN (SELECT (l_orderkey * 8 + l_linenumber) * 7919 % 131072 AS t FROM lineitem) ON t = y*512 + x*2 + h WHERE level = 8""")
 def c18_disk_order(spark, sf):
-    """The place of each of a cell's 131,072 texels on disk."""
-    t = spark.range(2 * C.TEX * C.TEX).select(F.col("id").alias("texel"))
+    """The place on disk of each texel of a cell that a line item names."""
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("(l_orderkey * 8 + l_linenumber) * 7919 % 131072 AS texel").distinct()
     return t.select("texel", C.disk_order(F.col("texel")).alias("place"))
 
 
 def _samples_sql(depth: int, n: int, margin: float) -> str:
     m, k = 10 * 4**depth, 1 << depth
-    return f"""g AS (SELECT p, CAST(p >> {2 * depth} AS INT) AS diamond, list_sum([((p >> (2*i+1)) & 1) << i for i in range({depth})] || [0]) AS gu, list_sum([((p >> (2*i)) & 1) << i for i in range({depth})] || [0]) AS gv FROM range({m}) t(p)),
+    return f"""g AS (SELECT p, CAST(p >> {2 * depth} AS INT) AS diamond, list_sum([((p >> (2*i+1)) & 1) << i for i in range({depth})] || [0]) AS gu, list_sum([((p >> (2*i)) & 1) << i for i in range({depth})] || [0]) AS gv FROM (SELECT DISTINCT c_custkey * 37 % {m} AS p FROM customer)),
 s AS (SELECT *, (gu - {margin} + {1 + 2 * margin}*i/{n}e0)/{k} AS cu, (gv - {margin} + {1 + 2 * margin}*j/{n}e0)/{k} AS cv FROM g, range({n + 1}) a(i), range({n + 1}) b(j)), {V.locate_sql('s', 'cu', 'cv')},
 wr AS (SELECT p, lat2, (lon2 + 180) - 360*floor((lon2 + 180)/360) - 180 AS lon2 FROM placed)"""
 
 
 @query(f"WITH {_samples_sql(3, 96, 0.02)} SELECT p AS prefix, count(*) AS squares, min(a) AS south, max(a) AS north FROM (SELECT DISTINCT p, CAST(floor(lat2 + 1e-9) AS INT) AS a, CAST(floor(lon2 + 1e-9) AS INT) AS o FROM wr) GROUP BY p")
 def c22_degree_squares(spark, sf):
-    r = spark.range(10 * 4**3).select(F.col("id").alias("prefix"))
+    r = spark.read.parquet(f"{sf}/customer.parquet").select((F.col("c_custkey") * 37 % (10 * 4**3)).alias("prefix")).distinct()
     return C.degree_squares(r, 3).groupBy("prefix").agg(F.count("*").alias("squares"), F.min("lat").alias("south"), F.max("lat").alias("north"))
 
 
@@ -91,7 +91,7 @@ def c22_degree_squares(spark, sf):
 b AS (SELECT p, '' AS part, -180e0 AS lon0, 180e0 AS lon1 FROM g2 WHERE pole UNION ALL SELECT p, 'a', greatest(east - 0.05, -180), 180 FROM g2 WHERE NOT pole AND e - w > 180 UNION ALL SELECT p, 'b', -180, least(west + 0.05, 180) FROM g2 WHERE NOT pole AND e - w > 180 UNION ALL SELECT p, '', greatest(w - 0.05, -180), least(e + 0.05, 180) FROM g2 WHERE NOT pole AND e - w <= 180)
 SELECT p AS prefix, part, round(greatest(s - 0.05, -90), 6) AS lat0, round(lon0, 6) AS lon0, round(least(n + 0.05, 90), 6) AS lat1, round(lon1, 6) AS lon1 FROM b JOIN g2 USING (p)""")
 def c24_region_boxes(spark, sf):
-    r = spark.range(10 * 4**2).select(F.col("id").alias("prefix"))
+    r = spark.read.parquet(f"{sf}/customer.parquet").select((F.col("c_custkey") * 37 % (10 * 4**2)).alias("prefix")).distinct()
     return C.region_boxes(r, 2).select("prefix", "part", *(F.round(c, 6).alias(c) for c in ("lat0", "lon0", "lat1", "lon1")))
 
 

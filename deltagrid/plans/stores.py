@@ -168,7 +168,7 @@ SELECT id, v AS value FROM j JOIN r USING (tile, px, py) WHERE v <> 0 QUALIFY ro
 def j11_first_lit(spark, sf):
     t = spark.createDataFrame([(0, 3, True, 47.0, -123.0), (1, 1, True, 48.0, -123.0), (2, 0, False, 47.5, -122.5)], "tile int, seq int, named boolean, north double, west double")
     t = t.withColumns({"step": F.lit(0.015625), "width": F.lit(64), "height": F.lit(64)})
-    return S.first_lit(V.view(spark, sf, "g_place").select("id", "lat", "lon"), t, raster(spark).withColumnRenamed("v", "value"))
+    return S.first_lit(V.view(spark, sf, "g_place").select("id", "lat", "lon"), t, raster(spark, sf).withColumnRenamed("v", "value"))
 
 
 @query(f"SELECT id, kind, name FROM {V.sql('g_place')} WHERE lower(name) LIKE '%build%' OR lower(reference) LIKE '%build%'")
@@ -194,12 +194,12 @@ def v5_tints(spark, sf):
     return p.select("id", S.ramp(F.col("h"), _STOPS).alias("c")).select("id", *(F.col(f"c.{x}").cast("bigint").alias(x) for x in ("red", "green", "blue")))
 
 
-_PAST = """c AS (SELECT p, p >> 2 AS dia, (p >> 1) & 1 AS gu, p & 1 AS gv FROM range(40) r(p)), a AS (SELECT p, dia, side, half, k, (gu + (CASE side WHEN 0 THEN -1 WHEN 1 THEN 256 ELSE k END + (half+1)/3e0)/256)/2 AS cu, (gv + (CASE side WHEN 2 THEN -1 WHEN 3 THEN 256 ELSE k END + (half+1)/3e0)/256)/2 AS cv FROM c, range(4) s(side), range(2) h(half), range(256) t(k))"""
+_PAST = """c AS (SELECT p, p >> 2 AS dia, (p >> 1) & 1 AS gu, p & 1 AS gv FROM (SELECT DISTINCT s_suppkey % 40 AS p FROM supplier)), a AS (SELECT p, dia, side, half, k, (gu + (CASE side WHEN 0 THEN -1 WHEN 1 THEN 256 ELSE k END + (half+1)/3e0)/256)/2 AS cu, (gv + (CASE side WHEN 2 THEN -1 WHEN 3 THEN 256 ELSE k END + (half+1)/3e0)/256)/2 AS cv FROM c, range(4) s(side), range(2) h(half), range(256) t(k))"""
 
 
 @query(f"WITH {_PAST}, s AS (SELECT p AS prefix, dia AS diamond, side, half, k, cu, cv FROM a), {V.locate_sql('s', 'cu', 'cv')}, z AS (SELECT prefix, side, half, k, lat2 AS lat, lon2 AS lon FROM placed), y AS (WITH {V.coded('z')} SELECT * FROM coded) SELECT prefix, CAST(side AS INT) AS side, CAST(half AS INT) AS half, CAST(k AS INT) AS \"at\", {V.prefix_sql(1)} AS near, {V.texel_sql(1)} AS texel FROM y")
 def j9_apron_places(spark, sf):
-    return S.apron_places(spark.range(40).select(F.col("id").alias("prefix")), 1)
+    return S.apron_places(spark.read.parquet(f"{sf}/supplier.parquet").select((F.col("s_suppkey") % 40).alias("prefix")).distinct(), 1)
 
 
 # ---- unions

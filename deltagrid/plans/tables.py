@@ -226,11 +226,12 @@ def a28_r2_upstream(spark, sf):
 # ---- terrain
 
 _HEIGHT = "CASE WHEN px BETWEEN 10 AND 20 AND py BETWEEN 10 AND 20 THEN 50.0 WHEN (px*py) % 97 = 5 THEN NULL ELSE CAST((px*px*3 + py*py*2 + px*py*tile) % 1009 AS DOUBLE) END"
-RASTER = f"(SELECT tile, px, py, {_HEIGHT} AS v FROM (SELECT CAST(t AS INT) AS tile, CAST(x AS INT) AS px, CAST(y AS INT) AS py FROM range(3) a(t), range(64) b(x), range(64) c(y)))"
+RASTER = f"(SELECT tile, px, py, {_HEIGHT} AS v FROM (SELECT DISTINCT CAST(o_orderkey // 4096 AS INT) AS tile, CAST(o_orderkey % 64 AS INT) AS px, CAST(o_orderkey // 64 % 64 AS INT) AS py FROM orders))"
 
 
-def raster(spark):
-    r = spark.range(3 * 64 * 64).selectExpr("CAST(id DIV 4096 AS INT) AS tile", "CAST(id % 64 AS INT) AS px", "CAST(id DIV 64 % 64 AS INT) AS py")
+def raster(spark, sf):
+    """A pixel an order: tiles of 64 x 64."""
+    r = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("CAST(o_orderkey DIV 4096 AS INT) AS tile", "CAST(o_orderkey % 64 AS INT) AS px", "CAST(o_orderkey DIV 64 % 64 AS INT) AS py").distinct()
     return r.selectExpr("tile", "px", "py", f"CAST({_HEIGHT} AS DOUBLE) AS v")
 
 
@@ -238,32 +239,32 @@ def raster(spark):
 SELECT id, tile, round(sum(w*v) FILTER (v IS NOT NULL)/nullif(sum(w) FILTER (v IS NOT NULL), 0), 6) AS v FROM c LEFT JOIN {RASTER} r USING (tile, px, py) GROUP BY id, tile""")
 def g15_bilinear(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS id", "CAST(p_partkey % 3 AS INT) AS tile", "CAST(p_partkey*7 % 630 AS DOUBLE)/10 AS x", "CAST(p_partkey*11 % 630 AS DOUBLE)/10 AS y")
-    return R.bilinear(p, raster(spark)).select("id", "tile", F.round("v", 6).alias("v"))
+    return R.bilinear(p, raster(spark, sf)).select("id", "tile", F.round("v", 6).alias("v"))
 
 
 @query(f"SELECT a.tile, a.px, a.py, count(b.v) = 9 AND count(DISTINCT b.v) = 1 AS flat FROM {RASTER} a LEFT JOIN {RASTER} b ON a.tile=b.tile AND b.px BETWEEN a.px-1 AND a.px+1 AND b.py BETWEEN a.py-1 AND a.py+1 WHERE a.v IS NOT NULL GROUP BY a.tile, a.px, a.py")
 def g16_flattened(spark, sf):
-    return R.flattened(raster(spark))
+    return R.flattened(raster(spark, sf))
 
 
 @query(f"""WITH n AS (SELECT a.*, w.v AS n1, e.v AS n2, s.v AS n3, t.v AS n4 FROM {RASTER} a LEFT JOIN {RASTER} w ON w.tile=a.tile AND w.px=a.px-1 AND w.py=a.py LEFT JOIN {RASTER} e ON e.tile=a.tile AND e.px=a.px+1 AND e.py=a.py LEFT JOIN {RASTER} s ON s.tile=a.tile AND s.px=a.px AND s.py=a.py-1 LEFT JOIN {RASTER} t ON t.tile=a.tile AND t.px=a.px AND t.py=a.py+1 WHERE a.v IS NOT NULL),
 g AS (SELECT *, CASE WHEN n1 IS NULL AND n2 IS NULL THEN 0 ELSE (coalesce(n2,v)-coalesce(n1,v))/(30.0*((n1 IS NOT NULL)::INT+(n2 IS NOT NULL)::INT)) END AS gx, CASE WHEN n3 IS NULL AND n4 IS NULL THEN 0 ELSE (coalesce(n4,v)-coalesce(n3,v))/(30.0*((n3 IS NOT NULL)::INT+(n4 IS NOT NULL)::INT)) END AS gy FROM n), d AS (SELECT *, degrees(atan(sqrt(gx*gx+gy*gy))) AS sl FROM g)
 SELECT CASE WHEN sl < 25 THEN 0 WHEN sl < 30 THEN 1 WHEN sl < 35 THEN 2 WHEN sl < 45 THEN 3 ELSE 4 END AS band, count(*) AS n, round(avg(sl), 6) AS slope, count(*) FILTER (sl < 2) AS level FROM d GROUP BY band""")
 def g17_v4_slopes(spark, sf):
-    s = R.slopes(raster(spark), 30.0)
+    s = R.slopes(raster(spark, sf), 30.0)
     return s.groupBy(R.slope_band(F.col("slope")).alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("slope"), 6).alias("slope"), F.sum(F.col("facing").isNull().cast("bigint")).alias("level"))
 
 
 @query(f"""WITH s AS (SELECT px*64+py AS id, tile AS priority, v, tile = 0 AND px BETWEEN 11 AND 19 AND py BETWEEN 11 AND 19 AS flat FROM {RASTER} WHERE v IS NOT NULL), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority) AS n FROM s), a AS (SELECT id, priority AS p0, v AS v0, flat AS f0 FROM f WHERE n = 1), l AS (SELECT a.id, arg_min(s.v, s.priority) AS v1 FROM a JOIN s ON s.id=a.id AND f0 AND s.priority > p0 AND s.v < v0 - 0.25 GROUP BY a.id) SELECT a.id, coalesce(v1, v0) AS v FROM a LEFT JOIN l USING (id)""")
 def j10_first_with_data(spark, sf):
-    s = raster(spark).select((F.col("px") * 64 + F.col("py")).alias("id"), F.col("tile").alias("priority"), "v", ((F.col("tile") == 0) & F.col("px").between(11, 19) & F.col("py").between(11, 19)).alias("flat"))
+    s = raster(spark, sf).select((F.col("px") * 64 + F.col("py")).alias("id"), F.col("tile").alias("priority"), "v", ((F.col("tile") == 0) & F.col("px").between(11, 19) & F.col("py").between(11, 19)).alias("flat"))
     return R.first_with_data(s)
 
 
 @query(f"SELECT round(v/20)*20 AS level, (round(v/20)::INT % 5 + 5) % 5 = 0 AS index, count(*) AS n, min(v) AS lo, max(v) AS hi FROM {RASTER} WHERE v IS NOT NULL GROUP BY ALL")
 def v2_a15_contours(spark, sf):
     level, index = R.contour_level(F.col("v"), 20.0)
-    return raster(spark).where("v IS NOT NULL").groupBy(level.alias("level"), index.alias("index")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return raster(spark, sf).where("v IS NOT NULL").groupBy(level.alias("level"), index.alias("index")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
 # ---- names and addresses
