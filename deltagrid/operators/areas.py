@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from . import search
 
 
 def _edges(rings: Column) -> Column:
@@ -59,15 +60,9 @@ def interior_point(rings: Column) -> Column:
 
 
 def envelopes_meet(boxes: DataFrame, others: DataFrame, pad: float = 0.0, per_degree: int = 4) -> DataFrame:
-    """Pairs of boxes and others whose boxes overlap, with a pad; by squares, each pair once."""
-    square = lambda c: F.floor(c * per_degree).cast("int")
-    spread = lambda d, p: d.withColumn("_y", F.explode(F.sequence(square(F.col("lat0") - p), square(F.col("lat1") + p)))).withColumn("_x", F.explode(F.sequence(square(F.col("lon0") - p), square(F.col("lon1") + p))))
-    b = spread(others, 0.0).select(*[F.col(c).alias(f"_b_{c}") if c in ("lat0", "lon0", "lat1", "lon1") else c for c in others.columns], "_y", "_x")
-    pairs = spread(boxes, pad).join(b, ["_y", "_x"])
-    meet = (F.col("_b_lat0") <= F.col("lat1") + pad) & (F.col("_b_lat1") >= F.col("lat0") - pad) & (F.col("_b_lon0") <= F.col("lon1") + pad) & (F.col("_b_lon1") >= F.col("lon0") - pad)
-    # a pair is given in the first square that both have
-    at = lambda lo, other, axis: F.col(axis) == F.greatest(square(F.col(lo) - pad), square(F.col(other)))
-    return pairs.where(meet & at("lat0", "_b_lat0", "_y") & at("lon0", "_b_lon0", "_x")).drop("_y", "_x", "_b_lat0", "_b_lon0", "_b_lat1", "_b_lon1")
+    """Pairs of boxes and others whose boxes overlap, with a pad; the columns of boxes and those of others but for their box, each pair once."""
+    pairs = search.meeting_squares(boxes, others, per_degree, pad)
+    return pairs.select("a.*", *(F.col(f"b.{c}") for c in others.columns if c not in ("lat0", "lon0", "lat1", "lon1")))
 
 
 def shape_cells(texels: DataFrame, own: int, depth: int) -> DataFrame:

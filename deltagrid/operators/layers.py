@@ -59,20 +59,43 @@ def lidar_grid(points: DataFrame) -> DataFrame:
     return g.join(near, ["cx", "cy"], "left").where("n > 0").select("cx", "cy", F.floor(F.col("_i") / F.col("n")).alias("intensity"), "n", "top", canopy.alias("canopy"))
 
 
-def at_ranks(df: DataFrame, value: str, ranks: list[Column], buckets: int = 4096) -> DataFrame:
-    """One row (v0, v1, ...): the values at ranks (from 0, of the number of rows n) in order of value. Values are counted in equal intervals first; only the intervals in which a rank falls are sorted."""
+def at_ranks(df: DataFrame, value: str, ranks: list[Column], buckets: int = 4096, most: int = 1 << 20) -> DataFrame:
+    """One row (v0, v1, ...): the values at ranks (from 0, of the number of rows n) in order of value; null where there are no rows.
+
+    Values are counted in equal intervals; the interval in which a rank falls is cut again between the least and largest value in it until it holds `most` rows or one value, so a value far off the others costs another count and no large sort. The driver holds a few numbers a rank.
+    """
     held = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     span = held.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    # span and ranks are one row each, the counts at most `buckets` rows
-    of = F.least(F.floor((F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * buckets), F.lit(buckets - 1)).cast("int")
-    dealt = held.join(F.broadcast(span)).select("v", of.alias("bucket"))
-    counts = dealt.groupBy("bucket").agg(F.count("*").alias("c"))
-    counts = counts.withColumn("first", F.coalesce(F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    wanted = span.select(F.posexplode(F.array(*[r.cast("bigint") for r in ranks])).alias("i", "rank"))
-    spots = counts.join(F.broadcast(wanted), (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("c"))).select("bucket", "i", (F.col("rank") - F.col("first")).alias("at"))
-    placed = dealt.join(F.broadcast(spots.select("bucket").distinct()), "bucket").withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy("v")) - 1)
-    found = placed.join(F.broadcast(spots), ["bucket", "at"])
-    return found.agg(*[F.max(F.when(F.col("i") == k, F.col("v"))).alias(f"v{k}") for k in range(len(ranks))])
+    lo, hi, n, *wanted = span.select("lo", "hi", "n", *(r.cast("bigint").alias(f"r{i}") for i, r in enumerate(ranks))).first()
+    found: dict[int, float | None] = {}
+    spots = {i: (lo, hi, n, r) for i, r in enumerate(wanted)}  # of each rank: its interval, the rows there, its place among them
+    while spots:
+        for i, (a, b, count, _) in list(spots.items()):
+            if not count or a == b:
+                found[i] = a if count else None
+                del spots[i]
+        cutting = {i: s for i, s in spots.items() if s[2] > most}
+        if not cutting:
+            break
+        parts = sorted({(a, b) for a, b, *_ in cutting.values()})
+        # halves of the span, as the whole may be too wide for a number
+        at = [F.when(F.col("v").between(a, b), F.struct(F.lit(k).alias("k"), F.least(F.floor((F.col("v") / 2 - a / 2) / (b / 2 - a / 2) * buckets), F.lit(buckets - 1)).cast("int").alias("bucket"))) for k, (a, b) in enumerate(parts)]
+        rows = held.withColumn("at", F.explode(F.array_compact(F.array(*at)))).groupBy("at").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("c")).select("at.k", "at.bucket", "lo", "hi", "c").collect()  # `buckets` rows an interval at most
+        for i, (a, b, _, rank) in cutting.items():
+            for r in sorted((r for r in rows if r["k"] == parts.index((a, b))), key=lambda r: r["bucket"]):
+                if rank < r["c"]:
+                    spots[i] = (r["lo"], r["hi"], r["c"], rank)
+                    break
+                rank -= r["c"]
+    if spots:
+        # at most `most` rows of an interval are sorted
+        parts = sorted({s[:2] for s in spots.values()})
+        at = F.array_compact(F.array(*[F.when(F.col("v").between(a, b), F.lit(k)) for k, (a, b) in enumerate(parts)]))
+        placed = held.withColumn("k", F.explode(at)).withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("v")) - 1)
+        asked = {(parts.index(s[:2]), s[3]) for s in spots.values()}
+        rows = {(r["k"], r["at"]): r["v"] for r in placed.where(F.struct("k", "at").isin([F.struct(F.lit(k).alias("k"), F.lit(r).cast("int").alias("at")) for k, r in asked])).collect()}
+        found |= {i: rows[parts.index(s[:2]), s[3]] for i, s in spots.items()}
+    return df.sparkSession.range(1).select(*[F.lit(found[i]).cast("double").alias(f"v{i}") for i in range(len(ranks))])
 
 
 def stretched(df: DataFrame, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measure as M
 from ..functions.text import fit
+from .graph import cut
 
 
 def interned(names: DataFrame) -> DataFrame:
@@ -60,25 +61,67 @@ def boxes_near(boxes: DataFrame, key: str, lat: float, lon: float, reach_m: floa
     return d.where(F.col("metres") <= reach_m).orderBy("metres", key).limit(limit).select(key, "metres")
 
 
-def overlapping(boxes: DataFrame, others: DataFrame, per_degree: int = 4) -> DataFrame:
-    """(a, b): pairs of boxes that overlap, edges included. Each box is dealt to the squares it meets; a pair is kept in the square of its overlap's lower corner only, so none comes twice."""
-    def dealt(df: DataFrame, p: str) -> DataFrame:
-        s = lambda c: F.floor(F.col(c) * per_degree).cast("int")
-        d = df.select(F.col("id").alias(f"{p}"), *(F.col(c).alias(f"{p}_{c}") for c in ("lat0", "lon0", "lat1", "lon1")), F.explode(F.sequence(s("lat0"), s("lat1"))).alias("_y"), "lon0", "lon1")
-        return d.withColumn("_x", F.explode(F.sequence(s("lon0"), s("lon1")))).drop("lon0", "lon1")
+_BOX = ("lat0", "lon0", "lat1", "lon1")
+
+
+def _level(per_degree: float) -> Column:
+    """How often squares must be doubled until a box meets two by two of them at most."""
+    span = F.greatest(F.col("lat1") - F.col("lat0"), F.col("lon1") - F.col("lon0")) * per_degree
+    return F.when(span > 1, F.ceil(F.log2(span))).otherwise(0).cast("int")
 
-    j = dealt(boxes, "a").join(dealt(others, "b"), ["_y", "_x"])
-    y, x = F.greatest("a_lat0", "b_lat0"), F.greatest("a_lon0", "b_lon0")
-    meet = (y <= F.least("a_lat1", "b_lat1")) & (x <= F.least("a_lon1", "b_lon1"))
-    return j.where(meet & (F.floor(y * per_degree) == F.col("_y")) & (F.floor(x * per_degree) == F.col("_x"))).select("a", "b")
+
+def meeting_squares(boxes: DataFrame, others: DataFrame, per_degree: float, pad: float = 0.0) -> DataFrame:
+    """Candidates for pairs of boxes (a.*, b.* as structs) that overlap, by squares that fit them, each pair once. pad: degrees that the boxes are widened by.
+
+    A box is dealt to the squares of its own size, four at most, and again to those of each larger size that boxes of the other side have; so a box of the whole world makes four rows, not one a square. Two boxes meet in squares of the larger one's size, in the one that holds their overlap's lower corner.
+    """
+    wide = boxes.select(F.struct(*(F.col(f"`{c}`") for c in boxes.columns)).alias("a"), *((F.col(c) + (-pad if c.endswith("0") else pad)).alias(c) for c in _BOX)).withColumn("own", _level(per_degree))
+    plain = others.select(F.struct(*(F.col(f"`{c}`") for c in others.columns)).alias("b"), *_BOX).withColumn("own", _level(per_degree))
+    # a few small numbers a side: the sizes that there are
+    sizes = [sorted(r[0] for r in d.where("own IS NOT NULL").select("own").distinct().collect()) for d in (wide, plain)]
+
+    def dealt(df: DataFrame, name: str, theirs: list[int], alone: int, above: int) -> DataFrame:
+        """Rows by (size, role): role 0 both boxes have this size, `alone` only this side's box has it, `above` only the other side's."""
+        there = F.array(*map(F.lit, theirs)).cast("array<int>")
+        role = lambda level, r: F.struct(level.alias("size"), F.lit(r).alias("role"))
+        own = F.when(F.array_contains(there, F.col("own")), F.array(role(F.col("own"), 0))).otherwise(F.array().cast("array<struct<size:int,role:int>>"))
+        lone = F.when(F.exists(there, lambda x: x < F.col("own")), F.array(role(F.col("own"), alone))).otherwise(F.array().cast("array<struct<size:int,role:int>>"))
+        up = F.transform(F.filter(there, lambda x: x > F.col("own")), lambda x: role(x, above))
+        d = df.withColumn("k", F.explode(F.concat(own, lone, up)))
+        side = F.pow(F.lit(2.0), F.col("k.size")) / per_degree
+        s = lambda c: F.floor(F.col(c) / side)
+        d = d.withColumn("y", F.explode(F.sequence(s("lat0"), s("lat1")))).withColumn("x", F.explode(F.sequence(s("lon0"), s("lon1"))))
+        return d.select(name, "k", "y", "x", *(F.col(c).alias(f"_{name}_{c}") for c in _BOX))
+
+    j = dealt(wide, "a", sizes[1], 1, 2).join(dealt(plain, "b", sizes[0], 2, 1), ["k", "y", "x"])
+    low, high = lambda c: F.greatest(f"_a_{c}", f"_b_{c}"), lambda c: F.least(f"_a_{c}", f"_b_{c}")
+    side = F.pow(F.lit(2.0), F.col("k.size")) / per_degree
+    meet = (low("lat0") <= high("lat1")) & (low("lon0") <= high("lon1"))
+    return j.where(meet & (F.floor(low("lat0") / side) == F.col("y")) & (F.floor(low("lon0") / side) == F.col("x"))).select("a", "b")
+
+
+def overlapping(boxes: DataFrame, others: DataFrame, per_degree: int = 4) -> DataFrame:
+    """(a, b): ids of boxes that overlap, edges included, each pair once."""
+    return meeting_squares(boxes.select("id", *_BOX), others.select("id", *_BOX), per_degree).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def newest(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
 
 
-def within_budget(df: DataFrame, part: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """What to drop, oldest first, until a part's rest fits: rows before which more than the budget was still held."""
-    w = Window.partitionBy(part).orderBy(*order)
-    held = F.sum(size).over(Window.partitionBy(part)) - F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_held", held).where(F.col("_held") > budget).drop("_held")
+def within_budget(df: DataFrame, part: str, order: list[str], size: str, budget: int, pinned: str | None = None) -> DataFrame:
+    """What to drop, oldest first, until a part's rest fits: rows before which more than the budget was still held. Rows that are `pinned` (a boolean) count but are never dropped.
+
+    Rows are dealt to ranges of (part, order) and written; sums of ranges, one row a part and range, say what each range begins with, so no task sees more than a range, however few parts there are.
+    """
+    ranged, before = "_range", "_before"
+    loose = F.col(size) if pinned is None else F.when(F.coalesce(F.col(pinned), F.lit(False)), 0).otherwise(F.col(size))
+    laid = cut(df.repartitionByRange(part, *order).withColumn(ranged, F.spark_partition_id()))
+    sums = laid.groupBy(part, ranged).agg(F.sum(size).alias("_all"), F.sum(loose).alias("_loose"))
+    w = Window.partitionBy(part)
+    sums = sums.select(F.col(part).alias("_part"), F.col(ranged).alias("_r"), F.sum("_all").over(w).alias("_total"), F.coalesce(F.sum("_loose").over(w.orderBy(ranged).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    inside = Window.partitionBy(part, ranged).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = laid.withColumn("_gone", F.coalesce(F.sum(loose).over(inside), F.lit(0)))
+    rows = rows.join(sums, F.col(part).eqNullSafe(F.col("_part")) & (F.col(ranged) == F.col("_r")))
+    over = rows.where(F.col("_total") - F.col(before) - F.col("_gone") > budget)
+    return (over if pinned is None else over.where(~F.coalesce(F.col(pinned), F.lit(False)))).select(*df.columns)
