@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import classify as K
+from ..operators import landuse as U
 from ..operators import lettering as L
 from ..operators import passes
 from ..operators.graph import shared_dir
@@ -70,3 +71,24 @@ def m12_passes(spark, sf):
     path = f"{shared_dir(spark)}/pass-{uuid.uuid4().hex}"
     passes.run(t, "region", work, path)
     return passes.result(spark, path, work(t).schema)
+
+
+# ---- land use
+
+_RINGS = f"(SELECT id, lat0, lon0, lat1 + 0.5 AS lat1, lon1 + 0.7 AS lon1 FROM {V.sql('g_box')})"
+
+
+@query(f"""WITH p AS (SELECT *, lat0 + (lat1-lat0)*0.25e0 AS a0, lat0 + (lat1-lat0)*0.75e0 AS a1, lon0 + (lon1-lon0)*0.3e0 AS o0, lon0 + (lon1-lon0)*0.6e0 AS o1 FROM {_RINGS}), b AS (SELECT s_suppkey AS box, 46.03e0 + s_suppkey % 12 * 0.21 AS y0, -123.01e0 + s_suppkey // 12 % 12 * 0.23 AS x0 FROM supplier), c AS (SELECT *, y0 + 0.3e0 AS y1, x0 + 0.35e0 AS x1 FROM b),
+m AS (SELECT id, box, greatest(least(lat1, y1) - greatest(lat0, y0), 0)*greatest(least(lon1, x1) - greatest(lon0, x0), 0) - greatest(least(a1, y1) - greatest(a0, y0), 0)*greatest(least(o1, x1) - greatest(o0, x0), 0) AS area FROM p, c)
+SELECT id, box, round(area + 3e-8, 6) AS area FROM m WHERE area > 1e-5""")
+def s24_cut_areas(spark, sf):
+    """Square degrees of polygons with a hole inside many boxes, all cut in one join."""
+    p = V.view(spark, sf, "g_box").withColumns({"lat1": F.col("lat1") + 0.5, "lon1": F.col("lon1") + 0.7})
+    hole = {"a0": ("lat0", "lat1", 0.25), "a1": ("lat0", "lat1", 0.75), "o0": ("lon0", "lon1", 0.3), "o1": ("lon0", "lon1", 0.6)}
+    p = p.withColumns({n: F.col(lo) + (F.col(hi) - F.col(lo)) * k for n, (lo, hi, k) in hole.items()})
+    ring = lambda *at: F.array(*[F.struct(F.col(y).alias("lat"), F.col(x).alias("lon")) for y, x in at])
+    outer = ring(("lat0", "lon0"), ("lat0", "lon1"), ("lat1", "lon1"), ("lat1", "lon0"), ("lat0", "lon0"))
+    inner = ring(("a0", "o0"), ("a1", "o0"), ("a1", "o1"), ("a0", "o1"), ("a0", "o0"))
+    b = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_suppkey AS box", "46.03D + s_suppkey % 12 * 0.21D AS lat0", "-123.01D + s_suppkey DIV 12 % 12 * 0.23D AS lon0").selectExpr("box", "lat0", "lon0", "lat0 + 0.3D AS lat1", "lon0 + 0.35D AS lon1")
+    made = U.cut(p.select("id", F.array(outer, inner).alias("rings")), b, "id")
+    return U.degrees2(made, "id").where("area > 1e-5").withColumn("area", F.round(F.col("area") + 3e-8, 6))
