@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measure as M
+from ..functions.cells import texel_m
 from ..functions.text import fit
 from .graph import cut
 
@@ -26,6 +29,31 @@ def search(places: DataFrame, query: str, tier: Column, limit: int = 60) -> Data
     return g.withColumn("tier", tier).orderBy("fit", "tier", F.desc("rank"), "kind", "name", "reference").limit(limit).select("kind", "name", "reference", "fit", "tier", "rank", "_at.lat", "_at.lon")
 
 
+def on_screen(lat: Column, lon: Column, view: tuple[float, float, float, int, int]) -> tuple[Column, Column]:
+    """Pixels from the upper left corner of a flat view: (latitude and longitude of its centre, pixels a degree, width, height)."""
+    clat, clon, ppd, w, h = view
+    return (lon - clon) * math.cos(math.radians(clat)) * ppd + w / 2, (clat - lat) * ppd + h / 2
+
+
+def in_view(texels: DataFrame, query: str, view: tuple[float, float, float, int, int], tier: Column, limit: int = 60) -> DataFrame:
+    """(kind, name, reference, fit, tier, rank, size_m, lat, lon): what a search shows of the names in view, best fit first, then tier, rank and size. texels: depth, prefix, kind, name, reference, rank, lat, lon.
+
+    A name stands at its texel nearest the view's centre, of the deepest cells that have it in view; its size is that of its texels in the first of those cells. Kinds without a tier are left out, as is what lies outside the view. The limit is what a search shows.
+    """
+    _, _, _, w, h = view
+    x, y = on_screen(F.col("lat"), F.col("lon"), view)
+    q = F.lit(query.strip())
+    best = F.least(fit(q, F.col("name")), fit(q, F.col("reference")))
+    # names are many times fewer than texels, but stand beside each of them here: the texts are compared before anything is shuffled
+    hits = texels.withColumns({"tier": tier, "fit": best, "_x": x, "_y": y}).where("fit IS NOT NULL AND tier IS NOT NULL").where(F.col("_x").between(0, w) & F.col("_y").between(0, h))
+    far = F.pow(F.col("_x") - w / 2, F.lit(2)) + F.pow(F.col("_y") - h / 2, F.lit(2))
+    name = ["kind", "name", "reference"]
+    cells = hits.withColumn("_at", F.struct(far.alias("d"), "lat", "lon")).groupBy("depth", "prefix", *name).agg(F.min("fit").alias("fit"), F.min("tier").alias("tier"), F.max("rank").alias("rank"), F.count("*").alias("n"), F.min("_at").alias("_at"))
+    down = -F.col("depth")
+    found = cells.groupBy(*name).agg(F.min("fit").alias("fit"), F.min("tier").alias("tier"), F.max("rank").alias("rank"), F.min(F.struct(down.alias("k"), "_at")).alias("_p"), F.min(F.struct(down.alias("k"), "prefix", (F.col("n") * texel_m(F.col("depth"))).alias("size"))).alias("_s"))
+    return found.withColumn("size_m", F.col("_s.size")).orderBy("fit", "tier", F.desc("rank"), F.desc("size_m"), *name).limit(limit).select(*name, "fit", "tier", "rank", "size_m", F.col("_p._at.lat").alias("lat"), F.col("_p._at.lon").alias("lon"))
+
+
 def nearest(points: DataFrame, places: DataFrame, reach_m: float = 2000.0, per_degree: int = 50, alike: str | None = None, bring: tuple[str, ...] = ()) -> DataFrame:
     """(id, place, metres, *bring): each point's nearest place within reach, those with the point's value of the column `alike` first; the lowest place of equals. bring: columns of the place found.
 

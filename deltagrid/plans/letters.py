@@ -10,6 +10,7 @@ from ..functions import classify as K
 from ..operators import landuse as U
 from ..operators import lettering as L
 from ..operators import passes
+from ..operators import search as S
 from ..operators.graph import shared_dir
 from . import views as V
 
@@ -92,3 +93,45 @@ def s24_cut_areas(spark, sf):
     b = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_suppkey AS box", "46.03D + s_suppkey % 12 * 0.21D AS lat0", "-123.01D + s_suppkey DIV 12 % 12 * 0.23D AS lon0").selectExpr("box", "lat0", "lon0", "lat0 + 0.3D AS lat1", "lon0 + 0.35D AS lon1")
     made = U.cut(p.select("id", F.array(outer, inner).alias("rings")), b, "id")
     return U.degrees2(made, "id").where("area > 1e-5").withColumn("area", F.round(F.col("area") + 3e-8, 6))
+
+
+# ---- search in a view
+
+_VIEW = (46.9, -121.8, 700.0, 1280, 720)
+_SOUGHT = f"(SELECT id, CAST(8 + id % 3 * 2 AS INT) AS depth, CASE WHEN id % 7 = 0 THEN 11 ELSE kind END AS kind, concat('Fort ', reference, ' ', CAST(id % 9 AS VARCHAR)) AS name, CASE WHEN id % 2 = 0 THEN reference ELSE '' END AS reference, rank, lat, lon FROM {V.sql('g_place')})"
+
+
+@query(f"""WITH {V.coded(_SOUGHT)}, t AS (SELECT *, CASE depth WHEN 8 THEN {V.prefix_sql(8)} WHEN 10 THEN {V.prefix_sql(10)} ELSE {V.prefix_sql(12)} END AS prefix, (lon + 121.8e0)*cos(radians(46.9e0))*700 + 640 AS x, (46.9e0 - lat)*700 + 360 AS y, CASE WHEN position('ildi' IN lower(name)) > 0 THEN 3 END AS f1, CASE WHEN position('ildi' IN lower(reference)) > 0 THEN 3 END AS f2 FROM coded),
+h AS (SELECT *, coalesce(least(f1, f2), f1, f2) AS fit, (x-640)*(x-640) + (y-360)*(y-360) AS d, CASE kind WHEN 64 THEN 0 WHEN 65 THEN 0 WHEN 66 THEN 5 WHEN 67 THEN 5 ELSE 1 END AS tier FROM t WHERE x BETWEEN 0 AND 1280 AND y BETWEEN 0 AND 720 AND kind <> 11),
+g AS (SELECT *, max(depth) OVER n AS deep, row_number() OVER (PARTITION BY kind, name, reference ORDER BY depth DESC, d, lat, lon) AS nth, first_value(prefix) OVER (PARTITION BY kind, name, reference ORDER BY depth DESC, prefix) AS cell, min(fit) OVER n AS f, max(rank) OVER n AS r FROM h WHERE fit IS NOT NULL WINDOW n AS (PARTITION BY kind, name, reference)),
+z AS (SELECT kind, name, reference, min(f) AS fit, min(tier) AS tier, max(r) AS rank, count(*) FILTER (depth = deep AND prefix = cell) * 7054000e0/pow(2.0, max(deep))/256 AS size_m, max(lat) FILTER (nth = 1) AS lat, max(lon) FILTER (nth = 1) AS lon FROM g GROUP BY kind, name, reference)
+SELECT kind, name, reference, CAST(fit AS INT) AS fit, CAST(tier AS INT) AS tier, rank, round(size_m, 4) AS size_m, lat, lon FROM (SELECT * FROM z ORDER BY fit, tier, rank DESC, size_m DESC, kind, name, reference LIMIT 60)""")
+def x18_f9_search_in_view(spark, sf):
+    """The names in view that hold a text, each at its place nearest the centre in the deepest cells that have it."""
+    from ..functions import cells as C
+
+    p = V.view(spark, sf, "g_place").withColumns({"depth": (8 + F.col("id") % 3 * 2).cast("int"), "kind": F.when(F.col("id") % 7 == 0, 11).otherwise(F.col("kind")), "name": F.concat(F.lit("Fort "), F.col("reference"), F.lit(" "), (F.col("id") % 9).cast("string"))})
+    p = C.encode(p.withColumn("reference", F.when(F.col("id") % 2 == 0, F.col("reference")).otherwise("")))
+    p = p.withColumn("prefix", F.when(F.col("depth") == 8, C.prefix(8)).when(F.col("depth") == 10, C.prefix(10)).otherwise(C.prefix(12)))
+    return S.in_view(p, "ildi", _VIEW, K.tier(F.col("kind"))).withColumn("size_m", F.round("size_m", 4))
+
+
+# ---- typed places
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, p_partkey % 90 AS a, p_partkey * 7 % 60 AS b, p_partkey * 11 % 60 AS c, p_partkey % 4 AS style FROM part),
+d AS (SELECT *, CASE style WHEN 2 THEN a + b/100e0 WHEN 3 THEN a + 60e0 ELSE a + b/60e0 + c/3600e0 END AS lat, CASE style WHEN 2 THEN a + c/100e0 WHEN 3 THEN 0e0 ELSE a + c/60e0 + b/3600e0 END AS lon FROM p)
+SELECT id, round(CASE WHEN lat <= 90 THEN CASE style WHEN 1 THEN -lat ELSE lat END END, 9) AS lat, round(CASE WHEN lat <= 90 THEN CASE WHEN style < 3 THEN -lon ELSE lon END END, 9) AS lon FROM d""")
+def x7_typed_places(spark, sf):
+    """Places read from four ways of writing them; null where the latitude is beyond a pole."""
+    from ..functions.place import typed_place
+
+    p = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS id", "p_partkey % 90 AS a", "p_partkey * 7 % 60 AS b", "p_partkey * 11 % 60 AS c", "p_partkey % 4 AS style")
+    two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
+    text = (
+        F.when(F.col("style") == 0, F.concat_ws(" ", "a", "b", "c", F.lit("N"), "a", "c", "b", F.lit("W")))
+        .when(F.col("style") == 1, F.format_string("%d°%d'%d\"s, w%d°%d′%d″", "a", "b", "c", "a", "c", "b"))
+        .when(F.col("style") == 2, F.concat(F.lit("N"), "a", F.lit("."), two("b"), F.lit("/W"), "a", F.lit("."), two("c")))
+        .otherwise(F.concat((F.col("a") + 60).cast("string"), F.lit(" 0")))
+    )
+    return p.select("id", typed_place(text).alias("p")).select("id", F.round("p.lat", 9).alias("lat"), F.round("p.lon", 9).alias("lon"))

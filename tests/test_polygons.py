@@ -1,10 +1,8 @@
 """Rings and typed places."""
 
-import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from deltagrid.functions.place import parse, typed_place
+from deltagrid.functions.place import typed_place
 from deltagrid.operators import polygons
 
 
@@ -33,18 +31,23 @@ def test_fill_is_even_odd_at_centroids(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("text", ["47.4455, -121.4235", "47.4455 -121.4235", "N47.4455 W121.4235", "47.4455N, 121.4235W", "47° 26.73' N 121° 25.41' W", "47 26 43.8 N, 121 25 24.6 W", "W121.4235, N47.4455", "47°26'43.8\"N 121°25'24.6\"W"])
-def test_typed_places(text):
-    lat, lon = parse(text)
-    assert abs(lat - 47.4455) < 1e-4 and abs(lon + 121.4235) < 1e-4
-
-
-@pytest.mark.parametrize("text", [None, "", "Snow Lake", "91, 0", "12", "N1 S2", "47 61 N, 121 W", "1.5 30 N 2 E"])
-def test_no_places(text):
-    assert parse(text) is None
-
-
-def test_typed_place_column(spark):
-    df = spark.createDataFrame([("s23.6 e48.14",), (None,), ("x",)], "t string")
-    got = [r["p"] for r in df.select(typed_place(F.col("t")).alias("p")).collect()]
-    assert (got[0]["lat"], got[0]["lon"]) == (-23.6, 48.14) and got[1]["lat"] is None or np.isnan(got[1]["lat"])
+# Spellings of one place, and texts that are none or others.
+SPELLINGS = [
+    "47.4455, -121.4235", "47.4455 -121.4235", "47.4455/-121.4235", "N47.4455 W121.4235", "N 47.4455, W 121.4235", "47.4455N 121.4235W", "47.4455N, 121.4235W", "47.4455 N, 121.4235 W",
+    "W121.4235 N47.4455", "W121.4235, N47.4455", "121.4235 W 47.4455 N", "47°26′43.8″ N  121°25′24.6″ W", "47°26'43.8\"N 121°25'24.6\"W", "N47°26'43.8\" W121°25'24.6\"", "47d26m43.8s n 121d25m24.6s w", "47 26 43.8 N 121 25 24.6 W",
+    "47 26 43.8 N, 121 25 24.6 W", "47 26 43.8, -121 25 24.6", "47 26 43.8 -121 25 24.6", "47°26.73' N 121°25.41' W", "47 26.73 N 121 25.41 W", "-47.4455 S 121.4235 W", "47.4455° N, 121.4235° W", "  47.4455 ,  -121.4235  ",
+    "47 26m 43.8s N 121 25m 24.6s W", "47 26 43.8sN 121 25 24.6sW", "47deg26min43.8sec N 121deg25min24.6sec W", "north 47.4455 west 121.4235", "47.4455 north; 121.4235 west", "+47.4455 -121.4235",
+]
+OTHERS = {"N23.6, W48.14": (23.6, -48.14), "s23.6 e48.14": (-23.6, 48.14), "1.5 30 N 2 E": (2.0, 2.0), "47 26 43.8 121 25 24.6": (47 + 26 / 60 + 43.8 / 3600, 121 + 25 / 60 + 24.6 / 3600), "-.5 .5": (-0.5, 0.5), "90 -180": (90.0, -180.0)}
+NONE = [None, "", "  ", "Snow Lake", "47.4455", "91 0", "91, 0", "0 181", "12", "47 61 0 N 121 0 0 W", "47 61 N, 121 W", "12 34 56 78 90", "1.2.3 4", "47? 121", "1,2,3", ",", "n s", "5 -6 7 8"]
+
+
+def test_typed_places(spark):
+    told = [(t, 47.4455, -121.4235) for t in SPELLINGS] + [(t, *p) for t, p in OTHERS.items()]
+    df = spark.createDataFrame([*told, *((t, None, None) for t in NONE)], "t string, lat double, lon double").select("*", typed_place(F.col("t")).alias("p"))
+    for r in df.collect():
+        if r["lat"] is None:
+            assert r["p"] is None, r
+        else:
+            assert r["p"] and abs(r["p"]["lat"] - r["lat"]) < 1e-4 and abs(r["p"]["lon"] - r["lon"]) < 1e-4, r
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
