@@ -2,9 +2,9 @@
 
 An Aho-Corasick automaton finds every known magic number at any offset in one pass. Each hit is then held against its
 format's own structure (chunk sizes, header lengths, checksums, trailers); only a hit whose structure and length hold
-counts. Trailers are looked up once for all hits, chains of pages are followed once, compressed data are inflated piece by
-piece without keeping the output, so neither time nor memory grows with hits times length. The
-item at offset 0 gives the true type, which corrects the declared one; items that lie wholly inside, at other offsets,
+counts. Trailers are looked up once for all hits, and chains of pages, chunks, segments and boxes are followed once, so time and
+memory do not grow with hits times length. Compressed data are inflated from each hit, piece by piece, without keeping the
+output; there alone hits that each begin a long valid stream are inflated once each. The item at offset 0 gives the true type, which corrects the declared one; items that lie wholly inside, at other offsets,
 are embedded media and can be carved.
 
 `store_samples` keeps bytes losslessly as 8-bit mono samples in a RIFF/WAVE container, `read_samples` gives them back.
@@ -55,7 +55,47 @@ class Data:
     """Bytes, with what several validators ask of them kept."""
 
     def __init__(self, b: bytes):
-        self.b, self._places, self.pages = b, {}, {}
+        self.b, self._places, self._ends, self._spans = b, {}, {}, None
+
+    def chain(self, name: str, p: int, step) -> int:
+        """Where a chain from p ends. step(p) gives (the next place, None) or (None, the end); what is known of a place is not asked again."""
+        ends, way = self._ends.setdefault(name, {}), []
+        while (end := ends.get(p)) is None:
+            way.append(p)
+            p, end = step(p)
+            if end is not None:
+                break
+        ends.update(dict.fromkeys(way, end))
+        return end
+
+    def on_way(self, a: int, x: int) -> bool:
+        """Whether the chain of chunks (a name, a size, so many bytes, made even) that begins at a, after a RIFF head, comes to x. All such chains are joined into trees once, in which x must stand above a."""
+        if self._spans is None:
+            follows, b = {}, self.b
+            at = b.find(b"RIFF")
+            while at >= 0:
+                p = at + 12
+                while p not in follows:
+                    follows[p] = q = p + 8 + (n := int.from_bytes(b[p + 4 : p + 8], "little")) + (n & 1) if p + 8 <= len(b) else -1
+                    if q < 0:
+                        break
+                    p = q
+                at = b.find(b"RIFF", at + 1)
+            before: dict[int, list[int]] = {}
+            for p, q in follows.items():
+                before.setdefault(q, []).append(p)
+            self._spans, count, todo = {}, 0, [(p, False) for p in before.get(-1, ())]
+            while todo:
+                p, done = todo.pop()
+                if done:
+                    self._spans[p] = (self._spans[p][0], count)
+                    continue
+                self._spans[p] = (count, count + 1)
+                count += 1
+                todo.append((p, True))
+                todo += [(q, False) for q in before.get(p, ())]
+        low, high = self._spans.get(x, (0, 0))
+        return a in self._spans and low <= self._spans[a][0] < high
 
     def after(self, trailer: bytes, at: int) -> int:
         """The first place of a trailer from `at` on, or -1."""
@@ -78,37 +118,42 @@ def _riff(d: Data, at: int) -> tuple[str, int] | None:
     end = at + 8 + size
     if kind is None or end > len(b):
         return None
-    p = at + 12
-    while p + 8 <= end:  # chunks must fill it exactly
-        (n,) = struct.unpack_from("<I", b, p + 4)
-        p += 8 + n + (n & 1)
-    return (kind, end - at) if p in (end, end + 1) else None
+    # chunks must fill it exactly, but for a byte that makes the last one even
+    full = d.on_way(at + 12, end) or (d.on_way(at + 12, end + 1) and not d.on_way(at + 12, end - 7))
+    return (kind, end - at) if full else None
 
 
 def _png(d: Data, at: int) -> tuple[str, int] | None:
-    b, p, first = d.b, at + 8, True
-    while p + 12 <= len(b):
+    b = d.b
+
+    def chunk(p: int) -> tuple[int | None, int | None]:
+        if p + 12 > len(b):
+            return None, -1
         n, name = struct.unpack_from(">I4s", b, p)
-        if first != (name == b"IHDR") or first and n != 13 or p + 12 + n > len(b):
-            return None
-        if zlib.crc32(memoryview(b)[p + 4 : p + 8 + n]) != int.from_bytes(b[p + 8 + n : p + 12 + n], "big"):
-            return None
-        first, p = False, p + 12 + n
-        if name == b"IEND":
-            return ("image/png", p - at) if n == 0 else None
-    return None
+        if name == b"IHDR" or p + 12 + n > len(b) or zlib.crc32(memoryview(b)[p + 4 : p + 8 + n]) != int.from_bytes(b[p + 8 + n : p + 12 + n], "big"):
+            return None, -1
+        return (p + 12 + n, None) if name != b"IEND" else (None, p + 12 if n == 0 else -1)
+
+    p = at + 8
+    if p + 25 > len(b) or struct.unpack_from(">I4s", b, p) != (13, b"IHDR") or zlib.crc32(b[p + 4 : p + 21]) != int.from_bytes(b[p + 21 : p + 25], "big"):
+        return None
+    end = d.chain("png", p + 25, chunk)
+    return ("image/png", end - at) if end >= 0 else None
 
 
 def _jpeg(d: Data, at: int) -> tuple[str, int] | None:
-    b, p = d.b, at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
+    b = d.b
+
+    def segment(p: int) -> tuple[int | None, int | None]:
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return None, -1
         if b[p + 1] == 0xDA:
             end = d.after(b"\xff\xd9", p + 2)
-            return ("image/jpeg", end + 2 - at) if end >= 0 else None
-        if not 0xC0 <= b[p + 1] <= 0xFE:
-            return None
-        p += 2 + max(2, int.from_bytes(b[p + 2 : p + 4], "big"))
-    return None
+            return None, end + 2 if end >= 0 else -1
+        return (p + 2 + max(2, int.from_bytes(b[p + 2 : p + 4], "big")), None) if 0xC0 <= b[p + 1] <= 0xFE else (None, -1)
+
+    end = d.chain("jpeg", at + 2, segment)
+    return ("image/jpeg", end - at) if end >= 0 else None
 
 
 def _gif(d: Data, at: int) -> tuple[str, int] | None:
@@ -116,23 +161,23 @@ def _gif(d: Data, at: int) -> tuple[str, int] | None:
     if len(b) < at + 14:
         return None
     flags = b[at + 10]
-    p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
 
-    def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        return p + 1
+    def block(p: int) -> tuple[int | None, int | None]:
+        return (p + 1 + b[p], None) if p < len(b) and b[p] else (None, p + 1)
 
-    while p < len(b):
+    def part(p: int) -> tuple[int | None, int | None]:
+        if p >= len(b):
+            return None, -1
         if b[p] == 0x3B:
-            return "image/gif", p + 1 - at
+            return None, p + 1
         if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 < len(b):
-            p = blocks(p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0))
-        else:
-            return None
-    return None
+            return d.chain("gif blocks", p + 2, block), None
+        if b[p] == 0x2C and p + 10 < len(b):
+            return d.chain("gif blocks", p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 0x80 else 0), block), None
+        return None, -1
+
+    end = d.chain("gif", at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), part)
+    return ("image/gif", end - at) if end >= 0 else None
 
 
 def _bmp(d: Data, at: int) -> tuple[str, int] | None:
@@ -222,19 +267,16 @@ def _flac(d: Data, at: int) -> tuple[str, int] | None:
 
 
 def _ogg(d: Data, at: int) -> tuple[str, int] | None:
-    b, p, way = d.b, at, []
-    while (end := d.pages.get(p)) is None:
+    b = d.b
+
+    def page(p: int) -> tuple[int | None, int | None]:
         if b[p : p + 5] != b"OggS\x00" or len(b) < p + 27:
-            end = p
-            break
+            return None, p
         n = b[p + 26]
-        way.append(p)
-        p += 27 + n + sum(b[p + 27 : p + 27 + n])
-        if p > len(b):
-            end = -1
-            break
-    for x in way:  # where the chain of pages from here ends; -1: within a page
-        d.pages[x] = end
+        q = p + 27 + n + sum(b[p + 27 : p + 27 + n])
+        return (q, None) if q <= len(b) else (None, -1)  # -1: within a page
+
+    end = d.chain("ogg", at, page)
     return ("audio/ogg", end - at) if end > at else None
 
 
@@ -253,15 +295,18 @@ def _gzip(d: Data, at: int) -> tuple[str, int] | None:
 
 
 def _mp4(d: Data, at: int) -> tuple[str, int] | None:
-    b, p = d.b, at
+    b = d.b
     if len(b) < at + 16 or not b[at + 8 : at + 12].isascii() or not b[at + 8 : at + 12].decode("latin-1").isprintable() or int.from_bytes(b[at : at + 4], "big") % 4:
         return None
-    while p + 8 <= len(b):
+
+    def box(p: int, least: int = 8) -> tuple[int | None, int | None]:
+        if p + 8 > len(b):
+            return None, p
         n, name = struct.unpack_from(">I4s", b, p)
-        if n < (16 if p == at else 8) or p + n > len(b) or not name.isalnum():
-            break
-        p += n
-    return ("video/mp4", p - at) if p > at else None
+        return (p + n, None) if n >= least and p + n <= len(b) and name.isalnum() else (None, p)
+
+    first, _ = box(at, 16)
+    return ("video/mp4", d.chain("mp4", first, box) - at) if first is not None else None
 
 
 VALIDATORS = {"riff": _riff, "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "application/pdf": _pdf, "application/zip": _zip, "audio/flac": _flac, "audio/ogg": _ogg, "application/gzip": _gzip, "video/mp4": _mp4}

@@ -247,6 +247,15 @@ def test_language_of_an_empty_table_and_of_repeated_rows(spark):
     assert len(got) == 1
 
 
+def test_langid_counts_letters_only(spark):
+    """Numbers that are no digits are no letters; marks belong to the letter before them."""
+    assert langid.words_of("² ½ ① Ⅷ ٣ _ 12") == [] and langid.words_of("naïve x²y ªº") == ["naïve", "x", "y", "ªº"]
+    assert langid.words_of("हिन्दी भाषा ①e\u0301a") == ["हिन्दी", "भाषा", "e\u0301a"]
+    model = langid.train(["the cat", "le chat"], ["en", "fr"])
+    got = {r["text"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs(spark, ["² ½ ①", "", "Ⅷ", "the cat"]), model).collect()}
+    assert got["² ½ ①"] == got[""] == got["Ⅷ"] == ("und", 0.0) and got["the cat"][0] == "en"
+
+
 def test_langid_reads_long_words_whole():
     a, b = "a" * 30, "b" * 30
     assert set(langid.features("xyz", ())) - set(langid.features(a + b, ())) and langid.features(a + "xyz" + b, ()) != langid.features(a + b, ())
@@ -424,11 +433,54 @@ def test_media_validators_state_the_length():
     assert not media.items(struct.pack(">I4s4sI", 16, b"ftyp", b"\x00\x01\x02\x03", 0))[0]
 
 
+def png_chunk(name, data):
+    return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+
+def riff_by_hand(b, at):
+    """Chunk by chunk."""
+    size, kind = int.from_bytes(b[at + 4 : at + 8], "little"), b[at + 8 : at + 12]
+    end = at + 8 + size
+    if len(b) < at + 12 or kind not in (b"WAVE", b"WEBP", b"AVI ") or end > len(b):
+        return None
+    p = at + 12
+    while p + 8 <= end:
+        n = int.from_bytes(b[p + 4 : p + 8], "little")
+        p += 8 + n + (n & 1)
+    return end - at if p in (end, end + 1) else None
+
+
+def test_chunks_fill_their_head_exactly():
+    rng = random.Random(12)
+    seen = set()
+    for _ in range(400):
+        b = bytearray()
+        while len(b) < 160:
+            b += rng.choice((b"RIFF" + struct.pack("<I", rng.randint(4, 60)) + rng.choice((b"WAVE", b"AVI ", b"LIST")), b"data" + struct.pack("<I", rng.randint(0, 9)), bytes(rng.randint(0, 5))))
+        b, d = bytes(b), media.Data(bytes(b))
+        for at in range(len(b) - 12):
+            if b[at : at + 4] == b"RIFF":
+                found = media.VALIDATORS["riff"](d, at)
+                assert (found and found[1]) == riff_by_hand(b, at)
+                seen.add(found is None)
+    assert seen == {True, False}
+
+
 def test_media_work_does_not_grow_with_hits_times_length():
     for magic in (b"PK\x03\x04", b"%PDF-1", b"OggS\x00" + b"\0" * 22, b"\xff\xd8\xff\xda", b"\x1f\x8b\x08" + b"\0" * 7):
         began = time.time()
         media.items(magic * (400_000 // len(magic)))
         assert time.time() - began < 1.5
+    heads = [b"\xff\xd8" + b"\xff\xe0\x00\x04\xff\xd8" * 170_000, (b"\0\0\0\x10ftypisom\0\0\0\0") * 65_000, b"GIF89a\1\0\1\0\0\0\0" * 80_000, b"GIF89a\1\0\1\0\0\0\0!\xf9" * 69_000]
+    size = 1_000_000
+    heads.append(b"".join(b"RIFF" + struct.pack("<I", size - k - 8) + b"WAVE" for k in range(0, size - 12, 12)))
+    heads.append(b"".join(b"RIFF" + struct.pack("<I", size - k - 8) + b"AVI LIST\4\0\0\0" for k in range(0, size - 20, 20)))
+    png = b"\x89PNG\r\n\x1a\n" + png_chunk(b"IHDR", b"\0" * 13)
+    heads.append((png + png_chunk(b"tEXt", b"\x89PNG\r\n\x1a\n") * 3) * 12_000)
+    for data in heads:
+        began = time.time()
+        media.items(data)
+        assert time.time() - began < 2.5, data[:20]
     assert media.items(gzip.compress(b"\0" * 50_000_000))[0][0][0] == "application/gzip"
 
 
