@@ -27,13 +27,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data under pseudonyms of the same format. Null and empty texts stay as they are; every row stays."""
-    return pii.protect(docs, secret(spark)).select(*docs.columns)
+    """Personal data under pseudonyms of the same format. Null and empty texts stay as they are; every row stays, and every other column, whatever its name."""
+    other = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    safe = pii.protect(docs.select(F.struct(*other).alias("packed"), "text"), secret(spark))
+    return safe.select(*(F.col("text" if c == "text" else f"packed.`{c}`") for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, at most three times. A null source is one of its own; rows of one id are rows of their own."""
-    return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
+    """Documents as often as the mix of sources takes them, at most three times. A null source is one of its own; rows of one id are rows of their own. Columns stay as they are, whatever their names."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("packed"), "doc_id", "source", mixing.words(F.col("text")).alias("n"))
+    return mixing.repeated(mixing.mix(packed, size=F.col("n"))).select("packed.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
