@@ -121,7 +121,7 @@ def x18_f9_search_in_view(spark, sf):
 
 @query(f"""WITH p AS (SELECT p_partkey AS id, p_partkey % 90 AS a, p_partkey * 7 % 60 AS b, p_partkey * 11 % 60 AS c, p_partkey % 4 AS style FROM part),
 d AS (SELECT *, CASE style WHEN 2 THEN a + b/100e0 WHEN 3 THEN a + 60e0 ELSE a + b/60e0 + c/3600e0 END AS lat, CASE style WHEN 2 THEN a + c/100e0 WHEN 3 THEN 0e0 ELSE a + c/60e0 + b/3600e0 END AS lon FROM p)
-SELECT id, round(CASE WHEN lat <= 90 THEN CASE style WHEN 1 THEN -lat ELSE lat END END, 9) AS lat, round(CASE WHEN lat <= 90 THEN CASE WHEN style < 3 THEN -lon ELSE lon END END, 9) AS lon FROM d""")
+SELECT id, round(CASE WHEN lat <= 90 THEN CASE style WHEN 1 THEN -lat ELSE lat END END, 9) + 0 AS lat, round(CASE WHEN lat <= 90 THEN CASE WHEN style < 3 THEN -lon ELSE lon END END, 9) + 0 AS lon FROM d""")
 def x7_typed_places(spark, sf):
     """Places read from four ways of writing them; null where the latitude is beyond a pole."""
     from ..functions.place import typed_place
@@ -130,8 +130,8 @@ def x7_typed_places(spark, sf):
     two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
     text = (
         F.when(F.col("style") == 0, F.concat_ws(" ", "a", "b", "c", F.lit("N"), "a", "c", "b", F.lit("W")))
-        .when(F.col("style") == 1, F.format_string("%d°%d'%d\"s, w%d°%d′%d″", "a", "b", "c", "a", "c", "b"))
+        .when(F.col("style") == 1, F.format_string("%d°%d'%d\" s, w%d°%d′%d″", "a", "b", "c", "a", "c", "b"))
         .when(F.col("style") == 2, F.concat(F.lit("N"), "a", F.lit("."), two("b"), F.lit("/W"), "a", F.lit("."), two("c")))
         .otherwise(F.concat((F.col("a") + 60).cast("string"), F.lit(" 0")))
     )
-    return p.select("id", typed_place(text).alias("p")).select("id", F.round("p.lat", 9).alias("lat"), F.round("p.lon", 9).alias("lon"))
+    return p.select("id", typed_place(text).alias("p")).select("id", (F.round("p.lat", 9) + 0).alias("lat"), (F.round("p.lon", 9) + 0).alias("lon"))
