@@ -61,21 +61,49 @@ def stream_chunks(fixes: DataFrame, track: str, size: int = 64, order: str = "ev
     return fixes.groupBy(track).applyInPandasWithState(step, f"track {key}, chunk bigint, first bigint, last bigint, n bigint", "chunk bigint, held array<bigint>", "append", "NoTimeout")
 
 
-def write_latest(fixes: DataFrame, path: str, track: str, order: list[str], checkpoint: str):
-    """Streaming: keeps a table of each track's last fix; every micro-batch reads the newest version before it and writes its own, so a batch that is run again gives the same. The version before stays for that; older ones are deleted."""
+#: Parts of a table of latest fixes, by hash of the track.
+PARTS = 64
+
+
+def _versions(spark, path: str) -> dict[int, list[int]]:
+    """Of each part, the versions that hold it, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda p: [f.getPath().getName() for f in files.listStatus(p)] if files.exists(p) else []
+    out: dict[int, list[int]] = {}
+    for v in sorted(int(n.removeprefix("version=")) for n in names(root) if n.startswith("version=")):
+        for n in names(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}")):
+            if n.startswith("part="):
+                out.setdefault(int(n.removeprefix("part=")), []).append(v)
+    return out
+
+
+def _part(track: str, parts: int):
+    return F.pmod(F.xxhash64(track), F.lit(parts)).cast("int")
+
+
+def read_latest(spark, path: str, schema) -> DataFrame:
+    """The table that `write_latest` keeps: of each part its newest version."""
+    newest = [f"{path}/version={v[-1]}/part={k}" for k, v in sorted(_versions(spark, path).items())]
+    return spark.read.schema(schema).parquet(*newest) if newest else spark.createDataFrame([], schema)
+
+
+def write_latest(fixes: DataFrame, path: str, track: str, order: list[str], checkpoint: str, parts: int = PARTS):
+    """Streaming: keeps a table of each track's last fix in parts by hash of the track. A micro-batch writes only the parts that it touches, each from its newest version before the batch, so a batch that is run again gives the same. The version before stays for that; older ones are deleted."""
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
-        before = sorted(v for v in (int(n.removeprefix("version=")) for n in names if n.startswith("version=")) if v < epoch)
         new = latest(batch, track, order)
-        if before:
-            new = latest(new.unionByName(spark.read.parquet(f"{path}/version={before[-1]}")), track, order)
-        new.write.mode("overwrite").parquet(f"{path}/version={epoch}")
-        for v in before[:-1]:
-            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}"), True)
+        touched = {r[0] for r in new.select(_part(track, parts)).distinct().collect()}  # `parts` numbers at most
+        before = {k: [v for v in vs if v < epoch] for k, vs in _versions(spark, path).items() if k in touched}
+        known = [f"{path}/version={v[-1]}/part={k}" for k, v in before.items() if v]
+        if known:
+            new = latest(new.unionByName(spark.read.schema(new.schema).parquet(*known)), track, order)
+        new.withColumn("part", _part(track, parts)).write.mode("overwrite").partitionBy("part").parquet(f"{path}/version={epoch}")
+        for k, vs in before.items():
+            for v in vs[:-1]:
+                old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/part={k}")
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return fixes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 

@@ -44,6 +44,22 @@ def test_latest_table(spark, tmp_path):
     assert sorted(r["event_id"] for r in got.collect()) == sorted(r["event_id"] for r in twin.collect())
 
 
+def test_latest_table_rewrites_only_what_a_batch_touches(spark, tmp_path):
+    log, out = tmp_path / "log", str(tmp_path / "latest")
+    write = lambda: once(tracks.write_latest(positions.positions(spark, str(log)), out, "track", ["unix_ms", "seq"], str(tmp_path / "ck"), 8))
+    append(log, "a.jsonl", [fix(t, k) for t in range(40) for k in range(3)])
+    write()
+    append(log, "a.jsonl", [fix(7, 9)])
+    write()
+    append(log, "a.jsonl", [fix(7, 5), fix(7, 12)])
+    write()
+    got = tracks.read_latest(spark, out, StructType.fromDDL(positions.FIX))
+    assert sorted((r["track"], r["seq"]) for r in got.collect()) == [(t, 12 if t == 7 else 2) for t in range(40)]
+    held = {v: [p.name for p in (tmp_path / "latest" / f"version={v}").iterdir() if p.name.startswith("part=")] for v in range(3)}
+    assert len(held[0]) in (7, 8) and len(held[1]) == len(held[2]) == 1 and held[1] == held[2]
+    assert tracks.read_latest(spark, str(tmp_path / "none"), StructType.fromDDL(positions.FIX)).count() == 0
+
+
 def test_windows_and_deduplication(spark, tmp_path):
     fixes, s = stream(spark, tmp_path)
     assert run("w", tracks.windows(s, "ts", "1 hour", "1 day"), "complete", spark).groupBy().sum("n").first()[0] == fixes.count()
