@@ -34,3 +34,24 @@ def roll(tone: Column, light: Column) -> Column:
 def retone(byte: Column, old: Column, new: Column) -> Column:
     """A byte brought from one tone to another; 0 and bytes that are in it already stay."""
     return F.when((byte == 0) | (old == new), byte).otherwise(roll(new, unroll(old, byte))).cast("int")
+
+
+#: The reflectance that counts as paper white, of visible bands and of the near infrared.
+VISIBLE_WHITE, NIR_WHITE = 0.30, 0.50
+
+
+def srgb_light(byte: Column) -> Column:
+    """Linear light of a display byte."""
+    c = byte / 255.0
+    return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
+
+
+def mixed(bands: list[Column], matrix: list[list[float]]) -> list[Column]:
+    """Light in other primaries: a row of the matrix for each of them, a column for each band."""
+    return [sum((b * k for b, k in zip(bands[1:], row[1:], strict=True)), bands[0] * row[0]) for row in matrix]
+
+
+def scene_light(reflectance: list[Column], matrix: list[list[float]], infrared: Column | None = None) -> list[Column]:
+    """Scene light of red, green and blue reflectance, and of the near infrared where there is one: 1 is paper white. The matrix, which depends on the eye's cone tables, is given by the caller; for a flat reflector its rows add up to 1."""
+    visible = [c / VISIBLE_WHITE for c in mixed(reflectance, matrix)]
+    return visible if infrared is None else [*visible, infrared / NIR_WHITE]

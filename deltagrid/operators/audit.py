@@ -24,5 +24,13 @@ def gaps(texels: DataFrame, missing: Column, levels: int, limit: float) -> DataF
     return cells.groupBy(F.shiftright("prefix", 2 * levels).alias("area")).agg(F.count("*").alias("cells"), F.sum((F.col("missing") > limit).cast("bigint")).alias("bad"), F.max("missing").alias("worst"))
 
 
+def biggest_gaps(texels: DataFrame, missing: Column, wet: Column, levels: int, limit: float = 0.01, most: int = 10) -> DataFrame:
+    """(area, cells, bad, missing, wet): of the areas with cells that miss more than the limit, those with most such cells first: their texels missing in per cent, and how many per cent of these are water. `most` areas are shown, which is the report."""
+    cells = texels.groupBy("prefix").agg(F.count("*").alias("n"), F.count_if(missing).alias("gone"), F.count_if(missing & wet).alias("sea"))
+    a = cells.groupBy(F.shiftright("prefix", 2 * levels).alias("area")).agg(F.count("*").alias("cells"), F.count_if(F.col("gone") > limit * F.col("n")).alias("bad"), F.sum("n").alias("n"), F.sum("gone").alias("gone"), F.sum("sea").alias("sea")).where("bad > 0")
+    share = lambda part, whole: F.round(100.0 * F.col(part) / F.col(whole), 6)
+    return a.orderBy(F.desc("bad"), F.desc("gone"), "area").limit(most).select("area", "cells", "bad", share("gone", "n").alias("missing"), share("sea", "gone").alias("wet"))
+
+
 def letters(df: DataFrame, text: Column) -> DataFrame:
     return df.select(F.explode(F.split(text, "")).alias("letter")).where("letter <> ''").groupBy("letter").agg(F.count("*").alias("n"))

@@ -198,6 +198,14 @@ def corridors_of(built: DataFrame) -> DataFrame:
     return built.where("texel IS NULL").select("depth", "prefix", "way", "corridor", "a", "b", "len", "dir", "run")
 
 
+def check(stamps: DataFrame, built: DataFrame) -> DataFrame:
+    """(depth, prefix, way, texels, nodes, inside, unmarked): how a way's texels in each cell are accounted for; a sound graph leaves none unmarked."""
+    key = ["depth", "prefix", "way", "texel"]
+    t = texels_of(built).select(*key, "node", "corridor")
+    j = stamps.select(*(F.col(c).cast("bigint") if c != "depth" else F.col(c).cast("int") for c in key)).distinct().join(t, key, "left")
+    return j.groupBy("depth", "prefix", "way").agg(F.count("*").alias("texels"), F.count("node").alias("nodes"), F.count("corridor").alias("inside"), F.count_if(F.col("node").isNull() & F.col("corridor").isNull()).alias("unmarked"))
+
+
 # ---- runs
 
 

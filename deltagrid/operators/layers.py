@@ -44,12 +44,39 @@ def together(layers: dict[str, DataFrame], key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(*[F.max(n).alias(n) for n in layers])
 
 
-def sampled_classes(samples: DataFrame, per_texel: int = 16) -> DataFrame:
-    """(prefix, texel, class, cov): the most frequent class of a texel's samples, the highest of equals; coverage n * 255 div per_texel."""
+def sampled_classes(samples: DataFrame, per_texel: int = 16, classes: DataFrame | None = None) -> DataFrame:
+    """(prefix, texel, class, cov): the most frequent class of a texel's samples, the highest of equals; coverage n * 255 div per_texel. classes (value, class): what a sample's own value, in its column `value`, counts as; values without a class do not count."""
+    if classes is not None:
+        samples = samples.drop("class").join(classes.select("value", "class"), "value")
     n = samples.groupBy("prefix", "texel", "class").agg(F.count("*").alias("n"))
     return n.groupBy("prefix", "texel").agg(F.max(F.struct("n", "class")).alias("_b")).select("prefix", "texel", "_b.class", F.floor(F.col("_b.n") * 255 / per_texel).alias("cov"))
 
 
+def water_share(samples: DataFrame, water: Column, per_texel: int = 16) -> DataFrame:
+    """(prefix, texel, cov): how much of each texel's samples is water, 0 to 255, whatever class rules the texel."""
+    n = samples.groupBy("prefix", "texel").agg(F.count_if(water).alias("n"))
+    return n.where("n > 0").select("prefix", "texel", F.floor(F.col("n") * 255 / per_texel).alias("cov"))
+
+
+def resampled(profile: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, station, v): a profile of any length at n even stations: between two rows the straight line, beside a missing height the row on the left. profile: key, pos (in order), v. A profile's rows stay where they are: each knows the stations up to the next one."""
+    o = Window.partitionBy(key).orderBy("pos")
+    p = profile.withColumns({"_k": F.row_number().over(o) - 1, "_n": F.count("*").over(Window.partitionBy(key)), "_next": F.lead("v").over(o)})
+    # station s stands at s * (rows - 1) / (n - 1) rows from the first
+    at = lambda k: F.ceil(k * (n - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).cast("int")
+    first, end = at(F.col("_k")), F.when(F.col("_k") == F.col("_n") - 1, n).otherwise(at(F.col("_k") + 1))
+    first = F.when((F.col("_n") == 1), 0).otherwise(first)
+    p = p.withColumn("station", F.explode(F.when(end > first, F.sequence(first, end - 1)).otherwise(F.array().cast("array<int>"))))
+    share = F.col("station") * (F.col("_n") - 1) / (n - 1) - F.col("_k")
+    v = F.when(F.col("_next").isNull() | F.col("v").isNull(), F.col("v")).otherwise(F.col("v") + (F.col("_next") - F.col("v")) * share)
+    return p.select(key, "station", v.alias("v"))
+
+
+def in_cells(points: DataFrame, cells: DataFrame, depth: int) -> DataFrame:
+    """points (diamond, u, v) with the columns of the cell (prefix of this depth) that holds each; points in no cell drop out. An equality join on the cell."""
+    return points.withColumn("prefix", C.prefix(depth)).join(cells, "prefix")
+
+
 def lidar_grid(points: DataFrame) -> DataFrame:
     """By 1 m cell (cx, cy): intensity mean of first returns (whole division), their number and top, the ground (class 2), and canopy: top less the lowest ground of the 3 x 3 cells, 0 to 255."""
     first = F.col("return_number") == 1

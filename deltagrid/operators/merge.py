@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 KEY = ["depth", "prefix", "texel"]
 
 
-def over(new: DataFrame, old: DataFrame, columns: list[str], footprint: DataFrame | None = None) -> DataFrame:
-    """Coverage layers. With a footprint (KEY) the new data rule inside it, even where they are empty; without, they rule where they cover anything."""
+def over(new: DataFrame, old: DataFrame, columns: list[str], footprint: DataFrame | None = None, take_new=None) -> DataFrame:
+    """Coverage layers. With a footprint (KEY) the new data rule inside it, even where they are empty; without, they rule where they cover anything, or where take_new(new, old), a predicate on both texels as structs, says so."""
     n = new.select(*KEY, F.struct(*columns).alias("_n"))
     o = old.select(*KEY, F.struct(*columns).alias("_o"))
     both = n.join(o, KEY, "full_outer")
-    if footprint is None:
+    if take_new is not None:
+        pick = F.when(F.coalesce(take_new(F.col("_n"), F.col("_o")), F.lit(False)), F.col("_n")).otherwise(F.coalesce("_o", "_n"))
+    elif footprint is None:
         pick = F.when(F.col("_n.cov") > 0, F.col("_n")).otherwise(F.coalesce("_o", "_n"))
     else:
         both = both.join(footprint.select(*KEY).distinct().withColumn("_in", F.lit(True)), KEY, "left")

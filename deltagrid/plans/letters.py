@@ -13,6 +13,8 @@ from ..operators import passes
 from ..operators import search as S
 from ..operators.graph import shared_dir
 from . import views as V
+from .routes import _ROUTES
+from .tables import TEXELS
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -135,3 +137,91 @@ def x7_typed_places(spark, sf):
         .otherwise(F.concat((F.col("a") + 60).cast("string"), F.lit(" 0")))
     )
     return p.select("id", typed_place(text).alias("p")).select("id", (F.round("p.lat", 9) + 0).alias("lat"), (F.round("p.lon", 9) + 0).alias("lon"))
+
+
+# ---- light, resampling, cells, audits, graph check
+
+_MATRIX = [[0.8, 0.25, -0.05], [0.1, 0.85, 0.05], [0.0, 0.1, 0.9]]
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, CAST(p_partkey % 256 AS DOUBLE)/255 AS c, CAST(p_size AS DOUBLE)/40 AS r, CAST(p_partkey % 50 AS DOUBLE)/60 AS g, CAST(p_partkey % 31 AS DOUBLE)/70 AS b, CAST(p_partkey % 17 AS DOUBLE)/20 AS n FROM part)
+SELECT id, round(CASE WHEN c <= 0.04045 THEN c/12.92 ELSE pow((c + 0.055e0)/1.055e0, 2.4e0) END, 9) AS light, round((0.8e0*r + 0.25e0*g - 0.05e0*b)/0.3e0, 9) AS red, round((0.1e0*r + 0.85e0*g + 0.05e0*b)/0.3e0, 9) AS green, round((0.1e0*g + 0.9e0*b)/0.3e0, 9) AS blue, round(n/0.5e0, 9) AS nir FROM p""")
+def p25_scene_light(spark, sf):
+    """Linear light of display bytes; scene light of reflectance in four bands."""
+    from ..functions import tone
+
+    p = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS id", "p_partkey % 256 AS byte", "CAST(p_size AS DOUBLE)/40 AS r", "CAST(p_partkey % 50 AS DOUBLE)/60 AS g", "CAST(p_partkey % 31 AS DOUBLE)/70 AS b", "CAST(p_partkey % 17 AS DOUBLE)/20 AS n")
+    light = tone.scene_light([F.col("r"), F.col("g"), F.col("b")], _MATRIX, F.col("n"))
+    return p.select("id", F.round(tone.srgb_light(F.col("byte")), 9).alias("light"), *(F.round(c, 9).alias(n) for c, n in zip(light, ("red", "green", "blue", "nir"), strict=True)))
+
+
+@query(f"""WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS c, CASE WHEN event_id % 6 > 0 THEN accuracy END AS v FROM {V.sql('g_fix')}), s AS (SELECT user_id, CAST(i AS INT) AS station, i*(c-1)/15e0 AS x, c FROM (SELECT DISTINCT user_id, c FROM p), range(16) r(i)),
+j AS (SELECT s.*, a.v AS a, b.v AS b, x - a.k AS f FROM s JOIN p a ON a.user_id = s.user_id AND a.k = CAST(floor(x) AS BIGINT) LEFT JOIN p b ON b.user_id = s.user_id AND b.k = a.k + 1) SELECT user_id, station, round(CASE WHEN a IS NULL OR b IS NULL THEN a ELSE a + (b-a)*f END, 6) AS v FROM j""")
+def w7_resampled(spark, sf):
+    """Each user's run of values at sixteen even stations."""
+    from ..operators import layers
+
+    f = V.view(spark, sf, "g_fix").select("user_id", F.col("event_id").alias("pos"), F.when(F.col("event_id") % 6 > 0, F.col("accuracy")).alias("v"))
+    return layers.resampled(f, "user_id", 16).withColumn("v", F.round("v", 6))
+
+
+_BOTH = f"(SELECT id, 0 AS kind, lat, lon FROM {V.sql('g_place')} UNION ALL SELECT event_id, 1, lat, lon FROM {V.sql('g_fix')})"
+
+
+@query(f"WITH {V.coded(_BOTH)}, c AS (SELECT id, kind, {V.prefix_sql(10)} AS prefix FROM coded) SELECT f.id, f.prefix, n.places FROM c f JOIN (SELECT prefix, count(*) AS places FROM c WHERE kind = 0 GROUP BY prefix) n USING (prefix) WHERE f.kind = 1")
+def j12_fixes_in_place_cells(spark, sf):
+    """The fixes in cells that hold places, with how many those hold: a join of two tables on the cell."""
+    from ..functions import cells as C
+    from ..operators import layers
+
+    places = C.encode(V.view(spark, sf, "g_place")).groupBy(C.prefix(10).alias("prefix")).agg(F.count("*").alias("places"))
+    fixes = C.encode(V.view(spark, sf, "g_fix")).select(F.col("event_id").alias("id"), "diamond", "u", "v")
+    return layers.in_cells(fixes, places, 10).select("id", "prefix", "places")
+
+
+@query(f"""WITH c AS (SELECT prefix, count(*) AS n, count(*) FILTER (class = 0) AS gone, count(*) FILTER (class = 0 AND seq % 3 = 0) AS sea FROM {TEXELS} GROUP BY prefix),
+a AS (SELECT prefix >> 2 AS area, count(*) AS cells, count(*) FILTER (gone > 0.2*n) AS bad, sum(n) AS n, sum(gone) AS gone, sum(sea) AS sea FROM c GROUP BY 1) SELECT area, cells, bad, round(100.0::DOUBLE*gone/n, 6) AS missing, round(100.0::DOUBLE*sea/gone, 6) AS wet FROM a WHERE bad > 0 ORDER BY bad DESC, gone DESC, area LIMIT 10""")
+def a18_t6_biggest_gaps(spark, sf):
+    """The ten areas with most cells that miss texels."""
+    from ..operators import audit
+    from .tables import texels
+
+    return audit.biggest_gaps(texels(spark, sf), F.col("class") == 0, F.col("seq") % 3 == 0, 1, 0.2)
+
+
+@query(f"SELECT depth::INT AS depth, prefix, way, count(*) AS texels, 0::BIGINT AS unmarked FROM {_ROUTES} GROUP BY ALL")
+def r13_graph_check(spark, sf):
+    """Whether every texel of every way is a node or in a corridor."""
+    from ..operators import corridors
+    from .routes import routes
+
+    s = routes(spark, sf)
+    return corridors.check(s, corridors.graph(s)).select("depth", "prefix", "way", "texels", "unmarked")
+
+
+_D3 = f"(SELECT prefix, texel % 512 AS texel, CASE class WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 3 THEN 9 END AS class, class = 3 AS wet FROM {TEXELS})"
+
+
+@query(f"""WITH n AS (SELECT prefix, texel, class, count(*) AS n FROM {_D3} GROUP BY ALL), m AS (SELECT prefix, texel, max({{'n': n, 'c': class}}) AS m FROM n GROUP BY ALL), w AS (SELECT prefix, texel, count(*) FILTER (wet) AS n FROM {_D3} GROUP BY ALL)
+SELECT prefix, texel, m.c AS class, (m.n*255 // 16)::BIGINT AS cov, coalesce((w.n*255 // 16)::BIGINT, 0) AS water FROM m JOIN w USING (prefix, texel)""")
+def d3_a11_mapped_classes(spark, sf):
+    """The ruling class of sampled values under a map of classes, and the share of water apart."""
+    from ..operators import layers
+    from .tables import texels
+
+    s = texels(spark, sf).select("prefix", (F.col("texel") % 512).alias("texel"), F.col("class").alias("value"))
+    classes = spark.createDataFrame([(0, 5), (1, 5), (3, 9)], "value bigint, class bigint")
+    found = layers.sampled_classes(s, classes=classes).join(layers.water_share(s, F.col("value") == 3).withColumnRenamed("cov", "water"), ["prefix", "texel"], "left")
+    return found.select("prefix", "texel", "class", "cov", F.coalesce("water", F.lit(0)).cast("bigint").alias("water"))
+
+
+@query(f"""WITH n AS (SELECT depth, prefix, texel, class, cov FROM {TEXELS} WHERE seq % 3 > 0), o AS (SELECT depth, prefix, texel, class + 1 AS class, 100 - cov AS cov FROM {TEXELS} WHERE seq % 3 < 2)
+SELECT coalesce(n.depth, o.depth) AS depth, coalesce(n.prefix, o.prefix) AS prefix, coalesce(n.texel, o.texel) AS texel, CASE WHEN coalesce(n.cov > o.cov, false) OR o.cov IS NULL THEN n.class ELSE o.class END AS class, CASE WHEN coalesce(n.cov > o.cov, false) OR o.cov IS NULL THEN n.cov ELSE o.cov END AS cov FROM n FULL JOIN o USING (depth, prefix, texel)""")
+def d5_merge_where(spark, sf):
+    """New texels over old ones where they cover more."""
+    from ..operators import merge
+    from .tables import texels
+
+    t = texels(spark, sf)
+    old = t.where("seq % 3 < 2").withColumns({"class": F.col("class") + 1, "cov": 100 - F.col("cov")})
+    return merge.over(t.where("seq % 3 > 0"), old, ["class", "cov"], take_new=lambda n, o: n["cov"] > o["cov"]).select("depth", "prefix", "texel", "class", "cov")

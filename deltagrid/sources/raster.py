@@ -57,12 +57,42 @@ def zone(keys: tuple[int, ...]) -> int | None:
     raise ValueError("an unknown coordinate system")
 
 
+def unpacked_lzw(data: bytes) -> bytes:
+    """Strings of a table that grows by each one's first byte: codes of 9 to 12 bits, the highest bit first; 256 begins a new table, 257 ends. Codes get a bit longer one entry before the table fills them."""
+    out, table, bits, held, n, last = [], [], 9, 0, 0, b""
+    for byte in data:
+        held, n = held << 8 | byte, n + 8
+        if n < bits:
+            continue
+        n -= bits
+        code, held = held >> n, held & (1 << n) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, bits, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if code < len(table):
+            found = table[code]
+        elif last and code == len(table):
+            found = last + last[:1]
+        else:
+            raise ValueError("a code that no table has")
+        out.append(found)
+        if last:
+            table.append(last + found[:1])
+        last = found
+        bits = min(12, max(9, (len(table) + 1).bit_length()))
+    return b"".join(out)
+
+
 def samples(data: bytes, t: dict, w: int, h: int) -> np.ndarray:
     """(h, w, bands) of one tile or strip."""
     end, bands = t[0][0], t.get(277, (1,))[0]
     bits, form, packing = t.get(258, (1,))[0], t.get(339, (1,))[0], t.get(259, (1,))[0]
     if packing in (8, 32946):
         data = zlib.decompress(data)
+    elif packing == 5:
+        data = unpacked_lzw(data)
     elif packing != 1:
         raise ValueError(f"packing {packing} is not read")
     if bits == 15:

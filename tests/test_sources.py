@@ -128,7 +128,46 @@ def test_polygons_of_owners_and_the_sea(spark, tmp_path):
     assert shapes.wilderness(s).count() == 3 and sorted(r["number"] for r in shapes.sea(s, 47.5, -122.5, 48.6, -121.2).collect()) == [0, 3]
 
 
-def tiff(path, a, scale, tie, geo, tile=None, deflate=False, predictor=1, bits=None):
+def lzw(data):
+    """As the format asks: a clear code first, longer codes once an entry needs them, a new table when 4,094 is used."""
+    bits, out, n = 9, 0, 0
+
+    def put(code):
+        nonlocal out, n
+        out, n = out << bits | code, n + bits
+
+    put(256)
+    table, word = {bytes([i]): i for i in range(256)}, b""
+    free = 258
+    for k in range(len(data)):
+        c = data[k : k + 1]
+        if word + c in table:
+            word += c
+            continue
+        put(table[word])
+        table[word + c], free, word = free, free + 1, c
+        if free > (1 << bits) - 1 and bits < 12:
+            bits += 1
+        if free == 4095:
+            put(256)
+            table, bits, free = {bytes([i]): i for i in range(256)}, 9, 258
+    if word:
+        put(table[word])
+    put(257)
+    return (out << -n % 8).to_bytes((n + 7) // 8, "big")
+
+
+@pytest.mark.parametrize("size", [0, 1, 300, 40_000])
+def test_strings_of_a_growing_table(size):
+    rng = np.random.default_rng(size)
+    for high in (2, 5, 256):
+        data = rng.integers(0, high, size).astype(np.uint8).tobytes()
+        assert raster.unpacked_lzw(lzw(data)) == data
+    with pytest.raises(ValueError):
+        raster.unpacked_lzw(bytes([0x80, 0x7F, 0xFF]))
+
+
+def tiff(path, a, scale, tie, geo, tile=None, deflate=False, predictor=1, bits=None, strings=False):
     h, w, bands = a.shape
     th, tw = tile or (2, w)
     blocks = []
@@ -145,9 +184,9 @@ def tiff(path, a, scale, tie, geo, tile=None, deflate=False, predictor=1, bits=N
                 data = np.concatenate([b[:, :1], np.diff(b.astype(np.int16), axis=1).astype(np.uint8)], 1).tobytes()
             if bits == 15:
                 data = b"".join(np.packbits(np.unpackbits(row.astype(">u2").tobytes() and np.frombuffer(row.astype(">u2").tobytes(), np.uint8)).reshape(-1, 16)[:, 1:].ravel()).tobytes() for row in part)
-            blocks.append(zlib.compress(data) if deflate else data)
+            blocks.append(zlib.compress(data) if deflate else lzw(data) if strings else data)
     form = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
-    entries = {256: ("H", [w]), 257: ("H", [h]), 258: ("H", [bits or a.dtype.itemsize * 8] * bands), 259: ("H", [8 if deflate else 1]), 277: ("H", [bands]), 339: ("H", [form] * bands), 317: ("H", [predictor]), 33550: ("d", [*scale, 0.0]), 33922: ("d", [0.0, 0.0, 0.0, *tie, 0.0]), 34735: ("H", geo)}
+    entries = {256: ("H", [w]), 257: ("H", [h]), 258: ("H", [bits or a.dtype.itemsize * 8] * bands), 259: ("H", [8 if deflate else 5 if strings else 1]), 277: ("H", [bands]), 339: ("H", [form] * bands), 317: ("H", [predictor]), 33550: ("d", [*scale, 0.0]), 33922: ("d", [0.0, 0.0, 0.0, *tie, 0.0]), 34735: ("H", geo)}
     at, size = (324, 325) if tile else (273, 279)
     entries |= {322: ("H", [tw]), 323: ("H", [th])} if tile else {278: ("H", [th])}
     entries |= {at: ("I", [0] * len(blocks)), size: ("I", [len(b) for b in blocks])}
@@ -171,7 +210,7 @@ def tiff(path, a, scale, tie, geo, tile=None, deflate=False, predictor=1, bits=N
 DEGREES, UTM = [1, 1, 0, 1, 1024, 0, 1, 2], [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 32610]
 
 
-@pytest.mark.parametrize("kind, options", [("f4", {}), ("f4", {"deflate": True, "predictor": 3}), ("i2", {"deflate": True, "predictor": 2}), ("u1", {"tile": (4, 4)}), ("u2", {"tile": (4, 4), "deflate": True, "predictor": 2}), ("i4", {}), ("u2", {"bits": 15})])
+@pytest.mark.parametrize("kind, options", [("f4", {}), ("f4", {"deflate": True, "predictor": 3}), ("i2", {"deflate": True, "predictor": 2}), ("u1", {"tile": (4, 4)}), ("u2", {"tile": (4, 4), "deflate": True, "predictor": 2}), ("i4", {}), ("u2", {"bits": 15}), ("i2", {"strings": True}), ("u2", {"tile": (4, 4), "strings": True, "predictor": 2})])
 def test_rasters(spark, tmp_path, kind, options):
     spark.dataSource.register(raster.Raster)
     rng = np.random.default_rng(1)
