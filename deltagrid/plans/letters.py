@@ -168,15 +168,15 @@ def w7_resampled(spark, sf):
 _BOTH = f"(SELECT id, 0 AS kind, lat, lon FROM {V.sql('g_place')} UNION ALL SELECT event_id, 1, lat, lon FROM {V.sql('g_fix')})"
 
 
-@query(f"WITH {V.coded(_BOTH)}, c AS (SELECT id, kind, {V.prefix_sql(10)} AS prefix FROM coded) SELECT f.id, f.prefix, n.places FROM c f JOIN (SELECT prefix, count(*) AS places FROM c WHERE kind = 0 GROUP BY prefix) n USING (prefix) WHERE f.kind = 1")
+@query(f"WITH {V.coded(_BOTH)}, c AS (SELECT id, kind, {V.prefix_sql(7)} AS prefix FROM coded) SELECT f.id, f.prefix, n.places FROM c f JOIN (SELECT prefix, count(*) AS places FROM c WHERE kind = 0 GROUP BY prefix) n USING (prefix) WHERE f.kind = 1")
 def j12_fixes_in_place_cells(spark, sf):
     """The fixes in cells that hold places, with how many those hold: a join of two tables on the cell."""
     from ..functions import cells as C
     from ..operators import layers
 
-    places = C.encode(V.view(spark, sf, "g_place")).groupBy(C.prefix(10).alias("prefix")).agg(F.count("*").alias("places"))
+    places = C.encode(V.view(spark, sf, "g_place")).groupBy(C.prefix(7).alias("prefix")).agg(F.count("*").alias("places"))
     fixes = C.encode(V.view(spark, sf, "g_fix")).select(F.col("event_id").alias("id"), "diamond", "u", "v")
-    return layers.in_cells(fixes, places, 10).select("id", "prefix", "places")
+    return layers.in_cells(fixes, places, 7).select("id", "prefix", "places")
 
 
 @query(f"""WITH c AS (SELECT prefix, count(*) AS n, count(*) FILTER (class = 0) AS gone, count(*) FILTER (class = 0 AND seq % 3 = 0) AS sea FROM {TEXELS} GROUP BY prefix),

@@ -226,12 +226,12 @@ def a28_r2_upstream(spark, sf):
 # ---- terrain
 
 _HEIGHT = "CASE WHEN px BETWEEN 10 AND 20 AND py BETWEEN 10 AND 20 THEN 50.0 WHEN (px*py) % 97 = 5 THEN NULL ELSE CAST((px*px*3 + py*py*2 + px*py*tile) % 1009 AS DOUBLE) END"
-RASTER = f"(SELECT tile, px, py, {_HEIGHT} AS v FROM (SELECT DISTINCT CAST(o_orderkey // 4096 AS INT) AS tile, CAST(o_orderkey % 64 AS INT) AS px, CAST(o_orderkey // 64 % 64 AS INT) AS py FROM orders))"
+RASTER = f"(SELECT tile, px, py, {_HEIGHT} AS v FROM (SELECT DISTINCT CAST(i // 4096 AS INT) AS tile, CAST(i % 64 AS INT) AS px, CAST(i // 64 % 64 AS INT) AS py FROM (SELECT l_orderkey * 7 + l_linenumber AS i FROM lineitem)))"
 
 
 def raster(spark, sf):
-    """A pixel an order: tiles of 64 x 64."""
-    r = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("CAST(o_orderkey DIV 4096 AS INT) AS tile", "CAST(o_orderkey % 64 AS INT) AS px", "CAST(o_orderkey DIV 64 % 64 AS INT) AS py").distinct()
+    """A pixel a line item: tiles of 64 x 64."""
+    r = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey * 7 + l_linenumber AS i").selectExpr("CAST(i DIV 4096 AS INT) AS tile", "CAST(i % 64 AS INT) AS px", "CAST(i DIV 64 % 64 AS INT) AS py").distinct()
     return r.selectExpr("tile", "px", "py", f"CAST({_HEIGHT} AS DOUBLE) AS v")
 
 
