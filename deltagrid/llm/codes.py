@@ -71,9 +71,11 @@ class Words(Codec):
 
     def found(self, text: str) -> tuple[object, str]:
         """The word rule for a text without added tokens, and the text in normal form; Latin-1 is composed already."""
-        if text.isascii() or max(text, default="") <= "\xff":
-            return self.latin_words, text.lower()
-        return self.words, self.library.normalizer.normalize_str(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.words, self.library.normalizer.normalize_str(text)
+        return self.latin_words, text.lower()
 
     def words_of(self, text: str) -> Iterator[str]:
         for piece in self.split_added.split(text) if self.split_added else [text]:
