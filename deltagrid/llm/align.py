@@ -14,7 +14,7 @@ block there. No table is broadcast by hand and nothing is collected.
 Null and empty texts have no tokens, nor have those whose A or B bytes differ from space+text (a text with U+2581, which B
 turns into a space): counts 0, groups null. Added tokens' strings in texts are plain text. Repeated rows and rows of one id
 are documents of their own; ties of counts all count as best. Texts of any length are encoded in pieces; a document's
-tokens and labels are held whole (some 30 bytes a byte of text). An empty table gives an empty table. Other columns pass
+tokens and labels are held whole (some 100 bytes a byte of text). An empty table gives an empty table. Other columns pass
 through, whatever their names; an input column with an output's name, in whatever case, is replaced.
 """
 
