@@ -40,3 +40,15 @@ def test_outliers_lie_below_the_floor(spark):
     df = spark.createDataFrame([(c, -501.0 - k) for c in range(12) for k in range(c)] + [(99, -500.0), (98, None), (97, float("nan"))], "cell int, v double")
     got = [tuple(r) for r in layers.outliers(df, ["cell"], "v", -500.0).collect()]
     assert got == [(c, c, -500.0 - c) for c in range(11, 1, -1)]
+
+
+def test_a_turn_looks_for_each_of_its_ends_once(spark):
+    from pyspark.sql import functions as F
+
+    from deltagrid.operators import ways
+
+    chain = [(46.0, -122.0), (46.0, -121.999), (46.001, -121.999), (46.001, -122.0)]
+    c = spark.createDataFrame([(chain, n) for n in range(4)], "chain array<struct<lat double, lon double>>, n int").withColumn("turn", ways.turn(F.col("chain"), F.col("n")))
+    assert [r["turn"] for r in c.orderBy("n").collect()] == ["straight", "left", "left", "straight"]
+    plan = c._jdf.queryExecution().analyzed().toString()
+    assert plan.count("filter(sequence(") == 2
