@@ -95,8 +95,8 @@ class Texels:
         return done, back, None
 
 
-def _cell_graph(way: np.ndarray, texel: np.ndarray, join: np.ndarray, arc: np.ndarray, heading: np.ndarray, edge_m: float) -> tuple[list, list]:
-    """(texel rows, corridor rows) of one cell. Rows come in order of (way, texel); arc and heading are NaN where unknown."""
+def _cell_graph(way: np.ndarray, texel: np.ndarray, join: np.ndarray, arc: np.ndarray, heading: np.ndarray, edge_m: float, pairs: bool = True) -> tuple[list, list]:
+    """(texel rows, corridor rows) of one cell. Rows come in order of (way, texel); arc and heading are NaN where unknown. Without pairs there are no corridor rows and no lengths, only the marks of texels, the same ones: a run that touches many clusters has a corridor for each two of them."""
     ways, owner = np.unique(way, return_inverse=True)
     t = Texels(owner, texel)
     x, y = texel >> 1 & _LOW, texel >> C.TEX_BITS + 1
@@ -129,8 +129,16 @@ def _cell_graph(way: np.ndarray, texel: np.ndarray, join: np.ndarray, arc: np.nd
     cx, cy = centres(texel)
     while True:
         clusters, cluster = parts_of(True)
-        corridors, carried, lost = [], {}, []
+        corridors, carried, lost, number = [], {}, [], 1
         for run in parts_of(False)[0]:
+            if not pairs:
+                met = len({cluster[m] for k in run for m in t.near[k] if cluster[m] >= 0})
+                if met < 2:
+                    lost += run
+                else:
+                    carried.update(dict.fromkeys(run, (number, None, None)))
+                    number += met * (met - 1) // 2
+                continue
             of = set(run)
             doors: dict[int, list[int]] = {}  # rows of the run beside each cluster, in the order of the run
             for k in run:
@@ -167,10 +175,10 @@ def _cell_graph(way: np.ndarray, texel: np.ndarray, join: np.ndarray, arc: np.nd
     return rows, [(int(ways[w]), *rest) for w, *rest in corridors]
 
 
-def graph(stamps: DataFrame) -> DataFrame:
+def graph(stamps: DataFrame, pairs: bool = True) -> DataFrame:
     """The graph of all cells and depths: a row a texel and way (its node's name, or its corridor with the lengths to_a, to_b to that one's ends), and a row a corridor (texel is null): its ends a and b, its length, whether it is open both ways (0), from a to b (1) or from b to a (2).
 
-    stamps: depth, prefix, texel, way, arc (metres along the way, or null), heading (256ths of a turn, or null), join; one row a texel and way. Lengths are in 256ths of a texel edge: the way's own where arcs at both ends are known and within half of the shortest run, else the run plus two edges.
+    stamps: depth, prefix, texel, way, arc (metres along the way, or null), heading (256ths of a turn, or null), join; one row a texel and way. Lengths are in 256ths of a texel edge: the way's own where arcs at both ends are known and within half of the shortest run, else the run plus two edges. Without pairs only a texel's node or corridor is told, in time that grows with the texels, not with the pairs of clusters that runs touch.
     """
 
     def built(key, cell):
@@ -178,7 +186,7 @@ def graph(stamps: DataFrame) -> DataFrame:
         way, texel = cell.column("way").to_numpy(), cell.column("texel").to_numpy()
         order = np.lexsort((texel, way))
         get = lambda c: np.array(cell.column(c).to_pylist(), float)[order]
-        texels, corridors = _cell_graph(way[order], texel[order], cell.column("join").to_numpy(zero_copy_only=False).astype(bool)[order], get("arc"), get("heading"), C.TEXEL_BASE_M / (1 << depth) / C.TEX)
+        texels, corridors = _cell_graph(way[order], texel[order], cell.column("join").to_numpy(zero_copy_only=False).astype(bool)[order], get("arc"), get("heading"), C.TEXEL_BASE_M / (1 << depth) / C.TEX, pairs)
         rows = [(depth, prefix, w, t, node, c, None, None, None, None, a, b, j, c) for w, t, node, c, a, b, j in texels] + [(depth, prefix, w, None, None, c, a, b, n, d, None, None, None, r) for w, c, a, b, n, d, r in corridors]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
         names = [p.strip().split(" ")[0] for p in GRAPH.split(",")]

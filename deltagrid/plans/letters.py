@@ -196,7 +196,7 @@ def r13_graph_check(spark, sf):
     from .routes import routes
 
     s = routes(spark, sf)
-    return corridors.check(s, corridors.graph(s)).select("depth", "prefix", "way", "texels", "unmarked")
+    return corridors.check(s, corridors.graph(s, pairs=False)).select("depth", "prefix", "way", "texels", "unmarked")
 
 
 _D3 = f"(SELECT prefix, texel % 512 AS texel, CASE class WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 3 THEN 9 END AS class, class = 3 AS wet FROM {TEXELS})"

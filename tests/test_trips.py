@@ -317,3 +317,25 @@ def test_no_trips_and_no_streets(spark, planned):
     state = J.search(planned.moves, planned.known, planned.trips, none, planned.goals)
     assert state.count() == 0 and J.path(state, J.arrivals(state, planned.goals)).count() == 0
     assert R.graph(planned.stamps.limit(0)).count() == 0
+
+
+def test_marks_without_pairs_are_those_of_the_graph():
+    """A full cell of random junctions: its runs touch so many clusters that pairs are out of proportion to its texels."""
+    import random
+    import time
+
+    import numpy as np
+
+    from deltagrid.operators import corridors as R
+
+    def cell(n, seed):
+        r = random.Random(seed)
+        texel = np.array(sorted(y * 512 + x * 2 + h for y in range(20, 20 + n) for x in range(20, 20 + n) for h in (0, 1) if r.random() < 0.8))
+        return np.zeros(len(texel), np.int64), texel, np.array([r.random() < 0.05 for _ in texel]), np.full(len(texel), np.nan), np.full(len(texel), np.nan), 1.0
+
+    for seed in range(5):
+        small = cell(12, seed)
+        assert [r[:4] for r in R._cell_graph(*small, False)[0]] == [r[:4] for r in R._cell_graph(*small)[0]]
+    began = time.time()
+    rows, none = R._cell_graph(*cell(150, 9), False)
+    assert len(rows) > 30_000 and not none and time.time() - began < 20
