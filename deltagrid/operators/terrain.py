@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dealt import dealt
+
 NO_DATA = -12_000.0
+#: Pixels of a block's side.
+BLOCK = 256
 
 
 def bilinear(points: DataFrame, raster: DataFrame) -> DataFrame:
@@ -37,10 +41,15 @@ def first_with_data(samples: DataFrame, margin: float = 0.25) -> DataFrame:
 
 
 def around(raster: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Each pixel with its neighbours' values: raster's rows dealt to the pixels that they neighbour, then one group-by."""
+    """Each pixel with its neighbours' values: rows go to blocks of BLOCK x BLOCK pixels, and to the blocks beside theirs that they are neighbours in; there they are dealt to the pixels that they neighbour, and grouped without another shuffle."""
+    far = max(abs(d) for o in offsets for d in o)
+    block = lambda c: F.floor(c / BLOCK)
+    blocks = lambda c: F.explode(F.sequence(block(F.col(c) - far), block(F.col(c) + far)))
+    rows = dealt(raster.select("tile", "px", "py", "v").withColumn("bx", blocks("px")).withColumn("by", blocks("py")), 1 << 19, "tile", "bx", "by")
     moves = F.array(*[F.struct((F.col("px") - dx).alias("px"), (F.col("py") - dy).alias("py"), F.lit(i).alias("i")) for i, (dx, dy) in enumerate(offsets)])
-    g = raster.select("tile", F.explode(moves).alias("m"), "v").groupBy("tile", F.col("m.px").alias("px"), F.col("m.py").alias("py"))
-    return g.agg(*[F.max(F.when(F.col("m.i") == i, F.col("v"))).alias(f"n{i}") for i in range(len(offsets))])
+    m = rows.select("tile", "bx", "by", F.explode(moves).alias("m"), "v").where((block(F.col("m.px")) == F.col("bx")) & (block(F.col("m.py")) == F.col("by")))
+    g = m.groupBy("tile", "bx", "by", F.col("m.px").alias("px"), F.col("m.py").alias("py"))
+    return g.agg(*[F.max(F.when(F.col("m.i") == i, F.col("v"))).alias(f"n{i}") for i in range(len(offsets))]).drop("bx", "by")
 
 
 def flattened(raster: DataFrame) -> DataFrame:

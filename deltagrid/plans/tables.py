@@ -13,6 +13,7 @@ from ..operators import merge as U
 from ..operators import pyramid as P
 from ..operators import search as S
 from ..operators import terrain as R
+from ..operators.dealt import dealt
 from ..streaming import tracks as K
 from . import views as V
 from .rules import NORMAL
@@ -231,8 +232,8 @@ RASTER = f"(SELECT tile, px, py, {_HEIGHT} AS v FROM (SELECT DISTINCT CAST(i //
 
 def raster(spark, sf):
     """A pixel a line item: tiles of 64 x 64."""
-    r = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey * 7 + l_linenumber AS i").selectExpr("CAST(i DIV 4096 AS INT) AS tile", "CAST(i % 64 AS INT) AS px", "CAST(i DIV 64 % 64 AS INT) AS py").distinct()
-    return r.selectExpr("tile", "px", "py", f"CAST({_HEIGHT} AS DOUBLE) AS v")
+    r = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey * 7 + l_linenumber AS i").selectExpr("CAST(i DIV 4096 AS INT) AS tile", "CAST(i % 64 AS INT) AS px", "CAST(i DIV 64 % 64 AS INT) AS py")
+    return dealt(r, 1 << 20, "tile", "px", "py").distinct().selectExpr("tile", "px", "py", f"CAST({_HEIGHT} AS DOUBLE) AS v")
 
 
 @query(f"""WITH p AS (SELECT p_partkey AS id, CAST(p_partkey % 3 AS INT) AS tile, CAST(p_partkey*7 % 630 AS DOUBLE)/10 AS x, CAST(p_partkey*11 % 630 AS DOUBLE)/10 AS y FROM part), c AS (SELECT id, tile, CAST(floor(x) AS INT)+i AS px, CAST(floor(y) AS INT)+j AS py, CASE i WHEN 1 THEN x-floor(x) ELSE 1-(x-floor(x)) END * CASE j WHEN 1 THEN y-floor(y) ELSE 1-(y-floor(y)) END AS w FROM p, range(2) a(i), range(2) b(j))

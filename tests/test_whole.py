@@ -52,3 +52,30 @@ def test_a_turn_looks_for_each_of_its_ends_once(spark):
     assert [r["turn"] for r in c.orderBy("n").collect()] == ["straight", "left", "left", "straight"]
     plan = c._jdf.queryExecution().analyzed().toString()
     assert plan.count("filter(sequence(") == 2
+
+
+def test_nations_are_not_paired_supplier_by_part(spark, tmp_path):
+    """Suppliers of one nation at few depths are that many depths, not a pair with each part."""
+    n = 30_000
+    spark.range(n).selectExpr("id AS s_suppkey", "CAST(3 AS INT) AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(n).selectExpr("id AS p_partkey", "CAST(3 AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(1000).selectExpr("id AS l_orderkey", "id % 500 * 100 AS l_partkey", "id AS l_suppkey", "CAST(1 AS INT) AS l_linenumber", "CAST(id AS DOUBLE) AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = plans.QUERIES["a27_cached_bytes"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [s_nationkey" in plan
+    assert df.collect()[0][:] == (499_500, sum(k for k in range(1000) if k % 500 * 100 < n))
+
+
+def test_tasks_grow_with_the_rows(spark):
+    from deltagrid.operators import terrain
+    from deltagrid.operators.dealt import dealt
+
+    assert dealt(spark.range(1000), 10, "id").rdd.getNumPartitions() == 100
+    assert dealt(spark.range(1000), 10_000).rdd.getNumPartitions() == 4
+    r = spark.range(600).selectExpr("CAST(id DIV 10000 AS INT) AS tile", "CAST(id AS INT) AS px", "CAST(255 + id % 2 AS INT) AS py", "CAST(id AS DOUBLE) AS v")
+    a = terrain.around(r, [(0, 0), (-1, 0), (1, 1)])
+    got = {(x["px"], x["py"]): x["n2"] for x in a.where("n0 IS NOT NULL").collect()}
+    assert len(got) == 600 and got[255, 256] is None and got[254, 255] == 255.0 and got[256, 255] == 257.0
+    # neighbours meet in one shuffle, by blocks, and not as rows of every pixel's own
+    shuffles = [x for x in a._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange " in x]
+    assert len(shuffles) == 1 and "bx#" in shuffles[0], shuffles
