@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..operators.dealt import tasks
 from . import views as V
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -73,9 +74,10 @@ def c6_morton(spark, sf):
 
 @query(f"""WITH {GLOBE}, c AS (SELECT {V.prefix_sql(20)} AS p FROM coded) SELECT CAST(20 - 5*k AS INT) AS depth, p >> (10*k) AS prefix, count(*) AS n FROM c, range(5) t(k) GROUP BY ALL""")
 def c7_cells(spark, sf):
-    g = globe(spark, sf).withColumn("p", C.prefix(20)).groupBy("p").count()
+    n = tasks(V.view(spark, sf, "g_globe"), 1 << 19)
+    g = globe(spark, sf).select(C.prefix(20).alias("p")).repartition(n, "p").groupBy("p").count()
     up = g.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select((20 - 5 * F.col("k")).alias("depth"), C.ancestor(F.col("p"), 5 * F.col("k")).alias("prefix"), "count")
-    return up.groupBy("depth", "prefix").agg(F.sum("count").alias("n"))
+    return up.repartition(5 * n, "depth", "prefix").groupBy("depth", "prefix").agg(F.sum("count").alias("n"))
 
 
 @query(f"""WITH {GLOBE}, c AS (SELECT DISTINCT {V.prefix_sql(8)} AS p FROM coded), t AS (SELECT DISTINCT p >> 6 AS q FROM c WHERE (p >> 6) % 3 = 0)
