@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from .dealt import dealt
 
 
 def metric(du: Column, dv: Column) -> Column:
@@ -20,7 +21,7 @@ def segments(lines: DataFrame, depth: int) -> DataFrame:
     """
     extent = C.TEX << depth
     du, dv = F.col("bu") - F.col("au"), F.col("bv") - F.col("av")
-    s = lines.withColumn("steps", F.greatest(F.ceil(metric(du, dv) * 2), F.lit(1)).cast("int")).withColumn("reach", F.ceil(F.col("r") * 1.16 + 1).cast("int"))
+    s = dealt(lines, 500).withColumn("steps", F.greatest(F.ceil(metric(du, dv) * 2), F.lit(1)).cast("int")).withColumn("reach", F.ceil(F.col("r") * 1.16 + 1).cast("int"))
     s = s.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("steps")))).withColumn("t", F.col("t") / F.col("steps"))
     s = s.withColumns({"px": F.col("au") + du * F.col("t"), "py": F.col("av") + dv * F.col("t")})
     around = F.sequence(-F.col("reach"), F.col("reach"))
