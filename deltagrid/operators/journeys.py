@@ -142,16 +142,19 @@ def moves(built: DataFrame, known: DataFrame, going: DataFrame, mode: str, base:
     return cut(every.groupBy("src", "dst", "block", "dst_block", "kind", (F.col("lo") > 0).alias("_far")).agg(F.min("seconds").alias("seconds"), least).select("src", "dst", "block", "dst_block", "seconds", "kind", "m.*"))
 
 
-def snapped(points: DataFrame, stamps: DataFrame, going: DataFrame, base: int, floor: int, rings: int, reach_m: float = 2000.0) -> DataFrame:
+def rings(base: int, floor: int, finest: int, reach_m: float) -> dict[int, int]:
+    """{depth: rings of texels around a point that `snapped` looks at}."""
+    return {d: finest if d == base else max(int(reach_m / (C.TEXEL_BASE_M / (1 << d) / C.TEX)), 1) for d in range(floor, base + 1)}
+
+
+def snapped(points: DataFrame, stamps: DataFrame, going: DataFrame, base: int, floor: int, finest: int, reach_m: float = 2000.0) -> DataFrame:
     """(id, depth, prefix, texel, way, metres): the ways that each point (id, diamond, u, v, lat, lon) may start on, at every depth. The finest depth that has any counts as it is; a coarser one is a fallback at twice the metres and 500 more."""
     usable = stamps.join(going.select("way"), "way", "left_semi")
     found = None
-    for d in range(floor, base + 1):
-        n = rings if d == base else max(int(reach_m / (C.TEXEL_BASE_M / (1 << d) / C.TEX)), 1)
+    for d, n in rings(base, floor, finest, reach_m).items():
         one = routes.snapped(points, usable.where(F.col("depth") == d).select("prefix", "texel", "way"), d, n).withColumn("depth", F.lit(d))
         found = one if found is None else found.unionByName(one)
-    finest = F.max("depth").over(Window.partitionBy("id"))
-    return found.withColumn("_finest", finest).select("id", "depth", "prefix", "texel", "way", F.when(F.col("depth") == F.col("_finest"), F.col("metres")).otherwise(F.col("metres") * 2 + 500).alias("metres"))
+    return found.withColumn("_finest", F.max("depth").over(Window.partitionBy("id"))).select("id", "depth", "prefix", "texel", "way", F.when(F.col("depth") == F.col("_finest"), F.col("metres")).otherwise(F.col("metres") * 2 + 500).alias("metres"))
 
 
 def ends(found: DataFrame, built: DataFrame, known: DataFrame, going: DataFrame, mode: str, arriving: bool) -> DataFrame:

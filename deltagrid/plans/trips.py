@@ -8,12 +8,13 @@ from ..functions import cells as C
 from ..operators import corridors as R
 from ..operators import graph as G
 from ..operators import journeys as J
-from ..operators import pyramid as P
 from ..operators import routes
 
 QUERIES, ORACLE_SQL = {}, {}
 #: Depths of the streets' cells.
 BASE, FLOOR = 12, 9
+#: Rings of texels around a point at the finest depth, and metres at the others.
+SNAP = (60, 800.0)
 _LAT, _LON = 47.0, -122.0
 
 
@@ -35,14 +36,19 @@ def streets(spark, sf):
     )
 
 
-def stamps(spark, sf):
-    """The streets' texels of all depths, written once. (depth, prefix, texel, way, class, arc, heading, join)"""
+def stamps(spark, sf, near=None):
+    """The streets' texels of all depths, each depth written once, as the one above it and its readers come back to it. (depth, prefix, texel, way, class, arc, heading, join). near: only those of streets that reach a point of this table (diamond, u, v), as `journeys.snapped` looks for them; which texels of theirs are joins is left open then."""
     s = C.encode(streets(spark, sf))
+    if near is not None:
+        s = G.cut(routes.within(near, s, J.rings(BASE, FLOOR, *SNAP)))
     shared = s.groupBy("node").agg(F.countDistinct("way").alias("n"), F.first("diamond").alias("diamond"), F.first("u").alias("u"), F.first("v").alias("v")).where("n >= 2")
     meets = shared.select(C.prefix(BASE).alias("prefix"), C.texel(BASE).alias("texel")).distinct().withColumn("join", F.lit(True))
-    fine = routes.stamped(s, BASE).join(s.select("way", "class").distinct(), "way").join(meets, ["prefix", "texel"], "left")
-    fine = fine.select(F.lit(BASE).alias("depth"), "prefix", "texel", "way", "class", "arc", F.col("heading").cast("bigint").alias("heading"), F.coalesce("join", F.lit(False)).alias("join"))
-    return G.cut(P.pyramid(fine, routes.coarser, FLOOR, BASE))
+    fine = routes.passed(s, BASE).join(s.select("way", "class").distinct(), "way").join(meets, ["prefix", "texel"], "left")
+    level = every = G.cut(fine.select(F.lit(BASE).alias("depth"), "prefix", "texel", "way", "class", "arc", F.col("heading").cast("bigint").alias("heading"), F.coalesce("join", F.lit(False)).alias("join")))
+    for _ in range(FLOOR, BASE):
+        level = G.cut(routes.coarser(level).select(*every.columns))
+        every = every.unionByName(level)
+    return every
 
 
 def trips(spark, sf):
@@ -65,7 +71,7 @@ class Planned:
         ends = []
         for side, arriving in ((0, False), (1, True)):
             at = C.encode(self.trips.select(F.col("trip").alias("id"), F.col(f"lat{side}").alias("lat"), F.col(f"lon{side}").alias("lon")))
-            ends.append(G.cut(J.ends(J.snapped(at, self.stamps, self.going, BASE, FLOOR, 60, 800.0), self.built, self.known, self.going, mode, arriving)))
+            ends.append(G.cut(J.ends(J.snapped(at, self.stamps, self.going, BASE, FLOOR, *SNAP), self.built, self.known, self.going, mode, arriving)))
         self.starts, self.goals = ends
 
     def search(self):
@@ -83,7 +89,7 @@ def r5_snapped_levels(spark, sf):
     """The ways that each trip may start on, at every depth that has any near."""
     going = J.travellers(streets(spark, sf).select("way", "class", "uses", "speed_kmh", "grade").distinct(), "car")
     at = C.encode(trips(spark, sf).select(F.col("trip").alias("id"), F.col("lat0").alias("lat"), F.col("lon0").alias("lon")))
-    return J.snapped(at, stamps(spark, sf), going, BASE, FLOOR, 60, 800.0).withColumn("metres", F.round("metres", 3))
+    return J.snapped(at, stamps(spark, sf, at), going, BASE, FLOOR, *SNAP).withColumn("metres", F.round("metres", 3))
 
 
 @query

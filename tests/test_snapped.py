@@ -20,3 +20,24 @@ def test_ways_and_points_come_in_after_the_rings(spark):
             break
         below.append(line)
     assert not any("way#" in line or "id#" in line.split("Range")[0] for line in below[:3])
+
+
+def test_only_ways_within_reach_are_stamped_and_what_is_snapped_is_the_same(spark):
+    """A lattice of short ways, and a long one whose points are all far from the places that it passes."""
+    from deltagrid.operators import journeys
+
+    far = spark.range(400).selectExpr("id AS way", "47 + id DIV 20 * 0.01D AS lat", "-122 + id % 20 * 0.01D AS lon").crossJoin(spark.range(3).selectExpr("id AS pos")).selectExpr("way", "pos", "lat", "lon + pos * 0.002D AS lon")
+    long = spark.createDataFrame([(1000, 0, 46.95, -121.9), (1000, 1, 47.25, -121.9)], "way bigint, pos bigint, lat double, lon double")
+    ways = C.encode(far.unionByName(long)).selectExpr("*", "0 AS oneway")
+    points = C.encode(spark.createDataFrame([(1, 47.1, -121.902), (2, 47.021, -121.958), (3, None, 0.0)], "id bigint, lat double, lon double"))
+    near = routes.within(points, ways, journeys.rings(12, 11, 60, 800.0))
+    assert 2 < near.select("way").distinct().count() < 40 and near.where("way = 1000").count() == 2
+
+    def found(of):
+        fine = routes.passed(of, 12).selectExpr("12 AS depth", "prefix", "texel", "way")
+        coarse = fine.select(F.lit(11).alias("depth"), *(c.alias(n) for c, n in zip(C.texel_parent(F.col("prefix"), F.col("texel")), ("prefix", "texel"), strict=True)), "way").distinct()
+        going = of.select("way").distinct()
+        return sorted(journeys.snapped(points, fine.unionByName(coarse), going, 12, 11, 60, 800.0).collect())
+
+    whole = found(ways)
+    assert whole == found(near) and {r["id"] for r in whole} == {1, 2} and 1000 in {r["way"] for r in whole}
