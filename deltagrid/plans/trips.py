@@ -36,11 +36,11 @@ def streets(spark, sf):
     )
 
 
-def stamps(spark, sf, near=None):
-    """The streets' texels of all depths, each depth written once, as the one above it and its readers come back to it. (depth, prefix, texel, way, class, arc, heading, join). near: only those of streets that reach a point of this table (diamond, u, v), as `journeys.snapped` looks for them; which texels of theirs are joins is left open then."""
+def stamps(spark, sf, near=None, rings=None):
+    """The streets' texels of all depths, each depth written once, as the one above it and its readers come back to it. (depth, prefix, texel, way, class, arc, heading, join). near: only those of streets that come within rings {depth: rings of texels} of a point of this table (diamond, u, v), as far as `journeys.snapped` looks if there are none; joins are as in the whole table no farther than that."""
     s = C.encode(streets(spark, sf))
     if near is not None:
-        s = G.cut(routes.within(near, s, J.rings(BASE, FLOOR, *SNAP)))
+        s = G.cut(routes.within(near, s, rings or J.rings(BASE, FLOOR, *SNAP)))
     shared = s.groupBy("node").agg(F.countDistinct("way").alias("n"), F.first("diamond").alias("diamond"), F.first("u").alias("u"), F.first("v").alias("v")).where("n >= 2")
     meets = shared.select(C.prefix(BASE).alias("prefix"), C.texel(BASE).alias("texel")).distinct().withColumn("join", F.lit(True))
     fine = routes.passed(s, BASE).join(s.select("way", "class").distinct(), "way").join(meets, ["prefix", "texel"], "left")
@@ -59,24 +59,51 @@ def trips(spark, sf):
 
 
 class Planned:
-    """All tables of the trips by car over one set of streets."""
+    """All tables of the trips by car over one set of streets: all of them, or those that come into cells of the floor depth within so many rings of cells around the trips' ends."""
 
-    def __init__(self, spark, sf, mode: str = "car"):
-        self.stamps = stamps(spark, sf)
+    def __init__(self, spark, sf, mode: str = "car", rings: int | None = None):
+        self.trips = trips(spark, sf)
+        sides = [C.encode(self.trips.select(F.col("trip").alias("id"), F.col(f"lat{side}").alias("lat"), F.col(f"lon{side}").alias("lon"))) for side in (0, 1)]
+        self.around = None if rings is None else (sides[0].unionByName(sides[1]), rings)
+        self.stamps = stamps(spark, sf) if rings is None else stamps(spark, sf, self.around[0], {FLOOR: (rings + 1) * C.TEX})
         self.built = G.cut(R.graph(self.stamps))
         self.going = J.travellers(streets(spark, sf).select("way", "class", "uses", "speed_kmh", "grade").distinct(), mode)
         self.known = J.states(self.built, self.going, BASE, FLOOR)
         self.moves = J.moves(self.built, self.known, self.going, mode, BASE, FLOOR)
-        self.trips = trips(spark, sf)
-        ends = []
-        for side, arriving in ((0, False), (1, True)):
-            at = C.encode(self.trips.select(F.col("trip").alias("id"), F.col(f"lat{side}").alias("lat"), F.col(f"lon{side}").alias("lon")))
-            ends.append(G.cut(J.ends(J.snapped(at, self.stamps, self.going, BASE, FLOOR, *SNAP), self.built, self.known, self.going, mode, arriving)))
+        ends = [G.cut(J.ends(J.snapped(at, self.stamps, self.going, BASE, FLOOR, *SNAP), self.built, self.known, self.going, mode, arriving)) for at, arriving in zip(sides, (False, True), strict=True)]
         self.starts, self.goals = ends
 
     def search(self):
         return J.search(self.moves, self.known, self.trips, self.starts, self.goals)
 
+    def inside(self, state) -> bool:
+        """Whether every state that passed on lies in a cell that has all its streets. Such cells' nodes, corridors and moves, also those out of them, are those of all streets, and so are the trips then: a search over all streets goes through the same states."""
+        if self.around is None:
+            return True
+        at, n = self.around
+        cell = C.prefix(FLOOR)
+        gx, gy = C.grid(FLOOR, F.col("_c"))
+        spot = lambda df: df.withColumns({"_d": C.cell_diamond(FLOOR, F.col("_c")), "_x": gx, "_y": gy})
+        held = spot(at.where("diamond IS NOT NULL").select(cell.alias("_c")).distinct())
+        for c in ("_x", "_y"):
+            held = held.withColumn(c, F.explode(F.sequence(F.col(c) - n, F.col(c) + n)))
+        held = held.select("_d", "_x", "_y").distinct()
+        best = J.arrivals(state, self.goals).select("trip", F.col("seconds").alias("_best"))
+        passed = state.join(best, "trip", "left").where("_best IS NULL OR seconds < _best").select(F.shiftright("id", 1).alias("id")).distinct()
+        of = self.known.join(passed, "id").select(C.ancestor(F.col("prefix"), F.col("depth") - FLOOR).alias("_c")).distinct()
+        return spot(of).join(held, ["_d", "_x", "_y"], "left_anti").isEmpty()
+
+
+def searched(spark, sf, rings: int = 3):
+    """(tables, states) of the trips: searched over the streets around them, twice as far until no search came out of what has all its streets, or there are no more streets. So the work goes with the trips and the streets within their reach; the streets are read whole."""
+    every = streets(spark, sf).select("way").distinct().count()
+    while True:
+        p = Planned(spark, sf, rings=rings)
+        state = p.search()
+        if p.inside(state) or p.stamps.where(F.col("depth") == BASE).select("way").distinct().count() == every:
+            return p, state
+        rings *= 2
+
 
 @query
 def r4_corridors(spark, sf):
@@ -95,8 +122,7 @@ def r5_snapped_levels(spark, sf):
 @query
 def r7_trips(spark, sf):
     """The time of every trip and the moves of its path."""
-    p = Planned(spark, sf)
-    state = p.search()
+    p, state = searched(spark, sf)
     found = J.arrivals(state, p.goals)
     moved = J.path(state, found).join(p.known.select("id", "depth", "prefix", "way", "name"), "id").join(found.select("trip", "seconds"), "trip")
     return moved.select("trip", "step", "depth", "prefix", "way", "name", "kind", "label", F.round("seconds", 6).alias("seconds"))
@@ -105,7 +131,6 @@ def r7_trips(spark, sf):
 @query
 def r8_r9_drawn(spark, sf):
     """The texels that every trip runs over, drawn as fine as the cells go."""
-    p = Planned(spark, sf)
-    state = p.search()
+    p, state = searched(spark, sf)
     legs = J.legs(J.path(state, J.arrivals(state, p.goals)), p.known, p.starts, p.goals)
     return J.drawn(J.runs(G.cut(legs), p.built, p.stamps, BASE, FLOOR), BASE, FLOOR).select("trip", "n", "depth", "prefix", "way", "texel", F.round("metres", 3).alias("metres"))

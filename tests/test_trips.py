@@ -339,3 +339,24 @@ def test_marks_without_pairs_are_those_of_the_graph():
     began = time.time()
     rows, none = R._cell_graph(*cell(150, 9), False)
     assert len(rows) > 30_000 and not none and time.time() - began < 20
+
+
+def test_cells_within_reach_have_all_their_stamps_and_a_search_out_of_them_is_told(spark, tmp_path):
+    """Streets far off are read, but not stamped; those around the points have the texels and joins that they have among all."""
+    part = spark.read.parquet(f"{DIR}/part.parquet").select("p_partkey", "p_size").where("p_partkey < 60")
+    part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 75_000)).write.parquet(f"{tmp_path}/part.parquet")
+    at = C.encode(spark.createDataFrame([(1, 47.001, -121.9)], "id bigint, lat double, lon double"))
+    near, every = T.stamps(spark, str(tmp_path), at, {T.FLOOR: 2 * C.TEX}), T.stamps(spark, str(tmp_path))
+    assert {r["far"] for r in every.selectExpr("way >= 75000 AS far").distinct().collect()} == {True, False}
+    assert near.where("way >= 75000").isEmpty() and sorted(near.collect(), key=str) == sorted(every.where("way < 75000").collect(), key=str)
+
+    p = object.__new__(T.Planned)
+    cell = at.select(C.prefix(T.FLOOR)).first()[0]
+    p.around = at, 1
+    p.known = spark.createDataFrame([(0, T.FLOOR, cell), (1, T.FLOOR + 1, cell << 2 | 3), (2, T.FLOOR + 1, (cell ^ 1 << 10) << 2)], "id bigint, depth int, prefix bigint")
+    p.goals = spark.createDataFrame([(7, 1, 5.0)], "trip bigint, id bigint, seconds double")
+    state = lambda *rows: spark.createDataFrame([(7, i * 2, s) for i, s in rows], "trip bigint, id bigint, seconds double")
+    assert p.inside(state((0, 0.0), (1, 10.0)))
+    assert p.inside(state((0, 0.0), (1, 10.0), (2, 15.0)))  # dearer than the trip, or as dear, passes nothing on
+    assert not p.inside(state((0, 0.0), (1, 10.0), (2, 14.0)))
+    assert not p.inside(state((0, 0.0), (2, 99.0)))  # no end found
