@@ -24,15 +24,20 @@ def chosen(labels: DataFrame, view: str, key: str, order: list[Column], side: fl
     """The labels (with box x0, y0, x1, y1) that stand, view by view, going by `order` and then by key. side: of the squares, about the height of a label. meet: whether two labels, named by aliases, exclude each other; labels that do must have boxes that touch. Labels whose box is null have no place and do not stand."""
     place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(key).alias("key"))
     cell = lambda c: F.floor(F.col(c) / side)
-    todo = cut(labels.where("x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL").select(F.col(view).alias("view"), place.alias("place"), *(F.least(f"{a}0", f"{a}1").alias(f"{a}0") for a in "xy"), *(F.greatest(f"{a}0", f"{a}1").alias(f"{a}1") for a in "xy")))
+    todo = labels.where("x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL").select(F.col(view).alias("view"), place.alias("place"), *(F.least(f"{a}0", f"{a}1").alias(f"{a}0") for a in "xy"), *(F.greatest(f"{a}0", f"{a}1").alias(f"{a}1") for a in "xy"))
+    # labels of one box exclude each other, if they have an inside, and meet the same others: only the first of them can stand
+    box = ["view", "x0", "y0", "x1", "y1"]
+    itself = todo.withColumns({c: F.struct("place", *box[1:]) for c in "ab"}).withColumn("_self", F.coalesce(meet("a", "b"), F.lit(False)))
+    firsts = itself.where("_self").groupBy(*box).agg(F.min("place").alias("place"))
+    todo = cut(firsts.unionByName(itself.where("NOT _self").select(*firsts.columns)))
     stand = None
     while not todo.isEmpty():
-        dealt = todo.withColumn("sx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("sy", F.explode(F.sequence(cell("y0"), cell("y1"))))
-        first = dealt.groupBy("view", "sx", "sy").agg(F.min("place").alias("least"))
-        wins = dealt.join(first, ["view", "sx", "sy"]).groupBy("view", "place").agg(F.min((F.col("least") == F.col("place")).cast("int")).alias("all")).where("all = 1").select("view", "place")
+        spread = todo.withColumn("sx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("sy", F.explode(F.sequence(cell("y0"), cell("y1"))))
+        first = spread.groupBy("view", "sx", "sy").agg(F.min("place").alias("least"))
+        wins = spread.join(first, ["view", "sx", "sy"]).groupBy("view", "place").agg(F.min((F.col("least") == F.col("place")).cast("int")).alias("all")).where("all = 1").select("view", "place")
         won = cut(todo.join(wins, ["view", "place"], "left_semi"))
         taken = won.withColumn("sx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("sy", F.explode(F.sequence(cell("y0"), cell("y1"))))
-        gone = dealt.alias("a").join(taken.alias("b"), ["view", "sx", "sy"]).where((F.col("a.place") == F.col("b.place")) | meet("a", "b")).select("view", F.col("a.place").alias("place")).distinct()
+        gone = spread.alias("a").join(taken.alias("b"), ["view", "sx", "sy"]).where((F.col("a.place") == F.col("b.place")) | meet("a", "b")).select("view", F.col("a.place").alias("place")).distinct()
         rest = cut(todo.join(gone, ["view", "place"], "left_anti"))
         forget(todo)
         todo, stand = rest, won if stand is None else stand.unionByName(won)

@@ -54,3 +54,16 @@ def test_names_are_gathered_once_and_rivers_not_in_lakes(spark):
     t = spark.createDataFrame([(0, 12, "Snake", "", 3, 1.0, 2.0, None), (0, 12, "Snake", "", 7, 4.0, 9.0, 44), (0, 12, "Snake", "", 2, 6.0, 1.0, 9), (0, 44, "Mead", "", 1, 4.0, 9.0, 44)], "view int, kind int, name string, reference string, rank int, x double, y double, area_kind int")
     got = sorted(tuple(r) for r in lettering.gathered(t).collect())
     assert got == [(0, 12, "Snake", "", 3, 2, 1.0, 1.0, 6.0, 2.0), (0, 44, "Mead", "", 1, 1, 4.0, 9.0, 4.0, 9.0)]
+
+
+def test_of_labels_of_one_box_only_the_first_is_dealt(spark, monkeypatch):
+    """A box without an inside meets nothing, itself included, so all of its labels stand."""
+    held, cut = [], lettering.cut
+    monkeypatch.setattr(lettering, "cut", lambda df: held.append(cut(df)) or held[-1])
+    monkeypatch.setattr(lettering, "forget", lambda *_: None)
+    df = spark.range(3000).selectExpr("0 AS view", "CAST(id AS INT) AS id", "CAST(id % 7 AS INT) AS tier", "0 AS rank", "CAST(id % 3 * 15 AS DOUBLE) AS x0", "0D AS y0", "CAST(id % 3 * 15 + 20 AS DOUBLE) AS x1", "10D AS y1")
+    flat = spark.createDataFrame([(0, 9000 + i, 0, 0, 5.0, 5.0, 5.0, 9.0) for i in range(4)] + [(0, 9100 + i, 0, 0, 500.0, 5.0, 500.0, 9.0) for i in range(4)], SCHEMA)
+    labels = df.unionByName(flat)
+    got = sorted((r["view"], r["id"]) for r in lettering.chosen(labels, "view", "id", [F.col("tier"), -F.col("rank")], 14.0).collect())
+    assert held[0].count() == 3 + 8
+    assert got == sequential([tuple(r) for r in labels.collect()], meets)
