@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import cells as C
@@ -36,27 +37,97 @@ def touching(owner: np.ndarray, texel: np.ndarray, width: int = C.TEX) -> tuple[
     """(starts, ends, parts): for rows in order of (owner, texel), where the touching rows of each one begin in `ends`, and how far they are. Touching: both halves of the 3 x 3 squares around. Texels are numbered over a square of `width`."""
     bits = width.bit_length() - 1
     x, y = texel >> 1 & width - 1, texel >> bits + 1
-    key = owner * (2 << 2 * bits) + texel
-    src, dst = [], []
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            for h in (0, 1):
-                ok = (x + dx >= 0) & (x + dx < width) & (y + dy >= 0) & (y + dy < width) & ((dx != 0) | (dy != 0) | (texel & 1 != h))
-                want = owner * (2 << 2 * bits) + ((y + dy) * width + x + dx) * 2 + h
-                at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                found = np.flatnonzero(ok & (key[at] == want))
-                src.append(found)
-                dst.append(at[found])
-    src, dst = np.concatenate(src), np.concatenate(dst)
-    order = np.lexsort((dst, src))
-    src, dst = src[order], dst[order]
+    base = owner * (2 << 2 * bits)
+    key = base + texel
+    # the squares at one y stand side by side in the order of rows
+    left, right = np.maximum(x - 1, 0) * 2, np.minimum(x + 1, width - 1) * 2 + 1
+    low, count = (np.empty((len(key), 3), np.int64) for _ in range(2))
+    for i, dy in enumerate((-1, 0, 1)):
+        line = base + ((y + dy) * width << 1)
+        low[:, i] = np.searchsorted(key, line + left)
+        count[:, i] = np.where((y + dy >= 0) & (y + dy < width), np.searchsorted(key, line + right, "right") - low[:, i], 0)
+    dst = _spans(low.ravel(), count.ravel())
+    src = np.repeat(np.arange(len(key)), count.sum(1))
+    other = src != dst
+    src, dst = src[other], dst[other]
     off = ((texel & 1) + 1) / 3
     du, dv = (x + off)[dst] - (x + off)[src], (y + off)[dst] - (y + off)[src]
-    return np.searchsorted(src, np.arange(len(key) + 1)), dst, np.floor(PARTS * np.sqrt(du * du + dv * dv + du * dv)).astype(np.int64)
+    return _starts(src, len(key)), dst, np.floor(PARTS * np.sqrt(du * du + dv * dv + du * dv)).astype(np.int64)
+
+
+def _spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ..., so many of each."""
+    total = np.cumsum(count)
+    return np.repeat(first - total + count, count) + np.arange(total[-1] if len(total) else 0)
+
+
+def _starts(group: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n groups begins among rows in their order, and the end."""
+    return np.concatenate(([0], np.cumsum(np.bincount(group, minlength=n))))
+
+
+def _lowest(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The lowest row that each of n rows is joined with. Edges come in order of src, each in both directions."""
+    low, first = np.arange(n), np.flatnonzero(np.diff(src, prepend=-1))
+    if not len(first):
+        return low
+    at = src[first]
+    while True:
+        near = np.minimum.reduceat(low[dst], first)
+        less = near < low[at]
+        if not less.any():
+            return low
+        np.minimum.at(low, low[at[less]], near[less])
+        while True:
+            up = low[low]
+            if np.array_equal(up, low):
+                break
+            low = up
+
+
+def _firsts(rows: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Which of the rows are the first of their number; slot: room, a place a number."""
+    at = np.arange(len(rows))
+    slot[rows[::-1]] = at[::-1]
+    return slot[rows] == at
+
+
+def _walk(starts: np.ndarray, begin: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The place of each row in breadth-first walks from the starts over edges (begin, to), -1 where none comes; walks that do not meet keep their own order."""
+    rank, slot = np.full(len(begin) - 1, -1), np.empty(len(begin) - 1, np.int64)
+    wave, done = starts, 0
+    while len(wave):
+        rank[wave] = np.arange(done, done + len(wave))
+        done += len(wave)
+        wave = to[_spans(begin[wave], begin[wave + 1] - begin[wave])]
+        wave = wave[rank[wave] < 0]
+        wave = wave[_firsts(wave, slot)]
+    return rank
+
+
+def _settle(best: np.ndarray, wave: np.ndarray, row: np.ndarray, begin: np.ndarray, step: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """best with the least lengths from the states of the wave, which have theirs. A state goes along the edges of its row (begin; far): on by step states each."""
+    slot = np.empty(len(best), np.int64)
+    while len(wave):
+        on = row[wave]
+        first = begin[on]
+        count = begin[on + 1] - first
+        at = _spans(first, count)
+        length, wave = np.repeat(best[wave], count) + far[at], np.repeat(wave, count) + step[at]
+        less = length < best[wave]
+        length, wave = length[less], wave[less]
+        np.minimum.at(best, wave, length)
+        wave = wave[_firsts(wave, slot)]
+    return best
+
+
+def _chunks(sizes: np.ndarray) -> list[np.ndarray]:
+    """Places of the sizes, in order, in lists with a sum of some _HELD each, or one place."""
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // _HELD)) + 1)
 
 
 class Texels:
-    """Rows that touch, with the two walks over them: by steps and by length."""
+    """Rows that touch, with the walk over them by length."""
 
     def __init__(self, owner: np.ndarray, texel: np.ndarray, width: int = C.TEX):
         starts, ends, parts = touching(owner, texel, width)
@@ -64,17 +135,6 @@ class Texels:
         self.near = [e[a:b] for a, b in zip(s, s[1:], strict=False)]
         self.far = [p[a:b] for a, b in zip(s, s[1:], strict=False)]
 
-    def flood(self, starts: Iterable[int], inside) -> list[int]:
-        """Rows inside reached from the starts, in the order of a breadth-first walk; the last is as far as any."""
-        order = list(starts)
-        seen = set(order)
-        for k in order:
-            for m in self.near[k]:
-                if m not in seen and inside(m):
-                    seen.add(m)
-                    order.append(m)
-        return order
-
     def lengths(self, starts: Iterable[int], inside, until=None) -> tuple[dict[int, int], dict[int, int], int | None]:
         """Least lengths from the starts over rows inside, where each was come from, and the first row of `until` met."""
         best = dict.fromkeys(starts, 0)
@@ -95,102 +155,209 @@ class Texels:
         return done, back, None
 
 
-def _cell_graph(way: np.ndarray, texel: np.ndarray, join: np.ndarray, arc: np.ndarray, heading: np.ndarray, edge_m: float, pairs: bool = True) -> tuple[list, list]:
-    """(texel rows, corridor rows) of one cell. Rows come in order of (way, texel); arc and heading are NaN where unknown. Without pairs there are no corridor rows and no lengths, only the marks of texels, the same ones: a run that touches many clusters has a corridor for each two of them."""
-    ways, owner = np.unique(way, return_inverse=True)
-    t = Texels(owner, texel)
+#: States of walks that are held at a time.
+_HELD = 1 << 20
+_FAR = np.iinfo(np.int64).max // 2
+#: Columns in which -1 stands for null.
+_NULLS = {"node", "corridor", "to_a", "to_b", "run"}
+
+
+class _Ends:
+    """The clusters that each run touches, in order of (run, cluster): run, cluster, where their doors begin and how many they have. A door is an edge from a row of the run to one of the cluster; those of an end come in order of the run's walk (rank), else of rows. Runs and clusters go by their lowest rows."""
+
+    def __init__(self, src, dst, node, part, rank=None):
+        door = np.flatnonzero(~node[src] & node[dst])
+        src, dst = src[door], dst[door]
+        order = np.lexsort((dst, src if rank is None else rank[src], part[dst], part[src]))
+        self.row, self.beyond, self.edge = src[order], dst[order], door[order]
+        run, cluster = part[self.row], part[self.beyond]
+        self.begin = np.flatnonzero((np.diff(run, prepend=-1) != 0) | (np.diff(cluster, prepend=-1) != 0))
+        self.run, self.cluster = run[self.begin], cluster[self.begin]
+        self.doors_of = np.diff(self.begin, append=len(self.row))
+        self.met = np.bincount(self.run, minlength=len(node))  # a row: how many clusters the run of that lowest row touches
+
+    def doors(self, ends: np.ndarray) -> np.ndarray:
+        """The doors of these ends, one after another."""
+        return _spans(self.begin[ends], self.doors_of[ends])
+
+
+def _cell_columns(way: np.ndarray, texel: np.ndarray, join: np.ndarray, arc: np.ndarray, heading: np.ndarray, edge_m: float, pairs: bool = True, texels: bool = True) -> tuple[dict, dict]:
+    """What `graph` tells of one cell, as columns of its texels' rows and of its corridors' rows; -1: null. Rows come in order of (way, texel); arc and heading are NaN where unknown. All ways and runs are worked on together, so steps go with the longest run, not with their number."""
+    n = len(way)
+    owner = np.cumsum(np.diff(way, prepend=way[:1]) != 0)
+    begin, dst, far = touching(owner, texel)
+    src = np.repeat(np.arange(n), np.diff(begin))
     x, y = texel >> 1 & _LOW, texel >> C.TEX_BITS + 1
-    alone = np.bincount(owner)[owner] == 1
-    node = (join | (x == 0) | (y == 0) | (x == _LOW) | (y == _LOW) | alone).tolist()
-    n = len(node)
-
-    def parts_of(flag: bool) -> tuple[list[list[int]], list[int]]:
-        """Connected rows with this flag, and the number of the part of each row."""
-        part, out = [-1] * n, []
-        for k in range(n):
-            if node[k] is flag and part[k] < 0:
-                found = t.flood([k], lambda m: node[m] is flag)
-                for m in found:
-                    part[m] = len(out)
-                out.append(found)
-        return out, part
+    node = join | (x == 0) | (y == 0) | (x == _LOW) | (y == _LOW) | (np.bincount(owner)[owner] == 1)
+
+    def parts() -> np.ndarray:
+        same = node[src] == node[dst]
+        return _lowest(n, src[same], dst[same])
+
+    def inner() -> np.ndarray:
+        return np.flatnonzero(~node[src] & ~node[dst])
 
     # runs that touch one cluster, or none, end somewhere: their far ends become nodes
-    _, cluster = parts_of(True)
-    for run in parts_of(False)[0]:
-        of = set(run)
-        met = {cluster[m] for k in run for m in t.near[k] if cluster[m] >= 0}
-        if len(met) == 1:
-            node[t.flood([k for k in run if any(node[m] for m in t.near[k])], of.__contains__)[-1]] = True
-        elif not met:
-            p = t.flood(run[:1], of.__contains__)[-1]
-            node[p] = node[t.flood([p], of.__contains__)[-1]] = True
+    part = parts()
+    ends = _Ends(src, dst, node, part)
+    runs = np.flatnonzero(~node & (part == np.arange(n)))
+    few = runs[ends.met[runs] < 2]
+    if len(few):
+        e = inner()
+        e = e[ends.met[part[src[e]]] < 2]
+        at, to = _starts(src[e], n), dst[e]
+
+        def last(rank):
+            order = np.flatnonzero(rank >= 0)
+            order = order[np.argsort(rank[order])]
+            out = np.full(n, -1)
+            out[part[order]] = order
+            return out[few]
+
+        rank = _walk(few, at, to)
+        one = ends.met[few] == 1
+        doors = np.unique(ends.row[ends.met[part[ends.row]] == 1])
+        p = last(rank)
+        goal = last(_walk(np.concatenate((doors[np.argsort(rank[doors])], p[~one])), at, to))
+        node[goal] = True
+        node[p[~one]] = True
 
-    cx, cy = centres(texel)
     while True:
-        clusters, cluster = parts_of(True)
-        corridors, carried, lost, number = [], {}, [], 1
-        for run in parts_of(False)[0]:
-            if not pairs:
-                met = len({cluster[m] for k in run for m in t.near[k] if cluster[m] >= 0})
-                if met < 2:
-                    lost += run
-                else:
-                    carried.update(dict.fromkeys(run, (number, None, None)))
-                    number += met * (met - 1) // 2
-                continue
-            of = set(run)
-            doors: dict[int, list[int]] = {}  # rows of the run beside each cluster, in the order of the run
-            for k in run:
-                for m in t.near[k]:
-                    if cluster[m] >= 0:
-                        doors.setdefault(cluster[m], []).append(k)
-            ends = sorted(doors)  # clusters are numbered by their lowest texels
-            first = len(corridors)
-            turns = [(math.cos(h), math.sin(h)) for h in heading[run] * (2 * math.pi / 256) if h == h]
-            for i, a in enumerate(ends[:-1]):
-                reached = t.lengths(doors[a], of.__contains__)[0]
-                for b in ends[i + 1 :]:
-                    inner = min(reached[k] for k in doors[b])
-                    stairs = inner / PARTS + 2
-                    known = [next((arc[m] for k in doors[c] for m in t.near[k] if cluster[m] == c and arc[m] == arc[m]), None) for c in (a, b)]
-                    along = abs(known[1] - known[0]) / edge_m if None not in known else 0.0
-                    length = along if stairs * 0.5 < along < stairs * 1.5 else stairs
-                    pa_, pb = clusters[a][0], clusters[b][0]
-                    dot = sum((cx[pb] - cx[pa_]) * u + (cy[pb] - cy[pa_]) * v for u, v in turns)
-                    corridors.append((owner[pa_], len(corridors) + 1, int(texel[pa_]), int(texel[pb]), int(length * PARTS), (1 if dot >= 0 else 2) if turns else 0, first + 1))
-            if len(corridors) == first:
-                lost += run
-                continue
-            # all rows of a run carry its first corridor, with the lengths to that one's two ends
-            a, b = ends[:2]
-            inside = of | set(clusters[a]) | set(clusters[b])
-            to = [t.lengths(clusters[c], inside.__contains__)[0] for c in (a, b)]
-            carried.update({k: (first + 1, to[0].get(k), to[1].get(k)) for k in run})
-        if not lost:
+        part = parts()
+        ends = _Ends(src, dst, node, part)
+        lost = ~node & (ends.met[part] < 2)
+        if not lost.any():
             break
-        for k in lost:
-            node[k] = True
-    rows = [(int(ways[owner[k]]), int(texel[k]), int(texel[clusters[cluster[k]][0]]), None, None, None, bool(join[k])) if node[k] else (int(ways[owner[k]]), int(texel[k]), None, *carried[k], False) for k in range(n)]
-    return rows, [(int(ways[w]), *rest) for w, *rest in corridors]
+        node |= lost
+    runs = np.flatnonzero(~node & (part == np.arange(n)))
+    met = ends.met[runs]
+    number = np.full(n, -1)  # a run's lowest row: its first corridor's number, from 0
+    number[runs] = np.cumsum(met * (met - 1) // 2) - met * (met - 1) // 2
+    of = {"way": way, "texel": texel, "node": np.where(node, texel[part], -1), "corridor": np.where(node, -1, number[part] + 1), "to_a": np.full(n, -1), "to_b": np.full(n, -1), "joint": node & join}
+    found = {c: np.empty(0, np.int64) for c in ("way", "corridor", "a", "b", "len", "dir", "run")}
+    if not pairs or not len(runs):
+        return of, found
+
+    e = inner()
+    at, to, length = _starts(src[e], n), dst[e], far[e]
+    rank = _walk(runs, at, to)
+    ends = _Ends(src, dst, node, part, rank)
+    first = np.cumsum(met) - met  # of each run among the ends
+    # the first place along the way that a run's walk meets at each end
+    known = np.where(np.isnan(arc[ends.beyond]), len(ends.row), np.arange(len(ends.row)))
+    known = np.append(arc[ends.beyond], np.nan)[np.minimum.reduceat(known, ends.begin)]
+    # walks from each end of a run but its last one, all at once: a walk's states are the rows of its run, which stand side by side
+    rows = np.flatnonzero(~node)
+    rows = rows[np.argsort(part[rows], kind="stable")]
+    place = np.empty(n, np.int64)
+    place[rows] = np.arange(len(rows))
+    by = np.argsort(place[src[e]], kind="stable")
+    row_at, row_far = _starts(place[src[e]][by], len(rows)), length[by]
+    row_step = (place[to] - place[src[e]])[by]
+    size = np.bincount(np.searchsorted(runs, part[rows]), minlength=len(runs))
+    base = np.cumsum(size) - size
+    run = np.repeat(np.arange(len(runs)), met * (met - 1) // 2)  # of each pair
+    walks = np.repeat(np.arange(len(runs)), met - 1)  # the run of each walk
+    source = np.arange(len(walks)) + walks  # its end, as runs have one end more than walks
+    others = first[walks] + met[walks] - 1 - source
+    pa_, pb, least = np.repeat(source, others), _spans(source + 1, others), np.empty(len(run), np.int64)
+    after = np.cumsum(others) - others
+    for chunk in _chunks(size[walks]):
+        states = size[walks[chunk]]
+        shift = np.cumsum(states) - states - base[walks[chunk]]
+        row = _spans(base[walks[chunk]], states)
+        doors = ends.doors(source[chunk])
+        starts = np.unique(place[ends.row[doors]] + np.repeat(shift, ends.doors_of[source[chunk]]))
+        best = np.full(len(row), _FAR)
+        best[starts] = 0
+        best = _settle(best, starts, row, row_at, row_step, row_far)
+        b = _spans(source[chunk] + 1, others[chunk])
+        doors = best[place[ends.row[ends.doors(b)]] + np.repeat(np.repeat(shift, others[chunk]), ends.doors_of[b])]
+        least[after[chunk[0]] : after[chunk[-1]] + others[chunk[-1]]] = np.minimum.reduceat(doors, np.cumsum(ends.doors_of[b]) - ends.doors_of[b])
+    stairs = least / PARTS + 2
+    along = np.abs(known[pb] - known[pa_]) / edge_m
+    steps = np.where((stairs * 0.5 < along) & (along < stairs * 1.5), along, stairs)
+    a, b = ends.cluster[pa_], ends.cluster[pb]
+
+    # a run goes the way that most of its headings do
+    cx, cy = centres(texel)
+    told = np.flatnonzero(~node & (heading == heading))
+    turn = heading[told] * (2 * math.pi / 256)
+    where = np.searchsorted(runs, part[told])
+    turns = np.bincount(where, minlength=len(runs))
+    du, dv = cx[b] - cx[a], cy[b] - cy[a]
+    dot = du * np.bincount(where, np.cos(turn), len(runs))[run] + dv * np.bincount(where, np.sin(turn), len(runs))[run]
+    order = told[np.lexsort((rank[told], where))]
+    begins = _starts(where, len(runs))
+    for k in np.flatnonzero((turns[run] > 0) & (np.abs(dot) < 1e-9 * turns[run] * (np.abs(du) + np.abs(dv)))):  # a sum so near to none goes by the order of the run
+        rows = order[begins[run[k]] : begins[run[k] + 1]]
+        dot[k] = sum(du[k] * math.cos(h) + dv[k] * math.sin(h) for h in heading[rows] * (2 * math.pi / 256))
+    found = {"way": way[a], "corridor": np.arange(1, len(run) + 1), "a": texel[a], "b": texel[b], "len": (steps * PARTS).astype(np.int64), "dir": np.where(turns[run] == 0, 0, np.where(dot >= 0, 1, 2)), "run": number[runs[run]] + 1}
+    if not texels:
+        return of, found
+
+    # all rows of a run carry its first corridor, with the lengths to that one's two ends: over the run and the other end's cluster
+    members = np.flatnonzero(node)
+    members = members[np.argsort(part[members], kind="stable")]
+    sizes = np.bincount(part[members], minlength=n)
+    begins = np.cumsum(sizes) - sizes
+    for name, here, there in (("to_a", first, first + 1), ("to_b", first + 1, first)):
+        best = np.full(n, _FAR)
+        size = sizes[ends.cluster[there]]
+        for chunk in _chunks(size):
+            copy = members[_spans(begins[ends.cluster[there[chunk]]], size[chunk])]
+            on = np.repeat(runs[chunk], size[chunk])
+            held = on * n + copy  # in order, as a cluster's rows are
+            count = begin[copy + 1] - begin[copy]
+            edge, frm = _spans(begin[copy], count), np.repeat(np.arange(len(copy)), count)
+            m = dst[edge]
+            stay = np.where(node[m], part[m] == part[copy[frm]], part[m] == on[frm])
+            edge, frm, m = edge[stay], frm[stay], m[stay]
+            mine = np.where(node[m], n + np.searchsorted(held, on[frm] * n + m), m)
+            door = ends.doors(there[chunk])
+            back = n + np.searchsorted(held, part[ends.row[door]] * n + ends.beyond[door])
+            inside = np.isin(part[src[e]], runs[chunk]) if len(chunk) < len(runs) else slice(None)
+            s = np.concatenate((src[e][inside], ends.row[door], n + frm))
+            t = np.concatenate((to[inside], back, mine))
+            f = np.concatenate((length[inside], far[ends.edge[door]], far[edge]))
+            by = np.argsort(s, kind="stable")
+            door = ends.doors(here[chunk])
+            state = np.full(n + len(copy), _FAR)
+            np.minimum.at(state, ends.row[door], far[ends.edge[door]])
+            state = _settle(state, np.unique(ends.row[door]), np.arange(len(state)), _starts(s, len(state)), (t - s)[by], f[by])
+            best = np.minimum(best, state[:n])
+        of[name] = np.where(best < _FAR, best, -1)
+    return of, found
 
 
-def graph(stamps: DataFrame, pairs: bool = True) -> DataFrame:
+def _cell_graph(way: np.ndarray, texel: np.ndarray, join: np.ndarray, arc: np.ndarray, heading: np.ndarray, edge_m: float, pairs: bool = True) -> tuple[list, list]:
+    """(texel rows, corridor rows) of one cell, as tuples."""
+    rows = lambda columns: list(zip(*([None if v == -1 and name in _NULLS else v for v in c.tolist()] for name, c in columns.items()), strict=True))
+    texels, found = _cell_columns(way, texel, join, arc, heading, edge_m, pairs)
+    return rows(texels), rows(found)
+
+
+def graph(stamps: DataFrame, pairs: bool = True, texels: bool = True) -> DataFrame:
     """The graph of all cells and depths: a row a texel and way (its node's name, or its corridor with the lengths to_a, to_b to that one's ends), and a row a corridor (texel is null): its ends a and b, its length, whether it is open both ways (0), from a to b (1) or from b to a (2).
 
-    stamps: depth, prefix, texel, way, arc (metres along the way, or null), heading (256ths of a turn, or null), join; one row a texel and way. Lengths are in 256ths of a texel edge: the way's own where arcs at both ends are known and within half of the shortest run, else the run plus two edges. Without pairs only a texel's node or corridor is told, in time that grows with the texels, not with the pairs of clusters that runs touch.
+    stamps: depth, prefix, texel, way, arc (metres along the way, or null), heading (256ths of a turn, or null), join; one row a texel and way. Lengths are in 256ths of a texel edge: the way's own where arcs at both ends are known and within half of the shortest run, else the run plus two edges. Without pairs only a texel's node or corridor is told, in time that grows with the texels, not with the pairs of clusters that runs touch. Without texels only the corridors' rows are told, the same ones.
     """
 
+    kinds = to_arrow_schema(StructType.fromDDL(GRAPH))
+
     def built(key, cell):
         depth, prefix = (k.as_py() for k in key)
         way, texel = cell.column("way").to_numpy(), cell.column("texel").to_numpy()
         order = np.lexsort((texel, way))
-        get = lambda c: np.array(cell.column(c).to_pylist(), float)[order]
-        texels, corridors = _cell_graph(way[order], texel[order], cell.column("join").to_numpy(zero_copy_only=False).astype(bool)[order], get("arc"), get("heading"), C.TEXEL_BASE_M / (1 << depth) / C.TEX, pairs)
-        rows = [(depth, prefix, w, t, node, c, None, None, None, None, a, b, j, c) for w, t, node, c, a, b, j in texels] + [(depth, prefix, w, None, None, c, a, b, n, d, None, None, None, r) for w, c, a, b, n, d, r in corridors]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
-        names = [p.strip().split(" ")[0] for p in GRAPH.split(",")]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        get = lambda c: cell.column(c).to_numpy()[order]
+        of, found = _cell_columns(way[order], texel[order], get("join").astype(bool), get("arc"), get("heading"), C.TEXEL_BASE_M / (1 << depth) / C.TEX, pairs, texels)
+
+        def table(columns: dict) -> pa.Table:
+            n = len(columns["way"])
+            columns = columns | {"depth": np.full(n, depth), "prefix": np.full(n, prefix)}
+            return pa.table([pa.array(columns[f.name], mask=columns[f.name] == -1 if f.name in _NULLS else None).cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in kinds], schema=kinds)
+
+        return pa.concat_tables([table(of | {"run": of["corridor"]}), table(found)] if texels else [table(found)])
 
     s = stamps.select(F.col("depth").cast("int").alias("depth"), F.col("prefix").cast("bigint"), F.col("texel").cast("bigint"), F.col("way").cast("bigint"), F.col("arc").cast("double"), F.col("heading").cast("double"), F.coalesce("join", F.lit(False)).alias("join"))
     return s.groupBy("depth", "prefix").applyInArrow(built, GRAPH)

@@ -43,7 +43,7 @@ def stamps(spark, sf, near=None, rings=None):
         s = G.cut(routes.within(near, s, rings or J.rings(BASE, FLOOR, *SNAP)))
     shared = s.groupBy("node").agg(F.countDistinct("way").alias("n"), F.first("diamond").alias("diamond"), F.first("u").alias("u"), F.first("v").alias("v")).where("n >= 2")
     meets = shared.select(C.prefix(BASE).alias("prefix"), C.texel(BASE).alias("texel")).distinct().withColumn("join", F.lit(True))
-    fine = routes.passed(s, BASE).join(s.select("way", "class").distinct(), "way").join(meets, ["prefix", "texel"], "left")
+    fine = routes.passed(s, BASE, "class").join(meets.hint("shuffle_hash"), ["prefix", "texel"], "left")
     level = every = G.cut(fine.select(F.lit(BASE).alias("depth"), "prefix", "texel", "way", "class", "arc", F.col("heading").cast("bigint").alias("heading"), F.coalesce("join", F.lit(False)).alias("join")))
     for _ in range(FLOOR, BASE):
         level = G.cut(routes.coarser(level).select(*every.columns))
@@ -108,7 +108,7 @@ def searched(spark, sf, rings: int = 3):
 @query
 def r4_corridors(spark, sf):
     """The corridors of every cell and depth."""
-    return R.corridors_of(R.graph(stamps(spark, sf)))
+    return R.corridors_of(R.graph(stamps(spark, sf), texels=False))
 
 
 @query

@@ -360,3 +360,41 @@ def test_cells_within_reach_have_all_their_stamps_and_a_search_out_of_them_is_to
     assert p.inside(state((0, 0.0), (1, 10.0), (2, 15.0)))  # dearer than the trip, or as dear, passes nothing on
     assert not p.inside(state((0, 0.0), (1, 10.0), (2, 14.0)))
     assert not p.inside(state((0, 0.0), (2, 99.0)))  # no end found
+
+
+def test_a_run_with_many_ends_is_walked_from_all_of_them_at_once():
+    """A cell whose runs touch clusters by the dozen: a walk an end takes too long row by row."""
+    import time
+
+    import numpy as np
+
+    r, side = random.Random(1), 45
+    texel = np.array(sorted(y * 512 + x * 2 + h for y in range(20, 20 + side) for x in range(20, 20 + side) for h in (0, 1) if r.random() < 0.8))
+    way, none = np.full(len(texel), 7), np.full(len(texel), np.nan)
+    join = np.array([r.random() < 0.05 for _ in texel])
+    began = time.time()
+    rows, found = R._cell_graph(way, texel, join, none, none, 1.0)
+    assert time.time() - began < 8 and len(found) > 5000
+    node, run = {row[1]: row[2] for row in rows}, {row[1]: row[3] for row in rows}
+    t = R.Texels(np.zeros(len(texel), np.int64), texel)
+    beside = lambda k, name: any(node[texel[m]] == name for m in t.near[k])
+    for _, _, a, b, length, _, on in r.sample(found, 20):
+        of = [k for k in range(len(texel)) if run[texel[k]] == on]
+        done, _, _ = t.lengths([k for k in of if beside(k, a)], set(of).__contains__)
+        assert length == min(done[k] for k in of if beside(k, b)) + 2 * R.PARTS
+    first = {on: (a, b) for _, number, a, b, _, _, on in found if number == on}
+    for row in r.sample([row for row in rows if row[3]], 20):
+        a, b = first[row[3]]
+        of = [k for k in range(len(texel)) if run[texel[k]] == row[3] or node[texel[k]] in (a, b)]
+        for name, length in ((a, row[4]), (b, row[5])):
+            done, _, _ = t.lengths([k for k in of if node[texel[k]] == name], set(of).__contains__)
+            assert length == done[int(np.searchsorted(texel, row[1]))]
+
+
+def test_corridors_alone_are_those_of_the_graph(spark):
+    rng = random.Random(8)
+    rows = [(13, prefix, t, way, arc, heading, join) for prefix in (5, 9) for way in range(1, 12) for t, (join, arc, heading) in random_way(rng).items()]
+    s = spark.createDataFrame(rows, "depth int, prefix bigint, texel bigint, way bigint, arc double, heading int, join boolean")
+    every, alone = R.graph(s).cache(), R.graph(s, texels=False)
+    assert alone.where("texel IS NOT NULL").isEmpty() and not alone.isEmpty()
+    assert sorted(R.corridors_of(alone).collect()) == sorted(R.corridors_of(every).collect())
