@@ -41,3 +41,15 @@ def test_only_ways_within_reach_are_stamped_and_what_is_snapped_is_the_same(spar
 
     whole = found(ways)
     assert whole == found(near) and {r["id"] for r in whole} == {1, 2} and 1000 in {r["way"] for r in whole}
+
+
+def test_many_points_and_ways_at_one_spot_are_dealt_to_tasks_by_their_rows(spark):
+    points = C.encode(spark.range(300).selectExpr("id", "46.5D + id % 2 * 0.003D AS lat", "-121.5D AS lon"))
+    ways = points.select(C.prefix(6).alias("prefix"), C.texel(6).alias("texel")).distinct().crossJoin(spark.range(40).select(F.col("id").alias("way")))
+    plain = routes.snapped(points, ways, 6, 8).withColumn("metres", F.round("metres", 3))
+    got = routes.snapped(points, ways, 6, 8, digits=3, task_rows=1000)
+    per = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(per) == plain.count() >= 12_000 and max(per) < sum(per) / 2
+    assert sorted(got.collect()) == sorted(plain.collect())
+    none = routes.snapped(points.where("id < 0"), ways, 6, 8, digits=3, task_rows=1000)
+    assert none.columns == plain.columns and none.isEmpty()
