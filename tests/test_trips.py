@@ -372,8 +372,9 @@ def test_a_run_with_many_ends_is_walked_from_all_of_them_at_once():
     texel = np.array(sorted(y * 512 + x * 2 + h for y in range(20, 20 + side) for x in range(20, 20 + side) for h in (0, 1) if r.random() < 0.8))
     way, none = np.full(len(texel), 7), np.full(len(texel), np.nan)
     join = np.array([r.random() < 0.05 for _ in texel])
+    heading = np.array([float(r.randrange(256)) for _ in texel])
     began = time.time()
-    rows, found = R._cell_graph(way, texel, join, none, none, 1.0)
+    rows, found = R._cell_graph(way, texel, join, none, heading, 1.0)
     assert time.time() - began < 8 and len(found) > 5000
     node, run = {row[1]: row[2] for row in rows}, {row[1]: row[3] for row in rows}
     t = R.Texels(np.zeros(len(texel), np.int64), texel)
