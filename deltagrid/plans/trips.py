@@ -51,6 +51,12 @@ def stamps(spark, sf, near=None, rings=None):
     return every
 
 
+def travelling(spark, sf, stamped, mode: str):
+    """The streets in `stamped` (way) that this mode may use, as `journeys.travellers` has them, written once. What is joined with stamps and their graph needs no others, and the table of all streets is one that a join would hold whole in the driver."""
+    of = streets(spark, sf).where("pos = 0").join(stamped.select("way").distinct(), "way", "left_semi")
+    return G.cut(J.travellers(of.select("way", "class", "uses", "speed_kmh", "grade"), mode))
+
+
 def trips(spark, sf):
     """(trip, lat0, lon0, lat1, lon1): a trip a nation, from a place beside the streets to another."""
     n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("trip"))
@@ -67,7 +73,7 @@ class Planned:
         self.around = None if rings is None else (sides[0].unionByName(sides[1]), rings)
         self.stamps = stamps(spark, sf) if rings is None else stamps(spark, sf, self.around[0], {FLOOR: (rings + 1) * C.TEX})
         self.built = G.cut(R.graph(self.stamps))
-        self.going = J.travellers(streets(spark, sf).select("way", "class", "uses", "speed_kmh", "grade").distinct(), mode)
+        self.going = travelling(spark, sf, self.stamps, mode)
         self.known = J.states(self.built, self.going, BASE, FLOOR)
         self.moves = J.moves(self.built, self.known, self.going, mode, BASE, FLOOR)
         ends = [G.cut(J.ends(J.snapped(at, self.stamps, self.going, BASE, FLOOR, *SNAP), self.built, self.known, self.going, mode, arriving)) for at, arriving in zip(sides, (False, True), strict=True)]
@@ -114,9 +120,9 @@ def r4_corridors(spark, sf):
 @query
 def r5_snapped_levels(spark, sf):
     """The ways that each trip may start on, at every depth that has any near."""
-    going = J.travellers(streets(spark, sf).select("way", "class", "uses", "speed_kmh", "grade").distinct(), "car")
     at = C.encode(trips(spark, sf).select(F.col("trip").alias("id"), F.col("lat0").alias("lat"), F.col("lon0").alias("lon")))
-    return J.snapped(at, stamps(spark, sf, at), going, BASE, FLOOR, *SNAP).withColumn("metres", F.round("metres", 3))
+    near = stamps(spark, sf, at)
+    return J.snapped(at, near, travelling(spark, sf, near, "car"), BASE, FLOOR, *SNAP).withColumn("metres", F.round("metres", 3))
 
 
 @query

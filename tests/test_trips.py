@@ -399,3 +399,24 @@ def test_corridors_alone_are_those_of_the_graph(spark):
     every, alone = R.graph(s).cache(), R.graph(s, texels=False)
     assert alone.where("texel IS NOT NULL").isEmpty() and not alone.isEmpty()
     assert sorted(R.corridors_of(alone).collect()) == sorted(R.corridors_of(every).collect())
+
+
+def test_only_streets_with_stamps_are_joined_with_them(spark, tmp_path, monkeypatch):
+    """Streets out of reach are no part of a table that a join may hold whole in the driver."""
+
+    class Seen(Exception):
+        pass
+
+    def seen(built, going, *_):
+        raise Seen(going)
+
+    part = spark.read.parquet(f"{DIR}/part.parquet").select("p_partkey", "p_size").where("p_partkey < 60")
+    part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 75_000)).write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{DIR}/nation.parquet").where("n_nationkey < 4").write.parquet(f"{tmp_path}/nation.parquet")
+    monkeypatch.setattr(J, "states", seen)
+    monkeypatch.setattr(J, "snapped", lambda points, stamps, going, *_: seen(stamps, going))
+    for plan in (lambda: T.Planned(spark, str(tmp_path), rings=1), lambda: T.r5_snapped_levels(spark, str(tmp_path))):
+        with pytest.raises(Seen) as told:
+            plan()
+        ways = [r["way"] for r in told.value.args[0].collect()]
+        assert 0 < len(ways) == len(set(ways)) and max(ways) < 75_000
