@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import cells as C
+from .graph import cut
 
 #: Lengths inside cells are counted in so many parts of a texel edge.
 PARTS = 256
@@ -363,6 +364,107 @@ def graph(stamps: DataFrame, pairs: bool = True, texels: bool = True) -> DataFra
     return s.groupBy("depth", "prefix").applyInArrow(built, GRAPH)
 
 
+class _Pyramid:
+    """The corridors of a cell and of all cells under it down to depth `base`, of the segments that pass it: their stamps are made a finest cell at a time and joined up the depths, as `routes.passed` and `routes.coarser` have them, and no others are held. Cells are walked depth first."""
+
+    def __init__(self, base: int, segments: dict[str, np.ndarray], meets: np.ndarray):
+        self.base, self.s, self.meets = base, segments, meets  # meets: (cell << 17 | texel), in order
+        self.found: list[dict] = []
+
+    def stamps(self, depth: int, prefix: int, x: int, y: int, of: np.ndarray) -> dict[str, np.ndarray]:
+        """The stamps of the cell at column x and row y of its diamond, of those of the segments `of` that come near it; its corridors go to `found`."""
+        s, bits = self.s, 30 - depth
+        inside = lambda c, at: (np.minimum(s[f"{c}0"][of], s[f"{c}1"][of]) >> bits <= at) & (np.maximum(s[f"{c}0"][of], s[f"{c}1"][of]) >> bits >= at)
+        of = of[inside("u", x) & inside("v", y)]
+        if depth == self.base:
+            held = self._passed(prefix, x, y, of)
+        else:
+            parts = [_above(self.stamps(depth + 1, prefix * 4 + i * 2 + j, x * 2 + i, y * 2 + j, of), depth, i, j) for i in (0, 1) for j in (0, 1)] if len(of) else []
+            held = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else _NONE
+            order = np.lexsort((held["texel"], held["way"]))
+            held = {c: v[order] for c, v in held.items()}
+        if len(held["way"]):
+            _, found = _cell_columns(held["way"], held["texel"], held["join"], held["arc"], held["heading"], C.TEXEL_BASE_M / (1 << depth) / C.TEX, True, False)
+            if len(found["way"]):
+                self.found.append(found | {"depth": np.full(len(found["way"]), depth), "prefix": np.full(len(found["way"]), prefix)})
+        return held
+
+    def _passed(self, prefix: int, x: int, y: int, of: np.ndarray) -> dict[str, np.ndarray]:
+        unit = float(1 << (30 - self.base - C.TEX_BITS))
+        px, py = self.s["u0"][of] / unit, self.s["v0"][of] / unit
+        dx, dy = self.s["u1"][of] / unit - px, self.s["v1"][of] / unit - py
+        steps = np.maximum(np.ceil(np.sqrt(dx * dx + dy * dy) * 4), 1).astype(np.int64)
+        on = np.repeat(np.arange(len(of)), steps + 1)
+        k = _spans(np.zeros(len(of), np.int64), steps + 1)
+        t = k / steps[on]
+        gx, gy = px[on] + dx[on] * t, py[on] + dy[on] * t
+        tx, ty = np.floor(gx).astype(np.int64), np.floor(gy).astype(np.int64)
+        here = np.flatnonzero((tx >> C.TEX_BITS == x) & (ty >> C.TEX_BITS == y))
+        on, k, t, gx, gy, tx, ty = (c[here] for c in (on, k, t, gx, gy, tx, ty))
+        half = ((gx - tx) + (gy - ty) >= 1).astype(np.int64)
+        texel, way = ((ty & _LOW) << C.TEX_BITS | tx & _LOW) << 1 | half, self.s["way"][of][on]
+        order = np.lexsort((k, self.s["row"][of][on], texel, way))
+        order = order[(np.diff(way[order], prepend=-1) != 0) | (np.diff(texel[order], prepend=-1) != 0)]
+        on, texel, t = on[order], texel[order], t[order]
+        return {"way": way[order], "texel": texel, "kept": self.s["kept"][of][on], "arc": self.s["before"][of][on] + self.s["seg"][of][on] * t, "heading": self.s["heading"][of][on], "join": np.isin(prefix << 2 * C.TEX_BITS + 1 | texel, self.meets)}
+
+
+_NONE = {"way": np.empty(0, np.int64), "texel": np.empty(0, np.int64), "kept": np.empty(0, np.int64), "arc": np.empty(0), "heading": np.empty(0), "join": np.empty(0, bool)}
+
+
+def _above(held: dict[str, np.ndarray], depth: int, i: int, j: int) -> dict[str, np.ndarray]:
+    """The stamps of a cell as its parent at this depth has them, whose quarter (i, j) it is: as `routes.coarser`. No parent has texels of two quarters."""
+    keep = held["kept"] <= depth
+    held = {c: v[keep] for c, v in held.items()}
+    tx, ty, half = held["texel"] >> 1 & _LOW, held["texel"] >> C.TEX_BITS + 1, held["texel"] & 1
+    ox, oy = tx & 1, ty & 1
+    up = np.where(ox == oy, ox, half)
+    child = np.where(half != up, 3, np.where(ox == oy, 0, np.where(oy == 1, 1, 2)))
+    texel = (((j << C.TEX_BITS - 1) + (ty >> 1)) << C.TEX_BITS | (i << C.TEX_BITS - 1) + (tx >> 1)) << 1 | up
+    order = np.lexsort((child, held["way"], texel))
+    held, texel = {c: v[order] for c, v in held.items()}, texel[order]
+    begin = np.flatnonzero((np.diff(texel, prepend=-1) != 0) | (np.diff(held["way"], prepend=-1) != 0))
+    if not len(begin):
+        return held
+    n = np.arange(len(texel))
+    told = np.minimum.reduceat(np.where(np.isnan(held["heading"]), len(n), n), begin)
+    joined, texel = np.logical_or.reduceat(held["join"], begin), texel[begin]
+    # a texel's rows stand side by side
+    spot = np.flatnonzero(np.diff(texel, prepend=-1) != 0)
+    many = np.diff(spot, append=len(texel))
+    return {"way": held["way"][begin], "texel": texel, "kept": held["kept"][begin], "arc": held["arc"][begin], "heading": np.append(held["heading"], np.nan)[told], "join": np.repeat(np.logical_or.reduceat(joined, spot) & (many >= 2), many)}
+
+
+def of_segments(segments: DataFrame, meets: DataFrame, base: int, floor: int) -> DataFrame:
+    """The corridors of all cells of the depths from base up to floor, as `corridors_of` has them of the graph of the stamps, which are made a cell at a time and written nowhere: what goes over the disk grows with the segments, not with their texels. A group is one cell of the floor depth with all that lies under it.
+
+    segments: as `routes.segments` has them, with kept: the coarsest depth that has the way. meets: prefix, texel at the base where ways meet.
+    """
+    kinds = "depth int, prefix bigint, way bigint, corridor int, a bigint, b bigint, len bigint, dir int, run int"
+    schema = to_arrow_schema(StructType.fromDDL(kinds))
+
+    def built(key, cell):
+        prefix = key[0].as_py()
+        inner = np.array([prefix & ((1 << 2 * floor) - 1)])
+        x, y = int(_compact(inner >> 1)[0]), int(_compact(inner)[0])
+        of = cell.filter(pc.is_valid(cell.column("way")))
+        met = cell.filter(pc.is_valid(cell.column("_met"))).column("_met").to_numpy()
+        p = _Pyramid(base, {c: of.column(c).to_numpy().astype(np.float64 if c in ("before", "seg", "heading") else np.int64) for c in of.column_names if c not in ("_cell", "_met")}, np.sort(met))
+        p.stamps(floor, prefix, x, y, np.arange(of.num_rows))
+        tables = [pa.table([pa.array(f[c.name]).cast(c.type) for c in schema], schema=schema) for f in p.found]
+        return pa.concat_tables(tables) if tables else schema.empty_table()
+
+    bits = 30 - floor
+    square = lambda c: F.explode(F.sequence(F.shiftright(F.least(f"{c}0", f"{c}1"), bits), F.shiftright(F.greatest(f"{c}0", f"{c}1"), bits)))
+    s = segments.withColumn("_x", square("u")).withColumn("_y", square("v")).withColumn("_cell", C.from_grid(floor, F.col("diamond"), F.col("_x"), F.col("_y")))
+    s = s.select("_cell", "way", "row", *(F.col(c).cast("int") for c in ("u0", "v0", "u1", "v1")), "before", "seg", F.col("heading").cast("int"), F.col("kept").cast("int"))
+    m = meets.select(C.ancestor(F.col("prefix"), base - floor).alias("_cell"), F.shiftleft(F.col("prefix"), 2 * C.TEX_BITS + 1).bitwiseOR(F.col("texel")).alias("_met"))
+    rows = cut(s.unionByName(m, allowMissingColumns=True))
+    # a task a cell or so: the rows are few for the work that they make
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.select("_cell").distinct().count())
+    return rows.repartition(n, "_cell").groupBy("_cell").applyInArrow(built, kinds)
+
+
 def texels_of(built: DataFrame) -> DataFrame:
     """(depth, prefix, way, texel, node, corridor, to_a, to_b, joint)."""
     return built.where("texel IS NOT NULL").drop("a", "b", "len", "dir", "run")

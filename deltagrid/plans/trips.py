@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..functions import classify as K
 from ..operators import corridors as R
 from ..operators import graph as G
 from ..operators import journeys as J
@@ -36,14 +37,18 @@ def streets(spark, sf):
     )
 
 
+def meets(placed):
+    """(prefix, texel): where the streets (way, node, diamond, u, v) share a node, at the base."""
+    shared = placed.groupBy("node").agg(F.countDistinct("way").alias("n"), F.first("diamond").alias("diamond"), F.first("u").alias("u"), F.first("v").alias("v")).where("n >= 2")
+    return shared.select(C.prefix(BASE).alias("prefix"), C.texel(BASE).alias("texel")).distinct()
+
+
 def stamps(spark, sf, near=None, rings=None):
     """The streets' texels of all depths, each depth written once, as the one above it and its readers come back to it. (depth, prefix, texel, way, class, arc, heading, join). near: only those of streets that come within rings {depth: rings of texels} of a point of this table (diamond, u, v), as far as `journeys.snapped` looks if there are none; joins are as in the whole table no farther than that."""
     s = C.encode(streets(spark, sf))
     if near is not None:
         s = G.cut(routes.within(near, s, rings or J.rings(BASE, FLOOR, *SNAP)))
-    shared = s.groupBy("node").agg(F.countDistinct("way").alias("n"), F.first("diamond").alias("diamond"), F.first("u").alias("u"), F.first("v").alias("v")).where("n >= 2")
-    meets = shared.select(C.prefix(BASE).alias("prefix"), C.texel(BASE).alias("texel")).distinct().withColumn("join", F.lit(True))
-    fine = routes.passed(s, BASE, "class").join(meets.hint("shuffle_hash"), ["prefix", "texel"], "left")
+    fine = routes.passed(s, BASE, "class").join(meets(s).withColumn("join", F.lit(True)).hint("shuffle_hash"), ["prefix", "texel"], "left")
     level = every = G.cut(fine.select(F.lit(BASE).alias("depth"), "prefix", "texel", "way", "class", "arc", F.col("heading").cast("bigint").alias("heading"), F.coalesce("join", F.lit(False)).alias("join")))
     for _ in range(FLOOR, BASE):
         level = G.cut(routes.coarser(level).select(*every.columns))
@@ -114,7 +119,8 @@ def searched(spark, sf, rings: int = 3):
 @query
 def r4_corridors(spark, sf):
     """The corridors of every cell and depth."""
-    return R.corridors_of(R.graph(stamps(spark, sf), texels=False))
+    s = C.encode(streets(spark, sf))
+    return R.of_segments(routes.segments(s, "class").withColumn("kept", K.class_floor(F.col("class"))), meets(s), BASE, FLOOR)
 
 
 @query
